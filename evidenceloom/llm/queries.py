@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, quality, simhash, tokenfile
+from . import bpe, chat, decontaminate, linededup, maxent, quality, simhash, substrings, tokenfile, warc
 
 
 def tokenizer_files() -> SimpleNamespace:
@@ -22,11 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenfile.round_trip(docs, tokenizer_files().words, end_id=2)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedupe(docs).drop("text")
@@ -46,19 +55,29 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(decoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from the roles; the turns are recovered from the texts alone."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat.parse(turns.drop("role"), chat.Model.from_counts(chat.count_labelled(turns)))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_file, op4_line_dedup, op5_decontaminate, op6_byte_bpe, op8_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_maxent, op2_token_file, op3_substrings, op4_line_dedup, op5_decontaminate, op6_byte_bpe, op7_warc, op8_simhash, op9_chat, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.SQL}
+    return {"op4_line_dedup": linededup.SQL, "op7_warc": warc.SQL}

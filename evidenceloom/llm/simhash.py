@@ -239,3 +239,146 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = written(labelled.join(smallest, "label").select(F.col("fp").alias(f"{fp}_"), "component"), "fingerprint-components")
     joined = marked.join(of, F.col(f"`{fp}`") == F.col(f"`{fp}_`"))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.lower(F.lpad(F.hex(f"`{fp}`"), 16, "0")).alias(shown), F.col("component").alias(comp))
+
+
+BANDS, ROWS = 24, 5
+_ODD = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=X.U) * X.U(0xA24BAED4963EE407)) | X.U(1)
+#: Bits in which fingerprints of sets of Jaccard similarity 0.8 differ at most: 9.7 in the mean, standard deviation 2.9.
+REACH = 26
+
+
+def _signatures(buf: np.ndarray, offs: np.ndarray, width: int):
+    """Per text: 16-byte digest of its normalised words, fingerprint, number of shingles, band keys. No words: None, 0, 0, none."""
+    n = len(offs) - 1
+    fp, count, bands = np.zeros(n, X.U), np.zeros(n, np.int64), np.zeros((n, BANDS), X.U)
+    text, starts, ends, owner = normalised(buf, offs)
+    if not len(starts):
+        return [None] * n, fp, count, bands
+    s, e, of = shingle_spans(starts, ends, owner, width)
+    h = X.span_hashes(X.prefix_sums(np.frombuffer(text, np.uint8)), s, e)
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    has = of[first]
+    count[has] = np.diff(np.append(first, len(of)))
+    raw, bits = h.astype("<u8").view(np.uint8).reshape(-1, 8), np.empty((len(first), 64), np.int32)
+    for k in range(8):
+        bits[:, 8 * k : 8 * k + 8] = np.add.reduceat(np.unpackbits(raw[:, k : k + 1], axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
+    fp[has] = np.packbits(2 * bits > count[has, None], axis=1, bitorder="little").view("<u8").ravel()
+    for b in range(BANDS):
+        key = np.full(len(first), b, dtype=X.U)
+        for odd in _ODD[b * ROWS : (b + 1) * ROWS]:
+            key = X.mix(key ^ np.minimum.reduceat(h * odd, first))
+        bands[has, b] = key
+    return _text_keys(text, starts, ends, owner, n), fp, count, bands
+
+
+def _text_keys(text: bytes, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, n: int) -> list[bytes | None]:
+    """16-byte digests of so many texts' normalised words; None where there are none."""
+    keys: list[bytes | None] = [None] * n
+    if len(owner):
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        stop = np.append(first[1:], len(owner)) - 1
+        for doc, a, z in zip(owner[first].tolist(), starts[first].tolist(), ends[stop].tolist(), strict=True):
+            keys[doc] = xxhash.xxh128_digest(text[a:z])
+    return keys
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = X.flat(batch.column(1))
+            sets: list[np.ndarray] = []
+            for a, b in X.pieces(offs):
+                text, starts, ends, owner = normalised(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                s, e, of = shingle_spans(starts, ends, owner, width)
+                h = X.span_hashes(X.prefix_sums(np.frombuffer(text, np.uint8)), s, e) if len(s) else np.empty(0, X.U)
+                cut = np.searchsorted(of, np.arange(b - a + 1))
+                sets += [np.unique(h[x:y]).view(np.int64) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k", "shingles"])
+
+    return run
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with fingerprint and component_id, linked where the shingle sets' Jaccard similarity is at least so high.
+
+    Texts with the same words are one node. Needs a similarity of 0.8 or more, for which the bands are made.
+    """
+    if similarity < 0.8:
+        raise ValueError("the bands are made for a similarity of 0.8 or more")
+    key = free(docs, "text_key")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = X.flat(batch.column(1))
+            for a, b in X.pieces(offs):
+                keys, f, n, bands = _signatures(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(f.view(np.int64)), pa.array(n), lists], names=schema.names)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = X.flat(batch.column(batch.schema.get_field_index(text)))
+            keys: list[bytes | None] = []
+            for a, b in X.pieces(offs):
+                keys += _text_keys(*normalised(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]), b - a)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, key])
+
+    signed = written(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(sign, schema), "signatures").where("k is not null")
+    nodes = written(signed.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "text-nodes")
+    rows = nodes.select("k", "fp", "n", F.posexplode("bands").alias("band", "value"))
+    # three members stand for each group, so that one outlier among them does not hide the others' links
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("k").alias("r0"), F.max("k").alias("r1"), F.min_by("k", F.xxhash64("k")).alias("r2")).where("c > 1").drop("c")
+    members = written(rows.join(shared, ["band", "value"]), "band-members")
+    wanted = written(members.select("k").distinct().join(nodes.select("k", "id", "fp"), "k"), "band-nodes")
+    texts = docs.mapInArrow(mark, T.StructType([*docs.schema, T.StructField(key, T.BinaryType())]))
+    last = F.lit(9223372036854775807)
+    own = wanted.select(F.col("k").alias("w_k"), F.coalesce("id", last).alias("w_id"))
+    chosen = texts.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), last).alias("id"), F.col(f"`{text}`").alias("text"))
+    chosen = chosen.join(own, (F.col("k") == F.col("w_k")) & (F.col("id") == F.col("w_id")))
+    found = chosen.select("k", "text").mapInArrow(_shingle_sets(width), "k binary, shingles array<long>")
+    sets = written(found.groupBy("k").agg(F.first("shingles").alias("shingles")).join(nodes.select("k", "fp"), "k"), "shingle-sets")
+
+    stars = members.select(F.explode(F.array("r0", "r1", "r2")).alias("a"), F.col("k").alias("b"))
+    edges = _verified(_ordered(stars), sets, similarity)
+    parts = components(edges.select("a", "b"))
+    label = lambda found: wanted.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", "k").alias("label"))
+    # groups in which several components are left: what their members are to each other across components
+    labelled = members.select("band", "value", "k").join(label(parts), "k")
+    open_ = labelled.groupBy("band", "value").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("band", "value")
+    rest = written(labelled.join(open_, ["band", "value"]), "open-groups")
+    other = rest.select("band", "value", F.col("k").alias("k2"), F.col("label").alias("label2"))
+    across = rest.join(other, ["band", "value"]).where("label < label2").select(F.col("k").alias("a"), F.col("k2").alias("b"))
+    more = _verified(_ordered(across).join(_ordered(stars), ["a", "b"], "left_anti"), sets, similarity)
+    of = label(components(edges.unionByName(more).select("a", "b")))
+    ids = of.join(nodes.select("k", "id"), "k")
+    smallest = ids.groupBy("label").agg(F.min("id").alias("component"))
+    # nodes without any link are their own component
+    with_label = ids.join(smallest, "label").select("k", "component", "label")
+    final = written(nodes.select("k", "id", "fp").join(with_label, "k", "left").select(F.col("k").alias("own_key"), "fp", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), F.coalesce("label", "k").alias("label")), "text-components")
+    joined = texts.join(final, F.col(f"`{key}`") == final["own_key"], "left")
+    shown, comp, group = free(docs, "fingerprint"), free(docs, "component_id"), free(docs, "component_key")
+    return joined.select(
+        *(texts[f"`{c}`"] for c in docs.columns),
+        F.lower(F.lpad(F.hex(F.coalesce(final["fp"], F.lit(0))), 16, "0")).alias(shown),
+        F.when(final["own_key"].isNull(), texts[f"`{doc_id}`"].cast("long")).otherwise(final["component"]).alias(comp),
+        final["label"].alias(group),
+    )
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar: pivot distances first, then bits, then the sets."""
+    left = sets.select(F.col("k").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("k").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
+    prints = pairs.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
+    for p in _PIVOTS.view(np.int64)[:4].tolist():
+        prints = prints.where(F.abs(F.bit_count(F.col("fa").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("fb").bitwiseXOR(F.lit(p)))) <= REACH)
+    near = prints.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= REACH).select("a", "b")
+    both = near.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    together = (F.size("sa") + F.size("sb")).cast("double")
+    return written(both.select("a", "b", common.alias("c"), together.alias("t")).where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("a", "b"), "similar")
