@@ -7,9 +7,11 @@ of tokens). Batches hold ``BATCH`` sequences and are written uncompressed, so th
 file and gets sequence i at ``i // BATCH``, ``i % BATCH`` without copying (see ``Shard``).
 
 Documents are spread by ranges of their id, so that file names and rows are in ascending id order, and
-each task tokenises, writes and forgets one batch of rows after another. Tokenising: values of the text
-up to and with their white space are encoded once for each distinct value of a batch; the
-tokenizer must drop white space and not join what stands on both sides of it.
+each task tokenises, writes and forgets one batch of rows after another. Tokenising: a text is cut at
+blanks, newlines and before ASCII signs that follow an ASCII letter or digit, A-Z is lower-cased, and each
+distinct word is encoded once. This equals encoding the whole text for a tokenizer that lower-cases,
+drops white space and takes runs of letters, single digits and runs of other signs apart; texts near a
+``<|``, which may begin a special token, are only cut at white space.
 
 Defined results: null and empty texts have the end id only; null ids come first; rows with equal ids
 are ordered by text; repeated rows stay; an empty table gives no files and no rows.
@@ -35,8 +37,9 @@ from .shared import AtomicFile, opened, scratch, written
 
 SEQ_LEN, BATCH = 2048, 64
 _ENDS = X._table(b" \n")
+_SIGN, _WORD = X._table(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), X._table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B)]))
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 class WordEncoder:
@@ -49,41 +52,57 @@ class WordEncoder:
         system, path = opened(path if "://" in path else os.path.abspath(path))
         with system.open_input_stream(path) as f:
             self.tokenizer = Tokenizer.from_buffer(f.read())
-        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.parts, self.count = {}, [np.empty(0, np.uint32)], 0
+        self.known: dict[bytes, int] = {}
+        self.ids = np.empty(1 << 20, np.uint32)
+        self.begin = np.zeros(REMEMBERED * 2, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        n = len(self.known)
+        if n + len(words) + 1 > len(self.begin):
+            self.begin = np.concatenate((self.begin, np.zeros(len(self.begin) + len(words), np.int64)))
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
+            ends = self.begin[n] + np.cumsum([len(x) for x in found])
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+            self.ids[self.begin[n] : ends[-1]] = list(chain.from_iterable(found))
+            self.begin[n + 1 : n + 1 + len(part)] = ends
+            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            n += len(part)
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's offsets among them."""
         if not len(buf):
             return np.empty(0, np.uint32), np.zeros(len(offs), np.int64)
+        cut = np.zeros(len(buf), dtype=bool)
+        cut[offs[:-1][offs[:-1] < len(buf)]] = True
+        if b"<|" not in buf.tobytes():  # special tokens are found in the text as it stands
+            buf = X.LOWER[buf]
+            cut[1:] |= _SIGN[buf[1:]] & _WORD[buf[:-1]]
         inside = ~_ENDS[buf]
-        starts = np.zeros(len(buf), dtype=bool)
-        starts[1:] = inside[1:] & ~inside[:-1]
-        starts[offs[:-1][offs[:-1] < len(buf)]] = True
-        at = np.flatnonzero(starts)
+        cut[1:] |= inside[1:] & ~inside[:-1]
+        place = np.concatenate(([0], np.cumsum(inside)))
+        at = place[np.flatnonzero(cut)]
+        at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        offs, buf = place[offs], buf[inside]
+        at = at[at < len(buf)]
+        if not len(at):
+            return np.empty(0, np.uint32), np.zeros(len(offs), np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if self.count > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.clear()
-        missing = [w for w in distinct if w not in self.known]
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            for w, ids in zip(part, found, strict=True):
-                self.known[w] = self.count
-                self.parts.append(np.array(ids, dtype=np.uint32))
-                self.count += 1
-        lengths = np.array([len(p) for p in self.parts[1:]], dtype=np.int64)
-        all_ids = np.concatenate(self.parts)
-        begin = np.concatenate(([0], np.cumsum(lengths)))
-        which = np.array([self.known[w] for w in distinct], dtype=np.int64)[coded.indices.to_numpy()]
-        n = lengths[which]
+        known = self.known
+        self._learn([w for w in distinct if w not in known])
+        which = np.array([known[w] for w in distinct], dtype=np.int64)[coded.indices.to_numpy()]
+        n = self.begin[which + 1] - self.begin[which]
         ends = np.cumsum(n)
-        ids = all_ids[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.begin[which] - (ends - n), n) + np.arange(ends[-1])]
         return ids, np.concatenate(([0], ends))[np.searchsorted(at, offs)]
 
 
