@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,25 +83,97 @@ def boundaries(chunk: str, pattern: regex.Pattern, stop: int | None = None) -> I
             return
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with token_ids, as encoding the whole text would give them."""
-    name = free(docs, "token_ids")
-    schema = T.StructType([*docs.schema, T.StructField(name, T.ArrayType(T.IntegerType()))])
+class Step:
+    """What is done to a table's record batches: the new schema, and the batches' iterator."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, schema: Callable[[T.StructType], T.StructType], run: Callable[[Iterator[pa.RecordBatch], list[str]], Iterator[pa.RecordBatch]]):
+        self.schema, self.run = schema, run
+
+
+def apply(df: DataFrame, *steps: Step) -> DataFrame:
+    """All steps in one worker, so that what they hand on stays there."""
+    schemas = [df.schema]
+    for s in steps:
+        schemas.append(s.schema(schemas[-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256))
+        for s, schema in zip(steps, schemas[1:], strict=True):
+            parts = s.run(parts, schema.names)
+        return parts
+
+    return df.mapInArrow(run, schemas[-1]) if steps else df
+
+
+def _added(*fields: tuple[str, T.DataType]):
+    def schema(old: T.StructType) -> T.StructType:
+        out = old
+        for name, kind in fields:
+            out = T.StructType([*out, T.StructField(free(out, name), kind)])
+        return out
+
+    return schema
+
+
+def encoding(path: str, pattern: str, text: str = "text") -> Step:
+    """Adds token_ids."""
+
+    def run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _encoded(batch.column(batch.schema.get_field_index(text)).to_pylist(), path, pattern)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
+
+    return Step(_added(("token_ids", T.ArrayType(T.IntegerType()))), run)
+
+
+def decoding(path: str, ids: str = "token_ids") -> Step:
+    """Adds decoded, the concatenated bytes of the ids (null: empty)."""
+
+    def run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+        table = _bytes(path)
+        for batch in batches:
+            found = (x.values.to_pylist() if x.is_valid else [] for x in batch.column(batch.schema.get_field_index(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b"".join([table[t] for t in x]) for x in found], pa.binary())], names=names)
+
+    return Step(_added(("decoded", T.BinaryType())), run)
+
+
+def digesting(ids: str = "token_ids", decoded: str = "decoded") -> Step:
+    """Adds n_tokens, ids_sha256 (over the ids as little-endian unsigned 32-bit integers) and decoded_sha256, and takes ids and bytes away."""
+
+    def schema(old: T.StructType) -> T.StructType:
+        kept = T.StructType([f for f in old if f.name not in (ids, decoded)])
+        return _added(("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))(kept)
+
+    def run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, _encoded(part.column(part.schema.get_field_index(text)).to_pylist(), path, pattern)], names=schema.names)
+            at = batch.schema.get_field_index
+            found = [np.asarray(x.values.to_numpy() if x.is_valid else [], dtype="<u4") for x in batch.column(at(ids))]
+            hashes = [[hashlib.sha256(x).hexdigest() for x in values] for values in (found, batch.column(at(decoded)).to_pylist())]
+            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in (ids, decoded)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in found], pa.int64()), *map(pa.array, hashes)], names=names)
+
+    return Step(schema, run)
 
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, then: tuple[Step, ...] = ()) -> DataFrame:
+    """docs with token_ids, as encoding the whole text would give them, and what then makes of that."""
     is_long = F.coalesce(F.length(F.col(f"`{text}`")) > chunk, F.lit(False))
-    short = docs.where(~is_long).mapInArrow(whole, schema)
-    key = free(docs, "text_key")
+    short = apply(docs.where(~is_long), encoding(path, pattern, text), *then)
+    key = free(docs.schema, "text_key")
     long = docs.where(is_long).withColumn(key, F.sha2(F.col(f"`{text}`"), 256))
     # equal long texts are encoded once
     ids = encode_long(long.groupBy(F.col(f"`{key}`").alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text")), path, pattern, chunk, overlap)
     joined = long.join(ids.withColumnsRenamed({"key": f"{key}_", "token_ids": f"{key}_ids"}), F.col(f"`{key}`") == F.col(f"`{key}_`"))
-    return short.unionAll(joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{key}_ids`").alias(name)))
+    name = free(docs.schema, "token_ids")
+    return short.unionAll(apply(joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{key}_ids`").alias(name)), *then))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs without the text, encoded and decoded: n_tokens, ids_sha256 and decoded_sha256."""
+    ids, decoded = free(docs, "token_ids"), free(docs, "decoded")
+    without = Step(lambda old: T.StructType([f for f in old if f.name != text]), lambda batches, names: (b.select(names) for b in batches))
+    return encode(docs, path, pattern, text, then=(decoding(path, ids), without, digesting(ids, decoded)))
 
 
 def encode_long(texts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -147,31 +219,4 @@ def encode_long(texts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, o
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """docs with decoded, the bytes of their token ids (null: empty)."""
-    schema = T.StructType([*docs.schema, T.StructField(free(docs, "decoded"), T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bytes(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                column = part.column(part.schema.get_field_index(ids))
-                flat, offs = column.flatten().to_pylist(), np.concatenate(([0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))).tolist()
-                out = [b"".join([table[t] for t in flat[a:b]]) for a, b in zip(offs, offs[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def digests(docs: DataFrame, ids: str = "token_ids") -> DataFrame:
-    """docs with n_tokens and ids_sha256 (hex, over the ids as little-endian unsigned 32-bit integers) in place of the ids."""
-    rest = [c for c in docs.columns if c != ids]
-    kept = docs.select(*(F.col(f"`{c}`") for c in rest))
-    schema = T.StructType([*kept.schema, T.StructField(free(kept, "n_tokens"), T.LongType()), T.StructField(free(kept, "ids_sha256"), T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.asarray(x.values.to_numpy() if x.is_valid else [], dtype="<u4") for x in batch.column(batch.schema.get_field_index(ids))]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found])], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+    return apply(docs, decoding(path, ids))

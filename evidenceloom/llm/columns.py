@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def free(df: DataFrame, name: str) -> str:
+def free(df: DataFrame | T.StructType, name: str) -> str:
     """name, with underscores before it until no column of df has it (case ignored)."""
-    taken = {c.lower() for c in df.columns}
+    taken = {c.lower() for c in (df.names if isinstance(df, T.StructType) else df.columns)}
     while name.lower() in taken:
         name = f"_{name}"
     return name

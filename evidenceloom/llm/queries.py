@@ -51,8 +51,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenizer_files()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, files.ranks, files.pattern).drop("text"), files.ranks)
-    return bpe.digests(decoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, files.ranks, files.pattern)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

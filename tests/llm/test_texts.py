@@ -78,10 +78,11 @@ def test_bpe(docs, texts):
     want = []
     for i, t in texts:
         ids = plain.encode_ordinary(t or "")
-        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), (t or "").encode()))
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.round_trip(docs, path, pattern).collect()), key=repr) == sorted(want, key=repr)
     for chunk, overlap in ((bpe.CHUNK, bpe.OVERLAP), (200, 40), (50, 8)):
-        got = bpe.digests(bpe.decode(bpe.encode(docs, path, pattern, chunk=chunk, overlap=overlap), path))
-        assert sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got.select("doc_id", "n_tokens", "ids_sha256", "decoded").collect()), key=repr) == sorted(want, key=repr)
+        got = bpe.apply(bpe.decode(bpe.encode(docs, path, pattern, chunk=chunk, overlap=overlap), path).drop("text"), bpe.digesting())
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_token_file(spark, docs, texts):
