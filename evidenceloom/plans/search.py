@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenceloom.functions import geo, text, timeutil
-from evidenceloom.functions.similarity import jaccard, token_similarity, trigrams
+from evidenceloom.functions.similarity import containment, jaccard, token_similarity, trigrams
 
 UNKNOWN, DEFAULT_CERTAINTY, SECONDARY_WEIGHT = 0.45, 0.5, 0.1
 # Fixed values
@@ -296,8 +296,7 @@ def recalled(hunted: DataFrame, canon: DataFrame, least: float = 0.5) -> DataFra
     """Hunted events (id, day, title) and whether canon (day, title) has one a day off at most with half of the words."""
     days = canon.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))).alias("day"), text.title_words(F.col("title")).alias("theirs"))
     own = hunted.select("id", "day", text.title_words(F.col("title")).alias("own"))
-    share = F.size(F.array_intersect("own", "theirs")) / F.greatest(F.least(F.size("own"), F.size("theirs")), F.lit(1))
-    hits = own.join(days, "day").where(share >= least).select("id").distinct().withColumn("found", F.lit(True))
+    hits = own.join(days, "day").where(containment(F.col("own"), F.col("theirs")) >= least).select("id").distinct().withColumn("found", F.lit(True))
     return hunted.join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
