@@ -65,9 +65,11 @@ def test_substrings(monkeypatch, docs, texts):
     assert sum(r[2] for r in want) > 10_000
 
 
-def test_substrings_of_few_letters(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [substrings.HOT, 3])
+def test_substrings_of_few_letters(spark, monkeypatch, hot):
     """Repeats inside a text, ties of anchors, edges of shared passages."""
     small_blocks(monkeypatch, 500)
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(3)
     passage = "".join(rng.choice("ab") for _ in range(400))
     rows = []
