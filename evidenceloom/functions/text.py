@@ -30,7 +30,7 @@ ORGANISATION_WORDS = [
 ]
 # Letters whose decomposition starts with an ASCII letter
 ACCENTED = "àáâãåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõōŏőŕŗřśŝşšţťùúûũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooRRRsssSttuuuuuuuuuwyyyzzz".lower()
+PLAIN = "aaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooorrrssssttuuuuuuuuuwyyyzzz"
 
 
 def _words(words: list[str]) -> Column:

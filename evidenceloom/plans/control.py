@@ -128,3 +128,44 @@ def fit_logistic(pairs: DataFrame, cosine: str, target: str) -> DataFrame:
 
 def local_counts(rows: DataFrame, at: str) -> DataFrame:
     return rows.groupBy(local_day(F.col(at)).alias("day")).agg(F.count("*").alias("n"))
+
+
+def stale(jobs: DataFrame, now: Column, hours: int = 4) -> DataFrame:
+    """Jobs that have been running for too long: to be queued again."""
+    return jobs.where((F.col("status") == "running") & (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp")) > hours * 3600))
+
+
+def ready(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs that may run, oldest first within their kind."""
+    return jobs.where((F.col("status") == "pending") & (F.col("run_after") <= now)).orderBy("run_after", "job_id")
+
+
+def enqueue_once(wanted: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
+    """Wanted jobs of which none is pending, each once."""
+    return wanted.dropDuplicates(keys).join(pending.select(*keys), keys, "left_anti")
+
+
+def rotated(terms: DataFrame, areas: DataFrame, start: int, n: int) -> DataFrame:
+    """n pairs of a term and an area from a place in the matrix of all pairs, which goes on at its beginning; only the n pairs are made.
+
+    terms and areas are short configured lists, numbered from 0 (term_no, area_no).
+    """
+    sizes = terms.agg(F.count("*").alias("t")).join(areas.agg(F.count("*").alias("a")))
+    places = sizes.select("t", "a", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("t") * F.col("a")) - 1)).alias("i")).withColumn("k", F.pmod(F.col("i") + start, F.col("t") * F.col("a")))
+    numbered = places.select("i", F.floor(F.col("k") / F.col("a")).cast("long").alias("term_no"), F.pmod("k", "a").cast("long").alias("area_no"))
+    return numbered.join(terms, "term_no").join(areas, "area_no")
+
+
+def hydration(events: DataFrame, tried: DataFrame, now: Column, signal: str, days: int = 30, limit: int = 40) -> DataFrame:
+    """Events with a deep link but without a description or price, not tried within a month: those with neither first, then titles with a signal, then the earliest."""
+    recent = tried.where(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("tried_at").cast("timestamp")) < days * 86400).select("event_id")
+    open_ = events.where(F.col("url").isNotNull() & (F.col("description").isNull() | F.col("price_min").isNull())).join(recent, "event_id", "left_anti")
+    both = F.col("description").isNull() & F.col("price_min").isNull()
+    return open_.orderBy(both.desc(), F.col("title").rlike(signal).desc(), "starts_at", "event_id").limit(limit)
+
+
+def newest_link(claims: DataFrame) -> DataFrame:
+    """A claim for each event and source, those with a web link first, then the newest; and when the source was last seen anywhere."""
+    one = Window.partitionBy("event_id", "source_id").orderBy(F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)).desc(), F.col("extracted_at").desc(), "claim_id")
+    seen = claims.groupBy("source_id").agg(F.max("extracted_at").alias("source_seen"))
+    return claims.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").join(seen, "source_id")

@@ -720,3 +720,93 @@ def streaming_equivalence(spark, sf):
     stream = S.source(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 2)
     S.recompute_touched(stream, f"{base}/log", "event_id", S.confidence, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return S.latest(spark, f"{base}/out", "event_id").select("event_id", r6("confidence").alias("confidence"), "n_sources")
+
+
+# ---- further control plane and service queries
+
+
+def _jobs(spark, sf):
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(F.lit("pending"), F.lit("running"), F.lit("done")), (k % 3 + 1).cast("int"))
+    return A.table(spark, sf, "orders").select(k.alias("job_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderpriority").alias("kind"), kind.alias("status"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("run_after"))
+
+
+@query("SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 3 = 1 AND epoch(TIMESTAMP '1997-01-01') - floor(epoch(o_orderdate)) > 14400")
+def stale_jobs(spark, sf):
+    return control.stale(_jobs(spark, sf), F.lit("1997-01-01").cast("timestamp_ntz")).select("job_id")
+
+
+@query("SELECT DISTINCT o_custkey AS source_id, o_orderpriority AS kind FROM orders o WHERE o_orderkey % 3 = 2 AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey % 3 = 0 AND p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority)")
+def debounced_enqueue(spark, sf):
+    jobs = _jobs(spark, sf)
+    return control.enqueue_once(jobs.where("status = 'done'").select("source_id", "kind"), jobs.where("status = 'pending'"), ["source_id", "kind"])
+
+
+@query("""WITH m AS (SELECT i, (i + 40) % 125 AS k FROM range(100) r(i)) SELECT i, r_name, n_name FROM m JOIN region ON r_regionkey = k // 25 JOIN nation ON n_nationkey = k % 25""")
+def rotated_matrix(spark, sf):
+    terms = A.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("term_no"), "r_name")
+    areas = A.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("area_no"), "n_name")
+    return control.rotated(terms, areas, 40, 100).select("i", "r_name", "n_name")
+
+
+@query(f"""WITH {A.AUDIENCE_SQL}, e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'text' END AS description FROM audience), t AS (SELECT event_id FROM e WHERE event_id % 9 = 0 AND event_id % 18 <> 0)
+SELECT event_id FROM e WHERE event_id % 7 <> 0 AND (description IS NULL OR price_min IS NULL) AND event_id NOT IN (SELECT event_id FROM t)
+ORDER BY (description IS NULL AND price_min IS NULL) DESC, regexp_matches(title, 'ring|gear') DESC, starts_at, event_id LIMIT 40""")
+def hydration_candidates(spark, sf):
+    k = F.col("event_id")
+    e = A.audiences(spark, sf).withColumns({"description": F.when(k % 2 == 0, "text"), "url": F.when(k % 7 != 0, "https://x.at/e")})
+    tried = e.where(k % 9 == 0).select("event_id", F.when(k % 18 == 0, F.lit("2025-01-01")).otherwise("2026-01-01").cast("timestamp_ntz").alias("tried_at"))
+    return control.hydration(e, tried, F.lit("2026-01-05").cast("timestamp_ntz"), "ring|gear").select("event_id")
+
+
+@query(f"""WITH {A.CLAIM_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY event_id, source_id ORDER BY quantity > 25 DESC, extracted_at DESC, claim_id) AS n, max(extracted_at) OVER (PARTITION BY source_id) AS seen FROM claim)
+SELECT event_id, source_id, claim_id, seen::VARCHAR AS source_seen FROM o WHERE n = 1""")
+def event_source_detail(spark, sf):
+    c = A.claims(spark, sf).withColumn("url", F.when(F.col("quantity") > 25, "https://x.at/").otherwise("none"))
+    return control.newest_link(c).select("event_id", "source_id", "claim_id", s("source_seen"))
+
+
+@query(f"""WITH {A.AUDIENCE_SQL} SELECT event_id, starts_at::VARCHAR AS starts_at FROM audience WHERE starts_at >= TIMESTAMP '2026-01-10' AND (lat IS NULL OR {_DIST.format(lat=48.3069, lon=14.2858)} <= 15000) AND price_min <= 1400 AND confidence >= 0.3
+AND (audience.starts_at > TIMESTAMP '2026-01-20 00:00:00' OR (audience.starts_at = TIMESTAMP '2026-01-20 00:00:00' AND event_id > 5)) ORDER BY audience.starts_at, event_id LIMIT 60""")
+def chronological_listing(spark, sf):
+    import datetime as dt
+
+    f = search.Filters(from_=dt.datetime(2026, 1, 10), max_price=1400.0, min_confidence=0.3)
+    rows = A.audiences(spark, sf).withColumns({"effective_confidence": F.col("confidence"), "starts_at": F.col("starts_at").cast("timestamp"), "ends_at": F.col("ends_at").cast("timestamp")})
+    found = search.hard(rows, f, F.current_timestamp(), statuses="listed")
+    return search.page(found, "starts_at", "event_id", (dt.datetime(2026, 1, 20), 5), 60).select("event_id", s("starts_at"))
+
+
+@query(f"""WITH {A.AUDIENCE_SQL}, l AS (SELECT *, {_VIENNA.format("starts_at")} AS t FROM audience)
+SELECT event_id::VARCHAR AS occurrence_id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || event_id,
+  CASE WHEN event_id % 3 = 0 THEN 'DTSTART;VALUE=DATE:' || strftime(t, '%Y%m%d') ELSE 'DTSTART:' || strftime(starts_at, '%Y%m%dT%H%M%SZ') END, CASE WHEN event_id % 3 = 0 THEN 'DTEND;VALUE=DATE:' || strftime(t + INTERVAL 1 DAY, '%Y%m%d') END,
+  'SUMMARY:' || title || CASE WHEN event_id % 5 = 0 THEN ' (projected)' ELSE '' END, 'END:VEVENT') AS vevent FROM l""")
+def calendar_feed(spark, sf):
+    k = F.col("event_id")
+    rows = A.audiences(spark, sf).withColumns({"time_unknown": k % 3 == 0, "projected": k % 5 == 0, "url": F.lit(None).cast("string")})
+    return present.vevents(rows)
+
+
+@query("""WITH p AS (SELECT page_id, sha256(html) AS h FROM pages) SELECT page_id FROM p WHERE h NOT IN (SELECT h FROM p WHERE page_id % 4 = 0)""")
+def unchanged_pages(spark, sf):
+    from evidenceloom.sources import landing
+
+    pages = A.table(spark, sf, "pages").select("page_id", F.lit(1).alias("source_id"), F.col("html").alias("body"))
+    known = pages.where("page_id % 4 = 0").select("source_id", F.sha2("body", 256).alias("hash"))
+    return landing.changed(pages, known).select("page_id")
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS name, i FROM (SELECT doc_id, unnest(string_split(substring(text, 1, 200), '.')) AS x, unnest(range(len(string_split(substring(text, 1, 200), '.')))) AS i FROM documents) WHERE NOT regexp_matches(x, '[()\n]'))
+SELECT doc_id, name, count(*) AS n FROM t WHERE name <> '' AND length(name) <= 60 AND len(string_split(name, ' ')) <= 3 GROUP BY 1, 2""".replace("\\", "\\"))
+def tag_names(spark, sf):
+    d = A.table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 200), r"\.")).alias("x"))
+    return d.select("doc_id", text.clean_tag(F.col("x")).alias("name")).where("name is not null").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {A.CLAIM_SQL}, f AS (SELECT event_id, sum(CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END) AS now_bad, count(*) FILTER (status = 'cancelled' AND extracted_at < TIMESTAMP '1995-01-01') AS was_bad FROM claim GROUP BY 1) SELECT event_id FROM f WHERE now_bad > 0 AND was_bad = 0""")
+def newly_cancelled(spark, sf):
+    from evidenceloom.plans.canon import newly_negative
+
+    c = A.claims(spark, sf)
+    state = lambda df: df.groupBy("event_id").agg(F.max(F.when(F.col("status") == "cancelled", "cancelled").otherwise("")).alias("x")).select("event_id", F.lit("1995-01-01").cast("date").alias("day"), F.when(F.col("x") == "cancelled", "cancelled").otherwise("scheduled").alias("status"))
+    return newly_negative(state(c), state(c.where(F.col("extracted_at") < F.lit("1995-01-01").cast("timestamp_ntz")))).select("event_id")

@@ -265,17 +265,17 @@ def lexical(rows: DataFrame, words: Column, row_id: str, tokens: list[str], hit:
 
     A token that no row has is left out, but if over half are, nothing is found. A row needs a hit on a token with
     at least ``rare`` of the largest weight, and half of the best row's score.
-    Every row is compared with the few tokens of the query once, in expressions; only sums leave the rows.
+    Each different word is compared with the query's tokens once, however many rows have it; only words with some
+    similarity go back to their rows.
     """
     tokens = list(dict.fromkeys(tokens))
     if not tokens:
         return rows.select(row_id, F.lit(0.0).alias("score")).limit(0)
-
-    def nearest(token: str) -> Column:
-        return F.coalesce(F.array_max(F.transform("_w", lambda w: token_similarity(F.lit(token), w))), F.lit(0.0))
-
-    best = [nearest(t).alias(f"s{i}") for i, t in enumerate(tokens)]
-    sims = rows.select(row_id, F.array_distinct(words).alias("_w")).select(row_id, *best)
+    has = rows.select(row_id, F.explode(F.array_distinct(words)).alias("_w"))
+    near = has.select("_w").distinct().select("_w", *(token_similarity(F.lit(t), F.col("_w")).alias(f"s{i}") for i, t in enumerate(tokens)))
+    some = F.greatest(*(F.col(f"s{i}") for i in range(len(tokens))), F.lit(0.0)) > 0
+    found = has.join(near.where(some), "_w").groupBy(row_id).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(len(tokens))))
+    sims = rows.select(row_id).join(found, row_id, "left").fillna(0.0, [f"s{i}" for i in range(len(tokens))])
     df = sims.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"s{i}") >= hit).alias(f"d{i}") for i in range(len(tokens))))
     weighted = sims.join(F.broadcast(df))
     live = [F.col(f"d{i}") > 0 for i in range(len(tokens))]
