@@ -36,7 +36,7 @@ def make(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             offs = X.flat(column)[1]
-            for a, b in X.pieces(offs):
+            for a, b in X.pieces(offs, 1 << 20):
                 held.append(batch.slice(a, b - a))
                 size += int(offs[b] - offs[a])
                 if size >= BLOCK:

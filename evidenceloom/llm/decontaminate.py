@@ -2,10 +2,11 @@
 
 Texts and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is
 ``width`` consecutive words of an item; an item with fewer words, but not none, is one window. The
-windows' 64-bit hashes form sorted arrays of at most ``BLOCK`` windows each, broadcast when all of
-them hold at most ``BROADCAST_WINDOWS``; a larger benchmark is taken in groups of so many, one after
-the other, and the words hit are merged. Each hash that is found is verified against the words
-themselves, so equal hashes of different windows do not count.
+windows' 64-bit hashes and words are broadcast if they are ``BROADCAST_WINDOWS`` at most, which is checked. A
+larger benchmark is taken in groups of so many, a pass over the documents for each: the words
+hit so far go on in a written table and the group's broadcast is given up before the next.
+Each hash that is found is verified against the words themselves, so equal hashes of different windows
+do not count.
 
 Defined results: null and empty texts have no words and no hits; null items are ignored, items with
 the same text each count; repeated rows of documents get equal results; an empty benchmark hits
@@ -14,7 +15,6 @@ nothing; further columns of documents pass through (names that clash get a leadi
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +25,11 @@ from pyspark.sql import types as T
 
 from . import textnum as X
 from .columns import free, pick
+from .shared import written
 
 WIDTH = 10
-#: Windows of a benchmark that are broadcast at once (16 bytes each, their words besides).
-BROADCAST_WINDOWS = 1_000_000
+#: Windows of a benchmark that are broadcast at once: about 0.5 KB each with their words.
+BROADCAST_WINDOWS = 200_000
 
 
 class Windows:
@@ -72,7 +73,7 @@ class Windows:
 
 
 def _groups(benchmark: DataFrame, width: int, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in groups of at most limit words or one item, in the order of their ids."""
+    """The items in groups of at most limit windows (counted high) or one item, in the order of their ids."""
     group, words = [], 0
     for r in benchmark.toLocalIterator():
         n = len(r["text"]) // 2 + 1
@@ -94,42 +95,54 @@ def scan(
     width: int = WIDTH,
     limit: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """docs with n_words, n_hit, items (ids as strings, sorted) and kept_text (words hit, and what stands between two of them, cut out).
-
-    The benchmark comes to the driver group by group; each group is broadcast by itself, so that
-    neither the driver nor an executor holds more than ``limit`` windows of words in one object.
-    """
+    """docs with n_words, n_hit, items (ids as strings, sorted) and kept_text (words hit, and what stands between two of them, cut out)."""
     spark = docs.sparkSession
     rows = pick(benchmark, item_id=item_id, text=item_text).where("text is not null").select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text")
-    sent = [spark.sparkContext.broadcast(Windows(g, width)) for g in _groups(rows, width, limit)]
+    words, found = free(docs, "hit_words"), free(docs, "hit_items")
+    groups = _groups(rows, width, limit)
+    group, now = next(groups, []), docs
+    while (after := next(groups, None)) is not None:
+        sent = spark.sparkContext.broadcast(Windows(group, width))
+        now = written(_pass(now, text, sent, words, found), "words-hit")
+        sent.unpersist()
+        group = after
+    hit = _pass(now, text, spark.sparkContext.broadcast(Windows(group, width)), words, found)
     names = [free(docs, n) for n in ("n_words", "n_hit", "items", "kept_text")]
     schema = T.StructType([*docs.schema, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.ArrayType(T.StringType())), T.StructField(names[3], T.StringType())])
+    return hit.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{words}.n").alias(names[0]), F.size(f"{words}.hit").cast("long").alias(names[1]), F.array_sort(F.array_distinct(found)).alias(names[2]), F.coalesce(f"{words}.kept", F.col(f"`{text}`")).alias(names[3])).to(schema)
+
+
+def _pass(docs: DataFrame, text: str, sent, words: str, found: str) -> DataFrame:
+    """docs with words (their number, those hit by any group so far, and what is left of a text with hits) and items found."""
+    again = words in docs.columns
+    first = [f for f in docs.schema if f.name not in (words, found)]
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("kept", T.StringType())])
+    schema = T.StructType([*first, T.StructField(words, kind), T.StructField(found, T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            buf, offs = X.flat(column)
-            n_words, n_hit = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
-            items: list[list[str]] = [[] for _ in range(len(column))]
-            cut: dict[int, str] = {}
+            at = batch.schema.get_field_index
+            buf, offs = X.flat(batch.column(at(text)))
+            counts = np.zeros(batch.num_rows, np.int64)
+            hits: list[np.ndarray | list[int]] = [x["hit"] for x in batch.column(at(words)).to_pylist()] if again else [[] for _ in range(batch.num_rows)]
+            items = batch.column(at(found)).to_pylist() if again else [[] for _ in range(batch.num_rows)]
+            kept: list[str | None] = [None] * batch.num_rows
             for a, b in X.pieces(offs):
                 low, o = X.LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]
                 starts, ends, owner = X.spans(low, o, X.ALNUM)
-                n_words[a:b] = np.bincount(owner, minlength=b - a)
-                hashes = X.span_hashes(X.prefix_sums(low), starts, ends)
-                hit = np.zeros(len(starts), dtype=bool)
-                for w in sent:
-                    more, pairs = w.value.hits(low, hashes, starts, ends, owner)
-                    hit |= more
-                    for doc, item in pairs:
-                        items[a + doc].append(w.value.items[item])
-                if hit.any():
-                    n_hit[a:b] = np.bincount(owner[hit], minlength=b - a)
-                    for doc in np.flatnonzero(n_hit[a:b]).tolist():
-                        own = owner == doc
-                        cut[a + doc] = _without(buf[offs[a + doc] : offs[a + doc + 1]].tobytes(), starts[own] - o[doc], ends[own] - o[doc], hit[own])
-            kept = column if not cut else pa.array([cut.get(i, s) for i, s in enumerate(column.to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), kept.cast(pa.string())], names=schema.names)
+                counts[a:b] = np.bincount(owner, minlength=b - a)
+                begin = np.searchsorted(owner, np.arange(b - a + 1))
+                hit, pairs = sent.value.hits(low, X.span_hashes(X.prefix_sums(low), starts, ends), starts, ends, owner)
+                for doc in range(b - a) if again else ():
+                    hit[begin[doc] + np.array(hits[a + doc], dtype=np.int64)] = True
+                for doc, item in pairs:
+                    items[a + doc].append(sent.value.items[item])
+                for doc in np.unique(owner[hit]).tolist():
+                    s = slice(begin[doc], begin[doc + 1])
+                    hits[a + doc] = np.flatnonzero(hit[s]).tolist()
+                    kept[a + doc] = _without(buf[offs[a + doc] : offs[a + doc + 1]].tobytes(), starts[s] - o[doc], ends[s] - o[doc], hit[s])
+            structs = pa.StructArray.from_arrays([pa.array(counts), pa.array(hits, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=["n", "hit", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(f.name)) for f in first), structs, pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -143,6 +156,18 @@ def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray)
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def items_digest(items: list[str]) -> str:
-    """Hex SHA-256 of ids, joined by commas."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+_LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Counts and items' digest over the tables documents and benchmark, for DuckDB; windows are compared by their words.
+SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_LOW} AS ws FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {_LOW} AS ws FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item, ws, least({WIDTH}, len(ws)) AS k FROM items WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item, k, array_to_string(ws[i + 1 : i + k], ' ') AS win FROM (SELECT item, k, ws, unnest(range(len(ws) - k + 1)) AS i FROM sized)),
+dw AS (SELECT r, k, i, array_to_string(ws[i + 1 : i + k], ' ') AS win FROM (SELECT r, k, ws, unnest(range(greatest(len(ws) - k + 1, 0))) AS i FROM w, (SELECT DISTINCT k FROM iw))),
+hits AS (SELECT r, i, k, item FROM dw JOIN iw USING (k, win)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""

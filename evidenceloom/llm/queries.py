@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.SQL, "op7_warc": warc.SQL}
+    return {"op4_line_dedup": linededup.SQL, "op5_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL}

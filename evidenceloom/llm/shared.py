@@ -1,45 +1,18 @@
-"""The folder that driver and executors share, and files in it.
+"""Files in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names it. Only where that is unset and Spark runs in one process (tests, a
-laptop) is a temporary folder made instead. Tasks write under a name of their own and rename when
-they are done, so that a task that runs again, or twice at once, leaves whole files only; a manifest
-that Spark writes says which of them count.
+Tasks write under a name of their own and rename when they are done, so that a task that runs again, or
+twice at once, leaves whole files only; a manifest that Spark writes says which of them count.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
 
+from evidenceloom.sources.scratch import folder, scratch, written
 
-def folder(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    set_ = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_:
-        return set_.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="loom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing, folder's URI below the shared one."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a Parquet table in the shared folder: its lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["AtomicFile", "folder", "opened", "scratch", "written"]
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:

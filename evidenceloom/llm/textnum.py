@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 U = np.uint64
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -41,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i up to n at least."""
-    size = 1 << 21
+    size = 1 << 19
     while size < n:
         size *= 2
     return _powers(size)
@@ -78,8 +78,9 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(offs: np.ndarray, limit: int = PIECE):
-    """Ranges (i, j) of values that hold at most limit bytes, or one value."""
+def pieces(offs: np.ndarray, limit: int | None = None):
+    """Ranges (i, j) of values that hold at most limit (PIECE) bytes, or one value."""
+    limit = limit or PIECE
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)

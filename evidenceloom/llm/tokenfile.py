@@ -38,6 +38,8 @@ from .shared import AtomicFile, opened, scratch, written
 SEQ_LEN, BATCH = 2048, 64
 _ENDS = X._table(b" \n")
 _SIGN, _WORD = X._table(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), X._table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B)]))
+#: Bytes of text that are tokenised at once.
+TEXT = 4 << 20
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 700_000
 
@@ -183,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str =
 def _add(out: _Writer, batch: pa.RecordBatch, encode: WordEncoder, end_id: int) -> None:
     buf, offs = X.flat(batch.column(1))
     doc_ids = batch.column(0).to_pylist()
-    for a, b in X.pieces(offs, 4 * X.PIECE):
+    for a, b in X.pieces(offs, TEXT):
         ids, o = encode(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         out.add(doc_ids[a:b], np.insert(ids, o[1:], end_id), o + np.arange(b - a + 1))
 
