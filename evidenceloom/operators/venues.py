@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenceloom.functions.geo import SAME_PLACE_M, distance_m
@@ -17,8 +17,8 @@ def resolve(names: DataFrame, venues: DataFrame) -> DataFrame:
 
     names: name, lat, lon. venues: venue_id, name, aliases, lat, lon. A generic place has no venue. An exact name or alias wins (smallest id).
     Else the best venue by trigrams of words: symmetric, or one-sided if the shorter name is distinctive; refused where both places
-    are known and further apart than 300 m. Candidates share a trigram of a word, found by an equi-join on trigrams that fewer than a
-    tenth of the venues have, or all of them if there are none such. A new name's venue is itself.
+    are known and further apart than 300 m. Both scores need 0.55 of the smaller name's trigrams in common, so one of its 45 % rarest must be: candidates come
+    from equi-joins of each side's rarest trigrams with all of the other's, and common trigrams meet nobody. A new name's venue is itself.
     """
     wanted = names.select(collapse(F.col("name")).alias("name"), "lat", "lon").where("name != ''").groupBy("name").agg(F.min_by(F.struct("lat", "lon"), F.struct(F.col("lat").isNull(), "lat", "lon")).alias("p")).select("name", "p.lat", "p.lon", F.lower("name").alias("low"))
     known = venues.select("venue_id", F.col("name").alias("v_name"), "aliases", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"))
@@ -26,9 +26,11 @@ def resolve(names: DataFrame, venues: DataFrame) -> DataFrame:
     named = wanted.join(called, "low", "left").withColumn("generic", is_generic_location(F.col("name")))
     open_ = named.where("exact is null and not generic").withColumn("grams", word_trigrams(F.col("name")))
     grams = known.withColumn("v_grams", word_trigrams(F.col("v_name")))
-    shared = open_.select("name", F.explode("grams").alias("g")).join(grams.select("venue_id", F.explode("v_grams").alias("g")), "g").groupBy("name", "venue_id").agg(F.count("*").alias("common"))
-    # similarity of 0.55 needs over half of the smaller name's trigrams in common
-    pairs = shared.join(open_, "name").join(grams, "venue_id").where(F.col("common") >= THRESHOLD * F.least(F.size("grams"), F.size("v_grams")))
+    theirs = grams.select("venue_id", F.explode("v_grams").alias("g"))
+    ours = open_.select("name", F.explode("grams").alias("g"))
+    often = theirs.groupBy("g").agg(F.count("*").alias("df"))
+    both = _rarest(ours, "name", often).join(theirs, "g").select("name", "venue_id").union(ours.join(_rarest(theirs, "venue_id", often), "g").select("name", "venue_id")).distinct()
+    pairs = both.join(open_, "name").join(grams, "venue_id").where(F.size(F.array_intersect("grams", "v_grams")) >= THRESHOLD * F.least(F.size("grams"), F.size("v_grams")))
     shorter = F.when(F.length("name") <= F.length("v_name"), F.col("name")).otherwise(F.col("v_name"))
     score = F.greatest(jaccard(F.col("grams"), F.col("v_grams")), F.when(is_distinctive(shorter), containment(F.col("grams"), F.col("v_grams"))).otherwise(0.0))
     far = F.coalesce(distance_m(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon")) > SAME_PLACE_M, F.lit(False))
@@ -38,6 +40,13 @@ def resolve(names: DataFrame, venues: DataFrame) -> DataFrame:
     return out.select("name", F.when(~F.col("generic"), F.coalesce("exact", "fuzzy")).alias("venue_id"), how.alias("how"))
 
 
+def _rarest(rows: DataFrame, key: str, often: DataFrame) -> DataFrame:
+    """Of each key's trigrams the rarest, so many that the rest is less than what similar names have in common."""
+    w = Window.partitionBy(key)
+    counted = rows.join(often, "g", "left").withColumns({"n": F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "g")), "size": F.count("*").over(w)})
+    return counted.where(F.col("n") <= F.floor((1 - THRESHOLD) * F.col("size")) + 1).select(key, "g")
+
+
 def reconcile(pairs: DataFrame) -> DataFrame:
     """Proposals from merges across venues (name_a, name_b, lat_a, ...): an alias within 300 m, else a note for review."""
     near = distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= SAME_PLACE_M

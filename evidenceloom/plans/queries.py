@@ -210,13 +210,13 @@ def field_completeness(spark, sf):
     return found.withColumns({"has_lat": r6("has_lat"), "has_c_name": r6("has_c_name")})
 
 
-_DAYS = f"d AS (SELECT {_VIENNA.format('ts')}::DATE AS day, count(*) AS n FROM events WHERE user_id % 5 < 2 GROUP BY 1)"
+_DAYS = f"d AS (SELECT {_VIENNA.format('ts')}::DATE AS day, count(*) AS n FROM events GROUP BY 1)"
 
 
-@query(f"""WITH {_DAYS}, m AS (SELECT isodow(day) - 1 AS w, median(n) AS med FROM d GROUP BY 1) SELECT day::VARCHAR AS day, n, med::DOUBLE AS median FROM d JOIN m ON isodow(day) - 1 = w WHERE med >= 4 AND n < 0.9 * med""")
+@query(f"""WITH {_DAYS}, m AS (SELECT isodow(day) - 1 AS w, median(n) AS med FROM d GROUP BY 1) SELECT day::VARCHAR AS day, n, med::DOUBLE AS median FROM d JOIN m ON isodow(day) - 1 = w WHERE med >= 4 AND n < 0.98 * med""")
 def day_curve_anomaly(spark, sf):
-    days = control.local_counts(A.crawl_log(spark, sf).where("source_id % 5 < 2"), "ts")
-    return control.anomalies(days, factor=0.9).select(s("day"), "n", F.col("median").cast("double").alias("median"))
+    days = control.local_counts(A.crawl_log(spark, sf), "ts")
+    return control.anomalies(days, factor=0.98).select(s("day"), "n", F.col("median").cast("double").alias("median"))
 
 
 @query("SELECT c_custkey, 60 * power(5, c_custkey % 3)::DOUBLE AS delay_s FROM customer")
@@ -232,10 +232,10 @@ def parked_jobs(spark, sf):
     return A.crawl_log(spark, sf).select("event_id", until.cast("string").alias("until"))
 
 
-@query(f"""WITH {A.SOURCE_SQL}, c AS (SELECT l_suppkey AS source_id, avg(CASE WHEN l_returnflag <> 'R' THEN 1.0::DOUBLE ELSE 0 END) AS a, count(*) FILTER (l_returnflag = 'R') AS m FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY 1)
+@query(f"""WITH {A.SOURCE_SQL}, c AS (SELECT l_suppkey AS source_id, avg(CASE WHEN l_returnflag <> 'R' THEN 1.0::DOUBLE ELSE 0 END) AS a, count(*) FILTER (l_returnflag = 'R') AS m FROM lineitem GROUP BY 1)
 SELECT source_id, round(CASE WHEN a IS NULL THEN trust ELSE 0.9 * trust + 0.1 * a END, 6) AS trust, coalesce(m, 0) >= 3 AS drift FROM source LEFT JOIN c USING (source_id)""")
 def qa_trust_feedback(spark, sf):
-    checks = A.table(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("source_id"), (F.col("l_returnflag") != "R").alias("found"))
+    checks = A.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.col("l_returnflag") != "R").alias("found"))
     return control.trust_feedback(A.sources(spark, sf), checks).withColumn("trust", r6("trust"))
 
 
@@ -291,14 +291,14 @@ def geo_bbox(spark, sf):
     return A.places(spark, sf).where(geo.in_box(F.col("lat"), F.col("lon"), 48.2, 14.1, 48.3, 14.4)).select("c_custkey")
 
 
-_WORDS = "w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')[1:12]) AS words FROM documents)"
+_WORDS = "w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS words FROM documents)"
 
 
-@query(f"WITH {_WORDS} SELECT doc_id FROM w WHERE list_has_any(words, ['the', 'que', 'der']) AND NOT list_has_any(words, ['and', 'von'])")
+@query(f"WITH {_WORDS} SELECT doc_id FROM w WHERE list_has_any(words, ['the', 'que', 'der']) AND NOT list_has_any(words, ['was', 'von'])")
 def category_overlap(spark, sf):
-    d = A.table(spark, sf, "documents").select("doc_id", F.slice(F.split(F.lower("text"), " "), 1, 12).alias("words"))
+    d = A.table(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("words"))
     has = lambda *x: F.arrays_overlap("words", F.array(*map(F.lit, x)))
-    return d.where(has("the", "que", "der") & ~F.coalesce(has("and", "von"), F.lit(False))).select("doc_id")
+    return d.where(has("the", "que", "der") & ~F.coalesce(has("was", "von"), F.lit(False))).select("doc_id")
 
 
 @query("SELECT c_custkey FROM customer c WHERE NOT coalesce(c_name ILIKE '%7%', false) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority ILIKE '%urgent%')")
@@ -432,7 +432,7 @@ def _tri(x: str) -> str:
     return f"list_distinct(list_transform(range(1, length('  ' || {x} || ' ') - 1), lambda i: substring('  ' || {x} || ' ', i, 3)))"
 
 
-_QUERY = ["than", "eron", "zzzqqq"]
+_QUERY = ["thanhaeron", "queleau", "zzzqqqxx"]
 
 
 def _lexical_sql() -> str:
@@ -441,12 +441,13 @@ def _lexical_sql() -> str:
         tri = _tri("w")
         own = _tri(f"'{t}'")
         tail = f"instr(reverse(w), '{t[::-1]}')"
-        sim.append(f"max(CASE WHEN w = '{t}' THEN 1.0::DOUBLE WHEN {tail} BETWEEN 1 AND 4 THEN 0.75 ELSE len(list_intersect({own}, {tri})) / len(list_distinct(list_concat({own}, {tri})))::DOUBLE END) AS s{i}")
-    n = len(_QUERY)
+        sim.append(f"CASE WHEN w = '{t}' THEN 1.0::DOUBLE WHEN {tail} BETWEEN 1 AND 4 THEN 0.75 ELSE len(list_intersect({own}, {tri})) / len(list_distinct(list_concat({own}, {tri})))::DOUBLE END AS s{i}")
+    n, sims = len(_QUERY), ", ".join(sim)
     weights = ", ".join(f"CASE WHEN d{i} > 0 THEN ln((n + 1) / (d{i} + 1)) + 1 ELSE 0 END AS w{i}" for i in range(n))
     live = " + ".join(f"(d{i} > 0)::INT" for i in range(n))
-    return f"""WITH h AS (SELECT doc_id, unnest({_TOK}) AS w FROM (SELECT doc_id, substring(text, 1, 80) AS text FROM documents)),
-si AS (SELECT doc_id, {", ".join(sim)} FROM h GROUP BY 1), pool AS (SELECT count(*) AS n FROM documents),
+    return f"""WITH h AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents),
+v AS (SELECT w, {sims} FROM (SELECT DISTINCT w FROM h)),
+si AS (SELECT doc_id, {", ".join(f"max(s{i}) AS s{i}" for i in range(n))} FROM h JOIN v USING (w) GROUP BY 1), pool AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT n, {", ".join(f"(SELECT count(*) FROM si WHERE s{i} >= 0.45) AS d{i}" for i in range(n))} FROM pool), wt AS (SELECT *, {weights}, {live} AS live FROM df),
 sc AS (SELECT doc_id, ({" + ".join(f"w{i} * s{i}" for i in range(n))}) / ({" + ".join(f"w{i}" for i in range(n))}) AS score FROM si, wt WHERE live * 2 >= {n} AND ({" OR ".join(f"(s{i} >= 0.45 AND d{i} > 0 AND w{i} >= 0.6 * greatest({', '.join(f'w{j}' for j in range(n))}))" for i in range(n))}))
 SELECT doc_id, round(score, 6) AS score FROM sc WHERE score >= 0.5 * (SELECT max(score) FROM sc)"""
@@ -454,7 +455,7 @@ SELECT doc_id, round(score, 6) AS score FROM sc WHERE score >= 0.5 * (SELECT max
 
 @query(_lexical_sql())
 def idf_ranked_search(spark, sf):
-    d = A.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("text"))
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
     return search.lexical(d, text.haystack(F.col("text")), "doc_id", _QUERY).withColumn("score", r6("score"))
 
 
@@ -531,12 +532,12 @@ def merge_components(spark, sf):
     return components.components(_similar(spark, sf).where("ts >= 0.6").select("a", "b"))
 
 
-@query(f"""WITH {A.TITLE_SQL}, h AS (SELECT doc_id AS id, {_norm_sql("title")} AS w, DATE '2026-01-01' + (doc_id % 30)::INT AS day FROM title), k AS (SELECT {_norm_sql("substring(text, 1, 60)")} AS w, DATE '2026-01-01' + (item_id % 30)::INT AS day FROM benchmark)
+@query(f"""WITH {A.TITLE_SQL}, h AS (SELECT doc_id AS id, {_norm_sql("title")} AS w, DATE '2026-01-01' + (doc_id % 30)::INT AS day FROM title), k AS (SELECT {_norm_sql("text")} AS w, DATE '2026-01-01' + (item_id % 30)::INT AS day FROM benchmark)
 SELECT id, bool_or(k.w IS NOT NULL AND len(list_intersect(h.w, k.w)) / greatest(least(len(list_distinct(h.w)), len(list_distinct(k.w))), 1)::DOUBLE >= 0.5) AS found FROM h LEFT JOIN k ON abs(date_diff('day', h.day, k.day)) <= 1 GROUP BY 1""")
 def recall_match(spark, sf):
     day = lambda k: F.date_add(F.lit("2026-01-01").cast("date"), (F.col(k) % 30).cast("int")).alias("day")
     hunted = A.titles(spark, sf).select(F.col("doc_id").alias("id"), day("doc_id"), "title")
-    canon = A.table(spark, sf, "benchmark").select(day("item_id"), F.substring("text", 1, 60).alias("title"))
+    canon = A.table(spark, sf, "benchmark").select(day("item_id"), F.col("text").alias("title"))
     return search.recalled(hunted, canon)
 
 
@@ -676,8 +677,10 @@ def sigmoid_grid_fit(spark, sf):
 def venue_resolution(spark, sf):
     from evidenceloom.operators import venues
 
-    known = A.places(spark, sf).where("c_custkey % 20 = 1").select(F.col("c_custkey").alias("venue_id"), F.concat(F.lit("Hall of "), "c_name").alias("name"), F.array(F.concat(F.lit("House "), "c_custkey")).alias("aliases"), "lat", "lon")
-    names = A.places(spark, sf).where("c_custkey % 10 = 1").select(F.when(F.col("c_custkey") % 30 == 1, F.concat(F.lit("house "), "c_custkey")).otherwise(F.concat(F.lit("Hall "), "c_name")).alias("name"), "lat", "lon")
+    parts = A.table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    none = F.lit(None).cast("double")
+    known = parts.select(F.col("k").alias("venue_id"), F.concat("p_name", F.lit(" hall")).alias("name"), F.array(F.concat(F.lit("house "), "k")).alias("aliases"), none.alias("lat"), none.alias("lon"))
+    names = A.table(spark, sf, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" Hall, "), "p_brand").alias("name"), none.alias("lat"), none.alias("lon"))
     return venues.resolve(names, known)
 
 
@@ -796,10 +799,10 @@ def unchanged_pages(spark, sf):
     return landing.changed(pages, known).select("page_id")
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS name, i FROM (SELECT doc_id, unnest(string_split(substring(text, 1, 200), '.')) AS x, unnest(range(len(string_split(substring(text, 1, 200), '.')))) AS i FROM documents) WHERE NOT regexp_matches(x, '[()\n]'))
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS name, i FROM (SELECT doc_id, unnest(string_split(text, '.')) AS x, unnest(range(len(string_split(text, '.')))) AS i FROM documents) WHERE NOT regexp_matches(x, '[()\n]'))
 SELECT doc_id, name, count(*) AS n FROM t WHERE name <> '' AND length(name) <= 60 AND len(string_split(name, ' ')) <= 3 GROUP BY 1, 2""".replace("\\", "\\"))
 def tag_names(spark, sf):
-    d = A.table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 200), r"\.")).alias("x"))
+    d = A.table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.col("text"), r"\.")).alias("x"))
     return d.select("doc_id", text.clean_tag(F.col("x")).alias("name")).where("name is not null").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 

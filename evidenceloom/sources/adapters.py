@@ -92,11 +92,12 @@ AUDIENCE_SQL = """audience AS (
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by their first line, 60 characters at most."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.get(F.split(F.col("text"), "\n"), F.lit(0)), 1, 60).alias("title"))
+    """Pages by their title and host."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("source"), title.alias("title"))
 
 
-TITLE_SQL = "title AS (SELECT doc_id, source, substring(string_split(text, chr(10))[1], 1, 60) AS title FROM documents)"
+TITLE_SQL = "title AS (SELECT page_id AS doc_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)"
 
 
 def vector_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
