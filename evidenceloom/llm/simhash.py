@@ -327,9 +327,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     signed = written(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(sign, schema), "signatures").where("k is not null")
     nodes = written(signed.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "text-nodes")
-    rows = nodes.select("k", "fp", "n", F.posexplode("bands").alias("band", "value"))
-    # three members stand for each group, so that one outlier among them does not hide the others' links
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("k").alias("r0"), F.max("k").alias("r1"), F.min_by("k", F.xxhash64("k")).alias("r2")).where("c > 1").drop("c")
+    rows = nodes.select("k", F.posexplode("bands").alias("band", "value"))
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     members = written(rows.join(shared, ["band", "value"]), "band-members")
     wanted = written(members.select("k").distinct().join(nodes.select("k", "id", "fp"), "k"), "band-nodes")
     texts = docs.mapInArrow(mark, T.StructType([*docs.schema, T.StructField(key, T.BinaryType())]))
@@ -340,17 +339,30 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = chosen.select("k", "text").mapInArrow(_shingle_sets(width), "k binary, shingles array<long>")
     sets = written(found.groupBy("k").agg(F.first("shingles").alias("shingles")).join(nodes.select("k", "fp"), "k"), "shingle-sets")
 
-    stars = members.select(F.explode(F.array("r0", "r1", "r2")).alias("a"), F.col("k").alias("b"))
+    # private shingles, which no other candidate has: they count against every pair of their text
+    owners = sets.select(F.xxhash64("k").alias("o"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("o").alias("o")).where("c = 1")
+    private = owners.groupBy("o").agg(F.count("*").alias("r"))
+    size = sets.select("k", F.xxhash64("k").alias("o"), F.size("shingles").alias("n")).join(private, "o", "left").select("k", "n", F.coalesce("r", F.lit(0)).alias("r"))
+    placed = written(members.join(size, "k"), "band-places")
+    # the member with the fewest private shingles is what edited copies have in common; two others stand beside it
+    reps = placed.groupBy("band", "value").agg(F.min("k").alias("r0"), F.max("k").alias("r1"), F.min_by("k", F.struct("r", "k")).alias("r2"))
+    stars = placed.select("band", "value", "k").join(reps, ["band", "value"]).select(F.explode(F.array("r0", "r1", "r2")).alias("a"), F.col("k").alias("b"))
     edges = _verified(_ordered(stars), sets, similarity)
     parts = components(edges.select("a", "b"))
     label = lambda found: wanted.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", "k").alias("label"))
-    # groups in which several components are left: what their members are to each other across components
-    labelled = members.select("band", "value", "k").join(label(parts), "k")
-    open_ = labelled.groupBy("band", "value").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("band", "value")
-    rest = written(labelled.join(open_, ["band", "value"]), "open-groups")
-    other = rest.select("band", "value", F.col("k").alias("k2"), F.col("label").alias("label2"))
-    across = rest.join(other, ["band", "value"]).where("label < label2").select(F.col("k").alias("a"), F.col("k2").alias("b"))
-    more = _verified(_ordered(across).join(_ordered(stars), ["a", "b"], "left_anti"), sets, similarity)
+    # groups in which several components are left, without the members that are too unlike every member of another component to be worth a look
+    labelled = placed.join(label(parts), "k")
+    least = labelled.groupBy("band", "value", "label").agg(F.min("r").alias("r"))
+    first = least.groupBy("band", "value").agg(F.min(F.struct("r", "label")).alias("a"))
+    second = least.join(first, ["band", "value"]).where("label != a.label").groupBy("band", "value").agg(F.min("r").alias("m1"))
+    two = first.join(second, ["band", "value"]).select("band", "value", F.col("a.label").alias("l0"), F.col("a.r").alias("m0"), "m1")
+    open_ = labelled.join(two, ["band", "value"])
+    other_r = F.when(F.col("label") == F.col("l0"), F.col("m1")).otherwise(F.col("m0"))
+    able = lambda r, n: (1 - similarity) * n + 1e-9 >= similarity * r  # noqa: E731  J <= i / (i + r), i shingles in common and r private ones
+    rest = written(open_.where(able(F.col("r") + other_r, F.col("n") - F.col("r"))).select("band", "value", "k", "label", "n", "r"), "open-groups")
+    other = rest.select("band", "value", F.col("k").alias("k2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+    across = rest.join(other, ["band", "value"]).where((F.col("label") < F.col("label2")) & able(F.col("r") + F.col("r2"), F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))))
+    more = _verified(_ordered(across.select(F.col("k").alias("a"), F.col("k2").alias("b"))).join(_ordered(stars), ["a", "b"], "left_anti"), sets, similarity)
     of = label(components(edges.unionByName(more).select("a", "b")))
     ids = of.join(nodes.select("k", "id"), "k")
     smallest = ids.groupBy("label").agg(F.min("id").alias("component"))
