@@ -16,14 +16,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     a written table: lineage stays short and a lost executor costs one round.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    was = None
-    for _ in range(rounds):
+    state = _state(now)
+    for _ in range(rounds if state[0] else 0):
         now = written(_small(_large(now)), "links")
-        is_ = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if is_ == was:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        was = is_
-    raise RuntimeError(f"components not found in {rounds} rounds")
+        before, state = state, _state(now)
+        if state == before:
+            break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components not found in {rounds} rounds")
+    # now each node but the smallest hangs on the smallest of its component
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and sum of hashes of the links: the same only if no link changed."""
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from evidenceloom.operators import evidence, recurrence
 from evidenceloom.operators.blocking import candidate_pairs
 from evidenceloom.operators.components import components
 from evidenceloom.operators.venues import resolve
+from evidenceloom.plans import present
 from evidenceloom.plans.search import CATEGORIES
 from evidenceloom.sources.scratch import written
 
@@ -174,7 +175,10 @@ def occurrences(claims: DataFrame, holidays: DataFrame, rule_verdicts: DataFrame
 def events(claims: DataFrame) -> DataFrame:
     """A row for each event: merged fields with provenance, confidence, place; gates for private addresses, unknown categories and global platforms' padding."""
     weight = F.col("trust") * F.col("confidence")
-    fields = claims.select("event_id", "claim_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), (weight * (1 - 0.2 * (F.lit(f) == "url").cast("double") * (~F.col("url").rlike(r"^https?://[^/]+/.+")).cast("double"))).alias("weight")) for f in FIELDS))).alias("f")).select("event_id", "claim_id", "f.*")
+    # a bare domain says less than a link to the event's own page
+    of = lambda f: weight * F.when(present.deep_url(F.col("url")), 1.0).otherwise(0.8) if f == "url" else weight
+    said = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), of(f).alias("weight")) for f in FIELDS))
+    fields = claims.select("event_id", "claim_id", F.explode(said).alias("f")).select("event_id", "claim_id", "f.*")
     merged = evidence.merge_fields(fields, ["event_id"])
     wide = merged.groupBy("event_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("claim_id", "weight"))))).alias("field_provenance"))
     fused = evidence.noisy_or(claims, ["event_id"], "source_id", weight)

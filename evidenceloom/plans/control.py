@@ -108,7 +108,7 @@ def onboarding_rings(expected: Column) -> Column:
 
 
 def auc(scores: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by average ranks: one sort, no pairs."""
+    """Area under the ROC curve by average ranks: no pairs. One task orders the distinct scores, so give scores to a few digits."""
     by = scores.groupBy(score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
     # counts of each distinct score, then negatives below it
     below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)

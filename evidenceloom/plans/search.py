@@ -100,7 +100,7 @@ class Filters:
             raise ValueError("max_price is negative")
         if self.near and not (-90 <= self.near[0] <= 90 and -180 <= self.near[1] <= 180):
             raise ValueError("near is no place")
-        if self.from_ and self.to and dt.datetime.combine(self.to, dt.time.max) < self.from_.replace(tzinfo=None) if type(self.to) is dt.date else self.from_ and self.to and self.to < self.from_:
+        if self.from_ and self.to and self.until() < self.from_:
             raise ValueError("to is before from_")
         self.radius_m()
 
