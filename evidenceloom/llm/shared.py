@@ -1,7 +1,8 @@
 """Files in the folder that driver and executors share.
 
 Tasks write under a name of their own and rename when they are done, so that a task that runs again, or
-twice at once, leaves whole files only; a manifest that Spark writes says which of them count.
+twice at once, leaves whole files only; a manifest that Spark writes says which of them count. The folder is
+reached through pyarrow's file systems (local paths, HDFS, object stores).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class AtomicFile:
 
     def __exit__(self, kind, *rest):
         self.stream.close()
-        if kind:
-            self.system.delete_file(self.part)
+        if kind or self.system.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.system.delete_file(self.part)  # failed, or a task before this one made the same file
         else:
             self.system.move(self.part, self.path)

@@ -299,6 +299,18 @@ def _shingle_sets(width: int):
     return run
 
 
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (k, shingles, private): k, numbers of shingles and of private ones, and how many of the others fall in each of 64 ranges."""
+    for batch in batches:
+        sizes = [batch.column(i).value_lengths().to_numpy().astype(np.int64) for i in (1, 2)]
+        counts = []
+        for i, n in zip((1, 2), sizes, strict=True):
+            bucket = (batch.column(i).flatten().to_numpy().view(X.U) & X.U(63)).astype(np.int64) if int(n.sum()) else np.empty(0, np.int64)
+            counts.append(np.bincount(np.repeat(np.arange(len(n)), n) * 64 + bucket, minlength=64 * len(n)))
+        v = pa.FixedSizeListArray.from_arrays(pa.array((counts[0] - counts[1]).astype(np.int32)), 64).cast(pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes[0].astype(np.int32)), pa.array(sizes[1].astype(np.int32)), v], names=["k", "n", "r", "v"])
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with fingerprint and component_id, linked where the shingle sets' Jaccard similarity is at least so high.
 
@@ -341,8 +353,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     # private shingles, which no other candidate has: they count against every pair of their text
     owners = sets.select(F.xxhash64("k").alias("o"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("o").alias("o")).where("c = 1")
-    private = owners.groupBy("o").agg(F.count("*").alias("r"))
-    size = sets.select("k", F.xxhash64("k").alias("o"), F.size("shingles").alias("n")).join(private, "o", "left").select("k", "n", F.coalesce("r", F.lit(0)).alias("r"))
+    private = owners.groupBy("o").agg(F.collect_list("s").alias("private"))
+    own_sets = sets.select("k", F.xxhash64("k").alias("o"), "shingles").join(private, "o", "left").select("k", "shingles", F.coalesce("private", F.array().cast("array<long>")).alias("private"))
+    size = own_sets.mapInArrow(_histograms, "k binary, n int, r int, v array<int>")
     placed = written(members.join(size, "k"), "band-places")
     # the member with the fewest private shingles is what edited copies have in common; two others stand beside it
     reps = placed.groupBy("band", "value").agg(F.min("k").alias("r0"), F.max("k").alias("r1"), F.min_by("k", F.struct("r", "k")).alias("r2"))
@@ -352,16 +365,25 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     label = lambda found: wanted.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", "k").alias("label"))
     # groups in which several components are left, without the members that are too unlike every member of another component to be worth a look
     labelled = placed.join(label(parts), "k")
-    least = labelled.groupBy("band", "value", "label").agg(F.min("r").alias("r"))
-    first = least.groupBy("band", "value").agg(F.min(F.struct("r", "label")).alias("a"))
+    least = labelled.groupBy("band", "value", "label").agg(F.min("r").alias("r"), F.min("n").alias("n"))
+    first = least.groupBy("band", "value").agg(F.min(F.struct("r", "label")).alias("a"), F.min("n").alias("n0"))
     second = least.join(first, ["band", "value"]).where("label != a.label").groupBy("band", "value").agg(F.min("r").alias("m1"))
-    two = first.join(second, ["band", "value"]).select("band", "value", F.col("a.label").alias("l0"), F.col("a.r").alias("m0"), "m1")
+    two = first.join(second, ["band", "value"]).select("band", "value", F.col("a.label").alias("l0"), F.col("a.r").alias("m0"), "m1", "n0")
     open_ = labelled.join(two, ["band", "value"])
     other_r = F.when(F.col("label") == F.col("l0"), F.col("m1")).otherwise(F.col("m0"))
-    able = lambda r, n: (1 - similarity) * n + 1e-9 >= similarity * r  # noqa: E731  J <= i / (i + r), i shingles in common and r private ones
-    rest = written(open_.where(able(F.col("r") + other_r, F.col("n") - F.col("r"))).select("band", "value", "k", "label", "n", "r"), "open-groups")
-    other = rest.select("band", "value", F.col("k").alias("k2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-    across = rest.join(other, ["band", "value"]).where((F.col("label") < F.col("label2")) & able(F.col("r") + F.col("r2"), F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2"))))
+
+    def able(n, r, n2, r2, common):
+        """Whether two sets of these sizes and private shingles can be similar with at most so many in common: none of the private ones is."""
+        return ((1 + similarity) * common + 1e-9 >= similarity * (n + n2)) & ((1 - similarity) * common + 1e-9 >= similarity * (r + r2))
+
+    c = F.col
+    some = open_.where(able(c("n"), c("r"), c("n0"), other_r, c("n") - c("r")))
+    rest = written(some.select("band", "value", "k", "label", "n", "r", "v"), "open-groups")
+    other = rest.select("band", "value", c("k").alias("k2"), c("label").alias("label2"), c("n").alias("n2"), c("r").alias("r2"), c("v").alias("v2"))
+    # shingles that may be shared, by 64 ranges: no more are in common than the smaller number in each
+    common = F.aggregate(F.zip_with("v", "v2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    cheap = able(c("n"), c("r"), c("n2"), c("r2"), F.least(c("n") - c("r"), c("n2") - c("r2")))
+    across = rest.join(other, ["band", "value"]).where((c("label") < c("label2")) & cheap & able(c("n"), c("r"), c("n2"), c("r2"), common))
     more = _verified(_ordered(across.select(F.col("k").alias("a"), F.col("k2").alias("b"))).join(_ordered(stars), ["a", "b"], "left_anti"), sets, similarity)
     of = label(components(edges.unionByName(more).select("a", "b")))
     ids = of.join(nodes.select("k", "id"), "k")
