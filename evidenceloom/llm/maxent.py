@@ -149,16 +149,29 @@ def features(h: np.ndarray, k: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.stack([(X.mix(x + X.U(0x9E3779B9 * (i + 1))) % X.U(BUCKETS)).astype(np.int32) for i, x in enumerate(names)], axis=1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Each context's weights by class, less the largest one."""
     x = weights[rows[:, 0]]
     for i in range(1, rows.shape[1]):
         x += weights[rows[:, i]]
     x += bias
     x -= x.max(axis=1, keepdims=True)
+    return x
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = _sums(weights, bias, rows)
     x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
     return x
 
 
+def class_log(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """log P(class | context) of one class for each context."""
+    x = _sums(weights, bias, rows)
+    own = x[np.arange(len(k)), k]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def _block(name: str, stats: Statistics):
     """A block's rows, and of its tokens hash, count, class, row."""
     table = B.load(name)
@@ -179,12 +192,14 @@ class Trainer:
     def learn(self, rows: np.ndarray, k: np.ndarray) -> None:
         for a in range(0, len(k), BATCH):
             r, y = rows[a : a + BATCH], k[a : a + BATCH]
-            g = -np.exp(log_softmax(self.weights, self.bias, r))
+            g = _sums(self.weights, self.bias, r)
+            np.exp(g, out=g)
+            g /= -g.sum(axis=1, keepdims=True)
             g[np.arange(len(y)), y] += 1
-            flat = r.ravel()
+            flat = r.ravel().astype(np.uint16)  # 16 bits are sorted by radix
             order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-            at = flat[order[first]]
+            first = np.flatnonzero(np.concatenate(([True], (s := flat[order])[1:] != s[:-1])))
+            at = flat[order[first]].astype(np.int64)
             total = np.add.reduceat(g[order // FEATURES], first, axis=0)
             self.squares[at] += total * total
             self.weights[at] += RATE * total / np.sqrt(self.squares[at])
@@ -260,8 +275,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 rows = features(h, k, owner)
                 for a in range(0, len(h), BATCH):
                     s = slice(a, a + BATCH)
-                    own = log_softmax(weights.value, stats.bias, rows[s])
-                    p[s] += own[np.arange(len(own)), k[s]] / np.log(10)
+                    p[s] += class_log(weights.value, stats.bias, rows[s], k[s]) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
                         table.column("doc_id").combine_chunks(),
