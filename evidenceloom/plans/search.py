@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenceloom.functions import geo, text, timeutil
-from evidenceloom.functions.similarity import containment, jaccard, token_similarity, trigrams
+from evidenceloom.functions.similarity import containment, jaccard, near_token, trigrams
 
 UNKNOWN, DEFAULT_CERTAINTY, SECONDARY_WEIGHT = 0.45, 0.5, 0.1
 # Fixed values
@@ -272,7 +272,8 @@ def lexical(rows: DataFrame, words: Column, row_id: str, tokens: list[str], hit:
     if not tokens:
         return rows.select(row_id, F.lit(0.0).alias("score")).limit(0)
     has = rows.select(row_id, F.explode(F.array_distinct(words)).alias("_w"))
-    near = has.select("_w").distinct().select("_w", *(token_similarity(F.lit(t), F.col("_w")).alias(f"s{i}") for i, t in enumerate(tokens)))
+    counted = has.select("_w").distinct().withColumn("_g", F.size(trigrams(F.col("_w"))))
+    near = counted.select("_w", *(near_token(t, F.col("_w"), F.col("_g")).alias(f"s{i}") for i, t in enumerate(tokens)))
     some = F.greatest(*(F.col(f"s{i}") for i in range(len(tokens))), F.lit(0.0)) > 0
     found = has.join(near.where(some), "_w").groupBy(row_id).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(len(tokens))))
     sims = rows.select(row_id).join(found, row_id, "left").fillna(0.0, [f"s{i}" for i in range(len(tokens))])
