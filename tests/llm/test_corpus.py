@@ -273,6 +273,18 @@ def test_similar_leaves_no_link_in_groups_without_a_common_centre(spark):
     assert got == dict(zip([i for i, _ in rows], near_groups(rows), strict=True))
 
 
+def test_similar_with_a_much_repeated_passage(spark):
+    """A copy that repeats one inline passage has nearly the same set of shingles, however often it repeats it."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(20)]
+        rows += [(2 * i, " ".join(w[:500] + passage + w[500:])), (2 * i + 1, " ".join(w[:500] + passage * 30 + w[500:]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows} == dict(zip([i for i, _ in rows], near_groups(rows), strict=True))
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
     import public_tokenizers
