@@ -4,8 +4,8 @@ log P(text) = sum over tokens of log P(class | context) + log P(token | class).
 ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. The end and each of the ``TOP`` most frequent
 words are classes of their own; other words belong to one of the remaining classes by their last two
 bytes, so that unseen words have a class too. P(class | context) is a softmax over ``CLASSES`` whose weights
-belong to hashed features of the context (``BUCKETS`` rows): the last word, the word before it (a skip), the
-last three classes (with the token a 4-gram of classes), and the second and fourth last ones (skips).
+belong to hashed features of the context (``BUCKETS`` rows): the last word, the last two, the word before
+the last (a skip), the last three classes (with the token a 4-gram of classes), and the second and fourth last ones (skips).
 P(token | class) is the softmax of the token's own weight, which has the closed form
 (c + 1/2) / (N_k + (V_k + 1) / 2); the extra half is for all unseen tokens of the class. Both factors
 sum to one, so this is a distribution over all texts.
@@ -36,8 +36,8 @@ from .shared import written
 
 CLASSES, TOP = 40, 15
 BUCKETS, ROUNDS = 1 << 15, 3
-BATCH, RATE = 8192, 0.2
-FEATURES = 4
+BATCH, RATE = 4096, 0.15
+FEATURES = 5
 END, START = X.U(0x1D8E4E27C47D124F), X.U(0xEB382D69B1F1E2A5)
 _ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("k", "u1")])
 _SUFFIX = CLASSES - TOP - 1
@@ -145,7 +145,7 @@ def features(h: np.ndarray, k: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
     w1, w2 = before(h, 1, START), before(h, 2, START)
     c1, c2, c3, c4 = (before(k.astype(X.U), n, 255) for n in (1, 2, 3, 4))
-    names = (w1, w2 * X.U(3), c1 + c2 * X.U(256) + c3 * X.U(65536), c2 + c4 * X.U(256))
+    names = (w1, X.mix(w1 + X.U(1)) ^ w2, w2 * X.U(3), c1 + c2 * X.U(256) + c3 * X.U(65536), c2 + c4 * X.U(256))
     return np.stack([(X.mix(x + X.U(0x9E3779B9 * (i + 1))) % X.U(BUCKETS)).astype(np.int32) for i, x in enumerate(names)], axis=1)
 
 

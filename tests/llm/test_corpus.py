@@ -145,6 +145,14 @@ def test_maxent_factors_sum_to_one():
     assert math.isclose((10 ** stats.in_class(known, np.full(3, 30))).sum(), 1)
 
 
+def test_maxent_has_a_feature_of_the_last_two_words_together():
+    """Of four contexts made of two words each way, all of one class, one feature tells every one from the others."""
+    h = np.array([1, 2, 9, 1, 4, 9, 3, 2, 9, 3, 4, 9], X.U) * X.U(0x9E3779B97F4A7C15)
+    rows = maxent.features(h, np.full(12, 20, np.uint8), np.repeat(np.arange(4), 3))[2::3]
+    assert rows.shape == (4, maxent.FEATURES)
+    assert sorted(len(set(rows[:, i].tolist())) for i in range(maxent.FEATURES)) == [1, 1, 2, 2, 4]
+
+
 # ---- archives
 
 
