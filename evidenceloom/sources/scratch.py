@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,4 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df by way of a Parquet table in the shared folder: its lineage ends there."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more; what can't be reached from here stays."""
+    for table in tables:
+        try:
+            system, path = fs.FileSystem.from_uri(table.scratch_path)
+            system.delete_dir(path)
+        except (OSError, ValueError):
+            continue
