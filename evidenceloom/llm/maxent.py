@@ -1,23 +1,37 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-log P(text) = sum over tokens of log P(class | context) + log P(token | class). Tokens are the words
-``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. The end and each of the ``TOP`` most frequent
-words are classes of their own; other words belong to one of the remaining classes by their last two
-bytes, so that unseen words have a class too. P(class | context) is a softmax over ``CLASSES`` whose weights
-belong to hashed features of the context (``BUCKETS`` rows): the last word, the last two, the word before
-the last (a skip), the last three classes (with the token a 4-gram of classes), and the second and fourth last ones (skips).
-P(token | class) is the softmax of the token's own weight, which has the closed form
-(c + 1/2) / (N_k + (V_k + 1) / 2); the extra half is for all unseen tokens of the class. Both factors
-sum to one, so this is a distribution over all texts.
-
-Training: word counts of all training documents meet by ranges of hashes (see blocks). Then ``ROUNDS``
-rounds, each over its own share of the blocks, all of which are used: every task begins with the
-round's weights, takes AdaGrad steps over its blocks, and sends its changes by ranges of rows; these
-are averaged by how many tokens touched a row, in tasks, and the weights (a fixed
-5 MB, whatever the input) are broadcast for the next round. Scoring takes blocks in batches of numpy arrays.
+Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end. P(token | context) is a product
+along a path of at most three softmaxes of ``WIDTH`` outcomes, all trained alike:
+
+1. the end, the five most frequent words, or one of ten groups of words by their last two bytes;
+2. in a group, its six next most frequent words, or one of ten cells by the words' first two bytes;
+3. in a cell, its fifteen next most frequent words, or the rest.
+
+Each softmax has weights of hashed context features (``ROWS`` rows a level): the last word, the last two together,
+the word before the last (a skip), the last three classes and the second and fourth last ones; below the first level
+fewer of them, hashed with the node. A word of a cell's rest then has the closed form (c + 1/2) / (N + (V + 1) / 2) over that rest,
+the extra half for all unseen tokens, which is what a softmax of the words' own weights has as its optimum.
+
+What grows with the corpus: exact counts of all words, and for each pair of last words that the training texts
+continue alike twice, the word they continue it with most often (the expected word; of equally frequent ones the
+one of the smallest hash). P(token) = p [token is expected] + (1 - p) P(token | path), where p, by how often
+and how surely that pair was continued so and whether the last expectation held, is the share of training tokens, each
+held against the counts without itself. Both parts sum to one, so this is a distribution over all texts.
+
+Reproducible: rows go to blocks by the hash of id and text, in the order of that hash, and how many blocks and
+ranges there are follows from the bytes of all texts; so blocks, rounds (block modulo ``ROUNDS``), AdaGrad steps within a
+block and the order in which changes are added are functions of the table alone, however it is partitioned.
+What differs between runs is rounding in the last digits at most.
+
+Training: ``ROUNDS`` rounds, each over its own share of the blocks. A block begins with the round's weights, takes
+AdaGrad steps and sends its changes by ranges of rows; these are averaged by how many tokens touched a row, in groups
+of ``FAN`` and again until one is left, and the weights (a fixed 6 MB) are broadcast for the next
+round. Scoring takes blocks in batches of numpy arrays. Words are cut and hashed once, and blocks
+hold word numbers.
 
 Defined results: null and empty texts are an end; null ids are training rows; repeated rows count each;
-an empty table gives an empty one; without any training row all probabilities are those of counts 0.
+an empty table gives an empty one; without any training row all probabilities are those of counts 0. A text may be
+of any length: it is cut at white space for hashing, and contexts go on over the cuts.
 """
 
 from __future__ import annotations
@@ -32,262 +46,583 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import textnum as X
 from .columns import pick
-from .shared import written
-
-CLASSES, TOP = 40, 15
-BUCKETS, ROUNDS = 1 << 15, 3
-BATCH, RATE = 4096, 0.15
-FEATURES = 5
+from .shared import removed, scratch, written
+
+WIDTH, ROWS, LEVELS, ROUNDS = 16, 1 << 15, 3, 3
+FREQUENT, GROUPS = (5, 6, 15), 10
+BATCH, RATE, SLICE = 4096, 0.07, 1 << 16
+#: Features of the context on each level.
+FEATURES = (5, 3, 2)
+#: Blocks at least, bytes of text of one, and bytes of text whose hashes make a range.
+LEAST, BLOCK, RANGE, FAN = 12, 8 << 20, 16 << 20, 64
+#: Most frequent words among which the tree's own words are found.
+CANDIDATES = 4096
 END, START = X.U(0x1D8E4E27C47D124F), X.U(0xEB382D69B1F1E2A5)
+_STEP = X.U(0x9E3779B97F4A7C15)
+_ONES = np.ones(WIDTH, np.float32)
 _ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("k", "u1")])
-_SUFFIX = CLASSES - TOP - 1
-
-
-def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, suffix class and row number of each token of a block, an end after each row's words."""
-    buf, offs = X.flat(table.column("text"))
+#: States of the expectation: 8 of how often, 4 of how surely, 3 of the one before.
+STATES = 96
+
+
+def _cells(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Group times ten and cell of words, by their last and first two bytes."""
+    two = ends - starts > 1
+    last = low[ends - 1].astype(X.U) * X.U(256) + np.where(two, low[ends - 2], 0).astype(X.U)
+    first = low[starts].astype(X.U) * X.U(256) + np.where(two, low[np.minimum(starts + 1, len(low) - 1)], 0).astype(X.U)
+    return (X.mix(last + X.U(7)) % X.U(GROUPS) * X.U(GROUPS) + X.mix(first + X.U(70_001)) % X.U(GROUPS)).astype(np.uint8)
+
+
+def _cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """offs, and more of them at white space in values longer than a piece."""
+    more = []
+    for i in np.flatnonzero(np.diff(offs) > X.PIECE).tolist():
+        at = int(offs[i])
+        while offs[i + 1] - at > X.PIECE:
+            blank = np.flatnonzero(X.SPACE[buf[at + X.PIECE : min(at + X.PIECE + (1 << 20), int(offs[i + 1]))]])
+            if not len(blank):  # a word that goes on for a million bytes: the rest is one piece
+                break
+            at += X.PIECE + int(blank[0])
+            more.append(at)
+    return np.sort(np.concatenate((offs, np.array(more, offs.dtype)))) if more else offs
+
+
+def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, cell and row number of each token of a column, an end after each row's words."""
+    buf, offs = X.flat(column)
+    cut = _cuts(buf, offs)
     out: list[list[np.ndarray]] = [[], [], []]
-    for a, b in X.pieces(offs):
-        low, o = X.LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]
+    for a, b in X.pieces(cut):
+        low, o = X.LOWER[buf[cut[a] : cut[b]]], cut[a : b + 1] - cut[a]
         starts, ends, owner = X.spans(low, o, X.NOT_SPACE)
-        h = X.span_hashes(X.prefix_sums(low), starts, ends)
-        last = low[ends - 1].astype(X.U) * X.U(256) + np.where(ends - starts > 1, low[ends - 2], 0).astype(X.U)
-        k = (1 + TOP + (X.mix(last + X.U(7)) % X.U(_SUFFIX))).astype(np.uint8)
-        at = np.cumsum(np.bincount(owner, minlength=b - a))
-        out[0].append(np.insert(h, at, END))
-        out[1].append(np.insert(k, at, 0))
-        out[2].append(np.insert(owner, at, np.arange(b - a)) + a)
-    return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (X.U, np.uint8, np.int64), strict=True))
-
-
-def _ask(parts: int):
-    def send(name: str) -> Iterator[tuple[int, bytes]]:
-        table = B.load(name)
-        h, k, owner = tokens(table)
-        training = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        entries = np.empty(len(known), _ENTRY)
-        entries["h"], entries["c"], entries["k"] = known, np.bincount(inverse, weights=training[owner], minlength=len(known)), k[first]
-        cut = B.cut_by_part(known, parts)
-        for p in range(parts):
-            if cut[p + 1] > cut[p]:
-                yield p, entries[cut[p] : cut[p + 1]].tobytes()
-
-    return send
-
-
-def _count(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
-    """Each block's counts in the order of its entries; besides, tokens and kinds of each class, and the most frequent words."""
+        out[0].append(X.span_hashes(X.prefix_sums(low), starts, ends))
+        out[1].append(_cells(low, starts, ends))
+        out[2].append(np.searchsorted(offs, cut[a + owner], side="right") - 1)
+    h, k, owner = (np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (X.U, np.uint8, np.int64), strict=True))
+    at = np.searchsorted(owner, np.arange(len(offs) - 1), side="right")
+    return np.insert(h, at, END), np.insert(k, at, 0), np.insert(owner, at, np.arange(len(offs) - 1))
+
+
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, where one of each stands, and each one's number."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    inverse = np.empty(len(h), np.uint32)
+    inverse[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return s[new], order[new], inverse
+
+
+def before(x: np.ndarray, owner: np.ndarray, n: int, none) -> np.ndarray:
+    """What stood n places before in the same row."""
+    out = np.full(len(x), none, x.dtype)
+    if len(x) > n:
+        same = owner[n:] == owner[:-n]
+        out[n:][same] = x[:-n][same]
+    return out
+
+
+def context_keys(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of the hash of the two words before each token, 16 free; and which tokens have two."""
+    w1, w2 = before(h, owner, 1, START), before(h, owner, 2, START)
+    return (X.mix(X.mix(w1 + X.U(11)) ^ w2) >> X.U(16)) << X.U(16), w2 != START
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """16 bits of a word's hash, to tell continuations of one context apart."""
+    return (h >> X.U(20)) & X.U(0xFFFF)
+
+
+# ---- blocks
+
+
+def _file(path: str, block: int) -> str:
+    return f"{path}/{block:012d}"
+
+
+def load(path: str, block: int):
+    """Rows' ids and held_out, tokens of each row, the block's words in order with their cells, and number of each token's word."""
+    table, words = B.load(_file(path, block)), B.load(_file(path, block) + ".words")
+    lists = table.column("tokens").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    return table.select(["doc_id", "held_out"]), n, words.column("h").to_numpy(), words.column("k").to_numpy(), lists.flatten().to_numpy()
+
+
+def _ask(h: np.ndarray, known: np.ndarray, k: np.ndarray, inverse: np.ndarray, training: np.ndarray, owner: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """By ranges: the words with their training counts; from ``parts`` on, training contexts with continuations and counts, and other contexts."""
+    entries = np.empty(len(known), _ENTRY)
+    entries["h"], entries["c"], entries["k"] = known, np.bincount(inverse, weights=training, minlength=len(known)), k
+    cut = B.cut_by_part(known, parts)
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, entries[cut[p] : cut[p + 1]].tobytes()
+    keys, has = context_keys(h, owner)
+    s = np.sort((keys | short(h))[has & training])
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+    pairs, counts = s[first], np.diff(np.append(first, len(s)))
+    once, often, other = pairs[counts == 1], pairs[counts > 1], np.sort(keys[has & ~training])
+    other = other[np.concatenate(([True], other[1:] != other[:-1]))] if len(other) else other
+    counts = counts[counts > 1].astype("<u4")
+    cuts = [B.cut_by_part(x, parts) for x in (once, often, other)]
+    for p in range(parts):
+        a, b, c = (x[p : p + 2].tolist() for x in cuts)
+        if a[0] < a[1] or b[0] < b[1] or c[0] < c[1]:
+            blob = np.array([a[1] - a[0], b[1] - b[0]], "<u4").tobytes() + counts[b[0] : b[1]].tobytes()
+            yield parts + p, blob + b"".join(_planes(x[i:j]) for x, (i, j) in zip((once, often, other), (a, b, c), strict=True))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers byte by byte, highest bytes first: these hardly change, and compress away."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplanes(blob: memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(X.U)
+
+
+def _count_words(blobs: list[bytes]) -> tuple[list[bytes], pa.Table]:
+    """Each block's counts in the order of its entries; sums by cell; the most frequent words."""
     each = [np.frombuffer(b, _ENTRY) for b in blobs]
     all_ = np.concatenate(each)
-    known, first, inverse = np.unique(all_["h"], return_index=True, return_inverse=True)
+    known, at, inverse = numbered(all_["h"])
     c = np.bincount(inverse, weights=all_["c"]).astype(np.int64)
-    k = all_["k"][first]
-    seen = c > 0
-    n_k, v_k = np.bincount(k, weights=c, minlength=CLASSES), np.bincount(k[seen], minlength=CLASSES)
-    words = np.flatnonzero(known != END)
-    top = words[np.lexsort((known[words], -c[words]))[:TOP]]
-    cut = np.cumsum([0, *map(len, each)])
-    replies = [c[inverse[a:b]].astype("<i8").tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    more = pa.table({"n": [n_k.astype(np.int64)], "v": [v_k.astype(np.int64)], "h": [known[top]], "c": [c[top]], "k": [k[top].astype(np.int64)]})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, more.schema) as w:
-        w.write_table(more)
-    return replies, sink.getvalue().to_pybytes()
-
-
-class Statistics:
-    """Sums over all training tokens: n, v; by class, n_k, v_k; the most frequent words, each a class."""
-
-    def __init__(self, blobs: Iterator[bytes]):
-        self.n_k, self.v_k = np.zeros(CLASSES), np.zeros(CLASSES)
-        best: list[tuple[int, int, int]] = []
-        for b in blobs:
-            r = pa.ipc.open_stream(b).read_all().to_pylist()[0]
-            self.n_k += r["n"]
-            self.v_k += r["v"]
-            best = sorted([*best, *((-c, h, k) for h, c, k in zip(r["h"], r["c"], r["k"], strict=True) if c)])[:TOP]
-        self.n, self.v = int(self.n_k.sum()), int(self.v_k.sum())
-        self.top = {h: 1 + i for i, (_, h, _) in enumerate(best)}
-        for i, (minus, _, k) in enumerate(best):
-            self.n_k[1 + i], self.v_k[1 + i] = -minus, 1
-            self.n_k[k] += minus
-            self.v_k[k] -= 1
-        self.bias = np.log((self.n_k + 0.5) / (self.n_k + 0.5).sum()).astype(np.float32)
-
-    def classes(self, known: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        """Class of each word: its own, or that of its end."""
-        out = suffix.copy()
-        for h, k in self.top.items():
-            i = int(np.searchsorted(known, X.U(h)))
-            if i < len(known) and int(known[i]) == h:
-                out[i] = k
+    k, word, seen = all_["k"][at], known != END, c > 0
+    cells = GROUPS * GROUPS
+    n, v = np.bincount(k, weights=c * word, minlength=cells), np.bincount(k[seen & word], minlength=cells)
+    words = np.flatnonzero(word & seen)
+    if len(words) > CANDIDATES:
+        words = words[c[words] >= np.partition(c[words], -CANDIDATES)[-CANDIDATES]]
+    words = words[np.lexsort((known[words], -c[words]))[:CANDIDATES]]
+    cut = np.cumsum([0, *map(len, each)]).tolist()
+    replies = [c[inverse[a:b]].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    end, cell = np.flatnonzero(~word), np.flatnonzero(v)
+    more = {
+        "kind": np.repeat([-1, -2, 0], [len(cell), len(end), len(words)]).astype(np.int32),
+        "h": np.concatenate((cell * 0, end * 0, known[words].view(np.int64))),
+        "c": np.concatenate((n[cell].astype(np.int64), c[end], c[words])),
+        "v": np.concatenate((v[cell], seen[end], words * 0 + 1)).astype(np.int64),
+        "k": np.concatenate((cell, end * 0, k[words])).astype(np.int32),
+    }
+    return replies, pa.table(more)
+
+
+def _continue(blobs: list[bytes]) -> list[bytes]:
+    """For each block the contexts it knows whose most frequent continuation was seen twice: context with the word's 16 bits, that count, the context's count."""
+    keys, counts, asked = [], [], []
+    for b in blobs:
+        view = memoryview(b)
+        n1, n2 = np.frombuffer(view[:8], "<u4").tolist()
+        c = np.frombuffer(view[8 : 8 + 4 * n2], "<u4")
+        at = 8 + 4 * n2
+        once, often, other = _unplanes(view[at : at + 8 * n1]), _unplanes(view[at + 8 * n1 : at + 8 * (n1 + n2)]), _unplanes(view[at + 8 * (n1 + n2) :])
+        keys += [once, often]
+        counts += [np.ones(n1, np.int64), c.astype(np.int64)]
+        asked.append((once, often, other))
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    k, c = k[first], np.add.reduceat(c, first) if len(first) else c
+    x = k >> X.U(16)
+    head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else first
+    total, most = (np.add.reduceat(c, head), np.maximum.reduceat(c, head)) if len(head) else (c, c)
+    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(x))))
+    hits = np.flatnonzero(c == most[of])
+    best = hits[np.concatenate(([True], of[hits][1:] != of[hits][:-1]))] if len(hits) else hits
+    ok = most >= 2
+    x, best, most, total = x[head][ok], k[best][ok], most[ok], total[ok]
+    out = []
+    for parts in asked:
+        mine = np.zeros(len(x) + 1, bool)
+        for p in parts:
+            want = p >> X.U(16)
+            at = np.searchsorted(x, want)
+            at[at < len(x)] = np.where(x[at[at < len(x)]] == want[at < len(x)], at[at < len(x)], len(x))
+            mine[at] = True
+        i = np.flatnonzero(mine[:-1])
+        out.append(best[i].astype("<u8").tobytes() + np.minimum(most[i], 65535).astype("<u2").tobytes() + np.minimum(total[i], 65535).astype("<u2").tobytes())
+    return out
+
+
+class Words:
+    """What is known of the whole corpus: sums, and the tree's own words (at most five, sixty and fifteen hundred)."""
+
+    def __init__(self, cells: list[tuple[int, int, int]], end: tuple[int, int], frequent: list[tuple[int, int, int]]):
+        """cells: (cell, tokens, words); end: (count, 1 if seen); frequent: (hash, count, cell), most frequent first."""
+        n, v = np.zeros((GROUPS, GROUPS)), np.zeros((GROUPS, GROUPS))
+        for cell, tokens_, words in cells:
+            n[divmod(cell, GROUPS)] += tokens_
+            v[divmod(cell, GROUPS)] += words
+        self.n, self.v = int(n.sum()) + end[0], int(v.sum()) + end[1]
+        mass = [np.zeros(WIDTH), np.zeros((GROUPS, WIDTH)), np.zeros((GROUPS, GROUPS, WIDTH))]
+        mass[0][0] = end[0]
+        paths: dict[int, tuple[int, int, int]] = {int(END): (0, 0, 0)}
+        used = [0, [0] * GROUPS, [[0] * GROUPS for _ in range(GROUPS)]]
+        for h, c, cell in frequent:
+            g, s = divmod(cell, GROUPS)
+            if used[0] < FREQUENT[0]:
+                used[0] += 1
+                path = (used[0], 0, 0)
+                mass[0][used[0]] += c
+            elif used[1][g] < FREQUENT[1]:
+                path = (1 + FREQUENT[0] + g, used[1][g], 0)
+                mass[1][g][used[1][g]] += c
+                used[1][g] += 1
+            elif used[2][g][s] < FREQUENT[2]:
+                path = (1 + FREQUENT[0] + g, FREQUENT[1] + s, used[2][g][s])
+                mass[2][g][s][used[2][g][s]] += c
+                used[2][g][s] += 1
+            else:
+                continue
+            n[g, s] -= c
+            v[g, s] -= 1
+            paths[h] = path
+        mass[2][:, :, WIDTH - 1] = n
+        mass[1][:, FREQUENT[1] :] = mass[2].sum(axis=2)
+        mass[0][1 + FREQUENT[0] :] = mass[1].sum(axis=1)
+        self.rest_n, self.rest_v = n.ravel(), v.ravel()
+        log = lambda m: np.log((m + 0.5) / (m + 0.5).sum(axis=-1, keepdims=True)).astype(np.float32)
+        self.bias = [log(m).reshape(-1, WIDTH) for m in mass]
+        self.own = np.array(sorted(paths), X.U)
+        self.paths = np.array([paths[h] for h in sorted(paths)], np.uint8)
+
+    def path(self, known: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The outcomes on the three levels for each word (0 below its last one), a column for each level."""
+        g, s = np.divmod(k, np.uint8(GROUPS))
+        out = np.stack((1 + FREQUENT[0] + g, FREQUENT[1] + s, np.full(len(k), WIDTH - 1)), axis=1).astype(np.uint8)
+        at = np.minimum(np.searchsorted(self.own, known), len(self.own) - 1)
+        own = self.own[at] == known
+        out[own] = self.paths[at[own]]
         return out
 
-    def in_class(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """log10 P(token | class)."""
-        p = (c + 0.5) / (self.n_k[k] + 0.5 * (self.v_k[k] + 1))
-        return np.where(k <= TOP, 0.0, np.log10(p))
+    def in_rest(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """log P(word | rest of its cell)."""
+        return np.log((c + 0.5) / (self.rest_n[k] + 0.5 * (self.rest_v[k] + 1)))
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def features(h: np.ndarray, k: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Rows of the weights that each token's context has, FEATURES to a token."""
+def classes(path: np.ndarray) -> np.ndarray:
+    """Class of each word, for the features: its outcome on the first level, or on the second of its group."""
+    d1, d2 = path[:, 0], path[:, 1]
+    return np.where(d1 > FREQUENT[0], 1 + FREQUENT[0] + (d1 - 1 - FREQUENT[0]) * WIDTH + d2, d1).astype(np.uint8)
 
-    def before(x: np.ndarray, n: int, none) -> np.ndarray:
-        out = np.full(len(x), none, dtype=X.U)
-        if len(x) > n:
-            same = owner[n:] == owner[:-n]
-            out[n:][same] = x[:-n][same]
-        return out
 
-    w1, w2 = before(h, 1, START), before(h, 2, START)
-    c1, c2, c3, c4 = (before(k.astype(X.U), n, 255) for n in (1, 2, 3, 4))
-    names = (w1, X.mix(w1 + X.U(1)) ^ w2, w2 * X.U(3), c1 + c2 * X.U(256) + c3 * X.U(65536), c2 + c4 * X.U(256))
-    return np.stack([(X.mix(x + X.U(0x9E3779B9 * (i + 1))) % X.U(BUCKETS)).astype(np.int32) for i, x in enumerate(names)], axis=1)
+def nodes(path: np.ndarray) -> list[np.ndarray]:
+    """Number of the softmax on each level that a word's path passes, -1 where it has ended."""
+    g = path[:, 0].astype(np.int32) - 1 - FREQUENT[0]
+    s = path[:, 1].astype(np.int32) - FREQUENT[1]
+    return [np.zeros(len(path), np.int32), np.where(g >= 0, g, -1), np.where((g >= 0) & (s >= 0), g * GROUPS + s, -1)]
+
+
+def features(h: np.ndarray, c: np.ndarray, owner: np.ndarray, at: list[np.ndarray]) -> list[np.ndarray]:
+    """For each level the rows of the weights that each token's context has (any where the path has ended)."""
+    w1, w2 = before(h, owner, 1, START), before(h, owner, 2, START)
+    c1, c2, c3, c4 = (before(c, owner, n, 255).astype(X.U) for n in (1, 2, 3, 4))
+    both = X.mix(w1 + X.U(1)) ^ w2
+    names = ((w1, both, w2 * X.U(3), c1 + c2 * X.U(256) + c3 * X.U(65536), c2 + c4 * X.U(256)), (w1, both, c1 + c2 * X.U(256)), (w1, w2 * X.U(3)))
+    out = []
+    for level, (each, node) in enumerate(zip(names, at, strict=True)):
+        base = node.astype(np.int64).view(X.U) * X.U(0xC2B2AE3D27D4EB4F)
+        out.append(np.stack([(X.mix(x + base + X.U(int(_STEP) * (8 * level + i + 1) % (1 << 64))) >> X.U(64 - 15)).astype(np.uint16) for i, x in enumerate(each)], axis=1))
+    return out
 
 
 def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Each context's weights by class, less the largest one."""
-    x = weights[rows[:, 0]]
+    """Each context's weights by outcome, held between -60 and 60 so that none of their exponentials is lost."""
+    x = weights.take(rows[:, 0], axis=0)
     for i in range(1, rows.shape[1]):
-        x += weights[rows[:, i]]
+        x += weights.take(rows[:, i], axis=0)
     x += bias
-    x -= x.max(axis=1, keepdims=True)
-    return x
+    return np.clip(x, -60, 60, out=x)
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     x = _sums(weights, bias, rows)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
-
-
-def class_log(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """log P(class | context) of one class for each context."""
-    x = _sums(weights, bias, rows)
-    own = x[np.arange(len(k)), k]
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
-
-
-def _block(name: str, stats: Statistics):
-    """A block's rows, and of its tokens hash, count, class, row."""
-    table = B.load(name)
-    h, suffix, owner = tokens(table)
-    known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    c = np.frombuffer(b"".join(B.answers_of(name, "counts").values()), "<i8")
-    return table, h, c[inverse], stats.classes(known, suffix[first])[inverse], owner
+    return x - np.log(np.exp(x) @ _ONES)[:, None]
+
+
+class Block:
+    """A block with what the whole corpus says of its words and contexts, in slices of tokens."""
+
+    def __init__(self, path: str, block: int, words: Words, parts: int):
+        self.table, n, self.known, self.k, self.inverse = load(path, block)
+        answers = B.answers_of(_file(path, block), "counts")
+        self.count = np.frombuffer(b"".join(answers[p] for p in sorted(answers) if p < parts), "<u8").astype(np.int64)
+        self.expected, self.often, self.total = np.empty(0, X.U), np.empty(0, np.int64), np.empty(0, np.int64)
+        if said := [answers[p] for p in sorted(answers) if p >= parts]:
+            cut = [len(b) // 12 for b in said]
+            self.expected = np.concatenate([np.frombuffer(b, "<u8", m) for b, m in zip(said, cut, strict=True)])
+            self.often = np.concatenate([np.frombuffer(b, "<u2", m, 8 * m) for b, m in zip(said, cut, strict=True)]).astype(np.int64)
+            self.total = np.concatenate([np.frombuffer(b, "<u2", m, 10 * m) for b, m in zip(said, cut, strict=True)]).astype(np.int64)
+        self.held = self.table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.words, self.path = words, words.path(self.known, self.k)
+        self.classes = classes(self.path)
+
+    def slices(self, own: np.ndarray) -> Iterator[tuple]:
+        """Slices of tokens: word numbers, paths, nodes, rows of the weights, state of the expectation (-1: none), whether it holds, row numbers."""
+        state, hit = self.expectations(own)
+        for a in range(0, len(self.inverse), SLICE):
+            lead = min(a, 4)
+            s = slice(a - lead, a + SLICE)
+            number, owner = self.inverse[s], self.owner[s]
+            path = self.path[number]
+            at = nodes(path)
+            rows = features(self.known[number], self.classes[number], owner, at)
+            yield number[lead:], path[lead:], [x[lead:] for x in at], [x[lead:] for x in rows], state[a : a + SLICE], hit[a : a + SLICE], owner[lead:]
+
+    def expectations(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State of each token's expectation (-1: none) and whether it holds; tokens of training rows (own) are held against the counts without themselves."""
+        if not len(self.expected):
+            return np.full(len(self.inverse), -1), np.zeros(len(self.inverse), bool)
+        h = self.known[self.inverse]
+        keys, has = context_keys(h, self.owner)
+        x = self.expected >> X.U(16)
+        at = np.minimum(np.searchsorted(x, keys >> X.U(16)), len(x) - 1)
+        has &= x[at] == keys >> X.U(16)
+        hit = has & (self.expected[at] & X.U(0xFFFF) == short(h))
+        less = own & hit
+        n, total = self.often[at] - less, np.maximum(self.total[at] - own, 1)
+        has &= n > 0
+        hit &= has
+        last = before(np.where(has, 1 + hit.astype(np.int8), 0).astype(np.int8), self.owner, 1, 0)
+        many = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 7)
+        sure = np.minimum(4 * n // total, 3)
+        return np.where(has, (many * 4 + sure) * 3 + last, -1), hit
+
+    def score(self, weights: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Natural log P of each token."""
+        out = [np.empty(0)]
+        for number, path, at, rows, state, hit, _ in self.slices(np.zeros(len(self.inverse), bool)):
+            log = np.zeros(len(number))
+            for level in range(LEVELS):
+                i = np.flatnonzero(at[level] >= 0)
+                x = _sums(weights[level], self.words.bias[level][at[level][i]], rows[level][i])
+                own = x[np.arange(len(i)), path[i, level]]
+                log[i] += own - np.log(np.exp(x, out=x) @ _ONES)
+            rest = np.flatnonzero((at[2] >= 0) & (path[:, 2] == WIDTH - 1))
+            log[rest] += self.words.in_rest(self.count[number[rest]], self.k[number[rest]])
+            told = np.flatnonzero(state >= 0)
+            share = p[state[told]]
+            log[told] = np.log(share * hit[told] + (1 - share) * np.exp(log[told]))
+            out.append(log)
+        return np.concatenate(out)
 
 
 class Trainer:
-    """A task's own weights, moved by AdaGrad."""
+    """A block's own weights, moved by AdaGrad with a rate for each row."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, weights: np.ndarray, bias: list[np.ndarray]):
         self.weights, self.bias, self.begin = weights.copy(), bias, weights
-        self.squares = np.full(weights.shape, 1e-3, np.float32)
-        self.touched = np.zeros(len(weights), np.int64)
-
-    def learn(self, rows: np.ndarray, k: np.ndarray) -> None:
-        for a in range(0, len(k), BATCH):
-            r, y = rows[a : a + BATCH], k[a : a + BATCH]
-            g = _sums(self.weights, self.bias, r)
-            np.exp(g, out=g)
-            g /= -g.sum(axis=1, keepdims=True)
-            g[np.arange(len(y)), y] += 1
-            flat = r.ravel().astype(np.uint16)  # 16 bits are sorted by radix
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], (s := flat[order])[1:] != s[:-1])))
-            at = flat[order[first]].astype(np.int64)
-            total = np.add.reduceat(g[order // FEATURES], first, axis=0)
-            self.squares[at] += total * total
-            self.weights[at] += RATE * total / np.sqrt(self.squares[at])
-            self.touched[at] += np.diff(np.append(first, len(flat)))
+        self.squares = np.full(weights.shape[:2], 1e-3, np.float32)
+        self.touched = np.zeros(weights.shape[:2], np.int64)
+
+    def learn(self, level: int, rows: np.ndarray, node: np.ndarray, y: np.ndarray) -> None:
+        weights, squares, wide = self.weights[level], self.squares[level], rows.shape[1]
+        g = _sums(weights, self.bias[level][node], rows)
+        np.exp(g, out=g)
+        g /= -(g @ _ONES)[:, None]
+        g[np.arange(len(y)), y] += 1
+        flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")  # 16 bits are sorted by radix
+        s = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        at = s[first]
+        total = np.add.reduceat(g.take(order // wide, axis=0), first, axis=0)
+        q = squares[at] + np.einsum("ij,ij->i", total, total) / WIDTH
+        squares[at] = q
+        total *= (RATE / np.sqrt(q))[:, None]
+        weights[at] += total
+        self.touched[level, at] += np.diff(np.append(first, len(s)))
+
+    def block(self, block: Block) -> np.ndarray:
+        """Learns a block's training tokens; tries and hits of expectations by state."""
+        seen = np.zeros((2, STATES), np.int64)
+        own = ~block.held[block.owner]
+        for number, path, at, rows, state, hit, owner in block.slices(own):
+            mine = ~block.held[owner]
+            told = mine & (state >= 0)
+            seen[0] += np.bincount(state[told], minlength=STATES)
+            seen[1] += np.bincount(state[told & hit], minlength=STATES)
+            for a in range(0, len(number), BATCH):
+                for level in range(LEVELS):
+                    s = slice(a, a + BATCH)
+                    i = a + np.flatnonzero(mine[s] & (at[level][s] >= 0))
+                    if len(i):
+                        self.learn(level, rows[level][i], at[level][i], path[i, level])
+        return seen
 
     def changes(self, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        at = np.flatnonzero(self.touched)
-        change = (self.weights[at] - self.begin[at]).astype(np.float16)
-        cut = np.searchsorted(at * parts // BUCKETS, np.arange(parts + 1))
-        for p in range(parts):
+        """part, rows, how often each was touched, changes of their weights."""
+        touched = self.touched.ravel()
+        at = np.flatnonzero(touched)
+        change = (self.weights - self.begin).reshape(-1, WIDTH)[at].astype(np.float16)
+        cut = np.searchsorted(at * parts // len(touched), np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cut)).tolist():
             s = slice(cut[p], cut[p + 1])
-            if cut[p + 1] > cut[p]:
-                yield p, at[s].astype("<i4").tobytes(), self.touched[at[s]].astype("<i8").tobytes(), change[s].tobytes()
+            yield p, at[s].astype("<u4").tobytes(), touched[at[s]].astype("<f8").tobytes(), change[s].astype("<f2").tobytes()
 
 
-def train(listed: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after all rounds."""
-    spark = listed.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    parts = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    for n in range(rounds):
-        now = spark.sparkContext.broadcast(weights)
+_CHANGES = ["part", "block", "at", "touched", "change"]
 
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            task = Trainer(now.value, stats.bias)
-            for batch in batches:
-                for name in batch.column(0).to_pylist():
-                    table, h, _, k, owner = _block(name, stats)
-                    own = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[owner]
-                    for a in range(0, len(h), 16 * BATCH):  # a few rows of a text may lose their context at such a cut
-                        s = slice(a, a + 16 * BATCH)
-                        keep = own[s]
-                        task.learn(features(h[s], k[s], owner[s])[keep], k[s][keep].astype(np.int64))
-            for p, at, touched, change in task.changes(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, touched, change))], names=["part", "at", "touched", "change"])
-
-        def merge(table: pa.Table) -> pa.Table:
-            total, weight = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(BUCKETS)
-            for at, touched, change in zip(*(table.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                i, t = np.frombuffer(at, "<i4"), np.frombuffer(touched, "<i8").astype(np.float32)
-                total[i] += np.frombuffer(change, np.float16).reshape(-1, CLASSES) * t[:, None]
+
+def _merge(last: bool):
+    """Sums of changes times touches of a range's rows; at last, their means. Range -1: sums of what expectations gave."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py() // FAN
+        if part < 0:
+            columns = (b"", b"", sum(np.frombuffer(x, "<i8") for x in table.column("change").to_pylist()).tobytes())
+        else:
+            total, weight = np.zeros((LEVELS * ROWS, WIDTH)), np.zeros(LEVELS * ROWS)
+            for at, touched, change in zip(*(table.column(c).to_pylist() for c in ("at", "touched", "change")), strict=True):
+                i, t = np.frombuffer(at, "<u4"), np.frombuffer(touched, "<f8")
+                own = len(change) == 2 * WIDTH * len(i)  # of one block, not yet a sum
+                total[i] += np.frombuffer(change, "<f2").reshape(-1, WIDTH) * t[:, None] if own else np.frombuffer(change, "<f8").reshape(-1, WIDTH)
                 weight[i] += t
             i = np.flatnonzero(weight)
-            return pa.table({"at": pa.array([i.astype("<i4").tobytes()]), "change": pa.array([(total[i] / weight[i, None]).astype("<f4").tobytes()])})
+            columns = (i.astype("<u4").tobytes(), weight[i].tobytes(), ((total[i] / weight[i, None]).astype("<f4") if last else total[i]).tobytes())
+        return pa.table([pa.array([part], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=_CHANGES)
+
+    return run
 
-        share = listed.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == n).select("block")
-        moved = B.spread(share).mapInArrow(run, "part int, at binary, touched binary, change binary").groupBy("part").applyInArrow(merge, "at binary, change binary").collect()
+
+def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights after all rounds, and the chance that an expectation holds, by state."""
+    spark = made.sparkSession
+    weights = np.zeros((LEVELS, ROWS, WIDTH), np.float32)
+    seen = np.zeros((2, STATES), np.int64)
+    schema = "part int, block long, at binary, touched binary, change binary"
+    most = made.agg(F.max("block")).first()[0]
+    for n in range(ROUNDS if most is not None else 0):
+        now = spark.sparkContext.broadcast((weights, words))
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            start, words = now.value
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    task = Trainer(start, words.bias)
+                    found = task.block(Block(path, block, words, parts))
+                    rows = [(-1, b"", b"", found.astype("<i8").tobytes()), *task.changes(64)]
+                    ids = [pa.array([r[0] for r in rows], pa.int32()), pa.array([block // ROUNDS] * len(rows), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*ids, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=_CHANGES)
+
+        moved, size = B.spread(made.where(F.col("block") % ROUNDS == n)).mapInArrow(run, schema), most // ROUNDS + 1
+        while size > FAN:
+            moved = moved.groupBy("part", F.floor(F.col("block") / FAN)).applyInArrow(_merge(False), schema)
+            size = -(-size // FAN)
         weights = weights.copy()
-        for r in moved:
-            weights[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["change"], "<f4").reshape(-1, CLASSES)
+        flat = weights.reshape(-1, WIDTH)
+        for r in moved.groupBy("part").applyInArrow(_merge(True), schema).select("part", "at", "change").collect():  # the weights' size at most
+            if r["part"] < 0:
+                seen += np.frombuffer(r["change"], "<i8").reshape(2, STATES)
+            else:
+                flat[np.frombuffer(r["at"], "<u4")] += np.frombuffer(r["change"], "<f4").reshape(-1, WIDTH)
         now.unpersist()
-    return weights
+    return weights, (seen[1] + 0.5) / (seen[0] + 1)
+
+
+def _make(path: str, parts: int, count: int):
+    """From rows sorted by block and hash: the blocks' files, and what each asks. Rows beyond twice a block's size (one row many times) go to blocks ``count`` further on."""
+
+    def store(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        h, k, owner = tokens(table.column("text"))
+        known, at, inverse = numbered(h)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=table.num_rows)))).astype(np.int64)
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(inverse))
+        B.save(_file(path, block), pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "tokens": lists}))
+        B.save(_file(path, block) + ".words", pa.table({"h": known, "k": k[at]}))
+        training = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[owner]
+        rows = list(_ask(h, known, k[at], inverse, training, owner, parts))
+        for i in range(0, len(rows), 64):
+            some = rows[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b for _, b in some], pa.binary())], names=["part", "block", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, piece, held, size = None, 0, [], 0
+        for batch in batches:
+            numbers, offs = batch.column(0).to_numpy(), X.flat(batch.column(2))[1]
+            a = 0
+            while a < batch.num_rows:
+                full = size >= 2 * BLOCK
+                if held and (full or numbers[a] != now):
+                    yield from store(now + piece * count, held)
+                    held, size = [], 0
+                    piece += 1
+                if numbers[a] != now:
+                    now, piece = int(numbers[a]), 0
+                room = int(np.searchsorted(offs, offs[a] + 2 * BLOCK - size))  # the row that fills it is its last
+                b = max(a + 1, min(int(np.searchsorted(numbers, now, side="right")), room))
+                held.append(batch.slice(a, b - a))
+                size += int(offs[b] - offs[a])
+                a = b
+        if held:
+            yield from store(now + piece * count, held)
+
+    return run
+
+
+def _answer(parts: int):
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("k", pa.int32())])
+
+    def run(table: pa.Table) -> pa.Table:
+        part, blocks, blobs = table.column("part")[0].as_py(), table.column("block").to_pylist(), table.column("blob").to_pylist()
+        replies, more = (_continue(blobs), None) if part >= parts else _count_words(blobs)
+        out = pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array([part] * len(blocks), pa.int32()), "blob": pa.array(replies, pa.binary())})
+        out = pa.table([*out.columns, *(pa.nulls(len(blocks), f.type) for f in list(schema)[3:])], schema=schema)
+        if more is not None:
+            n = more.num_rows
+            out = pa.concat_tables([out, pa.table([pa.nulls(n, f.type) for f in list(schema)[:3]] + [more.column(c) for c in ("kind", "h", "c", "v", "k")], schema=schema)])
+        return out
+
+    return run, "block long, part int, blob binary, kind int, h long, c long, v long, k int"
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+    spark = docs.sparkSession
     rows = pick(docs, doc_id=doc_id, text=text)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count, parts = max(LEAST, -(-size // (ROUNDS * BLOCK)) * ROUNDS), max(4, -(-size // RANGE))
+    path = scratch(spark, "blocks")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    listed = B.make(rows.select("doc_id", "text", held.alias("held_out")))
-    parts = B.parts_for(listed)
-    answers = written(B.answered(B.sent(listed, _ask(parts)), _count), "word-counts")
-    stats = Statistics(r["blob"] for r in answers.where("block is null").select("blob").orderBy("part").toLocalIterator())
-
-    listed = B.stored(answers, listed, "counts")
-    weights = docs.sparkSession.sparkContext.broadcast(train(listed, stats))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key = F.xxhash64("doc_id", "text")
+    dealt = rows.select(F.pmod(key, F.lit(count)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), key.alias("key"))
+    tasks = min(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions("block", "key", "doc_id", "text")
+    asked = dealt.mapInArrow(_make(path, parts, count), "part int, block long, blob binary")
+    run, schema = _answer(parts)
+    answers = written(asked.groupBy("part").applyInArrow(run, schema), "word-counts")
+    sums = answers.where("kind < 0").groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()  # a hundred cells and the end
+    frequent = answers.where("kind = 0").orderBy(F.col("c").desc(), "h").limit(CANDIDATES).select("h", "c", "k").collect()
+    end = next(((r["c"], r["v"]) for r in sums if r["kind"] == -2), (0, 0))
+    words = Words([(r["k"], r["c"], r["v"]) for r in sums if r["kind"] == -1], end, [(r["h"] % (1 << 64), r["c"], r["k"]) for r in frequent])
+
+    def keep(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        B.save(f"{_file(path, block)}.counts", table.select(["part", "blob"]).sort_by("part"))
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    made = written(answers.where("block is not null").groupBy("block").applyInArrow(keep, "block long"), "blocks")
+    removed(answers)
+    weights, p = train(path, made, words, parts)
+    given = spark.sparkContext.broadcast((weights, p, words))
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, p, words = given.value
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                table, h, c, k, owner = _block(name, stats)
-                n = table.num_rows
-                p = stats.in_class(c, k)
-                rows = features(h, k, owner)
-                for a in range(0, len(h), BATCH):
-                    s = slice(a, a + BATCH)
-                    p[s] += class_log(weights.value, stats.bias, rows[s], k[s]) / np.log(10)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        table.column("doc_id").combine_chunks(),
-                        table.column("held_out").combine_chunks(),
-                        pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64)),
-                        pa.array(np.full(n, stats.n)),
-                        pa.array(np.bincount(owner, weights=stats.base(c), minlength=n)),
-                        pa.array(np.bincount(owner, weights=p, minlength=n)),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+            for number in batch.column(0).to_pylist():
+                block = Block(path, number, words, parts)
+                n = block.table.num_rows
+                c = block.count[block.inverse]
+                sums = lambda x, o=block.owner, n=n: np.bincount(o, weights=x, minlength=n)
+                columns = [pa.array(np.bincount(block.owner, minlength=n).astype(np.int64)), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, words.n)), pa.array(sums(words.base(c))), pa.array(sums(block.score(weights, p) / np.log(10)))]
+                yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), block.table.column("held_out").combine_chunks(), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return B.spread(listed.select("block")).mapInArrow(run, shape)
+    return B.spread(made).mapInArrow(results, shape)

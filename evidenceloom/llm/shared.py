@@ -11,9 +11,9 @@ import uuid
 
 from pyarrow import fs
 
-from evidenceloom.sources.scratch import folder, scratch, written
+from evidenceloom.sources.scratch import folder, removed, scratch, written
 
-__all__ = ["AtomicFile", "folder", "opened", "scratch", "written"]
+__all__ = ["AtomicFile", "folder", "opened", "removed", "scratch", "written"]
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:

@@ -112,45 +112,172 @@ def test_maximal_repeats():
 # ---- language model
 
 
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+
+
+def tokens(t):
+    return [*cases.words(cases.lower(t)), None]
+
+
 def test_maxent_counts(monkeypatch, docs, texts):
-    small_blocks(monkeypatch)
+    monkeypatch.setattr(maxent, "RANGE", 20_000)
+    monkeypatch.setattr(X, "PIECE", 5_000)
     got = maxent.score(docs).collect()
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    token = lambda t: [*cases.words(cases.lower(t)), None]
-    c = Counter(w for i, t in texts if not held(i) for w in token(t))
+    c = Counter(w for i, t in texts if not held(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    want = sorted(((i, held(i), len(w := token(t)), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, t in texts), key=repr)
+    want = sorted(((i, held(i), len(w := tokens(t)), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, t in texts), key=repr)
     assert sorted(((*r[:5], round(r[5], 6)) for r in got), key=repr) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_maxent_beats_the_base_on_held_out_texts(spark):
-    r = maxent.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert r[0] > r[1] + 0.1 * r[2]
+def test_maxent_is_a_function_of_the_table(spark, texts):
+    """Whatever the partitions and the number of tasks; equal rows have equal scores."""
+    runs = []
+    for parts, tasks in ((1, 3), (8, 8), (64, 20)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        try:
+            df = spark.createDataFrame(random.Random(parts).sample(texts, len(texts)), "doc_id long, text string").repartition(parts)
+            runs.append(sorted(((r.doc_id, r.n_tokens, r.score) for r in maxent.score(df).collect()), key=repr))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert [x[:2] for x in runs[0]] == [x[:2] for x in runs[1]] == [x[:2] for x in runs[2]]
+    for other in runs[1:]:
+        assert max(abs(x[2] - y[2]) for x, y in zip(runs[0], other, strict=True)) < 1e-6
 
 
-def test_maxent_factors_sum_to_one():
-    stats = maxent.Statistics(iter([]))
-    h = np.array([5, 9, 11], X.U)
-    entries = np.array([(int(maxent.END), 4, 0), (5, 7, 20), (9, 2, 20), (11, 1, 21)], maxent._ENTRY)
-    entries.sort(order="h")
-    stats = maxent.Statistics(iter([maxent._count([entries.tobytes()])[1]]))
-    assert (stats.n, stats.v) == (14, 4) and stats.top == {5: 1, 9: 2, 11: 3}
-    assert (stats.classes(h, np.array([20, 20, 21], np.uint8)) == [1, 2, 3]).all()
-    rows = maxent.features(h, np.array([1, 2, 3], np.uint8), np.zeros(3, np.int64))
-    p = np.exp(maxent.log_softmax(np.random.default_rng(0).normal(size=(maxent.BUCKETS, maxent.CLASSES)), stats.bias, rows))
-    assert np.allclose(p.sum(axis=1), 1)
-    known = np.array([3, 1, 0])  # two words of a class of their own and all unseen ones
-    stats.n_k[30], stats.v_k[30] = 4, 2
-    assert math.isclose((10 ** stats.in_class(known, np.full(3, 30))).sum(), 1)
+def test_maxent_beats_the_base_on_held_out_texts(spark):
+    r = maxent.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] > r[1] + 0.25 * r[2]
+
+
+def test_maxent_without_training_rows(spark):
+    ids = [i for i in range(200) if held(i)][:5]
+    got = maxent.score(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(True, 3, 0, 0)] * 5
+    assert all(math.isclose(r.base_score, 0.0, abs_tol=1e-12) and math.isfinite(r.score) for r in got)  # log10(0.5 / 0.5) for each
+
+
+def test_maxent_tree_sums_to_one():
+    """Over all words and, for each cell, what was never seen; with the expectation mixed in too."""
+    rng = np.random.default_rng(0)
+    count = np.sort(rng.zipf(1.3, 3000).clip(max=10**6))[::-1]
+    h, cell = np.sort(rng.integers(1, 1 << 63, 3000).astype(X.U)), rng.integers(0, 100, 3000).astype(np.uint8)
+    c = rng.permutation(count)
+    by_count = np.lexsort((h, -c))
+    sums = [(k, int(c[cell == k].sum()), int((cell == k).sum())) for k in range(100)]
+    words = maxent.Words(sums, (50, 1), [(int(h[i]), int(c[i]), int(cell[i])) for i in by_count])
+    assert (words.n, words.v) == (int(c.sum()) + 50, 3001)
+    known, k = np.append(h, [maxent.END, *[X.U(1 << 63)] * 100]), np.append(cell, [np.uint8(0), *np.arange(100, dtype=np.uint8)])
+    n = np.append(c, [50, *[0] * 100])
+    path = words.path(known, k)
+    assert len({tuple(p) for p in path[: len(h)].tolist() if p[2] != maxent.WIDTH - 1 and (p[0] <= 5 or p[1] < 6 or p[2] < 15)}) > 1000
+    weights = rng.normal(size=(maxent.LEVELS, maxent.ROWS, maxent.WIDTH)).astype(np.float32)
+    at = maxent.nodes(path)
+    # one context for all words
+    rows = [np.stack([(at[level].astype(np.int64) * 31 + i * 977 + 5) % maxent.ROWS for i in range(f)], axis=1).astype(np.uint16) for level, f in enumerate(maxent.FEATURES)]
+    log = np.zeros(len(known))
+    for level in range(maxent.LEVELS):
+        i = np.flatnonzero(at[level] >= 0)
+        log[i] += maxent.log_softmax(weights[level], words.bias[level][at[level][i]], rows[level][i])[np.arange(len(i)), path[i, level]]
+    rest = (at[2] >= 0) & (path[:, 2] == maxent.WIDTH - 1)
+    log[rest] += words.in_rest(n[rest], k[rest])
+    assert math.isclose(np.exp(log).sum(), 1, rel_tol=1e-4)
+
+
+def test_maxent_step_agrees_with_a_plain_one():
+    """A step of AdaGrad on some tokens, restated with loops; two tokens share a row, one has a row twice."""
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(maxent.LEVELS, maxent.ROWS, maxent.WIDTH)).astype(np.float32)
+    bias = [np.zeros((1, maxent.WIDTH), np.float32)] * 3
+    rows, y = np.array([[1, 2, 3, 4, 5], [1, 7, 7, 9, 10], [11, 2, 13, 14, 15]], np.uint16), np.array([0, 5, 9])
+    t = maxent.Trainer(weights, bias)
+    t.learn(0, rows, np.zeros(3, np.int32), y)
+    gradient, times = defaultdict(lambda: np.zeros(maxent.WIDTH)), Counter()
+    for r, k in zip(rows.tolist(), y.tolist(), strict=True):
+        x = np.exp(sum(weights[0, i].astype(float) for i in r))
+        for i in r:
+            gradient[i] += (np.arange(maxent.WIDTH) == k) - x / x.sum()
+            times[i] += 1
+    for i, g in gradient.items():
+        want = weights[0, i] + maxent.RATE * g / math.sqrt(1e-3 + (g * g).mean())
+        assert np.allclose(t.weights[0, i], want, atol=1e-4)
+    assert {i: int(n) for i, n in enumerate(t.touched[0]) if n} == dict(times)
+    at, touched, change = (b"".join(x[i] for x in t.changes(7)) for i in (1, 2, 3))
+    assert np.frombuffer(at, "<u4").tolist() == sorted(times) and np.frombuffer(touched, "<f8").tolist() == [times[i] for i in sorted(times)]
+    assert np.allclose(np.frombuffer(change, "<f2").reshape(-1, maxent.WIDTH), (t.weights[0] - weights[0])[sorted(times)], atol=1e-3)
+
+
+def test_maxent_changes_are_means_by_touches():
+    one = lambda x, kind: np.array(x, kind).tobytes()
+    row = lambda v: [v] * maxent.WIDTH
+    first = (3, 0, one([5, 9], "<u4"), one([2, 1], "<f8"), one([row(1.0), row(4.0)], "<f2"))
+    second = (3, 1, one([5], "<u4"), one([6], "<f8"), one([row(-1.0)], "<f2"))
+    table = lambda rows: pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(maxent._CHANGES, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True))})
+    once = maxent._merge(True)(table([second, first])).to_pylist()[0]
+    assert np.frombuffer(once["at"], "<u4").tolist() == [5, 9]
+    assert np.frombuffer(once["change"], "<f4").reshape(2, -1)[:, 0].tolist() == [-0.5, 4.0]
+    twice = maxent._merge(True)(pa.concat_tables([maxent._merge(False)(table([r])) for r in (first, second)])).to_pylist()[0]
+    assert twice["change"] == once["change"]
+
+
+def test_maxent_expectations(spark, tmp_path):
+    """Most frequent continuation of two words, against a plain search; training tokens are held against counts without themselves."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(80)]
+    training = [not held(i) for i in range(80)]
+    words = [tokens(t) for t in texts]
+    h, k, owner = maxent.tokens(pa.array(texts))
+    word = [w for t in words for w in t]
+    code = {w: int(maxent.short(h[[word.index(w)]])[0]) for w in set(word)}
+    known, at, inverse = maxent.numbered(h)
+    own = np.array(training)[owner]
+    parts = 3
+    asked = list(maxent._ask(h, known, k[at], inverse, own, owner, parts))
+    path = f"file://{tmp_path}"
+    answers = [(p, maxent._count_words([b])[0][0] if p < parts else maxent._continue([b])[0]) for p, b in asked]
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words])))), pa.array(inverse))
+    blocks.save(maxent._file(path, 0), pa.table({"doc_id": range(80), "held_out": [not x for x in training], "tokens": lists}))
+    blocks.save(maxent._file(path, 0) + ".words", pa.table({"h": known, "k": k[at]}))
+    blocks.save(maxent._file(path, 0) + ".counts", pa.table({"part": pa.array([p for p, _ in answers], pa.int32()), "blob": pa.array([b for _, b in answers], pa.binary())}))
+    block = maxent.Block(path, 0, maxent.Words([], (0, 0), []), parts)
+    after = defaultdict(Counter)
+    for w, t in zip(words, training, strict=True):
+        for i in range(2, len(w) if t else 0):
+            after[w[i - 2], w[i - 1]][w[i]] += 1
+    for mine in (np.zeros(len(h), bool), own):
+        state, hit = block.expectations(mine)
+        n = 0
+        for d, w in enumerate(words):
+            last = 0
+            for i, x in enumerate(w):
+                found = after.get((w[i - 2], w[i - 1])) if i > 1 else None
+                said = -1
+                if found and max(found.values()) > 1:
+                    s = min((s for s in found if found[s] == max(found.values())), key=code.get)
+                    less = bool(mine[n]) and s == x
+                    often, total = found[s] - less, sum(found.values()) - bool(mine[n])
+                    if often:
+                        said = (min(int(math.log2(often)), 7) * 4 + min(4 * often // total, 3)) * 3 + last
+                assert state[n] == said and (said < 0 or hit[n] == (s == x)), (d, i)
+                last = 0 if said < 0 else 1 + (s == x)
+                n += 1
+
+
+def test_maxent_long_texts_keep_their_words(monkeypatch):
+    texts = pa.array([cases.LONG, "x" * 9000, None, "", "end", cases.LONG + " tail"])
+    want = maxent.tokens(texts)
+    monkeypatch.setattr(X, "PIECE", 700)
+    assert all((a == b).all() for a, b in zip(want, maxent.tokens(texts), strict=True))
 
 
 def test_maxent_has_a_feature_of_the_last_two_words_together():
-    """Of four contexts made of two words each way, all of one class, one feature tells every one from the others."""
+    """Of four contexts made of two words each way, all of one class, one feature of the first two levels tells every one from the others."""
     h = np.array([1, 2, 9, 1, 4, 9, 3, 2, 9, 3, 4, 9], X.U) * X.U(0x9E3779B97F4A7C15)
-    rows = maxent.features(h, np.full(12, 20, np.uint8), np.repeat(np.arange(4), 3))[2::3]
-    assert rows.shape == (4, maxent.FEATURES)
-    assert sorted(len(set(rows[:, i].tolist())) for i in range(maxent.FEATURES)) == [1, 1, 2, 2, 4]
+    rows = maxent.features(h, np.full(12, 20, np.uint8), np.repeat(np.arange(4), 3), [np.zeros(12, np.int32)] * 3)
+    assert tuple(r.shape[1] for r in rows) == maxent.FEATURES
+    kinds = [sorted(len(set(r[2::3][:, i].tolist())) for i in range(r.shape[1])) for r in rows]
+    assert kinds == [[1, 1, 2, 2, 4], [1, 2, 4], [2, 2]]
 
 
 # ---- archives
