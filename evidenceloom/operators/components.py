@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidenceloom.sources.scratch import written
+from evidenceloom.sources.scratch import removed, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,13 +13,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     A round hangs each node's larger neighbours, then its smaller ones, on the smallest node around it; the
     number of links never grows and distances halve. Rounds end when no link changes. Each is
-    a written table: lineage stays short and a lost executor costs one round.
+    a written table: lineage stays short and a lost executor costs one round. Nodes may be of any type
+    that has an order, also structs, so that a label can carry what the caller wants to know of its node.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
     for _ in range(rounds if state[0] else 0):
-        now = written(_small(_large(now)), "links")
+        last, now = now, written(_small(_large(now)), "links")
         before, state = state, _state(now)
+        removed(last)
         if state == before:
             break
     else:
