@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import textnum as X
 from .columns import pick
-from .shared import removed, scratch, written
+from .shared import removed, scratch, shuffles_end, written
 
 WIDTH, ROWS, LEVELS, ROUNDS = 16, 1 << 15, 3, 3
 FREQUENT, GROUPS = (5, 6, 15), 10
@@ -60,7 +60,6 @@ CANDIDATES = 4096
 END, START = X.U(0x1D8E4E27C47D124F), X.U(0xEB382D69B1F1E2A5)
 _STEP = X.U(0x9E3779B97F4A7C15)
 _ONES = np.ones(WIDTH, np.float32)
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("k", "u1")])
 #: States of the expectation: 8 of how often, 4 of how surely, 3 of the one before.
 STATES = 96
 
@@ -123,15 +122,24 @@ def before(x: np.ndarray, owner: np.ndarray, n: int, none) -> np.ndarray:
     return out
 
 
-def context_keys(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48 bits of the hash of the two words before each token, 16 free; and which tokens have two."""
+#: Bits of a word's hash that tell continuations of one context apart.
+TELL = 12
+
+
+def context_bits(parts: int) -> int:
+    """Bits of a context's hash: 32 more than it takes to tell the ranges apart, so that as many contexts share one at any size."""
+    return min(32 + max(1, (parts - 1).bit_length()), 64 - TELL)
+
+
+def context_keys(h: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest so many bits of the hash of the two words before each token, the others 0; and which tokens have two."""
     w1, w2 = before(h, owner, 1, START), before(h, owner, 2, START)
-    return (X.mix(X.mix(w1 + X.U(11)) ^ w2) >> X.U(16)) << X.U(16), w2 != START
+    return X.mix(X.mix(w1 + X.U(11)) ^ w2) >> X.U(64 - bits) << X.U(64 - bits), w2 != START
 
 
-def short(h: np.ndarray) -> np.ndarray:
-    """16 bits of a word's hash, to tell continuations of one context apart."""
-    return (h >> X.U(20)) & X.U(0xFFFF)
+def short(h: np.ndarray, bits: int) -> np.ndarray:
+    """A word's bits in the place behind a context's."""
+    return ((h >> X.U(20)) & X.U((1 << TELL) - 1)) << X.U(64 - bits - TELL)
 
 
 # ---- blocks
@@ -152,13 +160,14 @@ def load(path: str, block: int):
 
 def _ask(h: np.ndarray, known: np.ndarray, k: np.ndarray, inverse: np.ndarray, training: np.ndarray, owner: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """By ranges: the words with their training counts; from ``parts`` on, training contexts with continuations and counts, and other contexts."""
-    entries = np.empty(len(known), _ENTRY)
-    entries["h"], entries["c"], entries["k"] = known, np.bincount(inverse, weights=training, minlength=len(known)), k
+    bits = context_bits(parts)
+    counts = np.bincount(inverse, weights=training, minlength=len(known)).astype("<u4")
     cut = B.cut_by_part(known, parts)
     for p in np.flatnonzero(np.diff(cut)).tolist():
-        yield p, entries[cut[p] : cut[p + 1]].tobytes()
-    keys, has = context_keys(h, owner)
-    s = np.sort((keys | short(h))[has & training])
+        s = slice(cut[p], cut[p + 1])
+        yield p, np.array([cut[p + 1] - cut[p]], "<u4").tobytes() + _steps(known[s]) + _planes(counts[s]) + k[s].tobytes()
+    keys, has = context_keys(h, owner, bits)
+    s = np.sort((keys | short(h, bits))[has & training])
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
     pairs, counts = s[first], np.diff(np.append(first, len(s)))
     once, often, other = pairs[counts == 1], pairs[counts > 1], np.sort(keys[has & ~training])
@@ -166,36 +175,56 @@ def _ask(h: np.ndarray, known: np.ndarray, k: np.ndarray, inverse: np.ndarray, t
     counts = counts[counts > 1].astype("<u4")
     cuts = [B.cut_by_part(x, parts) for x in (once, often, other)]
     for p in range(parts):
-        a, b, c = (x[p : p + 2].tolist() for x in cuts)
-        if a[0] < a[1] or b[0] < b[1] or c[0] < c[1]:
-            blob = np.array([a[1] - a[0], b[1] - b[0]], "<u4").tobytes() + counts[b[0] : b[1]].tobytes()
-            yield parts + p, blob + b"".join(_planes(x[i:j]) for x, (i, j) in zip((once, often, other), (a, b, c), strict=True))
+        at = [x[p : p + 2].tolist() for x in cuts]
+        if any(i < j for i, j in at):
+            lists = b"".join(_steps(x[i:j] >> X.U(64 - bits - TELL)) for x, (i, j) in zip((once, often, other), at, strict=True))
+            yield parts + p, np.array([j - i for i, j in at], "<u4").tobytes() + lists + _planes(counts[at[1][0] : at[1][1]])
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers byte by byte, highest bytes first: these hardly change, and compress away."""
-    return x.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte by byte, highest bytes first: where these are all 0, a shuffle's compression takes them away."""
+    return x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplanes(view: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    """n numbers of a kind, and where they end."""
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(view[at : at + n * size], np.uint8).reshape(size, n).T).view(np.dtype(kind).newbyteorder(">")).ravel()
+    return x.astype(kind), at + n * size
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return _planes(np.diff(x, prepend=X.U(0)))
 
 
-def _unplanes(blob: memoryview) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(X.U)
+def _unsteps(view: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
+    x, at = _unplanes(view, at, n, "u8")
+    return np.cumsum(x, dtype=X.U), at
 
 
 def _count_words(blobs: list[bytes]) -> tuple[list[bytes], pa.Table]:
     """Each block's counts in the order of its entries; sums by cell; the most frequent words."""
-    each = [np.frombuffer(b, _ENTRY) for b in blobs]
-    all_ = np.concatenate(each)
-    known, at, inverse = numbered(all_["h"])
-    c = np.bincount(inverse, weights=all_["c"]).astype(np.int64)
-    k, word, seen = all_["k"][at], known != END, c > 0
+    each: list[list[np.ndarray]] = [[], [], []]
+    for b in blobs:
+        view = memoryview(b)
+        n = int(np.frombuffer(view[:4], "<u4")[0])
+        h, at = _unsteps(view, 4, n)
+        c, at = _unplanes(view, at, n, "u4")
+        for x, y in zip(each, (h, c, np.frombuffer(view[at:], np.uint8)), strict=True):
+            x.append(y)
+    h, c, k = map(np.concatenate, each)
+    known, at, inverse = numbered(h)
+    c = np.bincount(inverse, weights=c).astype(np.int64)
+    k, word, seen = k[at], known != END, c > 0
     cells = GROUPS * GROUPS
     n, v = np.bincount(k, weights=c * word, minlength=cells), np.bincount(k[seen & word], minlength=cells)
     words = np.flatnonzero(word & seen)
     if len(words) > CANDIDATES:
         words = words[c[words] >= np.partition(c[words], -CANDIDATES)[-CANDIDATES]]
     words = words[np.lexsort((known[words], -c[words]))[:CANDIDATES]]
-    cut = np.cumsum([0, *map(len, each)]).tolist()
-    replies = [c[inverse[a:b]].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    cut = np.cumsum([0, *map(len, each[0])]).tolist()
+    replies = [_planes(c[inverse[a:b]].astype(X.U)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     end, cell = np.flatnonzero(~word), np.flatnonzero(v)
     more = {
         "kind": np.repeat([-1, -2, 0], [len(cell), len(end), len(words)]).astype(np.int32),
@@ -207,24 +236,26 @@ def _count_words(blobs: list[bytes]) -> tuple[list[bytes], pa.Table]:
     return replies, pa.table(more)
 
 
-def _continue(blobs: list[bytes]) -> list[bytes]:
-    """For each block the contexts it knows whose most frequent continuation was seen twice: context with the word's 16 bits, that count, the context's count."""
+def _continue(blobs: list[bytes], bits: int) -> list[bytes]:
+    """For each block the contexts it knows whose most frequent continuation was seen twice: context with the word's bits, that count, the context's count."""
     keys, counts, asked = [], [], []
     for b in blobs:
         view = memoryview(b)
-        n1, n2 = np.frombuffer(view[:8], "<u4").tolist()
-        c = np.frombuffer(view[8 : 8 + 4 * n2], "<u4")
-        at = 8 + 4 * n2
-        once, often, other = _unplanes(view[at : at + 8 * n1]), _unplanes(view[at + 8 * n1 : at + 8 * (n1 + n2)]), _unplanes(view[at + 8 * (n1 + n2) :])
-        keys += [once, often]
-        counts += [np.ones(n1, np.int64), c.astype(np.int64)]
-        asked.append((once, often, other))
+        sizes = np.frombuffer(view[:12], "<u4").tolist()
+        at, lists = 12, []
+        for n in sizes:
+            x, at = _unsteps(view, at, n)
+            lists.append(x << X.U(64 - bits - TELL))
+        keys += lists[:2]
+        counts += [np.ones(sizes[0], np.int64), _unplanes(view, at, sizes[1], "u4")[0].astype(np.int64)]
+        asked.append(lists)
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
     k, c = k[first], np.add.reduceat(c, first) if len(first) else c
-    x = k >> X.U(16)
+    tell = X.U(64 - bits)
+    x = k >> tell
     head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else first
     total, most = (np.add.reduceat(c, head), np.maximum.reduceat(c, head)) if len(head) else (c, c)
     of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(x))))
@@ -236,7 +267,7 @@ def _continue(blobs: list[bytes]) -> list[bytes]:
     for parts in asked:
         mine = np.zeros(len(x) + 1, bool)
         for p in parts:
-            want = p >> X.U(16)
+            want = p >> tell
             at = np.searchsorted(x, want)
             at[at < len(x)] = np.where(x[at[at < len(x)]] == want[at < len(x)], at[at < len(x)], len(x))
             mine[at] = True
@@ -350,7 +381,8 @@ class Block:
     def __init__(self, path: str, block: int, words: Words, parts: int):
         self.table, n, self.known, self.k, self.inverse = load(path, block)
         answers = B.answers_of(_file(path, block), "counts")
-        self.count = np.frombuffer(b"".join(answers[p] for p in sorted(answers) if p < parts), "<u8").astype(np.int64)
+        self.bits = context_bits(parts)
+        self.count = np.concatenate([_unplanes(memoryview(answers[p]), 0, len(answers[p]) // 8, "u8")[0] for p in sorted(answers) if p < parts]).astype(np.int64)
         self.expected, self.often, self.total = np.empty(0, X.U), np.empty(0, np.int64), np.empty(0, np.int64)
         if said := [answers[p] for p in sorted(answers) if p >= parts]:
             cut = [len(b) // 12 for b in said]
@@ -379,11 +411,11 @@ class Block:
         if not len(self.expected):
             return np.full(len(self.inverse), -1), np.zeros(len(self.inverse), bool)
         h = self.known[self.inverse]
-        keys, has = context_keys(h, self.owner)
-        x = self.expected >> X.U(16)
-        at = np.minimum(np.searchsorted(x, keys >> X.U(16)), len(x) - 1)
-        has &= x[at] == keys >> X.U(16)
-        hit = has & (self.expected[at] & X.U(0xFFFF) == short(h))
+        keys, has = context_keys(h, self.owner, self.bits)
+        x = self.expected >> X.U(64 - self.bits) << X.U(64 - self.bits)
+        at = np.minimum(np.searchsorted(x, keys), len(x) - 1)
+        has &= x[at] == keys
+        hit = has & (self.expected[at] == keys | short(h, self.bits))
         less = own & hit
         n, total = self.often[at] - less, np.maximum(self.total[at] - own, 1)
         has &= n > 0
@@ -517,7 +549,9 @@ def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndar
             size = -(-size // FAN)
         weights = weights.copy()
         flat = weights.reshape(-1, WIDTH)
-        for r in moved.groupBy("part").applyInArrow(_merge(True), schema).select("part", "at", "change").collect():  # the weights' size at most
+        with shuffles_end(spark):
+            found = moved.groupBy("part").applyInArrow(_merge(True), schema).select("part", "at", "change").collect()  # the weights' size at most
+        for r in found:
             if r["part"] < 0:
                 seen += np.frombuffer(r["change"], "<i8").reshape(2, STATES)
             else:
@@ -526,8 +560,8 @@ def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndar
     return weights, (seen[1] + 0.5) / (seen[0] + 1)
 
 
-def _make(path: str, parts: int, count: int):
-    """From rows sorted by block and hash: the blocks' files, and what each asks. Rows beyond twice a block's size (one row many times) go to blocks ``count`` further on."""
+def _make(path: str, count: int):
+    """From rows sorted by block and hash: the blocks' files. Rows beyond twice a block's size (one row many times) go to blocks ``count`` further on."""
 
     def store(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
@@ -537,11 +571,7 @@ def _make(path: str, parts: int, count: int):
         lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(inverse))
         B.save(_file(path, block), pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "tokens": lists}))
         B.save(_file(path, block) + ".words", pa.table({"h": known, "k": k[at]}))
-        training = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[owner]
-        rows = list(_ask(h, known, k[at], inverse, training, owner, parts))
-        for i in range(0, len(rows), 64):
-            some = rows[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b for _, b in some], pa.binary())], names=["part", "block", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, piece, held, size = None, 0, [], 0
@@ -567,12 +597,25 @@ def _make(path: str, parts: int, count: int):
     return run
 
 
+def _asked(path: str, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                table, n, known, k, inverse = load(path, block)
+                owner = np.repeat(np.arange(len(n)), n)
+                training = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[owner]
+                rows = list(_ask(known[inverse], known, k, inverse, training, owner, parts))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["part", "block", "blob"])
+
+    return run
+
+
 def _answer(parts: int):
     schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("k", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
         part, blocks, blobs = table.column("part")[0].as_py(), table.column("block").to_pylist(), table.column("blob").to_pylist()
-        replies, more = (_continue(blobs), None) if part >= parts else _count_words(blobs)
+        replies, more = (_continue(blobs, context_bits(parts)), None) if part >= parts else _count_words(blobs)
         out = pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array([part] * len(blocks), pa.int32()), "blob": pa.array(replies, pa.binary())})
         out = pa.table([*out.columns, *(pa.nulls(len(blocks), f.type) for f in list(schema)[3:])], schema=schema)
         if more is not None:
@@ -595,7 +638,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     dealt = rows.select(F.pmod(key, F.lit(count)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), key.alias("key"))
     tasks = min(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions("block", "key", "doc_id", "text")
-    asked = dealt.mapInArrow(_make(path, parts, count), "part int, block long, blob binary")
+    made = written(dealt.mapInArrow(_make(path, count), "block long"), "blocks")
+    asked = B.spread(made).mapInArrow(_asked(path, parts), "part int, block long, blob binary")
     run, schema = _answer(parts)
     answers = written(asked.groupBy("part").applyInArrow(run, schema), "word-counts")
     sums = answers.where("kind < 0").groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()  # a hundred cells and the end
@@ -608,7 +652,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         B.save(f"{_file(path, block)}.counts", table.select(["part", "blob"]).sort_by("part"))
         return pa.table({"block": pa.array([block], pa.int64())})
 
-    made = written(answers.where("block is not null").groupBy("block").applyInArrow(keep, "block long"), "blocks")
+    made = written(answers.where("block is not null").groupBy("block").applyInArrow(keep, "block long"), "counted-blocks")
     removed(answers)
     weights, p = train(path, made, words, parts)
     given = spark.sparkContext.broadcast((weights, p, words))

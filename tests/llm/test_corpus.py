@@ -229,13 +229,13 @@ def test_maxent_expectations(spark, tmp_path):
     words = [tokens(t) for t in texts]
     h, k, owner = maxent.tokens(pa.array(texts))
     word = [w for t in words for w in t]
-    code = {w: int(maxent.short(h[[word.index(w)]])[0]) for w in set(word)}
+    code = {w: int(maxent.short(h[[word.index(w)]], 40)[0]) for w in set(word)}
     known, at, inverse = maxent.numbered(h)
     own = np.array(training)[owner]
     parts = 3
     asked = list(maxent._ask(h, known, k[at], inverse, own, owner, parts))
     path = f"file://{tmp_path}"
-    answers = [(p, maxent._count_words([b])[0][0] if p < parts else maxent._continue([b])[0]) for p, b in asked]
+    answers = [(p, maxent._count_words([b])[0][0] if p < parts else maxent._continue([b], maxent.context_bits(parts))[0]) for p, b in asked]
     lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words])))), pa.array(inverse))
     blocks.save(maxent._file(path, 0), pa.table({"doc_id": range(80), "held_out": [not x for x in training], "tokens": lists}))
     blocks.save(maxent._file(path, 0) + ".words", pa.table({"h": known, "k": k[at]}))
