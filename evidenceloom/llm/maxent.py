@@ -463,7 +463,8 @@ class Trainer:
         s = flat[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         at = s[first]
-        total = np.add.reduceat(g.take(order // wide, axis=0), first, axis=0)
+        # as complex numbers, which adds two of a row's numbers at once
+        total = np.add.reduceat(g.view(np.complex64).take(order // wide, axis=0), first, axis=0).view(np.float32)
         q = squares[at] + np.einsum("ij,ij->i", total, total) / WIDTH
         squares[at] = q
         total *= (RATE / np.sqrt(q))[:, None]
