@@ -60,7 +60,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(docs, keep=["doc_id"])
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

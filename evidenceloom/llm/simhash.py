@@ -51,6 +51,8 @@ SEED = 42
 PIVOTS = 16
 #: Rows of a key that are compared with each other.
 MOST = 256
+#: Stands for a null id.
+_LAST = 9223372036854775807
 _PIVOTS = X.mix(np.arange(1, PIVOTS + 1, dtype=X.U) * X.U(0x2545F4914F6CDD1D))
 
 
@@ -228,25 +230,31 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     return few.union(many).repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_links(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with fingerprint (16 hex digits) and component_id, the smallest id that links lead to."""
-    fp, comp, shown = free(docs, "fp"), free(docs, "component_id"), free(docs, "fingerprint")
-    marked = fingerprint_column(docs, fp, text, width)
-    ids = written(marked.select(F.col(f"`{fp}`").alias("fp"), F.col(f"`{doc_id}`").alias("id")), "fingerprints")
-    nodes = written(ids.groupBy("fp").agg(F.min("id").alias("id")), "fingerprint-nodes")
-    found = components(links(nodes.select("fp"), max_bits))
-    labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("id").alias("component"))
-    of = written(labelled.join(smallest, "label").select(F.col("fp").alias(f"{fp}_"), "component"), "fingerprint-components")
-    joined = marked.join(of, F.col(f"`{fp}`") == F.col(f"`{fp}_`"))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.lower(F.lpad(F.hex(f"`{fp}`"), 16, "0")).alias(shown), F.col("component").alias(comp))
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """docs (or only the columns to keep) with fingerprint (16 hex digits) and component_id, the smallest id that links lead to.
+
+    Fingerprints are made once and written beside what is kept. A component's label is the struct of its smallest id and that row's
+    fingerprint, so labels lead to ids without a join by label, of which one may have most rows.
+    """
+    keep = docs.columns if keep is None else keep
+    fp, comp, shown, own = free(docs, "fp"), free(docs, "component_id"), free(docs, "fingerprint"), free(docs, "own_id")
+    marked = fingerprint_column(docs, fp, text, width).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{doc_id}`").cast("long").alias(own), F.col(f"`{fp}`"))
+    marked = written(marked, "fingerprints")
+    nodes = written(marked.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(F.coalesce(F.col(f"`{own}`"), F.lit(_LAST))).alias("id")), "fingerprint-nodes")
+    found = links(nodes.select("fp"), max_bits)
+    for x in ("a", "b"):
+        found = found.join(nodes.select(F.col("fp").alias(x), F.struct("id", "fp").alias(f"n{x}")), x)
+    labels = components(found.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    of = nodes.join(labels, nodes["fp"] == labels["node.fp"], "left").select(F.col("fp").alias(f"{fp}_"), F.coalesce("label.id", "id").alias("component"))
+    joined = marked.join(written(of, "fingerprint-components"), F.col(f"`{fp}`") == F.col(f"`{fp}_`"))
+    return joined.select(*(F.col(f"`{c}`") for c in keep), F.lower(F.lpad(F.hex(f"`{fp}`"), 16, "0")).alias(shown), F.nullif(F.col("component"), F.lit(_LAST)).alias(comp))
 
 
 BANDS, ROWS = 24, 5
 _ODD = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=X.U) * X.U(0xA24BAED4963EE407)) | X.U(1)
-#: Bits in which fingerprints of sets of Jaccard similarity 0.8 differ at most: 9.7 in the mean, standard deviation 2.9. Over it with a
-#: chance of 1.3e-5 at worst (sets of 4 and 5 shingles, under 120 shingles in common); a repeated shingle counts once, as in the sets.
-REACH = 26
+#: Bits in which fingerprints of sets of Jaccard similarity 0.8 and ``SMALL`` shingles or more differ at most: 9.7 in the mean, standard
+#: deviation 2.9, so over it with a chance of about 1e-8; a repeated shingle counts once, as in the sets.
+REACH, SMALL = 26, 160
 
 
 def _signatures(buf: np.ndarray, offs: np.ndarray, width: int):
@@ -349,12 +357,12 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     members = written(rows.join(shared, ["band", "value"]), "band-members")
     wanted = written(members.select("k").distinct().join(nodes.select("k", "id", "fp"), "k"), "band-nodes")
     texts = docs.mapInArrow(mark, T.StructType([*docs.schema, T.StructField(key, T.BinaryType())]))
-    last = F.lit(9223372036854775807)
+    last = F.lit(_LAST)
     own = wanted.select(F.col("k").alias("w_k"), F.coalesce("id", last).alias("w_id"))
     chosen = texts.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), last).alias("id"), F.col(f"`{text}`").alias("text"))
     chosen = chosen.join(own, (F.col("k") == F.col("w_k")) & (F.col("id") == F.col("w_id")))
     found = chosen.select("k", "text").mapInArrow(_shingle_sets(width), "k binary, shingles array<long>")
-    sets = written(found.groupBy("k").agg(F.first("shingles").alias("shingles")).join(nodes.select("k", "fp"), "k"), "shingle-sets")
+    sets = written(found.groupBy("k").agg(F.first("shingles").alias("shingles")).join(nodes.select("k", "fp", F.coalesce("id", last).alias("id")), "k"), "shingle-sets")
 
     # private shingles, which no other candidate has: they count against every pair of their text
     owners = sets.select(F.xxhash64("k").alias("o"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("o").alias("o")).where("c = 1")
@@ -366,8 +374,10 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     reps = placed.groupBy("band", "value").agg(F.min("k").alias("r0"), F.max("k").alias("r1"), F.min_by("k", F.struct("r", "k")).alias("r2"))
     stars = placed.select("band", "value", "k").join(reps, ["band", "value"]).select(F.explode(F.array("r0", "r1", "r2")).alias("a"), F.col("k").alias("b"))
     edges = _verified(_ordered(stars), sets, similarity)
-    parts = components(edges.select("a", "b"))
-    label = lambda found: wanted.select("k").join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", "k").alias("label"))
+    parts = components(edges.select("na", "nb").toDF("a", "b"))
+    # a label is the struct of a component's smallest id and that text's key: it leads to the id without a join by label
+    ids = wanted.select("k", F.struct(F.coalesce("id", last).alias("id"), "k").alias("own"))
+    label = lambda found: ids.join(found, F.col("k") == F.col("node.k"), "left").select("k", F.coalesce("label", "own").alias("label"))
     # groups in which several components are left, without the members that are too unlike every member of another component to be worth a look
     labelled = placed.join(label(parts), "k")
     least = labelled.groupBy("band", "value", "label").agg(F.min("r").alias("r"), F.min("n").alias("n"))
@@ -390,18 +400,16 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     cheap = able(c("n"), c("r"), c("n2"), c("r2"), F.least(c("n") - c("r"), c("n2") - c("r2")))
     across = rest.join(other, ["band", "value"]).where((c("label") < c("label2")) & cheap & able(c("n"), c("r"), c("n2"), c("r2"), common))
     more = _verified(_ordered(across.select(F.col("k").alias("a"), F.col("k2").alias("b"))).join(_ordered(stars), ["a", "b"], "left_anti"), sets, similarity)
-    of = label(components(edges.unionByName(more).select("a", "b")))
-    ids = of.join(nodes.select("k", "id"), "k")
-    smallest = ids.groupBy("label").agg(F.min("id").alias("component"))
-    # nodes without any link are their own component
-    with_label = ids.join(smallest, "label").select("k", "component", "label")
-    final = written(nodes.select("k", "id", "fp").join(with_label, "k", "left").select(F.col("k").alias("own_key"), "fp", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), F.coalesce("label", "k").alias("label")), "text-components")
+    of = label(components(edges.unionByName(more).select("na", "nb").toDF("a", "b")))
+    # nodes without any candidate are their own component
+    final = nodes.select("k", "id", "fp").join(of, "k", "left").select(F.col("k").alias("own_key"), "fp", F.coalesce("label.id", "id").alias("component"), F.coalesce("label.k", "k").alias("label"))
+    final = written(final, "text-components")
     joined = texts.join(final, F.col(f"`{key}`") == final["own_key"], "left")
     shown, comp, group = free(docs, "fingerprint"), free(docs, "component_id"), free(docs, "component_key")
     return joined.select(
         *(texts[f"`{c}`"] for c in docs.columns),
         F.lower(F.lpad(F.hex(F.coalesce(final["fp"], F.lit(0))), 16, "0")).alias(shown),
-        F.when(final["own_key"].isNull(), texts[f"`{doc_id}`"].cast("long")).otherwise(final["component"]).alias(comp),
+        F.when(final["own_key"].isNull(), texts[f"`{doc_id}`"].cast("long")).otherwise(F.nullif(final["component"], last)).alias(comp),
         final["label"].alias(group),
     )
 
@@ -411,14 +419,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar: pivot distances first, then bits, then the sets."""
-    left = sets.select(F.col("k").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("k").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
-    prints = pairs.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
-    for p in _PIVOTS.view(np.int64)[:4].tolist():
-        prints = prints.where(F.abs(F.bit_count(F.col("fa").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("fb").bitwiseXOR(F.lit(p)))) <= REACH)
-    near = prints.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= REACH).select("a", "b")
-    both = near.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b")
+    """The pairs (a, b) of keys, with their nodes (na, nb), whose sets are similar: pivot distances first, then bits, then the sets.
+
+    Sets of under ``SMALL`` shingles are cheap to compare, and their fingerprints say little: these go to the sets at once.
+    """
+    left = sets.select(F.col("k").alias("a"), F.struct("id", "k").alias("na"), F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("k").alias("b"), F.struct("id", "k").alias("nb"), F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
+    prints = pairs.join(left.select("a", "fa", F.size("sa").alias("n")), "a").join(right.select("b", "fb"), "b")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= REACH
+    for p in reversed(_PIVOTS.view(np.int64)[:4].tolist()):
+        near = (F.abs(F.bit_count(F.col("fa").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("fb").bitwiseXOR(F.lit(p)))) <= REACH) & near
+    both = prints.where((F.col("n") < SMALL) | near).select("a", "b").join(left.drop("fa"), "a").join(right.drop("fb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     together = (F.size("sa") + F.size("sb")).cast("double")
-    return written(both.select("a", "b", common.alias("c"), together.alias("t")).where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("a", "b"), "similar")
+    return written(both.select("a", "b", "na", "nb", common.alias("c"), together.alias("t")).where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("a", "b", "na", "nb"), "similar")
