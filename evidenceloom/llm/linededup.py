@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .columns import free
 
 _LAST = 9223372036854775807
+#: Goes before the lines in the second hash, which so has another seed.
+_SECOND = 7046029254386353131
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,7 +38,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     windows = docs.where(F.size(lines) >= 3).select(*keys, F.posexplode(sides).alias("i", "w"))
     windows = windows.select("k_id", "k_text", "i", *(F.col("w").getItem(x).alias(f"h{j}") for j, x in enumerate(("h0", "h1", "h2"))))
     windows = windows.where((F.col("h0") != blank) | (F.col("h1") != blank) | (F.col("h2") != blank))
-    windows = windows.select("k_id", "k_text", "i", F.xxhash64("h0", "h1", "h2").alias("a"), F.hash("h2", "h0", "h1").alias("b"))
+    windows = windows.select("k_id", "k_text", "i", F.xxhash64("h0", "h1", "h2").alias("a"), F.xxhash64(F.lit(_SECOND), "h2", "h0", "h1").alias("b"))
     place = F.struct("k_id", "k_text", "i")
     twice = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
     later = windows.join(twice, ["a", "b"]).where(place > F.col("first"))
