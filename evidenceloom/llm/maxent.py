@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -524,6 +524,12 @@ def _merge(last: bool):
     return run
 
 
+def _dealt(blocks: DataFrame, number: Column | None = None) -> DataFrame:
+    """Blocks in turn to all tasks, so that none gets two more than another."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.select("block").repartitionById(tasks, ((F.col("block") if number is None else number) % tasks).cast("int"))
+
+
 def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The weights after all rounds, and the chance that an expectation holds, by state."""
     spark = made.sparkSession
@@ -544,7 +550,8 @@ def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndar
                     ids = [pa.array([r[0] for r in rows], pa.int32()), pa.array([block // ROUNDS] * len(rows), pa.int64())]
                     yield pa.RecordBatch.from_arrays([*ids, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=_CHANGES)
 
-        moved, size = B.spread(made.where(F.col("block") % ROUNDS == n)).mapInArrow(run, schema), most // ROUNDS + 1
+        mine = _dealt(made.where(F.col("block") % ROUNDS == n), F.floor(F.col("block") / ROUNDS))
+        moved, size = mine.mapInArrow(run, schema), most // ROUNDS + 1
         while size > FAN:
             moved = moved.groupBy("part", F.floor(F.col("block") / FAN)).applyInArrow(_merge(False), schema)
             size = -(-size // FAN)
@@ -640,7 +647,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     tasks = min(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions("block", "key", "doc_id", "text")
     made = written(dealt.mapInArrow(_make(path, count), "block long"), "blocks")
-    asked = B.spread(made).mapInArrow(_asked(path, parts), "part int, block long, blob binary")
+    asked = _dealt(made).mapInArrow(_asked(path, parts), "part int, block long, blob binary")
     run, schema = _answer(parts)
     answers = written(asked.groupBy("part").applyInArrow(run, schema), "word-counts")
     sums = answers.where("kind < 0").groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()  # a hundred cells and the end
@@ -670,4 +677,4 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), block.table.column("held_out").combine_chunks(), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return B.spread(made).mapInArrow(results, shape)
+    return _dealt(made).mapInArrow(results, shape)
