@@ -17,7 +17,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings under which steps are written: shuffles go with their step, and batches for Python workers are bounded in bytes, however long texts are.
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,20 +40,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs meanwhile go as soon as it ends, and not when the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile gives its shuffle files up as soon as it ends, not when the driver happens to collect its garbage, and sends Python small batches."""
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df by way of a Parquet table in the shared folder: its lineage ends there."""
     path = scratch(df.sparkSession, name)
-    with shuffles_end(df.sparkSession):
+    with lean(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
