@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import html
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values
+# Word lists and patterns that decide which titles are equal and what is dropped
 STOP_WORDS = [
     "der", "die", "das", "den", "dem", "des", "ein", "eine", "und", "mit", "im", "in", "am", "an", "um", "auf", "bei", "fuer", "von", "vom",
     "zum", "zur", "the", "a", "an", "and", "of", "at", "with", "omu", "omdtu", "omeu", "omenglu", "ov", "odf", "df", "oful",
@@ -28,21 +34,55 @@ ORGANISATION_WORDS = [
     "verein", "e.v.", "ev", "gmbh", "og", "kg", "club", "pfarre", "kirche", "universität", "uni", "institut", "verband", "chor", "schule",
     "zentrum", "haus", "bar", "café", "cafe", "theater", "museum", "galerie", "stadt", "linz", "team", "gruppe", "band", "orchester", "kulturverein",
 ]
-# Letters whose decomposition starts with an ASCII letter
-ACCENTED = "àáâãåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõōŏőŕŗřśŝşšţťùúûũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooorrrssssttuuuuuuuuuwyyyzzz"
+RECURS = (
+    r"(?iU)\b(jede[nrm]?\s|wöchentlich|monatlich|täglich|vierzehntägig|14-?tägig|alle\s+(zwei|drei|vier|zwölf|14)\s"
+    r"|(montags|dienstags|mittwochs|donnerstags|freitags|samstags|sonntags))"
+)
+#: Words of explicit starting times, with hour and minute.
+BEGINS = r"(?iU)\b(?:konzert|veranstaltungs|vorstellungs)beginn\s*:?\s*(\d{1,2})[:.](\d{2})(?:\s*uhr)?\b"
 
 
 def _words(words: list[str]) -> Column:
     return F.array(*map(F.lit, dict.fromkeys(words)))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def rarely(text: Column, pattern: str, change: Callable[[str], str]) -> Column:
+    """change(text) where the pattern stands in the text, by a batch function that gets no other text."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(change, na_action="ignore")
+
+    odd = text.rlike(pattern)
+    return F.when(odd, run(F.when(odd, text))).otherwise(text)
+
+
+@functools.cache
+def _foldings() -> tuple[str, str, str, str]:
+    """Letters whose compatible decomposition has one ASCII character, and these; a class of those that have more, and what these become."""
+    one, many = [], []
+    for code in [*range(0x80, 0x3400), *range(0xA600, 0xAB70), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if plain:
+            (one if len(plain) == 1 else many).append((chr(code), plain))
+    letters, ascii_ = ("".join(x) for x in zip(*one, strict=True))
+    return letters, ascii_, "[" + "".join(c for c, _ in many) + "]", "\x01".join(f"{c}\x02{p}" for c, p in many)
+
+
 def fold(text: Column) -> Column:
-    """Lower case with umlauts spelled out and accents taken off; other non-ASCII letters go."""
+    """Lower case with umlauts spelled out, in ASCII by compatible decomposition; what has none goes."""
+    letters, ascii_, odd, becomes = _foldings()
     s = F.lower(text)
     for umlaut, plain in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         s = F.replace(s, F.lit(umlaut), F.lit(plain))
-    return F.regexp_replace(F.translate(s, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    long = F.str_to_map(F.lit(becomes), F.lit("\x01"), F.lit("\x02"))
+    s = F.when(s.rlike(odd), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(long, c), c)), "")).otherwise(s)
+    return F.regexp_replace(F.translate(s, letters, ascii_), r"[^\x00-\x7F]", "")
 
 
 def title_words(title: Column) -> Column:
@@ -58,27 +98,36 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-# The entities that listings escape twice, besides numeric ones, which unescape() leaves
-ENTITIES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&ndash;": "–", "&amp;": "&"}
-
-
 def clean_text(text: Column) -> Column:
-    """Entities unescaped twice, white space collapsed."""
-    for _ in range(2):
-        for entity, char in ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(char))
-    return collapse(text)
+    """Entities unescaped twice (all of HTML's, by a batch function over the texts that have an ampersand), white space collapsed."""
+    return collapse(rarely(text, "&", lambda t: html.unescape(html.unescape(t))))
 
 
 def clean_title(title: Column, venue: Column) -> Column:
-    """Without decoration, selling words and the venue's name at the end (if four characters are left)."""
-    t = collapse(F.regexp_replace(F.regexp_replace(title, DECORATION, " "), CLICKBAIT, ""))
-    v = F.lower(F.trim(venue))
-    out = t
-    for suffix in (F.concat(F.lit("- "), v, F.lit(" linz")), F.concat(F.lit("- "), v), F.concat(v, F.lit(" linz")), v):  # the last that fits is tried first below
-        short = F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(suffix)), r"[ \-–—|,/]+$", "")
-        out = F.when(F.lower(t).endswith(suffix) & (F.length(t) - F.length(suffix) >= 4), short).otherwise(out)
-    return F.when(F.coalesce(F.length(v), F.lit(0)) == 0, t).otherwise(out)
+    """Without decoration, selling words and the venue's name at the end, also with the city behind it (if four characters are left)."""
+
+    def without(t: Column) -> Column:
+        v = F.lower(F.trim(venue))
+        ends = lambda x: F.coalesce(F.lower(t).endswith(x) & (F.length(t) - F.length(x) >= 4), F.lit(False))
+        city = F.concat(v, F.lit(" linz"))
+        cut = F.when(F.coalesce(F.length(v), F.lit(0)) == 0, 0).when(ends(v), F.length(v)).when(ends(city), F.length(city)).otherwise(0)
+        return F.when(cut > 0, F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - cut), r"[ \-–—|,/]+$", "")).otherwise(t)
+
+    return let(collapse(F.regexp_replace(F.regexp_replace(title, DECORATION, " "), CLICKBAIT, "")), without)
+
+
+def recurs(description: Column) -> Column:
+    """Whether a text uses the words of a recurrence."""
+    return description.rlike(RECURS)
+
+
+def explicit_start(starts: Column, description: Column, day_only: Column) -> Column:
+    """The start, or the one that a text names as the performance's, if only the day was known or they are six hours apart at most."""
+    hour, minute = (F.regexp_extract(F.coalesce(description, F.lit("")), BEGINS, i).try_cast("int") for i in (1, 2))
+    day = F.date_trunc("day", F.from_utc_timestamp(starts, "Europe/Vienna"))
+    named = F.to_utc_timestamp(day + F.make_dt_interval(F.lit(0), hour, minute), "Europe/Vienna")
+    close = day_only | (F.abs(F.unix_seconds(named) - F.unix_seconds(starts)) <= 6 * 3600)
+    return F.when((hour <= 23) & (minute <= 59) & close, named).otherwise(starts)
 
 
 def is_placeholder(title: Column, source_name: Column) -> Column:

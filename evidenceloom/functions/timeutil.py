@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+import re
+from zoneinfo import ZoneInfo
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:  # the tolerant parser; without it only the formats below are read
+    from dateutil import parser as tolerant
+except ImportError:
+    tolerant = None
+
 ZONE = "Europe/Vienna"
-# German month names and their numbers, longest first
+# German month names and abbreviations, and what stands for them in English
 MONTHS = {
-    "Jänner": "01", "Januar": "01", "Jän.": "01", "Jan.": "01", "Februar": "02", "Feb.": "02", "März": "03", "Mär.": "03", "April": "04", "Apr.": "04", "Mai": "05",
-    "Juni": "06", "Jun.": "06", "Juli": "07", "Jul.": "07", "August": "08", "Aug.": "08", "September": "09", "Sept.": "09", "Sep.": "09",
-    "Oktober": "10", "Okt.": "10", "November": "11", "Nov.": "11", "Dezember": "12", "Dez.": "12",
+    "Jänner": "January", "Jän.": "Jan", "Februar": "February", "Feb.": "Feb", "März": "March", "Mär.": "Mar", "April": "April", "Apr.": "Apr", "Mai": "May",
+    "Juni": "June", "Jun.": "Jun", "Juli": "July", "Jul.": "Jul", "August": "August", "Aug.": "Aug", "September": "September", "Sept.": "Sep", "Sep.": "Sep",
+    "Oktober": "October", "Okt.": "Oct", "November": "November", "Nov.": "Nov", "Dezember": "December", "Dez.": "Dec",
 }
-FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "d.M.yyyy, HH:mm", "d.M.yyyy HH:mm", "d.M.yyyy", "yyyyMMdd'T'HHmmss", "yyyyMMdd"]
+_MONTH = re.compile("|".join(re.escape(m) + ("" if m.endswith(".") else r"(?![a-zäöüß])") for m in MONTHS))
+#: What most sources write, parsed without leaving the JVM.
+FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
 
 
 def local(ts: Column, zone: str = ZONE) -> Column:
@@ -46,14 +59,40 @@ def effective_confidence(confidence: Column, confirmed: Column, now: Column, cad
     return confidence * F.pow(F.lit(0.9), F.coalesce(F.least(F.lit(50), F.greatest(F.lit(0), steps)), F.lit(0)).cast("double"))
 
 
-def parse_time(text: Column, zone: str = ZONE) -> Column:
-    """The instant that a text names, local unless it has an offset; null if none of the formats fits. Of a range the left side counts."""
-    s = F.regexp_replace(F.get(F.split(F.trim(text), " – "), F.lit(0)), r" Uhr$", "")
-    for name, number in MONTHS.items():
-        s = F.regexp_replace(s, r"\.?\s*" + name.replace(".", r"\.") + r"\s*", f".{number}.")
-    s = F.regexp_replace(s, "Z$", "+00:00")
-    with_offset = F.try_to_timestamp(s, F.lit(FORMATS[0]))
-    return F.coalesce(with_offset, *(F.to_utc_timestamp(F.try_to_timestamp(s, F.lit(f)), zone) for f in FORMATS[1:]))
+@functools.lru_cache(1 << 16)
+def instant(text: str, zone: str = ZONE, today: dt.date | None = None) -> dt.datetime | None:
+    """The instant that a text names, local unless it has an offset; None if it names none. Of a range the left side counts.
+
+    Months may be German. What the text leaves out is taken from today (the first of January 2000 if not given) at midnight.
+    """
+    s = text.strip().split(" – ", 1)[0].removesuffix(" Uhr")
+    s = _MONTH.sub(lambda m: MONTHS[m[0]], s)
+    try:
+        if tolerant is None:
+            found = dt.datetime.fromisoformat(s)
+        else:
+            found = tolerant.parse(s, default=dt.datetime.combine(today or dt.date(2000, 1, 1), dt.time()))
+        found = found if found.tzinfo else found.replace(tzinfo=ZoneInfo(zone))
+        return found.astimezone(dt.timezone.utc)
+    except (ValueError, OverflowError, TypeError):
+        return None
+
+
+def parse_time(text: Column, zone: str = ZONE, today: dt.date | None = None) -> Column:
+    """instant() of a column: the usual formats in the JVM, the others in batches."""
+
+    @F.pandas_udf("long")
+    def others(values: pd.Series) -> pd.Series:
+        found = values.map(lambda t: instant(t, zone, today), na_action="ignore")
+        return found.map(lambda x: None if x is None or x is pd.NaT or pd.isna(x) else int((x - _EPOCH) // _MICRO)).astype("Int64")
+
+    usual = text.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(Z|[+-]\d\d:\d\d)?)?)?$")
+    with_offset = F.try_to_timestamp(F.when(usual, F.regexp_replace(text, "Z$", "+00:00")), F.lit(FORMATS[0]))
+    known = F.coalesce(with_offset, *(F.to_utc_timestamp(F.try_to_timestamp(F.when(usual, text), F.lit(f)), zone) for f in FORMATS[1:]))
+    return F.when(usual, known).otherwise(F.timestamp_micros(others(F.when(~usual, text))))
+
+
+_EPOCH, _MICRO = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc), dt.timedelta(microseconds=1)
 
 
 def parse_date(text: Column) -> Column:

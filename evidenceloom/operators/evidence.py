@@ -80,3 +80,16 @@ def contract(rows: DataFrame, fields: list[str], parsed: Column, least_items: in
     for f in fields:
         ok = ok & (F.col(f"has_{f}") >= least_present)
     return out.withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def span(claims: DataFrame, key: list[str], at: str = "extracted_at", cadence: str = "cadence_days") -> DataFrame:
+    """When each key was first and last seen, and the shortest cadence of what saw it."""
+    return claims.groupBy(*key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.min(cadence).alias("cadence_days"))
+
+
+def top_tags(tags: DataFrame, key: list[str], name: Column, confidence: Column, most: int = 16) -> DataFrame:
+    """Each key's estimated tags by their cleaned names, the surest of each held between 0 and 1, the surest sixteen of all."""
+    rows = tags.select(*key, name.alias("name"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence, F.lit(0.0)))).alias("confidence")).where("name is not null")
+    best = rows.groupBy(*key, "name").agg(F.max("confidence").alias("confidence"))
+    w = Window.partitionBy(*key).orderBy(F.col("confidence").desc(), "name")
+    return best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

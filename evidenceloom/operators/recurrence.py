@@ -94,16 +94,81 @@ def mode(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return counts.groupBy(*key).agg(F.max_by(value, F.struct(F.col("c"), -F.col(value))).alias("mode"))
 
 
+def modes(rows: DataFrame, key: list[str], starts: str = "starts_at", ends: str = "ends_at", zone: str = ZONE) -> DataFrame:
+    """Each key's most frequent wall-clock minute and, of rows with an end, duration in seconds (of equally frequent ones the smallest)."""
+    local = F.from_utc_timestamp(F.col(starts).cast("timestamp"), zone)
+    values = {"minutes": F.hour(local) * 60 + F.minute(local), "duration_s": F.unix_seconds(F.col(ends).cast("timestamp")) - F.unix_seconds(F.col(starts).cast("timestamp"))}
+    out = rows.select(*key).distinct()
+    for name, value in values.items():
+        out = out.join(mode(rows.select(*key, value.cast("long").alias("_v")), key, "_v").withColumnRenamed("mode", name), key, "left")
+    return out
+
+
 def parse_rrule(text: Column) -> Column:
-    """FREQ, INTERVAL, BYDAY and UNTIL of an iCalendar rule, as a rule's columns; other frequencies are irregular."""
-    part = lambda k: F.regexp_extract(text, rf"(?i)(?:^|;|:){k}=([^;]+)", 1)
-    day = F.regexp_extract(part("BYDAY"), r"(?i)(-?\d*)(MO|TU|WE|TH|FR|SA|SU)", 2)
-    nth = F.regexp_extract(part("BYDAY"), r"(?i)(-?\d*)(MO|TU|WE|TH|FR|SA|SU)", 1)
-    freq = F.upper(part("FREQ"))
+    """The parts of an iCalendar rule: freq (null if it is none that days can tell), every, until, count, days (nth, day), month_days, months, positions."""
+    part = lambda k: F.regexp_extract(F.upper(text), rf"(?:^|[;:\s]){k}=([^;\s]+)", 1)
+    numbers = lambda k: F.transform(F.filter(F.split(part(k), ","), lambda x: x.rlike(r"^[+-]?\d+$")), lambda x: F.regexp_replace(x, r"^\+", "").cast("int"))
+    day = lambda x: F.struct(F.nullif(F.regexp_replace(F.regexp_extract(x, r"^([+-]?\d*)", 1), r"^\+", ""), F.lit("")).cast("int").alias("nth"), F.coalesce(*(F.when(F.right(x, F.lit(2)) == d, i) for d, i in WEEKDAYS.items())).alias("day"))
+    days = F.transform(F.filter(F.split(part("BYDAY"), ","), lambda x: x.rlike(r"^[+-]?\d*(MO|TU|WE|TH|FR|SA|SU)$")), day)
+    unknown = F.upper(text).rlike(r"(?:^|[;:\s])(BYWEEKNO|BYYEARDAY|BYHOUR|BYMINUTE|BYSECOND|BYEASTER)=")
+    freq = part("FREQ")
     return F.struct(
-        F.when(freq == "DAILY", "daily").when(freq == "WEEKLY", "weekly").when((freq == "MONTHLY") & (day != ""), "monthly_by_weekday").otherwise("irregular").alias("freq"),
-        F.nullif(F.upper(day), F.lit("")).alias("weekday"),
-        F.when(nth != "", nth.cast("int")).alias("week_of_month"),
-        F.when(part("INTERVAL") != "", part("INTERVAL").cast("int")).otherwise(1).alias("interval"),
-        F.try_to_date(F.nullif(F.substring(part("UNTIL"), 1, 8), F.lit("")), "yyyyMMdd").alias("valid_until"),
+        F.when(freq.isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY") & ~unknown, freq).alias("freq"),
+        F.greatest(F.coalesce(F.when(part("INTERVAL").rlike(r"^\d+$"), part("INTERVAL").cast("int")), F.lit(1)), F.lit(1)).alias("every"),
+        F.try_to_date(F.nullif(F.substring(part("UNTIL"), 1, 8), F.lit("")), "yyyyMMdd").alias("until"),
+        F.when(part("COUNT").rlike(r"^\d+$"), part("COUNT").cast("int")).alias("count"),
+        days.alias("days"), numbers("BYMONTHDAY").alias("month_days"), numbers("BYMONTH").alias("months"), numbers("BYSETPOS").alias("positions"),
+        F.when(part("WKST").isin(*WEEKDAYS), F.coalesce(*(F.when(part("WKST") == d, i) for d, i in WEEKDAYS.items()))).otherwise(0).alias("week_start"),
+    )
+
+
+def rrule_dates(rules: DataFrame, key: str, rule: str, first: str, start: str, stop: str) -> DataFrame:
+    """key and day: the local dates of iCalendar rules from column start to column stop (both inclusive).
+
+    rules: key, rule (text), first (the date of DTSTART, from which intervals and counts run). Days are exploded and held against the
+    rule's parts, so a rule costs a row for each day; counts and positions are ranks within a rule and within one of its periods.
+    """
+    c = F.col
+    r = rules.select(key, c(first).alias("first"), c(start).alias("start"), c(stop).alias("stop"), parse_rrule(c(rule)).alias("r")).select(key, "first", "start", "stop", "r.*")
+    r = r.where(c("freq").isNotNull() & c("first").isNotNull())
+    # what was before the span matters only for counts and positions
+    begin = F.when(c("count").isNotNull(), c("first")).otherwise(F.greatest("first", F.trunc("start", "year")))
+    end = F.least(c("stop"), F.coalesce("until", "stop"))
+    # positions count within whole periods, of which the first and last may begin before and end after the span
+    ranked = F.size("positions") > 0
+    whole = F.when(ranked, F.date_add(F.last_day(F.add_months(F.trunc(end, "year"), 11)), 7)).otherwise(end)
+    day = r.where(begin <= end).withColumn("day", F.explode(F.sequence(F.when(ranked, F.date_sub(F.trunc(begin, "year"), 7)).otherwise(begin), whole)))
+    d = c("day")
+    month_end = F.last_day(d)
+    in_month, left = F.dayofmonth(d), F.dayofmonth(d) - F.dayofmonth(month_end) - 1
+    weekday = F.weekday(d)
+    week = lambda x: F.date_sub(x, F.pmod(F.weekday(x) - c("week_start"), F.lit(7)))
+    year_end = F.last_day(F.add_months(F.trunc(d, "year"), 11))
+    by_year = (c("freq") == "YEARLY") & (F.size("months") == 0)
+    nth = F.when(by_year, F.floor((F.dayofyear(d) - 1) / 7) + 1).otherwise(F.floor((in_month - 1) / 7) + 1).cast("int")
+    nth_last = -(F.when(by_year, F.floor((F.dayofyear(year_end) - F.dayofyear(d)) / 7) + 1).otherwise(F.floor((F.dayofmonth(month_end) - in_month) / 7) + 1)).cast("int")
+    counted = c("freq").isin("MONTHLY", "YEARLY")
+    any_day = F.exists("days", lambda x: (x["day"] == weekday) & (x["nth"].isNull() | ~counted | (x["nth"] == nth) | (x["nth"] == nth_last)))
+    no_days, no_month_days, no_months = F.size("days") == 0, F.size("month_days") == 0, F.size("months") == 0
+    bare = no_days & no_month_days
+    same = (
+        F.when((c("freq") == "WEEKLY") & bare, weekday == F.weekday("first"))
+        .when((c("freq") == "MONTHLY") & bare, in_month == F.dayofmonth("first"))
+        .when((c("freq") == "YEARLY") & bare, (in_month == F.dayofmonth("first")) & (~no_months | (F.month(d) == F.month("first"))))
+        .otherwise(True)
+    )
+    passed = (
+        F.when(c("freq") == "DAILY", F.datediff(d, "first"))
+        .when(c("freq") == "WEEKLY", F.datediff(week(d), week(c("first"))) / 7)
+        .when(c("freq") == "MONTHLY", F.year(d) * 12 + F.month(d) - F.year("first") * 12 - F.month("first"))
+        .otherwise(F.year(d) - F.year("first"))
     )
+    # BYMONTHDAY of a yearly rule without BYMONTH holds in every month, as does BYDAY without a number
+    fits = (F.pmod(passed, c("every")) == 0) & same & (no_days | any_day) & (no_months | F.array_contains("months", F.month(d))) & (no_month_days | F.exists("month_days", lambda x: (x == in_month) | (x == left)))
+    found = day.where(fits)
+    period = F.when(c("freq") == "DAILY", d).when(c("freq") == "WEEKLY", week(d)).when(c("freq") == "MONTHLY", F.trunc(d, "month")).otherwise(F.trunc(d, "year"))
+    w = Window.partitionBy(key, "first", period)
+    up, down = F.row_number().over(w.orderBy("day")), -F.row_number().over(w.orderBy(F.col("day").desc()))
+    found = found.withColumns({"_up": up, "_down": down}).where((F.size("positions") == 0) | F.array_contains("positions", c("_up")) | F.array_contains("positions", c("_down")))
+    found = found.where((d >= c("first")) & (d <= end)).withColumn("_n", F.row_number().over(Window.partitionBy(key, "first").orderBy("day")))
+    return found.where((c("count").isNull() | (c("_n") <= c("count"))) & d.between(c("start"), c("stop"))).select(key, "day")

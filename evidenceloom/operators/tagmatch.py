@@ -21,7 +21,10 @@ def match(tags: DataFrame, concepts: DataFrame, n_concepts: int, event: str = "e
     """
     if not 1 <= n_concepts <= MAX_DESIRED:
         raise ValueError(f"1 to {MAX_DESIRED} concepts")
-    c = F.broadcast(concepts.select(F.col("concept"), F.col("name").alias("c_name"), F.col("vector").alias("c_vector")).limit(MAX_DESIRED + 1))
+    few = concepts.select(F.col("concept"), F.col("name").alias("c_name"), F.col("vector").alias("c_vector")).limit(MAX_DESIRED + 2)
+    if few.count() > MAX_DESIRED + 1:
+        raise ValueError(f"at most {MAX_DESIRED} concepts and their phrase")
+    c = F.broadcast(few)
     same = F.col("name") == F.col("c_name")
     related = F.when(same, 1.0).when(F.col("vector").isNull() | F.col("c_vector").isNull(), 0.0).otherwise(relatedness(cosine(F.col("vector"), F.col("c_vector"))))
     scored = tags.join(c).select(event, "concept", (F.col("confidence") * related).alias("s"), F.when(same, F.col("confidence")).otherwise(0.0).alias("exact"))

@@ -48,6 +48,7 @@ def _rarest(rows: DataFrame, key: str, often: DataFrame) -> DataFrame:
 
 
 def reconcile(pairs: DataFrame) -> DataFrame:
-    """Proposals from merges across venues (name_a, name_b, lat_a, ...): an alias within 300 m, else a note for review."""
-    near = distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= SAME_PLACE_M
-    return pairs.withColumn("proposal", F.when(F.coalesce(near, F.lit(False)), "alias").otherwise("review"))
+    """Proposals from merges across venues (name_a, name_b, lat_a, ...): an alias where both are known, within 300 m, and the name is a venue's; else a note for review."""
+    near = distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) < SAME_PLACE_M
+    named = (F.coalesce("name_b", F.lit("")) != "") & ~is_generic_location(F.col("name_b"))
+    return pairs.withColumn("proposal", F.when(F.coalesce(near & named, F.lit(False)), "alias").otherwise("review"))

@@ -1,7 +1,8 @@
 """The canon as a pure function of the claim log: group, merge, identify, project.
 
 Claims carry claim_id, source_id, source_name, trust, extracted_at, title, starts_at, ends_at, and optional venue_name, address, lat, lon,
-organizer, url, description, category, price_min, price_max, status, confidence, recurrence (a rule's columns), description.
+organizer, url, description, category, price_min, price_max, status, confidence, recurrence (a rule's columns), rrule_raw (a calendar's own rule),
+source_lat, source_lon (where the source is), horizon_days (how far ahead it shows dates), tags.
 What a model or a person decided enters as verdict tables keyed by md5; without a verdict the careful answer holds
 (different, only observed dates, not projected), and the open question is given out. Every choice
 among rows has a total order, so the result does not depend on the order of the log.
@@ -16,13 +17,14 @@ from pyspark.sql import functions as F
 
 from evidenceloom.functions import similarity, text
 from evidenceloom.functions.geo import geo_cell
-from evidenceloom.functions.timeutil import has_time, local_day
+from evidenceloom.functions.timeutil import ZONE, has_time, local_day
 from evidenceloom.operators import evidence, recurrence
 from evidenceloom.operators.blocking import candidate_pairs
 from evidenceloom.operators.components import components
-from evidenceloom.operators.venues import resolve
+from evidenceloom.operators.venues import reconcile, resolve
 from evidenceloom.plans import present
 from evidenceloom.plans.search import CATEGORIES
+from evidenceloom.sources.landing import cleaned
 from evidenceloom.sources.scratch import written
 
 PAST_DAYS, FUTURE_DAYS = 90, 550
@@ -39,17 +41,25 @@ def verdict_key(a: Column, b: Column) -> Column:
 
 def load(claims: DataFrame, now: Column) -> DataFrame:
     """Newest claim of each source and raw fingerprint, cleaned, within the retention window, without placeholders and notices."""
-    c = claims.withColumns({"title": text.clean_title(text.clean_text(F.col("title")), F.col("venue_name")), "url": F.when(F.col("url").rlike("^https?://"), F.col("url"))})
+    c = cleaned(claims)
+    day_only = ~has_time(F.col("starts_at"))
+    c = c.withColumn("starts_at", text.explicit_start(F.col("starts_at").cast("timestamp"), F.col("description"), day_only))
     c = c.withColumn("raw_print", F.concat_ws("|", text.normalize_title(F.col("title")), local_day(F.col("starts_at")), F.lower(F.coalesce("venue_name", F.lit("")))))
     c = evidence.newest(c, ["source_id", "raw_print"], [F.col("extracted_at").desc(), F.col("claim_id")])
     span = F.datediff(local_day(F.col("starts_at")), local_day(now))
-    plausible = lambda p: F.when((p >= 0) & (p <= 500) & ~((p == F.floor(p)) & p.between(1900, 2100)), p)
-    c = c.withColumns({"price_min": plausible(F.col("price_min")), "price_max": plausible(F.col("price_max"))})
-    crossed = F.coalesce(F.col("price_min") > F.col("price_max"), F.lit(False))
-    c = c.withColumns({"price_min": F.when(~crossed, F.col("price_min")), "price_max": F.when(~crossed, F.col("price_max"))})
     return c.where(F.col("starts_at").isNotNull() & (F.coalesce("title", F.lit("")) != "") & span.between(-PAST_DAYS, FUTURE_DAYS) & ~text.is_placeholder(F.col("title"), F.col("source_name")) & ~text.is_non_event(F.col("title"))).drop("raw_print")
 
 
+def text_rules(claims: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims whose description speaks of a recurrence get the rule that was read out of it before (content_key, recurrence; null: none); and what is still to be read."""
+    open_ = F.col("recurrence").isNull() & F.col("rrule_raw").isNull() & F.coalesce(text.recurs(F.col("description")), F.lit(False))
+    key = F.when(open_, F.md5(F.concat(F.lit("textrec2|"), "title", F.lit("|"), "description")))
+    known = cache.select(F.col("content_key").alias("_key"), F.col("recurrence").alias("_rule"), F.lit(True).alias("_known"))
+    joined = claims.withColumn("_key", key).join(known, "_key", "left")
+    asked = joined.where("_key is not null and _known is null").select(F.col("_key").alias("content_key"), "title", "description", "starts_at").dropDuplicates(["content_key"])
+    return joined.withColumn("recurrence", F.coalesce("recurrence", "_rule")).drop("_key", "_rule", "_known"), asked
+
+
 def place(claims: DataFrame, venues: DataFrame) -> DataFrame:
     """Claims with venue_id, coordinates (own, else the venue's), and the key that stands for the place in fingerprints."""
     found = resolve(claims.select(F.col("venue_name").alias("name"), "lat", "lon").where("name is not null"), venues)
@@ -58,7 +68,9 @@ def place(claims: DataFrame, venues: DataFrame) -> DataFrame:
     known = venues.select(F.col("venue_id").alias("v_id"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"))
     joined = claims.withColumn("v_key", F.lower(text.collapse(F.col("venue_name")))).join(named.dropDuplicates(["v_key"]), "v_key", "left").join(known, "v_id", "left")
     lat, lon = F.coalesce("lat", "v_lat"), F.coalesce("lon", "v_lon")
-    return joined.withColumns({"lat": lat, "lon": lon}).withColumns({"cell": geo_cell(F.col("lat"), F.col("lon"))}).withColumns({"place": F.coalesce("venue", F.nullif("cell", F.lit("")), F.lit(""))}).drop("v_key", "v_id", "v_lat", "v_lon")
+    # where the source is helps to tell events apart, and is never given out as theirs
+    cell = geo_cell(F.coalesce("lat", "source_lat"), F.coalesce("lon", "source_lon"))
+    return joined.withColumns({"lat": lat, "lon": lon}).withColumns({"cell": cell}).withColumns({"place": F.coalesce("venue", F.nullif("cell", F.lit("")), F.lit(""))}).drop("v_key", "v_id", "v_lat", "v_lon")
 
 
 def fingerprints(claims: DataFrame) -> DataFrame:
@@ -69,7 +81,7 @@ def fingerprints(claims: DataFrame) -> DataFrame:
 
 def series(claims: DataFrame) -> DataFrame:
     """Series keys: with a rule, or with three local dates or more under one title and place."""
-    s = claims.groupBy("series_key", "norm", "place").agg(F.count_distinct("day").alias("n_days"), F.max(F.col("recurrence").isNotNull()).alias("ruled"))
+    s = claims.groupBy("series_key", "norm", "place").agg(F.count_distinct("day").alias("n_days"), F.max(F.col("recurrence").isNotNull() | F.col("rrule_raw").isNotNull()).alias("ruled"))
     return s.where((F.col("n_days") >= SERIES_DATES) | F.col("ruled")).select("series_key", "norm", "place")
 
 
@@ -148,23 +160,44 @@ def identify(groups: DataFrame, identity: DataFrame) -> DataFrame:
     return groups.select("group", "fingerprint", "extracted_at").join(chosen, "group").join(seen, "fingerprint", "left").groupBy("fingerprint", "event_id").agg(F.min(F.coalesce("was", "extracted_at")).alias("first_seen"))
 
 
+def raw_occurrences(claims: DataFrame, now: Column) -> DataFrame:
+    """event_id, starts_at, ends_at of the events with a calendar's own rule, from twelve hours ago to the horizon; instead of observed dates, at the first claim's time and as long."""
+    c = F.col
+    rule = evidence.newest(claims.where("rrule_raw is not null"), ["event_id"], [c("extracted_at").desc(), c("claim_id")]).select("event_id", "rrule_raw")
+    first = evidence.newest(claims, ["event_id"], [c("starts_at"), c("claim_id")])
+    local = F.from_utc_timestamp("starts_at", ZONE)
+    ends = recurrence.sane_end(c("starts_at"), c("ends_at"), F.array("category"))
+    first = first.select("event_id", c("day").alias("first"), (F.hour(local) * 60 + F.minute(local)).alias("minutes"), (F.unix_seconds(ends.cast("timestamp")) - F.unix_seconds("starts_at")).alias("seconds"))
+    from_, until = now - F.expr("INTERVAL 12 HOURS"), now + F.expr(f"INTERVAL {7 * recurrence.HORIZON_WEEKS} DAYS")
+    rules = rule.join(first, "event_id").withColumns({"low": local_day(from_), "high": local_day(until)})
+    dates = recurrence.rrule_dates(rules, "event_id", "rrule_raw", "first", "low", "high").join(rules.select("event_id", "minutes", "seconds"), "event_id")
+    start = recurrence.local_start(c("day"), c("minutes"))
+    return dates.select("event_id", start.alias("starts_at"), F.when(c("seconds") > 0, F.timestamp_add("SECOND", c("seconds"), start)).alias("ends_at"), (c("minutes") > 0).alias("timed")).where(c("starts_at").between(from_, until))
+
+
 def occurrences(claims: DataFrame, holidays: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column) -> DataFrame:
-    """event_id, occurrence_id, starts_at, ends_at, projected, time_unknown: observed dates folded, dates of verified rules added, projections of series that were judged to recur."""
+    """event_id, occurrence_id, starts_at, ends_at, projected, time_unknown: dates of verified rules; else of calendars' own rules; else observed dates folded, with projections of series that were judged to recur."""
     ends = recurrence.sane_end(F.col("starts_at"), F.col("ends_at"), F.array("category"))
-    observed = recurrence.fold(claims.select("event_id", "starts_at", ends.alias("ends_at"), has_time(F.col("starts_at")).alias("timed")), ["event_id"])
     rules = evidence.newest(claims.where("recurrence is not null"), ["event_id"], [F.col("extracted_at").desc(), F.col("claim_id")])
     rules = rules.select("event_id", "day", "recurrence.*").withColumn("valid_from", F.coalesce("valid_from", "day"))
     rules = rules.join(rule_verdicts.where("verified").select("event_id"), "event_id", "left_semi").withColumns({"from": F.to_date(now), "until": F.date_add(F.to_date(now), 7 * recurrence.HORIZON_WEEKS)})
     dates = recurrence.without_holidays(recurrence.rule_dates(rules, "from", "until"), holidays)
     start = recurrence.local_start(F.col("day"), F.col("minutes"))
     ruled = dates.withColumn("minutes", F.coalesce("minutes", F.lit(0))).select("event_id", start.alias("starts_at"), F.when(F.col("duration_minutes") > 0, F.timestamp_add("MINUTE", F.col("duration_minutes"), start)).alias("ends_at"), (F.col("minutes") > 0).alias("timed"))
-    known = recurrence.fold(observed.unionByName(ruled), ["event_id"]).withColumn("projected", F.lit(False))
+    by_rule = rules.select("event_id")
+    raw = raw_occurrences(claims.join(by_rule, "event_id", "left_anti"), now)
+    observed = claims.join(raw.select("event_id").distinct(), "event_id", "left_anti")
+    observed = recurrence.fold(observed.select("event_id", "starts_at", ends.alias("ends_at"), has_time(F.col("starts_at")).alias("timed")), ["event_id"])
+    known = recurrence.fold(observed.unionByName(ruled), ["event_id"]).unionByName(raw).withColumn("projected", F.lit(False))
     days = claims.where("group0 like 'series|%'").select("event_id", "day")
-    clock = recurrence.mode(claims.where(has_time(F.col("starts_at"))).select("event_id", (F.unix_seconds(F.from_utc_timestamp("starts_at", "Europe/Vienna")) % 86400 / 60).cast("int").alias("m")), ["event_id"], "m")
-    edge = claims.groupBy("event_id").agg(F.max("day").alias("edge"))
-    judged = series_verdicts.where("verdict = 'recurring'").select("event_id")
-    ahead = recurrence.project(recurrence.cadence(days, ["event_id"]).join(judged, "event_id", "left_semi").join(edge, "event_id"), "edge").join(clock, "event_id", "left")
-    projected = ahead.select("event_id", recurrence.local_start(F.col("projected_day"), F.coalesce("mode", F.lit(0))).alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at"), F.col("mode").isNotNull().alias("timed"), F.lit(True).alias("projected"))
+    usual = recurrence.modes(observed, ["event_id"])
+    # a date within what the sources can see ahead and did not show is evidence that there is none
+    sees = F.greatest(F.max("day"), F.max(F.date_add(local_day(F.col("extracted_at")), F.floor("horizon_days").cast("int"))))
+    edge = claims.groupBy("event_id").agg(sees.alias("edge"))
+    judged = series_verdicts.where("verdict = 'recurring'").select("event_id").join(by_rule.union(raw.select("event_id")), "event_id", "left_anti")
+    ahead = recurrence.project(recurrence.cadence(days, ["event_id"]).join(judged, "event_id", "left_semi").join(edge, "event_id"), "edge").join(usual, "event_id", "left")
+    begin = recurrence.local_start(F.col("projected_day"), F.coalesce("minutes", F.lit(0)).cast("int"))
+    projected = ahead.select("event_id", begin.alias("starts_at"), F.timestamp_add("SECOND", F.col("duration_s"), begin).alias("ends_at"), (F.coalesce("minutes", F.lit(0)) > 0).alias("timed"), F.lit(True).alias("projected"))
     busy = known.select("event_id", local_day(F.col("starts_at")).alias("d")).distinct()
     projected = projected.withColumn("d", local_day(F.col("starts_at"))).join(busy, ["event_id", "d"], "left_anti").drop("d")
     not_event = series_verdicts.where("verdict = 'not_an_event'").select("event_id")
@@ -206,10 +239,26 @@ class Canon:
     tags: DataFrame
     identity: DataFrame
     asked: DataFrame
+    proposals: DataFrame
+
+
+#: Columns that a claim may lack.
+OPTIONAL = {"rrule_raw": "string", "source_lat": "double", "source_lon": "double", "horizon_days": "double"}
+
+
+def venue_proposals(claims: DataFrame, venues: DataFrame) -> DataFrame:
+    """Names that merges across venues suggest: each of an event's venues beside that of its most trusted claim, as an alias where both are known and near."""
+    known = claims.join(venues.select(F.col("venue_id").cast("string").alias("venue"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon")), "venue")
+    one = known.groupBy("event_id", "venue").agg(F.max_by(F.struct("venue_name", "v_lat", "v_lon", "trust"), F.struct("trust", "claim_id")).alias("v"))
+    best = one.groupBy("event_id").agg(F.max_by(F.struct("venue", "v"), F.struct("v.trust", "venue")).alias("k"))
+    pairs = one.join(best, "event_id").where("venue != k.venue")
+    sides = {f"{x}_{side}": F.col(f"{path}.{field}") for side, path in (("a", "k.v"), ("b", "v")) for x, field in (("name", "venue_name"), ("lat", "v_lat"), ("lon", "v_lon"))}
+    return reconcile(pairs.select(F.col("k.venue").alias("venue"), "event_id", *(c.alias(n) for n, c in sides.items()))).select("venue", "event_id", F.col("name_b").alias("name"), "proposal").distinct()
 
 
 def rebuild(claims: DataFrame, venues: DataFrame, holidays: DataFrame, identity: DataFrame, verdicts: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column) -> Canon:
     """The whole canon. Grouped claims are a written table, so that the products don't recompute the grouping."""
+    claims = claims.withColumns({n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in claims.columns})
     c = written(fingerprints(place(load(claims, now), venues)), "claims")
     c = written(absorb_twins(c, series(c)), "claims-series")
     links, asked = claim_links(c, verdicts)
@@ -222,7 +271,7 @@ def rebuild(claims: DataFrame, venues: DataFrame, holidays: DataFrame, identity:
     c = written(c.join(owner, "fingerprint"), "claims-identified")
     status = evidence.merge_status(c.select("event_id", "day", "trust", "extracted_at", "claim_id", "status"), ["event_id", "day"])
     every = asked.select("key", "a", "b").unionByName(asked_groups)
-    return Canon(events(c), occurrences(c, holidays, rule_verdicts, series_verdicts, now), status, tags(c), ids, every)
+    return Canon(events(c), occurrences(c, holidays, rule_verdicts, series_verdicts, now), status, tags(c), ids, every, venue_proposals(c, venues))
 
 
 def newly_negative(status: DataFrame, before: DataFrame) -> DataFrame:
@@ -236,10 +285,11 @@ def apply_enrichment(events_: DataFrame, cache: DataFrame) -> tuple[DataFrame, D
     key = F.md5(F.concat_ws("\n", F.lit("v6"), "title", F.substring(F.coalesce("description", F.lit("")), 1, 6000), "category", "venue_name", F.col("price_min").cast("string"), F.col("price_max").cast("string")))
     e = events_.withColumn("content_key", key).join(cache, "content_key", "left")
     stated = (F.col("price_basis") == "stated") & F.coalesce(F.contains(F.lower("description"), F.lower("price_evidence")), F.lit(False))
-    conf = F.when(stated, F.least("price_conf", F.lit(0.8))).when(F.col("price_basis") == "stated", F.least("price_conf", F.lit(0.2))).otherwise(F.least("price_conf", F.lit(0.35)))
+    capped = lambda c, most: F.when(F.col(c).isNotNull(), F.least(c, F.lit(most)))
+    conf = F.when(stated, capped("price_conf", 0.8)).when(F.col("price_basis") == "stated", capped("price_conf", 0.2)).otherwise(capped("price_conf", 0.35))
     bad_age = F.coalesce((F.col("age_lo") < 0) | (F.col("age_hi_excl") > 121) | (F.col("age_lo") >= F.col("age_hi_excl")), F.lit(False))
     out = e.withColumns({
-        "price_basis": F.when(stated, "stated").when(F.col("price_basis").isNotNull(), "estimated"), "price_conf": conf, "age_conf": F.when(~bad_age, F.least("age_conf", F.lit(0.8))),
+        "price_basis": F.when(stated, "stated").when(F.col("price_basis").isNotNull(), "estimated"), "price_conf": conf, "age_conf": F.when(~bad_age, capped("age_conf", 0.8)),
         "age_lo": F.when(~bad_age, F.col("age_lo")), "age_hi_excl": F.when(~bad_age, F.col("age_hi_excl")),
     }).drop("price_evidence")
     return out, e.where("cached is null").select("event_id", "content_key")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidenceloom.functions.timeutil import local_day, local_trunc
 from evidenceloom.operators.evidence import uniqueness
+from evidenceloom.plans.present import deep_url
+from evidenceloom.sources.scratch import written
 
 BLOCKED = r"(?i)(403|429|captcha|forbidden|blocked|access denied)"
 
@@ -80,7 +82,7 @@ def completeness(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by the order of a hash of their key: the same ones each time."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
 
 
 def trust_feedback(sources: DataFrame, checks: DataFrame, alpha: float = 0.1) -> DataFrame:
@@ -108,22 +110,30 @@ def onboarding_rings(expected: Column) -> Column:
 
 
 def auc(scores: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by average ranks: no pairs. One task orders the distinct scores, so give scores to a few digits."""
-    by = scores.groupBy(score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    # counts of each distinct score, then negatives below it
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = by.withColumn("below", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    return won.agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p").cast("double") * F.sum("q"))).alias("auc"))
+    """Area under the ROC curve by average ranks: no pairs. Scores are dealt out by ranges; a range needs only the negatives of the ranges below."""
+    by = scores.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    ranged = written(by.repartitionByRange("s").select("s", "p", "q", F.spark_partition_id().alias("part")), "auc-ranges")
+    totals = ranged.groupBy("part").agg(F.sum("q").alias("t"))
+    # a row for each range
+    offsets = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = ranged.withColumn("below", below).join(F.broadcast(offsets), "part")
+    return won.agg((F.sum(F.col("p") * (F.col("before") + F.col("below") + F.col("q") / 2)) / (F.sum("p").cast("double") * F.sum("q"))).alias("auc"))
+
+
+def precision(pairs: DataFrame, same: Column, merged: Column) -> DataFrame:
+    """Share of the merged pairs that people call the same, and of the same ones that were merged."""
+    hit = F.count_if(same & merged)
+    return pairs.agg(F.count_if(merged).alias("merged"), F.try_divide(hit, F.count_if(merged)).alias("precision"), F.try_divide(hit, F.count_if(same)).alias("recall"))
 
 
 def fit_logistic(pairs: DataFrame, cosine: str, target: str) -> DataFrame:
-    """Centre and temperature of the logistic with the smallest squared error, on a grid that is exploded for each pair."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")
-    tried = pairs.select(F.col(cosine).alias("c"), F.col(target).alias("t"), grid).select("c", "t", (0.2 + 0.02 * F.col("i")).alias("center"), F.explode(F.sequence(F.lit(1), F.lit(15))).alias("j"))
-    tried = tried.withColumn("temperature", 0.02 * F.col("j"))
-    error = F.pow(1 / (1 + F.exp((F.col("center") - F.col("c")) / F.col("temperature"))) - F.col("t"), 2)
-    mse = tried.groupBy("center", "temperature").agg(F.avg(error).alias("mse"))
-    return mse.orderBy("mse", "center", "temperature").limit(1)
+    """Centre and temperature of the logistic with the smallest squared error on a grid: a pair is a row for each centre, with a sum for each temperature."""
+    tried = pairs.select(F.col(cosine).alias("c"), F.col(target).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")).withColumn("center", 0.2 + 0.02 * F.col("i"))
+    steps = {f"e{j}": 0.02 * F.lit(j) for j in range(1, 16)}
+    errors = tried.groupBy("center").agg(*(F.avg(F.pow(1 / (1 + F.exp((F.col("center") - F.col("c")) / temperature)) - F.col("t"), 2)).alias(name) for name, temperature in steps.items()))
+    grid = errors.select("center", F.explode(F.array(*(F.struct(temperature.alias("temperature"), F.col(name).alias("mse")) for name, temperature in steps.items()))).alias("g")).select("center", "g.*")
+    return grid.orderBy("mse", "center", "temperature").limit(1)
 
 
 def local_counts(rows: DataFrame, at: str) -> DataFrame:
@@ -169,3 +179,115 @@ def newest_link(claims: DataFrame) -> DataFrame:
     one = Window.partitionBy("event_id", "source_id").orderBy(F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)).desc(), F.col("extracted_at").desc(), "claim_id")
     seen = claims.groupBy("source_id").agg(F.max("extracted_at").alias("source_seen"))
     return claims.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").join(seen, "source_id")
+
+
+def retries(sources: DataFrame, jobs: DataFrame, now: Column, days: int = 7, most: int = 4, per_tick: int = 5) -> DataFrame:
+    """What becomes of broken sources: source_id, action (retry, or dormant after the last try) and attempt; the most productive few at a time.
+
+    None whose repair is queued or running, or was tried within the last days. jobs: source_id, kind, status, ended_at.
+    """
+    c = F.col
+    open_ = jobs.where(c("kind").isin("agent_extract", "onboard") & c("status").isin("pending", "running")).select("source_id")
+    lately = jobs.where((c("kind") == "agent_extract") & c("status").isin("done", "failed") & (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(c("ended_at").cast("timestamp")) < days * 86400)).select("source_id")
+    left = sources.where("status = 'degraded'").join(open_.union(lately).distinct(), "source_id", "left_anti")
+    tries = F.coalesce("attempts", F.lit(0))
+    picked = left.orderBy(c("yield_ema").desc_nulls_last(), "source_id").limit(per_tick)
+    return picked.select("source_id", F.when(tries >= most, "dormant").otherwise("retry").alias("action"), F.when(tries < most, tries + 1).alias("attempt"))
+
+
+def capped_feeds(sources: DataFrame, least_yield: float = 10, horizon_days: float = 10) -> DataFrame:
+    """Productive active sources that never reach far ahead, once each: feeds get a companion website, websites are looked at again."""
+    c = F.col
+    capped = sources.where((c("status") == "active") & (c("yield_ema") >= least_yield) & (c("horizon_days") <= horizon_days) & ~F.coalesce("escalated", F.lit(False)))
+    feed = c("kind").isin("api", "ics", "rss")
+    site = F.concat(F.lit("https://"), F.try_parse_url("url", F.lit("HOST")), F.lit("/"))
+    found = capped.select("source_id", F.when(feed, "companion").otherwise("onboard").alias("action"), F.when(feed, site).alias("site_url"))
+    known = sources.select(F.col("url").alias("site_url")).distinct()
+    return found.join(known, "site_url", "left_anti").unionByName(found.where("site_url is null")).distinct().select("source_id", "action", "site_url")
+
+
+def placeless_sources(sources: DataFrame, events: DataFrame, least: int = 5) -> DataFrame:
+    """Active sources, once each, of whose coming events most (and five at least) have neither a place nor a page of their own.
+
+    events: source_id, event_id, venue_id, lat, url, starting in the future.
+    """
+    c = F.col
+    homes = sources.select(c("url").alias("url"), F.lit(True).alias("home")).where("url is not null").distinct()
+    own = events.select("source_id", "event_id", "venue_id", "lat", "url").distinct().join(homes, "url", "left")
+    lost = c("venue_id").isNull() & c("lat").isNull() & (~deep_url(c("url")) | c("home").isNotNull())
+    share = own.groupBy("source_id").agg(F.count_if(lost).alias("lost"), F.count("*").alias("n"))
+    few = share.where(c("lost") >= F.greatest(F.lit(least), 0.5 * c("n")))
+    return sources.where((c("status") == "active") & ~F.coalesce("venue_escalated", F.lit(False))).join(few, "source_id").select("source_id", "lost", "n")
+
+
+def not_yet(jobs: DataFrame, unit: str, now: Column, at: str = "created_at") -> DataFrame:
+    """Kinds of jobs that were not queued since the local day or week began: to be queued once."""
+    begun = local_trunc(unit, now)
+    return jobs.groupBy("kind").agg(F.count_if((F.col(at) >= begun) & (F.col(at) <= now)).alias("n")).where("n = 0").select("kind")
+
+
+def soon(occurrences: DataFrame, claims: DataFrame, now: Column, hours: int = 72) -> DataFrame:
+    """Sources one of whose events takes place within the next hours. claims: event_id, source_id."""
+    away = F.unix_seconds(F.col("starts_at").cast("timestamp")) - F.unix_seconds(now.cast("timestamp"))
+    near = occurrences.where((F.col("status") == "scheduled") & away.between(0, hours * 3600)).select("event_id")
+    return claims.join(near, "event_id", "left_semi").select("source_id").distinct()
+
+
+def qa_sample(occurrences: DataFrame, now: Column, n: int, key: str = "occurrence_id", seed: int = 0) -> DataFrame:
+    """Occurrences to check: four fifths observed ones of the next fortnight, one fifth projected ones of the six weeks after; each stratum by the order of a hash."""
+    c = F.col
+    days = (F.unix_seconds(c("starts_at").cast("timestamp")) - F.unix_seconds(now.cast("timestamp"))) / 86400
+    ready_ = occurrences.where((c("status") == "scheduled") & c("url").isNotNull()).withColumn("_d", days)
+    fifth = max(1, n // 5)
+    near = sample(ready_.where(c("_d").between(0, 14) & ~c("projected")), key, n - fifth, seed).withColumn("stratum", F.lit("near"))
+    far = sample(ready_.where(c("_d").between(14, 56) & c("projected")), key, fifth, seed).withColumn("stratum", F.lit("projected"))
+    return near.unionByName(far).drop("_d")
+
+
+def coverage(found: DataFrame, known: DataFrame, least: float = 0.9, named: int = 5) -> DataFrame:
+    """Of each source what share of an independent extraction is known by its fingerprint, the first few titles that are not, and whether that is too little.
+
+    found and known: source_id, fingerprint; found also title.
+    """
+    k = known.select("source_id", "fingerprint").distinct().withColumn("_known", F.lit(True))
+    rows = found.join(k, ["source_id", "fingerprint"], "left")
+    rank = F.row_number().over(Window.partitionBy("source_id", "_known").orderBy("title", "fingerprint"))
+    rows = rows.withColumn("_n", F.when(F.col("_known").isNull(), rank))
+    missing = F.array_sort(F.collect_list(F.when(F.col("_n") <= named, F.struct("_n", "title"))))
+    out = rows.groupBy("source_id").agg(F.count("*").alias("n_found"), F.count("_known").alias("n_known"), missing.alias("m"))
+    share = F.col("n_known") / F.col("n_found")
+    return out.select("source_id", "n_found", "n_known", share.alias("coverage"), F.transform("m", lambda x: x["title"]).alias("missing"), ((share < least) & (F.col("n_known") < F.col("n_found"))).alias("below"))
+
+
+def lately(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
+    """What is remembered: rows of the last days (rejected domains 90, an agent's last visit 7, a tried event 30)."""
+    return rows.where(F.unix_micros(F.col(at).cast("timestamp")) > F.unix_micros(now.cast("timestamp")) - days * 86_400_000_000)
+
+
+def audits(events: DataFrame, claims: DataFrame, identity: DataFrame, aggregators: str, box: tuple[float, float, float, float], now: Column, days: int = 7) -> DataFrame:
+    """What people should look at: check, key, and how many. Coming events without a place of which all sources are aggregators, events outside the box
+    (south, west, north, east), and aggregators' new claims that became no event.
+
+    events: event_id, venue_id, lat, lon, starts_at. claims: fingerprint, source_name, extracted_at. identity: fingerprint, event_id.
+    """
+    c = F.col
+    outer = c("source_name").rlike(f"(?i){aggregators}")
+    owners = identity.select("fingerprint", "event_id").join(claims.select("fingerprint", "source_name"), "fingerprint")
+    only = owners.groupBy("event_id").agg(F.every(outer).alias("all_outer")).where("all_outer")
+    lost = events.where(c("venue_id").isNull() & c("lat").isNull() & (c("starts_at") > now)).join(only, "event_id", "left_semi")
+    south, west, north, east = box
+    away = events.where(c("lat").isNotNull() & ~(c("lat").between(south, north) & c("lon").between(west, east)))
+    new = lately(claims.where(outer), "extracted_at", now, days).join(identity, "fingerprint", "left_anti")
+    count = lambda rows, check, key: rows.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), "key", "n")
+    return count(lost, "placeless", c("event_id")).unionByName(count(away, "outside", c("event_id"))).unionByName(count(new, "unresolved", c("source_name")))
+
+
+def digest(counts: DataFrame, anomalies_: DataFrame, spent: DataFrame) -> DataFrame:
+    """Lines of a daily report, in order: totals (name, n), anomalous days (day, n, median), spend (today, month)."""
+    line = lambda df, rank, text_: df.select(F.lit(rank).alias("rank"), text_.alias("line"))
+    parts = [
+        line(counts, 1, F.format_string("%s: %d", "name", "n")),
+        line(anomalies_, 2, F.format_string("day %s: %d events, usually %.1f", F.col("day").cast("string"), "n", F.col("median").cast("double"))),
+        line(spent, 3, F.format_string("spent today %.2f, this month %.2f", "today", "month")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("rank", "line")

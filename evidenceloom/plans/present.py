@@ -39,6 +39,46 @@ def provenance(claims: DataFrame, event: str = "event_id") -> DataFrame:
     return claims.where("source_status != 'internal'").groupBy(event).agg(F.sort_array(F.collect_set("source_name")).alias("sources"))
 
 
+def start_estimate(time_unknown: Column, estimate: Column) -> Column:
+    """The estimated time of day, only where none is known."""
+    return F.when(F.coalesce(time_unknown, F.lit(False)), estimate)
+
+
+def price_source(events: DataFrame, claims: DataFrame) -> DataFrame:
+    """event_id and the page that says the price: the address in the claim behind it, else its source's.
+
+    events: event_id, price_claim. claims: claim_id, url, source_url.
+    """
+    pages = claims.select(F.col("claim_id").alias("price_claim"), F.coalesce("url", "source_url").alias("price_source_url"))
+    return events.select("event_id", "price_claim").join(pages, "price_claim", "left").select("event_id", "price_source_url")
+
+
+def safe_estimates(estimates: Column) -> Column:
+    """Estimates (map of name to a struct) as value and confidence, without evidence, and without those that are shown in other ways."""
+    shown = F.map_filter(estimates, lambda k, _: ~k.isin("price", "event_scale", "stated_price"))
+    return F.transform_values(shown, lambda _, v: F.struct(v["value"].alias("value"), v["confidence"].alias("confidence")))
+
+
+def calendar(entries: DataFrame, name: str, stamp: str) -> DataFrame:
+    """The text of a whole calendar around its entries (occurrence_id, vevent), lines folded at 75 bytes, a row for each entry and border: place and text.
+
+    Rows are in the order of a sort by place, so that writing them as text needs no task that holds all.
+    """
+    fold = lambda c: F.array_join(F.transform(F.split(c, "\r\n"), _folded), "\r\n")
+    stamped = F.replace(F.col("vevent"), F.lit("\r\nDTSTART"), F.lit(f"\r\nDTSTAMP:{stamp}\r\nDTSTART"))
+    head = f"BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//evidenceloom//EN\r\nX-WR-CALNAME:{name}"
+    body = entries.select(F.concat(F.lit("1"), F.col("occurrence_id").cast("string")).alias("place"), fold(stamped).alias("text"))
+    border = entries.sparkSession.createDataFrame([("0", head), ("2", "END:VCALENDAR")], "place string, text string")
+    return body.unionByName(border).orderBy("place")
+
+
+def _folded(line: Column) -> Column:
+    """A line of ASCII and other characters, cut so that no part is over 75 bytes (a character counts as four, if one is not ASCII)."""
+    width = F.when(F.octet_length(line) == F.length(line), 74).otherwise(18)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(line) / width).cast("int") - 1)), lambda i: F.substring(line, (i * width + 1).cast("int"), width))
+    return F.array_join(parts, "\r\n ")
+
+
 def without_evidence(estimates: Column) -> Column:
     """Estimates (map of name to a struct) without the quoted evidence."""
     return F.transform_values(estimates, lambda _, v: v.dropFields("evidence"))

@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidenceloom.functions import geo, similarity, text, timeutil
 from evidenceloom.operators import blocking, components, evidence, recurrence, tagmatch
-from evidenceloom.plans import control, present, search
+from evidenceloom.plans import control, present, registry, search
+from evidenceloom.plans.registry import QUERIES, SQL, query, r6, s
 from evidenceloom.sources import adapters as A
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
-def s(c):
-    return F.col(c).cast("string").alias(c)
-
+__all__ = ["QUERIES", "SQL"]
 
 # ---- evidence
 
@@ -180,7 +157,7 @@ def state_transitions(spark, sf):
     return control.transitions(src, log, [F.col("ts").desc(), F.col("event_id").desc()], F.col("kind").isin("error", "view"))
 
 
-_VIENNA = "(({} AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna')"
+_VIENNA = registry.VIENNA
 
 
 def _log_now(spark, sf):
@@ -251,7 +228,7 @@ def onboarding_rings(spark, sf):
     return rings.select("p_partkey", r6("r.cap_eur").alias("cap_eur"), "r.turns")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('0|' || o_orderkey), o_orderkey LIMIT 20")
 def seeded_sample(spark, sf):
     return control.sample(A.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20)
 
@@ -301,10 +278,29 @@ def category_overlap(spark, sf):
     return d.where(has("the", "que", "der") & ~F.coalesce(has("was", "von"), F.lit(False))).select("doc_id")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT coalesce(c_name ILIKE '%7%', false) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority ILIKE '%urgent%')")
+def _ever():
+    return F.lit("2000-01-01").cast("timestamp_ntz")
+
+
+@query(f"""WITH {A.AUDIENCE_SQL}, t AS (SELECT DISTINCT l_partkey AS event_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
+SELECT event_id FROM audience a WHERE NOT (title ILIKE '%bolt%' OR venue_name ILIKE '%bolt%' OR organizer ILIKE '%bolt%' OR title ILIKE '%#13%' OR venue_name ILIKE '%#13%' OR organizer ILIKE '%#13%') AND event_id NOT IN (SELECT event_id FROM t)""")
 def exclude_terms(spark, sf):
-    tags = A.table(spark, sf, "orders").where(F.col("o_orderpriority").ilike("%urgent%")).select(F.col("o_custkey").alias("c_custkey"))
-    return A.table(spark, sf, "customer").where(~F.coalesce(F.col("c_name").ilike("%7%"), F.lit(False))).join(tags, "c_custkey", "left_anti").select("c_custkey")
+    tags = A.table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("event_id"), F.concat(F.lit("Returned "), "l_returnflag").alias("name"))
+    f = search.Filters(radius="any", exclude_terms=("bolt", "#13", "returned r"))
+    return search.hard(A.audiences(spark, sf), f, _ever(), tags=tags).select("event_id")
+
+
+@query(f"WITH {A.AUDIENCE_SQL} SELECT event_id FROM audience WHERE regexp_matches(title, '(?i)ear($|[^0-9A-Za-z_])') AND organizer ILIKE '%brand#2%' AND venue_name ILIKE '%ue 1%'")
+def named_rows(spark, sf):
+    f = search.Filters(radius="any", name="ear", organizer="Brand#2", venue="ue 1")
+    return search.hard(A.audiences(spark, sf), f, _ever()).select("event_id")
+
+
+@query(f"WITH {A.AUDIENCE_SQL} SELECT event_id FROM audience WHERE category IN ('music', 'film') AND category NOT IN ('film') AND price_min <= 1500 AND confidence >= 0.4 AND event_id % 10 <> 3")
+def listed_without_sensitive(spark, sf):
+    rows = A.audiences(spark, sf).withColumns({"sex_service_context": F.when(F.col("event_id") % 10 < 5, F.col("event_id") % 10 == 3), "effective_confidence": F.col("confidence")})
+    f = search.Filters(radius="any", category=("music", "film"), exclude_category=("film",), max_price=1500.0, min_confidence=0.4)
+    return search.hard(rows, f, _ever(), statuses="listed", hide_sensitive=True).select("event_id")
 
 
 @query(r"SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)[a-z](ing|ear)($|[^0-9A-Za-z_])|(?i)(ing|ear)($|[^0-9A-Za-z_])|(?i)small[- ]?gizmo($|[^0-9A-Za-z_])')")
@@ -313,10 +309,11 @@ def compound_suffix_name_match(spark, sf):
     return A.table(spark, sf, "part").where(ends[0] | ends[1] | ends[2]).select("p_partkey", "p_name")
 
 
-@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment ILIKE '%build%' AND c_acctbal > 0)")
+@query(f"WITH {A.AUDIENCE_SQL} SELECT event_id FROM audience WHERE event_id IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE (s_name ILIKE '%7%' OR 'https://s' || (s_suppkey % 10) || '.at' ILIKE '%7%') AND s_suppkey % 5 <> 0)")
 def source_semi_filter(spark, sf):
-    ok = A.table(spark, sf, "customer").where(F.col("c_mktsegment").ilike("%build%") & (F.col("c_acctbal") > 0))
-    return A.table(spark, sf, "orders").join(ok, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    who = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"), F.concat(F.lit("https://s"), F.col("s_suppkey") % 10, F.lit(".at")).alias("url"), F.when(F.col("s_suppkey") % 5 == 0, "internal").otherwise("active").alias("source_status"))
+    sources = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("event_id"), "l_suppkey").join(who, "l_suppkey")
+    return search.hard(A.audiences(spark, sf), search.Filters(radius="any", source="7"), _ever(), sources=sources).select("event_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -629,28 +626,6 @@ def domain_membership(spark, sf):
     return p.join(hits, "page_id", "left").select("page_id", "host", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query()
-def html_text(spark, sf):
-    return A.table(spark, sf, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"))
-
-
-@query()
-def link_extract(spark, sf):
-    from evidenceloom.sources import landing
-
-    return landing.links(A.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("body"), "url"), "nav a")
-
-
-@query()
-def record_finder(spark, sf):
-    """Customers of a nation as one JSON document each, read back by the record finder."""
-    from evidenceloom.sources import landing
-
-    record = F.struct(F.col("c_name").alias("name"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "yyyy-MM-dd").alias("start"))
-    docs = A.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("doc_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("items"))).alias("body"), F.lit("http://x/").alias("url"))
-    return landing.json_api(docs).select("doc_id", "title", "starts_at")
-
-
 @query("""WITH t AS (SELECT n_nationkey AS recipe_id, 'https://x.at/' || n_name || '?from={from}&to={to}' AS template, n_nationkey % 4 + 3 AS chunk FROM nation), p AS (SELECT recipe_id, template, chunk, i FROM t, range(20) r(i) WHERE i <= 30 // chunk)
 SELECT recipe_id, replace(replace(template, '{from}', strftime(DATE '2026-05-01' + (i * chunk)::INT, '%Y-%m-%d')), '{to}', strftime(least(DATE '2026-05-01' + ((i + 1) * chunk - 1)::INT, DATE '2026-05-31'), '%Y-%m-%d')) AS url FROM p""")
 def template_expand(spark, sf):
@@ -673,45 +648,6 @@ def sigmoid_grid_fit(spark, sf):
     return control.fit_logistic(d, "c", "t").select(*(r6(x).alias(x) for x in ("center", "temperature", "mse")))
 
 
-@query()
-def venue_resolution(spark, sf):
-    from evidenceloom.operators import venues
-
-    parts = A.table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    none = F.lit(None).cast("double")
-    known = parts.select(F.col("k").alias("venue_id"), F.concat("p_name", F.lit(" hall")).alias("name"), F.array(F.concat(F.lit("house "), "k")).alias("aliases"), none.alias("lat"), none.alias("lon"))
-    names = A.table(spark, sf, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" Hall, "), "p_brand").alias("name"), none.alias("lat"), none.alias("lon"))
-    return venues.resolve(names, known)
-
-
-@query()
-def canon_rebuild(spark, sf):
-    """Claims of a bounded catalogue of titles through the whole rebuild: one row for each canonical event."""
-    canon = _canon(spark, sf)
-    return canon.events.select("event_id", "title", r6("confidence").alias("confidence"), "n_sources", "category", "price_min")
-
-
-@query()
-def canon_occurrences(spark, sf):
-    return _canon(spark, sf).occurrences.select("event_id", "occurrence_id", s("starts_at"), s("ends_at"), "projected", "time_unknown")
-
-
-def _canon(spark, sf):
-    from evidenceloom.plans import canon
-
-    none = lambda kind: F.lit(None).cast(kind)
-    c = A.claims(spark, sf)
-    claims = c.select(
-        "claim_id", "source_id", "source_name", "trust", "extracted_at", F.concat(F.lit("Fest "), "title").alias("title"), F.col("starts_at").cast("timestamp").alias("starts_at"), none("timestamp").alias("ends_at"),
-        F.concat(F.lit("Saal "), F.col("source_id") % 40).alias("venue_name"), none("string").alias("address"), none("double").alias("lat"), none("double").alias("lon"), none("string").alias("organizer"), F.concat(F.lit("https://s.at/"), "event_id").alias("url"),
-        none("string").alias("description"), F.lit("music").alias("category"), (F.col("price") / 1000).alias("price_min"), none("double").alias("price_max"), "status", "confidence",
-        none("struct<freq: string, weekday: string, week_of_month: int, interval: int, valid_from: date, valid_until: date, except_holidays: array<string>, minutes: int, duration_minutes: int>").alias("recurrence"),
-    )
-    empty = lambda schema: spark.createDataFrame([], schema)
-    venues = empty("venue_id long, name string, aliases array<string>, lat double, lon double")
-    return canon.rebuild(claims, venues, A.holidays(spark), empty("fingerprint string, event_id string, first_seen timestamp_ntz"), empty("key string, same boolean"), empty("event_id string, verified boolean"), empty("event_id string, verdict string"), F.lit("1996-06-01").cast("timestamp"))
-
-
 @query()
 def streaming_equivalence(spark, sf):
     """Confidence of every event from the claim log as a stream, recomputed by touched keys; equal to the batch result."""
@@ -813,3 +749,7 @@ def newly_cancelled(spark, sf):
     c = A.claims(spark, sf)
     state = lambda df: df.groupBy("event_id").agg(F.max(F.when(F.col("status") == "cancelled", "cancelled").otherwise("")).alias("x")).select("event_id", F.lit("1995-01-01").cast("date").alias("day"), F.when(F.col("x") == "cancelled", "cancelled").otherwise("scheduled").alias("status"))
     return newly_negative(state(c), state(c.where(F.col("extracted_at") < F.lit("1995-01-01").cast("timestamp_ntz")))).select("event_id")
+
+
+# the other modules' queries register themselves
+from evidenceloom.plans import queries_canon, queries_control, queries_sources  # noqa: E402, F401

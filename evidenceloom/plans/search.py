@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenceloom.functions import geo, text, timeutil
-from evidenceloom.functions.similarity import containment, jaccard, near_token, trigrams
+from evidenceloom.functions.similarity import containment, near_token, trigrams
+from evidenceloom.functions.stemming import stemmed
+from evidenceloom.sources.scratch import written
 
 UNKNOWN, DEFAULT_CERTAINTY, SECONDARY_WEIGHT = 0.45, 0.5, 0.1
+MAX_TAGS, MAX_TAG_WORDS, MAX_TAG_LENGTH = 8, 3, 60
 # Fixed values
 CATEGORIES = ["music", "nightlife", "theatre", "film", "art", "culture", "sport", "community", "learning", "family", "market", "food_drink", "tech", "religion", "other"]
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -92,8 +95,8 @@ class Filters:
                 raise ValueError(f"{a} can't be required")
         if self.min_tag_match is not None and not (self.tags and 0 <= self.min_tag_match <= 1):
             raise ValueError("min_tag_match needs tags and a share")
-        if len(self.tags) > 8:
-            raise ValueError("eight tags at most")
+        if len(self.tags) > MAX_TAGS:
+            raise ValueError(f"at most {MAX_TAGS} tags")
         if self.min_confidence is not None and not 0 <= self.min_confidence <= 1:
             raise ValueError("min_confidence is a share")
         if self.max_price is not None and self.max_price < 0:
@@ -118,6 +121,19 @@ class Filters:
         return dt.datetime.combine(self.to, dt.time(23, 59, 59)) if type(self.to) is dt.date else self.to
 
 
+def desired(names: list[str]) -> tuple[str, ...]:
+    """What a query may want of tags: lower case, white space collapsed, each once in the order given; an error if one is no tag's name or there are too many."""
+    out: dict[str, None] = {}
+    for name in names:
+        clean = " ".join(name.lower().split())
+        if not clean or len(clean) > MAX_TAG_LENGTH or len(clean.split()) > MAX_TAG_WORDS or re.search(r"[()\n]", name):
+            raise ValueError(f"{name!r} is no tag: one to {MAX_TAG_WORDS} words and at most {MAX_TAG_LENGTH} characters")
+        out[clean] = None
+    if len(out) > MAX_TAGS:
+        raise ValueError(f"at most {MAX_TAGS} tags")
+    return tuple(out)
+
+
 def overlaps_window(starts: Column, ends: Column, begin: Column, until: Column | None) -> Column:
     out = F.coalesce(ends, starts) >= begin
     return out if until is None else out & (starts <= until)
@@ -265,41 +281,89 @@ def lexical(rows: DataFrame, words: Column, row_id: str, tokens: list[str], hit:
 
     A token that no row has is left out, but if over half are, nothing is found. A row needs a hit on a token with
     at least ``rare`` of the largest weight, and half of the best row's score.
-    Each different word is compared with the query's tokens once, however many rows have it; only words with some
-    similarity go back to their rows.
+    Rows are cut into words once: only words that share a trigram with a token, as any with some similarity does, are written,
+    and each different one of these is compared with the tokens once, however many rows have it.
     """
     tokens = list(dict.fromkeys(tokens))
     if not tokens:
         return rows.select(row_id, F.lit(0.0).alias("score")).limit(0)
-    has = rows.select(row_id, F.explode(F.array_distinct(words)).alias("_w"))
-    counted = has.select("_w").distinct().withColumn("_g", F.size(trigrams(F.col("_w"))))
-    near = counted.select("_w", *(near_token(t, F.col("_w"), F.col("_g")).alias(f"s{i}") for i, t in enumerate(tokens)))
-    some = F.greatest(*(F.col(f"s{i}") for i in range(len(tokens))), F.lit(0.0)) > 0
-    found = has.join(near.where(some), "_w").groupBy(row_id).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(len(tokens))))
-    sims = rows.select(row_id).join(found, row_id, "left").fillna(0.0, [f"s{i}" for i in range(len(tokens))])
-    df = sims.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"s{i}") >= hit).alias(f"d{i}") for i in range(len(tokens))))
-    weighted = sims.join(F.broadcast(df))
-    live = [F.col(f"d{i}") > 0 for i in range(len(tokens))]
-    weight = [F.when(on, F.log((F.col("n") + 1) / (F.col(f"d{i}") + 1)) + 1).otherwise(0.0) for i, on in enumerate(live)]
+    c, places = F.col, range(len(tokens))
+    grams = sorted({f"  {t} "[i : i + 3] for t in tokens for i in range(len(t) + 1)})
+    shares = lambda w: F.concat(F.lit("  "), w, F.lit(" ")).rlike("|".join(map(re.escape, grams)))
+    has = written(rows.select(row_id, F.explode(F.filter(F.array_distinct(words), shares)).alias("_w")), "near-words")
+    different = has.select("_w").distinct().withColumn("_g", F.size(trigrams(c("_w"))))
+    near = different.select("_w", *(near_token(t, c("_w"), c("_g")).alias(f"s{i}") for i, t in enumerate(tokens)))
+    found = written(has.join(near, "_w").groupBy(row_id).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in places)), "near-rows")
+    df = found.agg(*(F.count_if(c(f"s{i}") >= hit).alias(f"d{i}") for i in places)).join(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    live = [c(f"d{i}") > 0 for i in places]
+    weight = [F.when(on, F.log((c("n") + 1) / (c(f"d{i}") + 1)) + 1).otherwise(0.0) for i, on in enumerate(live)]
     n_live = sum((on.cast("int") for on in live[1:]), live[0].cast("int"))
-    total, top = sum(weight[1:], weight[0]), F.greatest(*weight, F.lit(0.0))
-    strong = [(F.col(f"s{i}") >= hit) & on & (w >= rare * top) for i, (on, w) in enumerate(zip(live, weight, strict=True))]
-    any_strong = strong[0]
-    for x in strong[1:]:
-        any_strong = any_strong | x
-    value = sum((w * F.col(f"s{i}") for i, w in enumerate(weight)), F.lit(0.0)) / total
-    found = weighted.where((n_live * 2 >= len(tokens)) & any_strong).select(row_id, value.alias("score"))
-    largest = found.agg(F.max("score").alias("best"))
-    return found.join(F.broadcast(largest)).where(F.col("score") >= keep * F.col("best")).select(row_id, "score")
+    df = df.select(*(w.alias(f"w{i}") for i, w in enumerate(weight)), (n_live * 2 >= len(tokens)).alias("enough"))
+    total, top = sum((c(f"w{i}") for i in places[1:]), c("w0")), F.greatest(*(c(f"w{i}") for i in places), F.lit(0.0))
+    strong = F.lit(False)
+    for i in places:
+        strong = strong | ((c(f"s{i}") >= hit) & (c(f"w{i}") > 0) & (c(f"w{i}") >= rare * top))
+    value = sum((c(f"w{i}") * c(f"s{i}") for i in places), F.lit(0.0)) / total
+    scored = found.join(F.broadcast(df)).where(c("enough") & strong).select(row_id, value.alias("score"))
+    return scored.join(F.broadcast(scored.agg(F.max("score").alias("best")))).where(c("score") >= keep * c("best")).select(row_id, "score")
+
+
+def lookup(rows: DataFrame, words: Column, row_id: str, query: str, title: str = "title", venue: str = "venue_name", starts: str = "starts_at", limit: int = 10) -> DataFrame:
+    """row_id and score of the best answers to what somebody typed: by score, then start; of rows with the same title and venue, spelling aside, the best."""
+    scored = rows.select(row_id, title, venue, starts).join(lexical(rows, words, row_id, stemmed(query)), row_id)
+    bare = F.regexp_replace(F.lower(title), r"(?U)\W+", "")
+    order = [F.col("score").desc(), F.col(starts), F.col(row_id)]
+    first = Window.partitionBy(bare, F.lower(F.coalesce(venue, F.lit("")))).orderBy(*order)
+    return scored.withColumn("_n", F.row_number().over(first)).where("_n = 1").orderBy(*order).limit(limit).select(row_id, "score")
+
+
+def credible(starts: Column, ends: Column, ongoing: Column, category: Column) -> Column:
+    """Whether what goes on already may be shown: it must end, and within a fortnight unless it is art or culture."""
+    shown = F.coalesce(F.arrays_overlap(category, F.array(F.lit("art"), F.lit("culture"))), F.lit(False))
+    short = F.unix_micros(ends.cast("timestamp")) - F.unix_micros(starts.cast("timestamp")) <= 14 * 86_400_000_000
+    return ~F.coalesce(ongoing, F.lit(False)) | (ends.isNotNull() & (shown | short))
+
+
+def begun_last(found: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows of an order, credible ones only, those that begin in the window before those that go on."""
+    c = F.col
+    return found.where(credible(c("starts_at"), c("ends_at"), c("ongoing"), c("category"))).orderBy(F.coalesce("ongoing", F.lit(False)), *order).limit(limit)
+
+
+def feed_only(rows: DataFrame, time_unknown: bool = True, least: int | None = None, most: int | None = None, certainty: float = 0.0) -> DataFrame:
+    """What feeds filter besides: dates without a time, and bounds of attendance, which hold only for estimates that are sure enough."""
+    if least is not None and most is not None and least > most:
+        raise ValueError("least is over most")
+    if not time_unknown:
+        rows = rows.where(~F.col("time_unknown"))
+    if least is not None:
+        rows = rows.where((F.col("attendance") >= least) & (F.col("attendance_conf") >= certainty))
+    if most is not None:
+        rows = rows.where((F.col("attendance") <= most) & (F.col("attendance_conf") >= certainty))
+    return rows
 
 
 def recalled(hunted: DataFrame, canon: DataFrame, least: float = 0.5) -> DataFrame:
-    """Hunted events (id, day, title) and whether canon (day, title) has one a day off at most with half of the words."""
-    days = canon.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))).alias("day"), text.title_words(F.col("title")).alias("theirs"))
-    own = hunted.select("id", "day", text.title_words(F.col("title")).alias("own"))
-    hits = own.join(days, "day").where(containment(F.col("own"), F.col("theirs")) >= least).select("id").distinct().withColumn("found", F.lit(True))
-    return hunted.join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+    """Hunted events (id, day, title) and whether canon (day, title) has one a day off at most with half of the words.
 
-
-def near_spelling(a: Column, b: Column) -> Column:
-    return jaccard(trigrams(a), trigrams(b))
+    Of the smaller title's words so many must be shared that one of its rarest is: each side's rarest words meet all of
+    the other's on equal days, and common words meet nobody.
+    """
+    c = F.col
+    near = canon.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))).alias("day"), F.array_distinct(text.title_words(c("title"))).alias("theirs")).where(F.size("theirs") > 0).distinct()
+    own = hunted.select("id", "day", F.array_distinct(text.title_words(c("title"))).alias("own")).where(F.size("own") > 0)
+    often = near.select("day", F.explode("theirs").alias("w")).groupBy("day", "w").agg(F.count("*").alias("df"))
+
+    def keys(side: DataFrame, name: str, rare: bool) -> DataFrame:
+        out = side.select(*side.columns, F.explode(name).alias("w"))
+        if not rare:
+            return out
+        w = Window.partitionBy(*side.columns).orderBy(F.coalesce("df", F.lit(0)), "w")
+        needed = F.ceil(F.size(name) * least - 1e-9)
+        ranked = out.join(often, ["day", "w"], "left").withColumn("_n", F.row_number().over(w))
+        return ranked.where(c("_n") <= F.size(name) - needed + 1).drop("_n", "df")
+
+    pairs = keys(own, "own", True).join(keys(near, "theirs", False), ["day", "w"]).where(F.size("own") <= F.size("theirs"))
+    pairs = pairs.unionByName(keys(own, "own", False).join(keys(near, "theirs", True), ["day", "w"]).where(F.size("own") > F.size("theirs")))
+    hits = pairs.where(containment(c("own"), c("theirs")) >= least).select("id").distinct().withColumn("found", F.lit(True))
+    return hunted.join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
