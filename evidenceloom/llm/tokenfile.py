@@ -1,17 +1,19 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 A shard is one file in Arrow's stream format. Each record batch has ``ids`` (fixed-size list of
-``seq_len`` unsigned integers), ``mask`` (fixed-size list of as many booleans, false where the shard's last
+``seq_len`` unsigned integers, of 16 bits if the tokenizer's vocabulary allows it), ``mask`` (fixed-size list of as many booleans, false where the shard's last
 sequence is padded) and ``docs`` (the documents that begin in the batch: id, place in the shard, number
 of tokens). Batches hold ``BATCH`` sequences and are written uncompressed, so that a reader maps the
-file and gets sequence i at ``i // BATCH``, ``i % BATCH`` without copying (see ``Shard``).
+file and gets sequence i at ``i // BATCH``, ``i % BATCH`` without copying, ids and mask alike (see ``Shard``): Arrow keeps
+booleans as bits, and as seq_len is a multiple of eight, each sequence's bits begin with a byte.
 
 Documents are spread by ranges of their id, so that file names and rows are in ascending id order, and
 each task tokenises, writes and forgets one batch of rows after another. Tokenising: a text is cut at
 blanks, newlines and before ASCII signs that follow an ASCII letter or digit, A-Z is lower-cased, and each
 distinct word is encoded once. This equals encoding the whole text for a tokenizer that lower-cases,
 drops white space and takes runs of letters, single digits and runs of other signs apart; texts near a
-``<|``, which may begin a special token, are only cut at white space.
+``<|``, which may begin a special token, are only cut at white space. Whether a tokenizer is such a one is
+read from its file (``cuts_at_words``); with any other, whole texts are encoded.
 
 Defined results: null and empty texts have the end id only; null ids come first; rows with equal ids
 are ordered by text; repeated rows stay; an empty table gives no files and no rows.
@@ -20,6 +22,7 @@ are ordered by text; repeated rows stay; an empty table gives no files and no ro
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -44,16 +47,39 @@ TEXT = 4 << 20
 REMEMBERED = 700_000
 
 
+#: Normalisers that change no more than spelling, case and kind of white space; a pattern of words; what may follow it.
+_NORMAL = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_at_words(tokenizer: dict) -> bool:
+    """Whether encoding a text equals encoding its words, by a tokenizer's file."""
+    normal, before = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    first, *rest = before.get("pretokenizers") or [{}]
+    return (
+        tuple(normal.get("normalizers") or ()) == _NORMAL
+        and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": _PATTERN}, "Removed", True)
+        and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in tokenizer.get("added_tokens") or ())
+    )
+
+
+def loaded(path: str) -> bytes:
+    """A tokenizer's file."""
+    system, path = opened(path if "://" in path else os.path.abspath(path))
+    with system.open_input_stream(path) as f:
+        return f.read()
+
+
 class WordEncoder:
-    """Ids of texts by way of their words."""
+    """Ids of texts, by way of their words where the tokenizer allows it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        system, path = opened(path if "://" in path else os.path.abspath(path))
-        with system.open_input_stream(path) as f:
-            self.tokenizer = Tokenizer.from_buffer(f.read())
+        content = loaded(path)
+        self.tokenizer, self.by_words = Tokenizer.from_buffer(content), cuts_at_words(json.loads(content))
         self.clear()
 
     def clear(self) -> None:
@@ -80,6 +106,8 @@ class WordEncoder:
         """All ids, and each text's offsets among them."""
         if not len(buf):
             return np.empty(0, np.uint32), np.zeros(len(offs), np.int64)
+        if not self.by_words:
+            return self._whole(buf.tobytes(), offs)
         cut = np.zeros(len(buf), dtype=bool)
         cut[offs[:-1][offs[:-1] < len(buf)]] = True
         if b"<|" not in buf.tobytes():  # special tokens are found in the text as it stands
@@ -108,6 +136,12 @@ class WordEncoder:
         return ids, np.concatenate(([0], ends))[np.searchsorted(at, offs)]
 
 
+    def _whole(self, raw: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.cumsum([0, *map(len, found)])
+
+
 @functools.lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -156,11 +190,20 @@ class _Writer:
         self.out.close()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, vocabulary: int = 65_536) -> DataFrame:
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizer gives."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_buffer(loaded(path)).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
     """Writes shards below path; the manifest has shard, path, n_docs, n_tokens and start (tokens of all shards before)."""
+    if seq_len % 8:
+        raise ValueError("seq_len must be a multiple of eight, so that masks begin with a byte")
     rows = pick(docs, doc_id=doc_id, text=text)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dtype = np.uint16 if vocabulary <= 65_536 else np.uint32
+    dtype = np.uint16 if max(largest_id(tokenizer), end_id) < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
@@ -201,9 +244,17 @@ class Shard:
         return sum(b.num_rows for b in self.batches)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence i."""
-        b = self.batches[i // BATCH]
-        return b.column(0)[i % BATCH].values.to_numpy(), b.column(1)[i % BATCH].values.to_numpy(zero_copy_only=False)
+        """Ids and mask of sequence i, both views of the file; the mask as bytes of eight bits each, the first the lowest (see ``unpacked``)."""
+        b, row = self.batches[i // BATCH], i % BATCH
+        ids, bits = b.column(0), b.column(1)
+        n = ids.type.list_size
+        begin = (bits.offset + row) * n + bits.values.offset
+        return ids[row].values.to_numpy(), np.frombuffer(bits.values.buffers()[1], np.uint8, n // 8, begin // 8)
+
+
+def unpacked(mask: np.ndarray) -> np.ndarray:
+    """A mask's bits as booleans."""
+    return np.unpackbits(mask, bitorder="little").astype(bool)
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
