@@ -3,7 +3,7 @@
 Texts and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is
 ``width`` consecutive words of an item; an item with fewer words, but not none, is one window. The
 windows' 64-bit hashes and words are broadcast if they are ``BROADCAST_WINDOWS`` at most, which is checked. A
-larger benchmark is taken in groups of so many, a pass over the documents for each: the words
+larger benchmark is taken in groups of so many, a pass over the documents for each (a large item is split between windows): the words
 hit so far go on in a written table and the group's broadcast is given up before the next.
 Each hash that is found is verified against the words themselves, so equal hashes of different windows
 do not count.
@@ -28,60 +28,83 @@ from .columns import free, pick
 from .shared import written
 
 WIDTH = 10
-#: Windows of a benchmark that are broadcast at once: about 0.5 KB each with their words.
+#: Windows of a benchmark that are broadcast at once: 16 bytes each and the words that they begin with.
 BROADCAST_WINDOWS = 200_000
 
 
 class Windows:
-    """A benchmark's windows, by width: sorted hashes, and of each the window's words and its items."""
-
-    def __init__(self, rows: list[tuple[str, str]], width: int = WIDTH):
-        self.items: list[str] = []
-        found: dict[int, dict[int, list[tuple[tuple[bytes, ...], int]]]] = {}
-        for item, text in rows:
-            buf, offs = X.flat(pa.array([text or ""]))
-            low = X.LOWER[buf]
-            starts, ends, owner = X.spans(low, offs, X.ALNUM)
-            if not len(starts):
-                continue
-            raw, words = low.tobytes(), None
-            words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            size = min(width, len(words))
-            hashes, at = X.window_hashes(X.span_hashes(X.prefix_sums(low), starts, ends), owner, size)
-            for h, i in zip(hashes.tolist(), at.tolist(), strict=True):
-                found.setdefault(size, {}).setdefault(h, []).append((tuple(words[i : i + size]), len(self.items)))
-            self.items.append(item)
-        self.by_width = {w: (np.array(sorted(x), dtype=X.U), x) for w, x in found.items()}
+    """Windows of a benchmark's items, by width: their sorted hashes, and where each stands.
+
+    Items' words are kept once, as bytes with a zero byte behind each, so a window costs 16 bytes beside them.
+    """
+
+    def __init__(self, rows: list[tuple[str, bytes]], width: int = WIDTH):
+        """rows: item and its lower-cased words, a zero byte behind each."""
+        self.items = [item for item, _ in rows]
+        self.words = [words for _, words in rows]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.ends: list[np.ndarray] = []
+        for n, words in enumerate(self.words):
+            raw = np.frombuffer(words, np.uint8)
+            ends = np.flatnonzero(raw == 0).astype(np.int32)
+            starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
+            self.ends.append(ends)
+            size = min(width, len(ends))
+            hashes, at = X.window_hashes(X.span_hashes(X.prefix_sums(raw), starts, ends.astype(np.int64)), np.zeros(len(ends), np.int64), size)
+            found.setdefault(size, []).append((hashes, np.full(len(at), n, np.int32), at.astype(np.int32)))
+        self.by_width = {}
+        for size, parts in found.items():
+            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.by_width[size] = (h[order], item[order], at[order])
+
+    def _window(self, item: int, at: int, width: int) -> bytes:
+        ends = self.ends[item]
+        return self.words[item][int(ends[at - 1]) + 1 if at else 0 : int(ends[at + width - 1])]
 
     def hits(self, low: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray):
         """Which words are hit, and the pairs (text, item) with an occurrence."""
         hit, pairs = np.zeros(len(starts), dtype=bool), set()
-        for width, (known, words) in self.by_width.items():
+        for width, (known, items, places) in self.by_width.items():
             h, at = X.window_hashes(hashes, owner, width)
             if not len(h):
                 continue
-            k = np.searchsorted(known, h)
-            k[k == len(known)] = 0
-            for j in np.flatnonzero(known[k] == h).tolist():
+            first = np.searchsorted(known, h)
+            some = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == h)
+            for j, a, z in zip(some.tolist(), first[some].tolist(), np.searchsorted(known, h[some], side="right").tolist(), strict=True):
                 i = int(at[j])
-                own = tuple(low[starts[x] : ends[x]].tobytes() for x in range(i, i + width))
-                for theirs, item in words[int(h[j])]:
-                    if own == theirs:
+                own = b"\0".join(low[starts[x] : ends[x]].tobytes() for x in range(i, i + width))
+                for k in range(a, z):
+                    if own == self._window(int(items[k]), int(places[k]), width):
                         hit[i : i + width] = True
-                        pairs.add((int(owner[i]), item))
+                        pairs.add((int(owner[i]), int(items[k])))
         return hit, pairs
 
 
-def _groups(benchmark: DataFrame, width: int, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in groups of at most limit windows (counted high) or one item, in the order of their ids."""
-    group, words = [], 0
+def _words(text: str) -> bytes:
+    buf, offs = X.flat(pa.array([text]))
+    low = X.LOWER[buf]
+    starts, ends, _ = X.spans(low, offs, X.ALNUM)
+    raw = low.tobytes()
+    return b"".join(raw[a:b] + b"\0" for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def _groups(benchmark: DataFrame, width: int, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items' words in groups of at most limit windows, in the order of their ids; an item of more is split, windows that cross a cut are on both sides' account."""
+    group, size = [], 0
     for r in benchmark.toLocalIterator():
-        n = len(r["text"]) // 2 + 1
-        if group and words + n > limit:
-            yield group
-            group, words = [], 0
-        group.append((r["item_id"], r["text"]))
-        words += n
+        words = _words(r["text"])
+        ends = np.flatnonzero(np.frombuffer(words, np.uint8) == 0)
+        a = 0
+        while a < len(ends):
+            if size >= limit:
+                yield group
+                group, size = [], 0
+            n = min(limit - size, max(1, len(ends) - a - width + 1))  # windows that begin from here
+            z = min(len(ends), a + n + width - 1)
+            group.append((r["item_id"], words[int(ends[a - 1]) + 1 if a else 0 : int(ends[z - 1]) + 1]))
+            size += n
+            a = a + n if z < len(ends) else len(ends)
     if group:
         yield group
 
