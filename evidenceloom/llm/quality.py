@@ -158,7 +158,8 @@ def judge(docs: DataFrame, text: str = "text", keep: float = 0.5) -> DataFrame:
         for batch in batches:
             m = measures(batch.column(batch.schema.get_field_index(text)))
             bad = failed(m)
-            good = np.array([posterior.get(votes(p), 0.0) for p in patterns(m).tolist()], dtype=float)
+            seen, which = np.unique(patterns(m), return_inverse=True)
+            good = np.array([posterior.get(votes(p), 0.0) for p in seen.tolist()], dtype=float)[which]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(m[k]) for k in COUNTS), pa.array(bad), pa.array(good), pa.array(~bad & (good >= keep))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
