@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import textnum as X
 from .columns import pick
-from .shared import removed, scratch, shuffles_end, written
+from .shared import lean, removed, scratch, written
 
 WIDTH, ROWS, LEVELS, ROUNDS = 16, 1 << 15, 3, 3
 FREQUENT, GROUPS = (5, 6, 15), 10
@@ -557,7 +557,7 @@ def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndar
             size = -(-size // FAN)
         weights = weights.copy()
         flat = weights.reshape(-1, WIDTH)
-        with shuffles_end(spark):
+        with lean(spark):
             found = moved.groupBy("part").applyInArrow(_merge(True), schema).select("part", "at", "change").collect()  # the weights' size at most
         for r in found:
             if r["part"] < 0:

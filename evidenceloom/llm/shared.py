@@ -11,9 +11,9 @@ import uuid
 
 from pyarrow import fs
 
-from evidenceloom.sources.scratch import folder, removed, scratch, shuffles_end, written
+from evidenceloom.sources.scratch import folder, lean, removed, scratch, written
 
-__all__ = ["AtomicFile", "folder", "opened", "removed", "scratch", "shuffles_end", "written"]
+__all__ = ["AtomicFile", "folder", "lean", "opened", "removed", "scratch", "written"]
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:

@@ -300,28 +300,29 @@ def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = X.flat(batch.column(1))
-            sets: list[np.ndarray] = []
             for a, b in X.pieces(offs):
                 text, starts, ends, owner = normalised(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, e, of = shingle_spans(starts, ends, owner, width)
                 h = X.span_hashes(X.prefix_sums(np.frombuffer(text, np.uint8)), s, e) if len(s) else np.empty(0, X.U)
                 cut = np.searchsorted(of, np.arange(b - a + 1))
-                sets += [np.unique(h[x:y]).view(np.int64) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k", "shingles"])
+                sets = [np.unique(h[x:y]).view(np.int64) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["k", "shingles"])
 
     return run
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (k, shingles, private): k, numbers of shingles and of private ones, and how many of the others fall in each of 64 ranges."""
-    for batch in batches:
-        sizes = [batch.column(i).value_lengths().to_numpy().astype(np.int64) for i in (1, 2)]
-        counts = []
-        for i, n in zip((1, 2), sizes, strict=True):
-            bucket = (batch.column(i).flatten().to_numpy().view(X.U) & X.U(63)).astype(np.int64) if int(n.sum()) else np.empty(0, np.int64)
-            counts.append(np.bincount(np.repeat(np.arange(len(n)), n) * 64 + bucket, minlength=64 * len(n)))
-        v = pa.FixedSizeListArray.from_arrays(pa.array((counts[0] - counts[1]).astype(np.int32)), 64).cast(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes[0].astype(np.int32)), pa.array(sizes[1].astype(np.int32)), v], names=["k", "n", "r", "v"])
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            batch = whole.slice(a, 256)
+            sizes = [batch.column(i).value_lengths().to_numpy().astype(np.int64) for i in (1, 2)]
+            counts = []
+            for i, n in zip((1, 2), sizes, strict=True):
+                bucket = (batch.column(i).flatten().to_numpy().view(X.U) & X.U(63)).astype(np.int64) if int(n.sum()) else np.empty(0, np.int64)
+                counts.append(np.bincount(np.repeat(np.arange(len(n)), n) * 64 + bucket, minlength=64 * len(n)))
+            v = pa.FixedSizeListArray.from_arrays(pa.array((counts[0] - counts[1]).astype(np.int32)), 64).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes[0].astype(np.int32)), pa.array(sizes[1].astype(np.int32)), v], names=["k", "n", "r", "v"])
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -301,10 +301,20 @@ def test_warc(spark):
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None))
     archives = warc.write(pages, scratch(spark, "warc"))
     assert sorted(map(tuple, warc.read(archives).collect()), key=repr) == sorted(want, key=repr)
+    ids, referred = [], []
     for r in archives.collect():
         found = list(warc.records(r["path"]))
-        assert len(found) == r["n_records"]
-        assert all(b.endswith(b"\r\n\r\n") for h, b in found if h["warc-type"] == "revisit")
+        assert len(found) == r["n_records"] + 1 and found[0][0]["warc-type"] == "warcinfo"
+        for h, block in found:
+            assert h["warc-block-digest"] == f"sha256:{hashlib.sha256(block).hexdigest()}"
+            ids.append(h["warc-record-id"])
+            if h["warc-type"] == "revisit":
+                assert block.endswith(b"\r\n\r\n")
+                referred.append((h["warc-refers-to"], h.get("warc-refers-to-target-uri")))
+    assert len(set(ids)) == len(ids) and {i for i, _ in referred} <= set(ids)
+    assert {u for _, u in referred} <= {"u", None}
+    clash = pages.withColumns({"digest": F.lit(1), "number": F.lit(2), "first": F.lit("x"), "payload": F.lit("y"), "revisit": F.lit(True)})
+    assert sorted(map(tuple, warc.round_trip(clash).collect()), key=repr) == sorted(want, key=repr)
     assert warc.round_trip(pages.limit(0)).count() == 0
     assert warc.round_trip(pages.limit(1)).count() == 1
 
@@ -312,6 +322,23 @@ def test_warc(spark):
 # ---- transcripts
 
 
+def test_roles_of_conversations_that_were_not_learned_from(spark):
+    """Of the held-out fifth, line by line; the defaults alone are the base."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    held = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 1
+    model = chat.Model.from_counts(chat.count_labelled(turns.where(~held)))
+    rows = turns.where(held)
+    want = Counter((r.conv_id, r.role) for r in rows.collect() for _ in (r.text or "").split("\n"))
+
+    def share(m):
+        got = Counter()
+        for r in chat.parse(rows.drop("role"), m).collect():
+            got[r.conv_id, r.role] += r.n_lines
+        return sum(min(n, got[k]) for k, n in want.items()) / sum(want.values())
+
+    assert share(model) > 0.95 and share(None) > 0.95
+
+
 def best_path(model, seen):
     score, path = model.start + model.scores(seen)[0], [[i] for i in range(chat.N)]
     for e in model.scores(seen)[1:]:
@@ -453,6 +480,26 @@ def test_pipeline(spark, corpus, tmp_path):
     assert got.columns[:5] == docs.columns
 
 
+@pytest.mark.parametrize("make", [cases.odd, cases.none])
+def test_pipeline_on_odd_tables(spark, make, tmp_path):
+    """Nulls, repeats, clashing further columns, empty documents and an empty benchmark go through all stages."""
+    import corpus_pipeline
+
+    long = " ".join(f"plain{i % 400}" for i in range(300)) + "."
+    table = make(spark)
+    if table.count():
+        more = [(i, f"{long} text {i}.", "x", 1, "y", 2, "z") for i in (20, None, None)] + [(21, f"{long} text 21.", "x", 1, "y", 2, "z")] * 2
+        table = table.union(spark.createDataFrame(more, cases.SCHEMA))
+    table.withColumns({"n_chars": F.length("text").cast("long"), "component_id": F.lit(5), "items": F.lit("q"), "kept_text": F.lit("k"), "text_key": F.lit("t")}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = got.collect()
+    assert got.columns[: len(table.columns)] == table.columns
+    assert all(r.round_trip and r.text for r in rows)
+    assert len(rows) == len({r.doc_id for r in rows})
+    assert bool(rows) == bool(table.count())
+
+
 @pytest.mark.parametrize("make", [cases.odd, cases.none])
 def test_odd_tables(spark, make):
     table = make(spark)

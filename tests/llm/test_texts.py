@@ -1,3 +1,6 @@
+import json
+import math
+from collections import Counter
 import base64
 import hashlib
 
@@ -111,8 +114,23 @@ def test_token_file_random_access(spark):
     for s in shards:
         shard = tokenfile.Shard(s["path"].removeprefix("file://"))
         ids = [shard[i] for i in range(len(shard))]
-        assert all(len(x) == 16 for x, _ in ids) and sum(int(m.sum()) for _, m in ids) == s["n_tokens"]
-        assert not ids[0][0].flags.owndata
+        assert all(len(x) == 16 for x, _ in ids) and sum(int(tokenfile.unpacked(m).sum()) for _, m in ids) == s["n_tokens"]
+        assert [tokenfile.unpacked(m).tolist() for _, m in ids[:-1]] == [[True] * 16] * (len(ids) - 1)
+        assert not ids[0][0].flags.owndata and not ids[0][1].flags.owndata and ids[0][0].dtype == np.uint16
+    with pytest.raises(ValueError, match="eight"):
+        tokenfile.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), 2, seq_len=20)
+
+
+def test_token_file_with_a_tokenizer_that_does_not_cut_at_words(spark, texts):
+    """Whole texts are encoded then, and ids beyond 16 bits get 32."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not tokenfile.cuts_at_words(json.loads(tokenfile.loaded(path))) and tokenfile.cuts_at_words(json.loads(tokenfile.loaded(public_tokenizers.path("word_bpe_49k.json"))))
+    t = Tokenizer.from_file(path)
+    some = [(i, x) for i, x in texts if i is not None and i not in (6,)][:40]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenfile.round_trip(spark.createDataFrame(some, "doc_id long, text string"), path, 70_000, seq_len=64).collect()}
+    for i, x in some:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 70_000]
+        assert got[i] == (len(ids), cases.crc(ids))
 
 
 def test_line_dedup(docs, texts):
@@ -148,6 +166,38 @@ def test_simhash_links_of_large_groups(spark):
     assert got == want
 
 
+def test_posteriors_are_those_of_a_plain_restatement():
+    """Expectation-maximisation over votes by loops: shares, accuracies and posteriors."""
+    rng = np.random.default_rng(4)
+    k = len(quality.RULES)
+    counts = Counter()
+    for _ in range(3000):
+        good = rng.random() < 0.7
+        counts[tuple(int(x) for x in np.where(rng.random(k) < 0.5, 0, np.where(rng.random(k) < 0.85, 1 if good else -1, -1 if good else 1)))] += 1
+    share, right = 0.8, [[0.8] * k, [0.8] * k]
+    for _ in range(50):
+        post = {}
+        for votes in counts:
+            p = [1 - share, share]
+            for j, v in enumerate(votes):
+                for c in (0, 1):
+                    if v:
+                        p[c] *= right[c][j] if (v > 0) == bool(c) else 1 - right[c][j]
+            post[votes] = p[1] / (p[0] + p[1])
+        weight = [lambda v: counts[v] * (1 - post[v]), lambda v: counts[v] * post[v]]
+        right = [[min(0.995, max(0.55, (sum(weight[c](v) for v in counts if v[j] == (1 if c else -1)) + 8) / (sum(weight[c](v) for v in counts if v[j]) + 10))) for j in range(k)] for c in (0, 1)]
+        share = min(0.95, max(0.05, (sum(weight[1](v) for v in counts) + 8) / (sum(counts.values()) + 10)))
+    found, s, accuracy = quality.estimate(dict(counts))
+    assert math.isclose(s, share, rel_tol=1e-9) and np.allclose(accuracy, right)
+    assert all(math.isclose(found[v], post[v], rel_tol=1e-9) for v in counts)
+
+
+def test_kept_follows_from_limits_and_posterior(docs):
+    for r in quality.judge(docs).collect():
+        n, repeats = r.n_words, r.n_repeat_words
+        assert r.base_failed == (n < 50 or 100 * repeats > 50 * n) and r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
 @pytest.mark.parametrize("make", [cases.odd, cases.none])
 def test_odd_tables(spark, make):
     files = queries.tokenizer_files()
