@@ -37,7 +37,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,18 +352,19 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, key])
 
     signed = written(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(sign, schema), "signatures").where("k is not null")
-    nodes = written(signed.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "text-nodes")
+    once = signed.groupBy("k").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # a node is its smallest id and its text's digest, in this order, so the smallest node of a component says its smallest id
+    nodes = written(once.select(F.concat(_ordered_bytes(F.coalesce("id", F.lit(_LAST))), "k").alias("k"), "fp", "n", "bands"), "text-nodes")
     rows = nodes.select("k", F.posexplode("bands").alias("band", "value"))
     shared = rows.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     members = written(rows.join(shared, ["band", "value"]), "band-members")
-    wanted = written(members.select("k").distinct().join(nodes.select("k", "id", "fp"), "k"), "band-nodes")
+    wanted = written(members.select("k").distinct(), "band-nodes")
     texts = docs.mapInArrow(mark, T.StructType([*docs.schema, T.StructField(key, T.BinaryType())]))
-    last = F.lit(_LAST)
-    own = wanted.select(F.col("k").alias("w_k"), F.coalesce("id", last).alias("w_id"))
-    chosen = texts.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), last).alias("id"), F.col(f"`{text}`").alias("text"))
-    chosen = chosen.join(own, (F.col("k") == F.col("w_k")) & (F.col("id") == F.col("w_id")))
+    own = wanted.select(F.substring("k", 9, 16).alias("w_k"), _id_of(F.col("k")).alias("w_id"), "k")
+    chosen = texts.select(F.col(f"`{key}`").alias("t_k"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("id"), F.col(f"`{text}`").alias("text"))
+    chosen = chosen.join(own, (F.col("t_k") == F.col("w_k")) & (F.col("id") == F.col("w_id")))
     found = chosen.select("k", "text").mapInArrow(_shingle_sets(width), "k binary, shingles array<long>")
-    sets = written(found.groupBy("k").agg(F.first("shingles").alias("shingles")).join(nodes.select("k", "fp", F.coalesce("id", last).alias("id")), "k"), "shingle-sets")
+    sets = written(found.groupBy("k").agg(F.first("shingles").alias("shingles")).join(nodes.select("k", "fp"), "k"), "shingle-sets")
 
     # private shingles, which no other candidate has: they count against every pair of their text
     owners = sets.select(F.xxhash64("k").alias("o"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("o").alias("o")).where("c = 1")
@@ -375,10 +376,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     reps = placed.groupBy("band", "value").agg(F.min("k").alias("r0"), F.max("k").alias("r1"), F.min_by("k", F.struct("r", "k")).alias("r2"))
     stars = placed.select("band", "value", "k").join(reps, ["band", "value"]).select(F.explode(F.array("r0", "r1", "r2")).alias("a"), F.col("k").alias("b"))
     edges = _verified(_ordered(stars), sets, similarity)
-    parts = components(edges.select("na", "nb").toDF("a", "b"))
-    # a label is the struct of a component's smallest id and that text's key: it leads to the id without a join by label
-    ids = wanted.select("k", F.struct(F.coalesce("id", last).alias("id"), "k").alias("own"))
-    label = lambda found: ids.join(found, F.col("k") == F.col("node.k"), "left").select("k", F.coalesce("label", "own").alias("label"))
+    parts = components(edges)
+    label = lambda found: wanted.join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", "k").alias("label"))
     # groups in which several components are left, without the members that are too unlike every member of another component to be worth a look
     labelled = placed.join(label(parts), "k")
     least = labelled.groupBy("band", "value", "label").agg(F.min("r").alias("r"), F.min("n").alias("n"))
@@ -401,16 +400,16 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     cheap = able(c("n"), c("r"), c("n2"), c("r2"), F.least(c("n") - c("r"), c("n2") - c("r2")))
     across = rest.join(other, ["band", "value"]).where((c("label") < c("label2")) & cheap & able(c("n"), c("r"), c("n2"), c("r2"), common))
     more = _verified(_ordered(across.select(F.col("k").alias("a"), F.col("k2").alias("b"))).join(_ordered(stars), ["a", "b"], "left_anti"), sets, similarity)
-    of = label(components(edges.unionByName(more).select("na", "nb").toDF("a", "b")))
+    of = label(components(edges.unionByName(more)))
     # nodes without any candidate are their own component
-    final = nodes.select("k", "id", "fp").join(of, "k", "left").select(F.col("k").alias("own_key"), "fp", F.coalesce("label.id", "id").alias("component"), F.coalesce("label.k", "k").alias("label"))
-    final = written(final, "text-components")
+    found = nodes.select("k", "fp").join(of, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    final = written(found.select(F.substring("k", 9, 16).alias("own_key"), "fp", _id_of(F.col("label")).alias("component"), F.substring("label", 9, 16).alias("label")), "text-components")
     joined = texts.join(final, F.col(f"`{key}`") == final["own_key"], "left")
     shown, comp, group = free(docs, "fingerprint"), free(docs, "component_id"), free(docs, "component_key")
     return joined.select(
         *(texts[f"`{c}`"] for c in docs.columns),
         F.lower(F.lpad(F.hex(F.coalesce(final["fp"], F.lit(0))), 16, "0")).alias(shown),
-        F.when(final["own_key"].isNull(), texts[f"`{doc_id}`"].cast("long")).otherwise(F.nullif(final["component"], last)).alias(comp),
+        F.when(final["own_key"].isNull(), texts[f"`{doc_id}`"].cast("long")).otherwise(F.nullif(final["component"], F.lit(_LAST))).alias(comp),
         final["label"].alias(group),
     )
 
@@ -420,12 +419,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys, with their nodes (na, nb), whose sets are similar: pivot distances first, then bits, then the sets.
+    """The pairs (a, b) of nodes whose sets are similar: pivot distances first, then bits, then the sets.
 
     Sets of under ``SMALL`` shingles are cheap to compare, and their fingerprints say little: these go to the sets at once.
     """
-    left = sets.select(F.col("k").alias("a"), F.struct("id", "k").alias("na"), F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("k").alias("b"), F.struct("id", "k").alias("nb"), F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("k").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("k").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
     prints = pairs.join(left.select("a", "fa", F.size("sa").alias("n")), "a").join(right.select("b", "fb"), "b")
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= REACH
     for p in reversed(_PIVOTS.view(np.int64)[:4].tolist()):
@@ -433,4 +432,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     both = prints.where((F.col("n") < SMALL) | near).select("a", "b").join(left.drop("fa"), "a").join(right.drop("fb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     together = (F.size("sa") + F.size("sb")).cast("double")
-    return written(both.select("a", "b", "na", "nb", common.alias("c"), together.alias("t")).where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("a", "b", "na", "nb"), "similar")
+    return written(both.select("a", "b", common.alias("c"), together.alias("t")).where(F.col("c") >= similarity * (F.col("t") - F.col("c")) - 1e-9).select("a", "b"), "similar")
+
+
+def _ordered_bytes(number: Column) -> Column:
+    """Eight bytes of a long that are ordered as the longs are."""
+    return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
+def _id_of(node: Column) -> Column:
+    """The long that a node begins with."""
+    return (F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
