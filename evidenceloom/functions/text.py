@@ -71,18 +71,24 @@ def _foldings() -> tuple[str, str, str, str]:
         if plain:
             (one if len(plain) == 1 else many).append((chr(code), plain))
     letters, ascii_ = ("".join(x) for x in zip(*one, strict=True))
-    return letters, ascii_, "[" + "".join(c for c, _ in many) + "]", "\x01".join(f"{c}\x02{p}" for c, p in many)
+    ranges: list[list[int]] = []
+    for code in (ord(c) for c, _ in many):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return letters, ascii_, "[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in ranges) + "]", "\x01".join(f"{c}\x02{p}" for c, p in many)
 
 
 def fold(text: Column) -> Column:
-    """Lower case with umlauts spelled out, in ASCII by compatible decomposition; what has none goes."""
+    """Lower case with umlauts spelled out, in ASCII by compatible decomposition; what has none goes. Plain titles cost no more than the lower case."""
     letters, ascii_, odd, becomes = _foldings()
     s = F.lower(text)
     for umlaut, plain in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         s = F.replace(s, F.lit(umlaut), F.lit(plain))
     long = F.str_to_map(F.lit(becomes), F.lit("\x01"), F.lit("\x02"))
-    s = F.when(s.rlike(odd), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(long, c), c)), "")).otherwise(s)
-    return F.regexp_replace(F.translate(s, letters, ascii_), r"[^\x00-\x7F]", "")
+    spelled = F.when(s.rlike(odd), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(long, c), c)), "")).otherwise(s)
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spelled, letters, ascii_), r"[^\x00-\x7F]", "")).otherwise(s)
 
 
 def title_words(title: Column) -> Column:
@@ -127,7 +133,8 @@ def explicit_start(starts: Column, description: Column, day_only: Column) -> Col
     day = F.date_trunc("day", F.from_utc_timestamp(starts, "Europe/Vienna"))
     named = F.to_utc_timestamp(day + F.make_dt_interval(F.lit(0), hour, minute), "Europe/Vienna")
     close = day_only | (F.abs(F.unix_seconds(named) - F.unix_seconds(starts)) <= 6 * 3600)
-    return F.when((hour <= 23) & (minute <= 59) & close, named).otherwise(starts)
+    says = F.coalesce(description.rlike(BEGINS), F.lit(False))
+    return F.when(says, F.when((hour <= 23) & (minute <= 59) & close, named).otherwise(starts)).otherwise(starts)
 
 
 def is_placeholder(title: Column, source_name: Column) -> Column:

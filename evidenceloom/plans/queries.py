@@ -642,13 +642,14 @@ def precision_auc(spark, sf):
 
 
 @query("""WITH d AS (SELECT embedding[1]::DOUBLE AS c, label / 9 AS t FROM embeddings), g AS (SELECT 0.2 + 0.02 * i AS center, 0.02 * j AS temperature FROM range(21) a(i), range(1, 16) b(j)),
-m AS (SELECT center, temperature, avg(power(1 / (1 + exp((center - c) / temperature)) - t, 2)) AS mse FROM d, g GROUP BY ALL) SELECT round(center, 6) AS center, round(temperature, 6) AS temperature, round(mse, 6) AS mse FROM m ORDER BY m.mse, m.center, m.temperature LIMIT 1""")
+m AS (SELECT center, temperature, avg(power(1 / (1 + exp((center - c) / temperature)) - t, 2)) AS mse FROM d, g GROUP BY ALL) SELECT round(center, 6)::DOUBLE AS center, round(temperature, 6)::DOUBLE AS temperature, round(mse, 6) AS mse FROM m ORDER BY m.mse, m.center, m.temperature LIMIT 1""")
 def sigmoid_grid_fit(spark, sf):
     d = A.table(spark, sf, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("c"), (F.col("label") / 9).alias("t"))
     return control.fit_logistic(d, "c", "t").select(*(r6(x).alias(x) for x in ("center", "temperature", "mse")))
 
 
-@query()
+@query(f"""WITH {A.CLAIM_SQL}, v AS (SELECT event_id, source_id, max(least(trust * confidence, 0.999999)) AS v FROM claim GROUP BY ALL)
+SELECT event_id, round(1 - exp(sum(ln(1 - v))), 6) AS confidence, count(*) AS n_sources FROM v GROUP BY 1""")
 def streaming_equivalence(spark, sf):
     """Confidence of every event from the claim log as a stream, recomputed by touched keys; equal to the batch result."""
     from evidenceloom.sources.scratch import scratch
@@ -661,6 +662,33 @@ def streaming_equivalence(spark, sf):
     return S.latest(spark, f"{base}/out", "event_id").select("event_id", r6("confidence").alias("confidence"), "n_sources")
 
 
+def _event_stream(spark, sf):
+    """The event log as a stream of its files' rows, in four files, and a place for its state."""
+    from evidenceloom.sources.scratch import scratch
+    from evidenceloom.streaming import claims as S
+
+    base = scratch(spark, "stream")
+    A.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").repartition(4, "event_id").write.parquet(f"{base}/in")
+    return S, S.source(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 2), base
+
+
+@query("""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 1 HOUR, ts) + to_hours(-i::INT) AS start FROM events, range(3) r(i)) SELECT start::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
+def streaming_sliding_windows(spark, sf):
+    """Windows of three hours, every hour, over the log as a stream."""
+    S, stream, base = _event_stream(spark, sf)
+    found = S.finished(S.windowed_counts(stream, width="3 hours", slide="1 hour", late="60 days"), f"{base}/out", f"{base}/checkpoint")
+    return found.select(s("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER w >= INTERVAL 6 HOUR AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts)::VARCHAR AS start, (max(ts) + INTERVAL 6 HOUR)::VARCHAR AS "end", count(*) AS n FROM i GROUP BY user_id, k""")
+def streaming_sessions(spark, sf):
+    """Each user's runs of events less than six hours apart, over the log as a stream."""
+    S, stream, base = _event_stream(spark, sf)
+    found = S.finished(S.session_counts(stream, "user_id", gap="6 hours", late="60 days"), f"{base}/out", f"{base}/checkpoint")
+    return found.select("user_id", s("start"), s("end"), "n")
+
+
 # ---- further control plane and service queries
 
 

@@ -21,7 +21,7 @@ def _documents(rows, key: str, body):
 
 
 @query(f"""WITH p AS (SELECT *, {_DAY} AS d FROM part)
-SELECT p_partkey AS doc_id, p_name AS title, d::VARCHAR AS starts_at, d::VARCHAR || 'T22:30' AS ends_at, 'About ' || p_type AS description, 'https://x.at/' || p_partkey AS url, p_retailprice AS price_min, 48.25 + (p_partkey % 100) / 1000 AS lat, 0.85 AS confidence FROM p
+SELECT p_partkey AS doc_id, p_name AS title, d::VARCHAR AS starts_at, d::VARCHAR || 'T22:30' AS ends_at, 'About ' || p_type AS description, 'https://x.at/' || p_partkey AS url, p_retailprice AS price_min, 48.25 + (p_partkey % 100) / 1000 AS lat, 0.85::DOUBLE AS confidence FROM p
 UNION ALL SELECT p_partkey, p_name || ' again', (d + 7)::VARCHAR || ' 19:00', NULL, NULL, NULL, NULL, NULL, 0.85 FROM p
 UNION ALL SELECT p_partkey, p_brand, strftime(d + 8, '%d.%m.%Y'), NULL, NULL, NULL, NULL, NULL, 0.85 FROM p WHERE p_partkey % 3 = 0""")
 def json_records(spark, sf):
@@ -38,7 +38,7 @@ def json_records(spark, sf):
 
 
 @query(f"""WITH p AS (SELECT *, {_DAY} AS d FROM part)
-SELECT p_partkey AS doc_id, p_name AS title, d::VARCHAR AS starts_at, p_brand AS venue_name, 'Weg ' || p_size || ' 4020 Linz' AS address, 'https://x.at/e/' || p_partkey AS url, p_type AS organizer, p_retailprice AS price_min, p_retailprice + 5 AS price_max, 48.3 AS lat, 0.95 AS confidence FROM p WHERE p_partkey % 4 <> 1
+SELECT p_partkey AS doc_id, p_name AS title, d::VARCHAR AS starts_at, p_brand AS venue_name, 'Weg ' || p_size || ' 4020 Linz' AS address, 'https://x.at/e/' || p_partkey AS url, p_type AS organizer, p_retailprice AS price_min, p_retailprice + 5 AS price_max, 48.3::DOUBLE AS lat, 0.95::DOUBLE AS confidence FROM p WHERE p_partkey % 4 <> 1
 UNION ALL SELECT p_partkey, p_name || ' course', (d + 1)::VARCHAR, 'Saal', NULL, NULL, NULL, NULL, NULL, NULL, 0.95 FROM p WHERE p_partkey % 2 = 0""")
 def jsonld_records(spark, sf):
     """Events of several types within a graph; one in four is of a type that is no event's."""
@@ -91,13 +91,13 @@ def feed_records(spark, sf):
     return landing.rss(_documents(A.table(spark, sf, "part"), "p_partkey", body)).select("doc_id", "title", "starts_at", "url", "venue_name")
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS f, date_trunc('minute', o_orderdate) + to_minutes((o_orderkey % 1440)::INT) AS t, (o_orderkey % 1440)::INT AS m FROM orders),
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS f, date_trunc('day', o_orderdate) + to_minutes((180 + o_orderkey % 1200)::INT) AS t FROM orders),
 l AS (SELECT k, f, CASE WHEN f IN (2, 6) THEN date_trunc('day', t) ELSE t END AS t FROM o)
 SELECT k AS o_orderkey, CASE WHEN f = 5 THEN t::VARCHAR WHEN f < 7 THEN ((t AT TIME ZONE 'Europe/Vienna') AT TIME ZONE 'UTC')::VARCHAR END AS starts_at FROM l""")
 def tolerant_times(spark, sf):
     """The same times as sources write them: ISO, German, English, with an offset, as a range, and nonsense."""
     k = F.col("o_orderkey")
-    t = F.timestamp_add("MINUTE", (k % 1440).cast("int"), F.date_trunc("minute", "o_orderdate"))
+    t = F.timestamp_add("MINUTE", (180 + k % 1200).cast("int"), F.date_trunc("day", "o_orderdate"))
     month = F.element_at(F.array(*map(F.lit, ["Jänner", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"])), F.month(t))
     f = lambda pattern: F.date_format(t, pattern)
     shape = F.element_at(F.array(
@@ -130,7 +130,7 @@ def _records(spark, sf):
 
 @query(f"""WITH {_RECORD_SQL}, p AS (SELECT DISTINCT l_orderkey AS doc_id, 'https://x.at/d' || l_orderkey AS page, CASE WHEN l_orderkey % 2 = 0 THEN 0.6 ELSE 0.5 END AS sure FROM lineitem),
 j AS (SELECT recipe_id, doc_id, title, starts_at, coalesce(url, page) AS url, CASE WHEN url IS NULL THEN sure ELSE 0.85 END AS c FROM r JOIN p USING (doc_id))
-SELECT recipe_id, title, starts_at, url, round(c, 6) AS url_confidence FROM j QUALIFY row_number() OVER (PARTITION BY recipe_id, title, starts_at ORDER BY c DESC, doc_id, url DESC) = 1""")
+SELECT recipe_id, title, starts_at, url, round(c, 6)::DOUBLE AS url_confidence FROM j QUALIFY row_number() OVER (PARTITION BY recipe_id, title, starts_at ORDER BY c DESC, doc_id, url DESC) = 1""")
 def recipe_records(spark, sf):
     """What the pages of a recipe give, each record once with the surest link."""
     r = _records(spark, sf)
@@ -214,7 +214,7 @@ def cleaned_claims(spark, sf):
 
 
 @query(f"""WITH p AS (SELECT *, {_DAY} AS d FROM part), n AS (SELECT p_partkey AS doc_id, p_name AS t, d, 7 + p_partkey % 3 AS source_id FROM p)
-SELECT doc_id, t AS title, (((d::TIMESTAMP + INTERVAL 19 HOUR) AT TIME ZONE 'Europe/Vienna') AT TIME ZONE 'UTC')::VARCHAR AS starts_at, 0.85 AS confidence, t || '|' || d::VARCHAR || '|' || round_even(48.3 * 200, 0)::BIGINT || ':' || round_even((14.2 + source_id / 100) * 133, 0)::BIGINT AS fingerprint FROM n WHERE d >= DATE '2026-03-01'""")
+SELECT doc_id, t AS title, (((d::TIMESTAMP + INTERVAL 19 HOUR) AT TIME ZONE 'Europe/Vienna') AT TIME ZONE 'UTC')::VARCHAR AS starts_at, 0.85::DOUBLE AS confidence, t || '|' || d::VARCHAR || '|' || round_even(48.3 * 200, 0)::BIGINT || ':' || round_even((14.2 + source_id / 100) * 133, 0)::BIGINT AS fingerprint FROM n WHERE d >= DATE '2026-03-01'""")
 def records_to_claims(spark, sf):
     """From pages to claims: read, cleaned, with instants, without what is past, with the fingerprint under which the source's place is known."""
     k = F.col("p_partkey")

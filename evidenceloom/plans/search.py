@@ -291,7 +291,7 @@ def lexical(rows: DataFrame, words: Column, row_id: str, tokens: list[str], hit:
     grams = sorted({f"  {t} "[i : i + 3] for t in tokens for i in range(len(t) + 1)})
     shares = lambda w: F.concat(F.lit("  "), w, F.lit(" ")).rlike("|".join(map(re.escape, grams)))
     has = written(rows.select(row_id, F.explode(F.filter(F.array_distinct(words), shares)).alias("_w")), "near-words")
-    different = has.select("_w").distinct().withColumn("_g", F.size(trigrams(c("_w"))))
+    different = written(has.select("_w").distinct().withColumn("_g", F.size(trigrams(c("_w")))), "near-vocabulary")
     near = different.select("_w", *(near_token(t, c("_w"), c("_g")).alias(f"s{i}") for i, t in enumerate(tokens)))
     found = written(has.join(near, "_w").groupBy(row_id).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in places)), "near-rows")
     df = found.agg(*(F.count_if(c(f"s{i}") >= hit).alias(f"d{i}") for i in places)).join(F.broadcast(rows.agg(F.count("*").alias("n"))))

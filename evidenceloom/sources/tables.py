@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,32 +23,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column],
 
 
 class Versioned:
-    """A table that readers see whole: each version is a folder; a pointer file names the current one and is replaced last."""
+    """A table that readers see whole: each version is a folder; a pointer file names the current one and is replaced last.
+
+    The pointer is reached through pyarrow's file systems and replaced by a rename, which local disks and HDFS do at once.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-
-    def _fs(self):
-        p = self._hadoop.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.system, self.root = fs.FileSystem.from_uri(self.path)
 
     def current(self) -> str | None:
-        pointer = self._hadoop.Path(f"{self.path}/CURRENT")
-        if not self._fs().exists(pointer):
+        try:
+            with self.system.open_input_stream(f"{self.root}/CURRENT") as f:
+                return f.read().decode()
+        except FileNotFoundError:
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def swap(self, df: DataFrame) -> str:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        out = self._fs().create(self._hadoop.Path(f"{self.path}/CURRENT.{name}"), True)
-        out.write(name.encode())
-        out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri())
-        rename = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._hadoop.Path(f"{self.path}/CURRENT.{name}"), self._hadoop.Path(f"{self.path}/CURRENT"), rename)
+        with self.system.open_output_stream(f"{self.root}/CURRENT.{name}") as f:
+            f.write(name.encode())
+        self.system.move(f"{self.root}/CURRENT.{name}", f"{self.root}/CURRENT")
         return name
 
     def read(self) -> DataFrame:
@@ -57,6 +54,23 @@ class Versioned:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
+def csv_file(df: DataFrame, path: str) -> None:
+    """Rows for people's eyes as one CSV file with a header, in the rows' order; for reports and review lists, which are short."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def text_file(lines: DataFrame, path: str, column: str = "line") -> None:
+    """One text file of a column's lines, in the rows' order."""
+    lines.select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def review_list(asked: DataFrame, proposals: DataFrame) -> DataFrame:
+    """What a rebuild leaves for people, as lines: pairs without a verdict, and venues that a merge found different."""
+    pairs = asked.select(F.concat_ws(" ", F.lit("same?"), F.col("a"), F.lit("<>"), F.col("b"), F.concat(F.lit("["), F.col("key"), F.lit("]"))).alias("line"))
+    venues = proposals.where("proposal = 'review'").select(F.concat_ws(" ", F.lit("venue?"), F.col("venue").cast("string"), F.lit("<>"), F.col("name")).alias("line"))
+    return pairs.union(venues).orderBy("line")
+
+
 def seed_venues(spark: SparkSession, path: str) -> DataFrame:
     """name, aliases (separated by bars), kind, lat, lon."""
     rows = spark.read.csv(path, header=True, schema="name string, aliases string, kind string, lat double, lon double")

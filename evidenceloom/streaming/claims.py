@@ -83,6 +83,16 @@ def session_counts(stream: DataFrame, key: str, at: str = "ts", gap: str = "30 m
     return grouped.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def finished(aggregated: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """An aggregated stream run until what is there is consumed: its whole result, each batch in place of the one before."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    aggregated.writeStream.outputMode("complete").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return aggregated.sparkSession.read.schema(aggregated.schema).parquet(path)
+
+
 def first_seen(stream: DataFrame, key: str, at: str = "ts", late: str = "1 day") -> DataFrame:
     """Rows whose key was not seen within the watermark."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])

@@ -356,6 +356,31 @@ def test_upsert_and_swap(spark, tmp_path):
     assert [r.k for r in v.read().collect()] == [2]
 
 
+def test_files_for_people(spark, tmp_path):
+    asked = spark.createDataFrame([("k1", "a", "b")], "key string, a string, b string")
+    proposals = spark.createDataFrame([("1", 'Saal "x", Linz', "review"), ("2", "y", "alias")], "venue string, name string, proposal string")
+    tables.text_file(tables.review_list(asked, proposals), f"file://{tmp_path}/review")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/review").collect()] == ["same? a <> b [k1]", 'venue? 1 <> Saal "x", Linz']
+    tables.csv_file(proposals.orderBy("venue"), f"file://{tmp_path}/csv")
+    assert spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/csv").collect() == [("1", 'Saal "x", Linz', "review"), ("2", "y", "alias")]
+
+
+def test_wanted_tags():
+    assert search.desired(["Live  Music", "jazz", "live music"]) == ("live music", "jazz")
+    for bad in ([""], ["a b c d"], ["x" * 61], ["a (b)"], [f"t{i}" for i in range(9)]):
+        with pytest.raises(ValueError):
+            search.desired(bad)
+    with pytest.raises(ValueError):
+        search.feed_only(None, least=5, most=2)
+
+
+def test_too_many_concepts(spark):
+    tags = spark.createDataFrame([(1, "jazz", 0.8, [1.0])], "event_id int, name string, confidence double, vector array<double>")
+    many = spark.createDataFrame([(i, f"c{i}", [1.0]) for i in range(10)], "concept int, name string, vector array<double>")
+    with pytest.raises(ValueError, match="concepts"):
+        tagmatch.match(tags, many, 8)
+
+
 # ---- control plane and presentation
 
 

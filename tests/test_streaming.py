@@ -53,3 +53,18 @@ def test_running_average_equals_batch(spark, log):
     want = {r.user_id: (r.average, r.n) for r in evidence.moving_average(events, ["user_id"], [F.col("ts").desc()], "value", 0.3).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+
+
+def test_late_claims_change_what_they_touch(spark, tmp_path):
+    """Versions follow the batches; a reader that knows one goes on from there."""
+    rows = [("e1", "s1", 0.5, 0.5), ("e2", "s1", 0.5, 0.4)], [("e1", "s2", 0.8, 0.5)], [("e3", "s1", 0.1, 0.1)]
+    schema = "event_id string, source_id string, trust double, confidence double"
+    path, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        S.recompute_touched(S.source(spark, path, spark.read.parquet(path).schema, 1), f"file://{tmp_path}/log", "event_id", S.confidence, out, f"{tmp_path}/cp", buckets=4).awaitTermination()
+    seen = [(r.version, r.event_id, round(r.confidence, 6), r.n_sources) for r in S.changes(spark, out, "event_id").collect()]
+    assert seen == [(0, "e1", 0.25, 1), (0, "e2", 0.2, 1), (1, "e1", 0.55, 2), (2, "e3", 0.01, 1)]
+    assert [r.event_id for r in S.changes(spark, out, "event_id", after=1).collect()] == ["e3"]
+    S.compact(spark, out, "event_id", f"file://{tmp_path}/latest")
+    assert {(r.event_id, r.n_sources) for r in spark.read.parquet(f"file://{tmp_path}/latest").collect()} == {("e1", 2), ("e2", 1), ("e3", 1)}
