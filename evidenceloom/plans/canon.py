@@ -11,6 +11,8 @@ among rows has a total order, so the result does not depend on the order of the
 from __future__ import annotations
 
 import dataclasses
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,6 +177,12 @@ def raw_occurrences(claims: DataFrame, now: Column) -> DataFrame:
     return dates.select("event_id", start.alias("starts_at"), F.when(c("seconds") > 0, F.timestamp_add("SECOND", c("seconds"), start)).alias("ends_at"), (c("minutes") > 0).alias("timed")).where(c("starts_at").between(from_, until))
 
 
+def coverage_edge(claims: DataFrame) -> DataFrame:
+    """event_id and the last day that its sources can see: a later one that they show, or as far ahead of their last look as they show dates. A day before it that they did not show is none."""
+    sees = F.greatest(F.max("day"), F.max(F.date_add(local_day(F.col("extracted_at")), F.floor("horizon_days").cast("int"))))
+    return claims.groupBy("event_id").agg(sees.alias("edge"))
+
+
 def occurrences(claims: DataFrame, holidays: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column) -> DataFrame:
     """event_id, occurrence_id, starts_at, ends_at, projected, time_unknown: dates of verified rules; else of calendars' own rules; else observed dates folded, with projections of series that were judged to recur."""
     ends = recurrence.sane_end(F.col("starts_at"), F.col("ends_at"), F.array("category"))
@@ -185,15 +193,13 @@ def occurrences(claims: DataFrame, holidays: DataFrame, rule_verdicts: DataFrame
     start = recurrence.local_start(F.col("day"), F.col("minutes"))
     ruled = dates.withColumn("minutes", F.coalesce("minutes", F.lit(0))).select("event_id", start.alias("starts_at"), F.when(F.col("duration_minutes") > 0, F.timestamp_add("MINUTE", F.col("duration_minutes"), start)).alias("ends_at"), (F.col("minutes") > 0).alias("timed"))
     by_rule = rules.select("event_id")
-    raw = raw_occurrences(claims.join(by_rule, "event_id", "left_anti"), now)
+    raw = written(raw_occurrences(claims.join(by_rule, "event_id", "left_anti"), now), "raw-occurrences")
     observed = claims.join(raw.select("event_id").distinct(), "event_id", "left_anti")
-    observed = recurrence.fold(observed.select("event_id", "starts_at", ends.alias("ends_at"), has_time(F.col("starts_at")).alias("timed")), ["event_id"])
-    known = recurrence.fold(observed.unionByName(ruled), ["event_id"]).unionByName(raw).withColumn("projected", F.lit(False))
+    observed = written(recurrence.fold(observed.select("event_id", "starts_at", ends.alias("ends_at"), has_time(F.col("starts_at")).alias("timed")), ["event_id"]), "observed-occurrences")
+    known = written(recurrence.fold(observed.unionByName(ruled), ["event_id"]).unionByName(raw).withColumn("projected", F.lit(False)), "known-occurrences")
     days = claims.where("group0 like 'series|%'").select("event_id", "day")
     usual = recurrence.modes(observed, ["event_id"])
-    # a date within what the sources can see ahead and did not show is evidence that there is none
-    sees = F.greatest(F.max("day"), F.max(F.date_add(local_day(F.col("extracted_at")), F.floor("horizon_days").cast("int"))))
-    edge = claims.groupBy("event_id").agg(sees.alias("edge"))
+    edge = coverage_edge(claims)
     judged = series_verdicts.where("verdict = 'recurring'").select("event_id").join(by_rule.union(raw.select("event_id")), "event_id", "left_anti")
     ahead = recurrence.project(recurrence.cadence(days, ["event_id"]).join(judged, "event_id", "left_semi").join(edge, "event_id"), "edge").join(usual, "event_id", "left")
     begin = recurrence.local_start(F.col("projected_day"), F.coalesce("minutes", F.lit(0)).cast("int"))
@@ -234,12 +240,17 @@ def tags(claims: DataFrame) -> DataFrame:
 @dataclasses.dataclass
 class Canon:
     events: DataFrame
-    occurrences: DataFrame
     status: DataFrame
     tags: DataFrame
     identity: DataFrame
     asked: DataFrame
     proposals: DataFrame
+    dates: Callable[[], DataFrame]
+
+    @functools.cached_property
+    def occurrences(self) -> DataFrame:
+        """Made when first asked for: its steps are written tables."""
+        return self.dates()
 
 
 #: Columns that a claim may lack.
@@ -271,7 +282,7 @@ def rebuild(claims: DataFrame, venues: DataFrame, holidays: DataFrame, identity:
     c = written(c.join(owner, "fingerprint"), "claims-identified")
     status = evidence.merge_status(c.select("event_id", "day", "trust", "extracted_at", "claim_id", "status"), ["event_id", "day"])
     every = asked.select("key", "a", "b").unionByName(asked_groups)
-    return Canon(events(c), occurrences(c, holidays, rule_verdicts, series_verdicts, now), status, tags(c), ids, every, venue_proposals(c, venues))
+    return Canon(events(c), status, tags(c), ids, every, venue_proposals(c, venues), lambda: occurrences(c, holidays, rule_verdicts, series_verdicts, now))
 
 
 def newly_negative(status: DataFrame, before: DataFrame) -> DataFrame:

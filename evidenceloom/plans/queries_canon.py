@@ -264,6 +264,33 @@ def canon_raw_rules(spark, sf):
     return canon.raw_occurrences(rows.where(even), F.lit("1996-06-01 00:00:00").cast("timestamp")).select("event_id", s("starts_at"))
 
 
+@query(f"""WITH {A.CLAIM_SQL} SELECT event_id, greatest(max(starts_at::DATE), max({VIENNA.format("extracted_at")}::DATE + CASE WHEN source_id % 3 <> 0 THEN (source_id % 200)::INT END))::VARCHAR AS edge FROM claim GROUP BY 1""")
+def coverage_edge(spark, sf):
+    k = F.col("source_id")
+    c = A.claims(spark, sf).select("event_id", F.col("starts_at").cast("date").alias("day"), F.col("extracted_at").cast("timestamp").alias("extracted_at"), F.when(k % 3 != 0, (k % 200) + 0.9).alias("horizon_days"))
+    return canon.coverage_edge(c).select("event_id", s("edge"))
+
+
+@query(f"""WITH {A.CALENDAR_SQL}, judged AS (SELECT * FROM found WHERE series_id % 5 <> 0), seen AS (SELECT DISTINCT series_id, day FROM calendar WHERE series_id % 7 <> 3),
+ahead AS (SELECT j.series_id, last_day + (i * cadence)::INT AS day FROM judged j, range(1, 5) t(i) WHERE cadence IS NOT NULL AND i * cadence <= 28 AND series_id % 7 <> 3 AND last_day + (i * cadence)::INT > CASE WHEN series_id % 2 = 0 THEN greatest(last_day, DATE '2026-03-01' + 20) ELSE last_day END),
+o AS (SELECT series_id, day, false AS projected FROM seen UNION ALL SELECT series_id, day, true FROM ahead)
+SELECT 'e' || series_id AS event_id, (((day::TIMESTAMP + INTERVAL 19 HOUR) AT TIME ZONE 'Europe/Vienna') AT TIME ZONE 'UTC')::VARCHAR AS starts_at, (((day::TIMESTAMP + INTERVAL 21 HOUR) AT TIME ZONE 'Europe/Vienna') AT TIME ZONE 'UTC')::VARCHAR AS ends_at, projected, false AS time_unknown FROM o""")
+def canon_series_occurrences(spark, sf):
+    """Observed dates of series, and those that their cadence promises beyond what the sources see, where the series was judged to recur; none of what is no event."""
+    k = F.col("series_id")
+    none = F.lit(None)
+    at = recurrence.local_start(F.col("day"), F.lit(19 * 60))
+    rule = none.cast("struct<freq: string, weekday: string, week_of_month: int, interval: int, valid_from: date, valid_until: date, except_holidays: array<string>, minutes: int, duration_minutes: int>")
+    c = A.calendar(spark, sf).select(
+        F.concat(F.lit("e"), k).alias("event_id"), "day", at.alias("starts_at"), F.timestamp_add("MINUTE", F.lit(120), at).alias("ends_at"), F.concat(F.lit("series|"), k).alias("group0"), F.concat_ws("-", k, F.col("day").cast("string")).alias("claim_id"),
+        F.lit("2026-03-01").cast("timestamp").alias("extracted_at"), F.when(k % 2 == 0, 20.0).alias("horizon_days"), F.lit("music").alias("category"), none.cast("string").alias("rrule_raw"), rule.alias("recurrence"),
+    )
+    verdict = F.when(k % 7 == 3, "not_an_event").when(k % 5 != 0, "recurring").otherwise("one_off")
+    judged = A.calendar(spark, sf).select(F.concat(F.lit("e"), k).alias("event_id"), verdict.alias("verdict")).distinct()
+    found = canon.occurrences(c, A.holidays(spark), spark.createDataFrame([], "event_id string, verified boolean"), judged, F.lit("2026-03-01").cast("timestamp"))
+    return found.select("event_id", s("starts_at"), s("ends_at"), "projected", "time_unknown")
+
+
 @query()
 def canon_rebuild(spark, sf):
     """All claims through the whole rebuild: one row for each canonical event. Its stages have their SQL above."""
