@@ -10,7 +10,8 @@ Nothing gathers a whole conversation: rows are sorted by ranges of (conversation
 conversation inside one range is decoded there. Of one that crosses ranges, each range gives the
 best scores from every state to every state (max-plus product of its lines), from which the states
 at the borders follow exactly; the driver gets at most two such small matrices for each range. Then each
-part is decoded by itself between known states. A turn that crosses a border is rendered as two.
+part is decoded by itself between known states, and the pieces of a turn that crosses borders (at most two pieces a range have
+such a border) are put together, so the result does not depend on how rows were dealt out.
 
 Defined results: a null or empty text is one empty line; null conversation ids are one conversation;
 null turns come first; equal turns are ordered by text; repeated rows stay; roles other than the three
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -195,29 +196,33 @@ def count_labelled(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     return total
 
 
-def _turns(texts: list[str | None], turns: list, states: list[int]) -> Iterator[tuple]:
-    """turn, role, rendered, n_lines of each recovered turn."""
+def _turns(texts: list[str | None], turns: list, states: list[int], goes_on: bool = False) -> Iterator[tuple]:
+    """turn, line (of the row, with which it begins), role, text and n_lines of each recovered turn; goes_on: the first one began before these lines."""
     out, k = [], 0
     for turn, t in zip(turns, texts, strict=True):
-        for line in _lines(t):
+        for at, line in enumerate(_lines(t)):
             role, first = STATES[states[k]]
-            if first or not out or out[-1][1] != role:
-                out.append([turn, role, []])
-                line = without_marker(line)
-            out[-1][2].append(line)
+            if first or not out or out[-1][2] != role:
+                line = line if goes_on and not out else without_marker(line)
+                out.append([turn, at, role, []])
+            out[-1][3].append(line)
             k += 1
-    for turn, role, lines in out:
-        yield turn, role, f"<|{role}|>\n" + "\n".join(lines) + "<|end|>", len(lines)
+    for turn, at, role, lines in out:
+        yield turn, at, role, "\n".join(lines), len(lines)
 
 
-_OUT = "kind int, part long, conv_id long, turn long, role string, text string, n_lines long, scores array<double>"
-_NAMES = ["kind", "part", "conv_id", "turn", "role", "text", "n_lines", "scores"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())]
+def _rendered(role: Column, text: Column) -> Column:
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>"))
+
+
+_OUT = "kind int, part long, conv_id long, turn long, line long, role string, text string, n_lines long, scores array<double>"
+_NAMES = ["kind", "part", "conv_id", "turn", "line", "role", "text", "n_lines", "scores"]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())]
 DECODED, RAW, MATRIX = 0, 1, 2
 
 
 def parse(table: DataFrame, model: Model | None = None, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """conv_id, turn (of the turn's first row), role, rendered and n_lines of each recovered turn."""
+    """conv_id, turn and line (of the row and its line with which it begins), role, rendered and n_lines of each recovered turn."""
     model = model or Model.from_counts(None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +246,14 @@ def parse(table: DataFrame, model: Model | None = None, conv_id: str = "conv_id"
     def _raw(part, conv, own):
         # from every state of the line before, and, should the conversation begin here, from the start
         steps = model.product(_seen([r[1] for r in own], False))
-        yield (MATRIX, part, conv, None, None, None, None, [*steps.ravel().tolist(), *_from_start(model, own).tolist()])
+        yield (MATRIX, part, conv, None, None, None, None, None, [*steps.ravel().tolist(), *_from_start(model, own).tolist()])
         for t, words, _ in own:
-            yield (RAW, part, conv, t, None, words, None, None)
+            yield (RAW, part, conv, t, None, None, words, None, None)
 
     def _decoded(part, conv, own):
         texts = [r[1] for r in own]
-        for t, role, words, n in _turns(texts, [r[0] for r in own], model.path(_seen(texts, True))):
-            yield (DECODED, part, conv, t, role, words, n, None)
+        for t, line, role, words, n in _turns(texts, [r[0] for r in own], model.path(_seen(texts, True))):
+            yield (DECODED, part, conv, t, line, role, words, n, None)
 
     done = written(_sorted(table, conv_id, turn, text, None).mapInArrow(run, _OUT), "chat-ranges")
     # at most two conversations of each range
@@ -256,17 +261,28 @@ def parse(table: DataFrame, model: Model | None = None, conv_id: str = "conv_id"
     sent = table.sparkSession.sparkContext.broadcast(known)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        conv = None if pd.isna(pdf["conv_id"].iloc[0]) else int(pdf["conv_id"].iloc[0])
-        before, last = sent.value[int(pdf["part"].iloc[0]), conv]
+        part, conv = int(pdf["part"].iloc[0]), None if pd.isna(pdf["conv_id"].iloc[0]) else int(pdf["conv_id"].iloc[0])
+        before, last, previous = sent.value[part, conv]
         pdf = pdf.sort_values(["turn", "text"], na_position="first", kind="stable")
         texts = [None if x is None or x != x else x for x in pdf["text"].tolist()]
         turns = [None if pd.isna(t) else int(t) for t in pdf["turn"].tolist()]
-        rows = [(conv, *r) for r in _turns(texts, turns, model.path(_seen(texts, before is None), before, last))]
-        return pd.DataFrame(rows, columns=["conv_id", "turn", "role", "rendered", "n_lines"]).astype({"conv_id": "Int64", "turn": "Int64"})
-
-    shape = "conv_id long, turn long, role string, rendered string, n_lines long"
-    rest = done.where(f"kind = {RAW}").groupBy("part", "conv_id").applyInPandas(finish, shape)
-    return done.where(f"kind = {DECODED}").select("conv_id", "turn", "role", F.col("text").alias("rendered"), "n_lines").union(rest)
+        states = model.path(_seen(texts, before is None), before, last)
+        goes_on = previous is not None and not STATES[states[0]][1] and STATES[states[0]][0] == STATES[previous][0]
+        rows = list(_turns(texts, turns, states, goes_on))
+        rows = [(conv, *r, part, i, i == len(rows) - 1, goes_on and i == 0) for i, r in enumerate(rows)]
+        return pd.DataFrame(rows, columns=["conv_id", "turn", "line", "role", "text", "n_lines", "part", "place", "last", "goes_on"]).astype({"conv_id": "Int64", "turn": "Int64"})
+
+    shape = "conv_id long, turn long, line long, role string, text string, n_lines long, part long, place long, last boolean, goes_on boolean"
+    rest = written(done.where(f"kind = {RAW}").groupBy("part", "conv_id").applyInPandas(finish, shape), "chat-pieces")
+    columns = ["conv_id", "turn", "line", "role", _rendered(F.col("role"), F.col("text")).alias("rendered"), "n_lines"]
+    at_border = (F.col("place") == 0) | F.col("last")
+    # at most two pieces of a range: which belong together is a running count of those that don't go on
+    edges = rest.where(at_border).withColumn("whole", F.sum((~F.col("goes_on")).cast("int")).over(Window.partitionBy("conv_id").orderBy("part", "place")))
+    first = lambda c: F.min_by(c, F.struct("part", "place")).alias(c)
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", F.col("text").alias("t")))), lambda x: x["t"]), "\n")
+    whole = edges.groupBy("conv_id", "whole").agg(first("turn"), first("line"), first("role"), text_.alias("text"), F.sum("n_lines").alias("n_lines"))
+    found = done.where(f"kind = {DECODED}").select(*columns)
+    return found.union(rest.where(~at_border).select(*columns)).union(whole.select(*columns))
 
 
 def _from_start(model: Model, own: list[tuple]) -> np.ndarray:
@@ -276,8 +292,8 @@ def _from_start(model: Model, own: list[tuple]) -> np.ndarray:
     return best
 
 
-def borders(parts: list[tuple[int, int | None, np.ndarray]]) -> dict[tuple[int, int | None], tuple[np.ndarray | None, int]]:
-    """For each part of a conversation, in order: scores before it (None at the start) and its last line's state on the best path."""
+def borders(parts: list[tuple[int, int | None, np.ndarray]]) -> dict[tuple[int, int | None], tuple[np.ndarray | None, int, int | None]]:
+    """For each part of a conversation, in order: scores before it (None at the start), and the states on the best path of its last line and of the line before it."""
     out, i = {}, 0
     while i < len(parts):
         j = i
@@ -288,9 +304,8 @@ def borders(parts: list[tuple[int, int | None, np.ndarray]]) -> dict[tuple[int,
             alphas.append((alphas[-1][:, None] + m[: N * N].reshape(N, N)).max(axis=0))
         state = int(alphas[-1].argmax())
         for k in range(j - 1, i - 1, -1):
-            out[parts[k][0], parts[k][1]] = (alphas[k - i - 1] if k > i else None, state)
-            if k > i:
-                state = int((alphas[k - i - 1] + parts[k][2][: N * N].reshape(N, N)[:, state]).argmax())
+            last, state = state, int((alphas[k - i - 1] + parts[k][2][: N * N].reshape(N, N)[:, state]).argmax()) if k > i else None
+            out[parts[k][0], parts[k][1]] = (alphas[k - i - 1] if k > i else None, last, state)
         i = j
     return out
 

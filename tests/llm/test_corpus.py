@@ -350,7 +350,7 @@ def best_path(model, seen):
 
 def test_chat_finds_roles(spark):
     talk = "System: Be brief.\n\nUser: What is a b-tree?\nAnd why?\nAssistant: A tree.\nIt stays shallow."
-    got = chat.parse(spark.createDataFrame([(1, 0, talk), (2, 0, None), (3, 0, "Q: hi?\nA: hello\nQ: bye?\nA: bye")], "conv_id long, turn long, text string")).collect()
+    got = chat.parse(spark.createDataFrame([(1, 0, talk), (2, 0, None), (3, 0, "Q: hi?\nA: hello\nQ: bye?\nA: bye")], "conv_id long, turn long, text string")).orderBy("conv_id", "turn", "line").collect()
     assert [(r.role, r.rendered) for r in got if r.conv_id == 1] == [("system", "<|system|>\nBe brief.\n<|end|>"), ("user", "<|user|>\nWhat is a b-tree?\nAnd why?<|end|>"), ("assistant", "<|assistant|>\nA tree.\nIt stays shallow.<|end|>")]
     assert [r.role for r in got if r.conv_id == 3] == ["user", "assistant"] * 2
     assert [r.n_lines for r in got if r.conv_id == 2] == [1]
@@ -373,23 +373,24 @@ def test_chat_across_ranges(spark, hot):
     rows += [(None, None, None), (None, 3, "System: x")] + [(0, 7, "same")] * 50
     model = chat.Model.from_counts(None)
     got = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(6), model)
-    lines = lambda t: (t or "").split("\n")
-    total = defaultdict(Counter)
-    by = defaultdict(list)
+    by, want = defaultdict(list), []
     for r in rows:
         by[r[0]].append(r[1:])
     for conv, own in by.items():
         own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
         path, _ = best_path(model, chat._seen([t for _, t in own], True))
-        k = 0
-        for _, t in own:
-            for _ in lines(t):
-                total[conv][chat.STATES[path[k]][0]] += 1
-                k += 1
-    found = defaultdict(Counter)
-    for r in got.collect():
-        found[r.conv_id][r.role] += r.n_lines
-    assert found == total
+        want += [(conv, turn, line, role, f"<|{role}|>\n{body}<|end|>", n) for turn, line, role, body, n in chat._turns([t for _, t in own], [t for t, _ in own], path)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_chat_turns_that_fill_ranges(spark):
+    """One turn of many rows' lines: rows that a model takes for later lines only are one turn, wherever the borders are."""
+    model = chat.Model.from_counts(None)
+    model.emit[1:] = [np.log(np.full((chat.N, n), 1 / n)) for n in chat.SIZES[1:]]  # only markers say something here
+    rows = [(1, i, "User: tell me" if i == 0 else f"line {i} answer: not a marker") for i in range(400)]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(7), model).collect()
+    assert [(r.turn, r.role, r.n_lines) for r in got] == [(0, "user", 400)]
+    assert got[0].rendered == "<|user|>\n" + "\n".join(["tell me", *(t for _, _, t in rows[1:])]) + "<|end|>"
 
 
 # ---- similar documents and the pipeline
