@@ -82,6 +82,18 @@ def test_substrings_of_few_letters(spark, monkeypatch, hot):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_substrings_beyond_the_threshold_of_hot_anchors(spark):
+    """A passage that more documents go on from differently than an anchor may have segments, at the true threshold."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = word(80)
+    rows = [(rng.randrange(10**6), word(rng.randrange(20, 45)) + passage + word(rng.randrange(20, 45))) for _ in range(substrings.HOT + 300)]
+    got = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    want = [(i, *r) for (i, _), r in zip(rows, removed(rows, 50), strict=True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_maximal_repeats():
     rng = random.Random(5)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 40))) for _ in range(30)]

@@ -145,24 +145,24 @@ def test_simhash(docs, texts):
     assert by_row(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
 
 
-def test_simhash_links_of_large_groups(spark):
+@pytest.mark.parametrize(("most", "size"), [(20, 500), (simhash.MOST, 3000)])
+def test_simhash_links_of_large_groups(spark, monkeypatch, most, size):
+    """Keys with more fingerprints than are compared with each other, also at the true threshold."""
+    monkeypatch.setattr(simhash, "MOST", most)
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    base = rng.integers(0, 1 << 63, 3 if size < 1000 else 1, dtype=np.uint64)
     fps = {int(b) for b in base}
     for b in base.tolist():
-        for _ in range(500):
+        for _ in range(size):
             x = b
             for bit in rng.integers(0, 64, rng.integers(1, 4)).tolist():
                 x ^= 1 << bit
             fps.add(x)
     fps = np.array(sorted(fps), dtype=np.uint64)
+    assert max(Counter((fps >> np.uint64(32)).tolist()).values()) > most
     want = {tuple(sorted((int(a), int(b)))) for i, a in enumerate(fps) for b in fps[:i][np.bitwise_count(fps[:i] ^ a) <= 2]}
     nodes = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")
-    old, simhash.MOST = simhash.MOST, 20
-    try:
-        got = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(nodes).collect()}
-    finally:
-        simhash.MOST = old
+    got = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(nodes).collect()}
     assert got == want
 
 
