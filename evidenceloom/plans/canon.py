@@ -270,7 +270,9 @@ def venue_proposals(claims: DataFrame, venues: DataFrame) -> DataFrame:
 def rebuild(claims: DataFrame, venues: DataFrame, holidays: DataFrame, identity: DataFrame, verdicts: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column) -> Canon:
     """The whole canon. Grouped claims are a written table, so that the products don't recompute the grouping."""
     claims = claims.withColumns({n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in claims.columns})
-    c = written(fingerprints(place(load(claims, now), venues)), "claims")
+    # read twice: for the venues' names and for the claims themselves
+    c = written(load(claims, now), "claims-loaded")
+    c = written(fingerprints(place(c, venues)), "claims")
     c = written(absorb_twins(c, series(c)), "claims-series")
     links, asked = claim_links(c, verdicts)
     c = _labelled(c, "group0", links, "group1")
