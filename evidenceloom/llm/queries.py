@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, maxent, quality, simhash, substrings, tokenfile, warc
+from . import bpe, centroids, chat, decontaminate, linededup, maxent, merkle, mixing, quality, simhash, substrings, tokenfile, warc
 
 
 def tokenizer_files() -> SimpleNamespace:
@@ -79,9 +79,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text")
 
 
+def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxent, op2_token_file, op3_substrings, op4_line_dedup, op5_decontaminate, op6_byte_bpe, op7_warc, op8_simhash, op9_chat, op10_quality)}
+    return {f.__name__: f for f in (op1_maxent, op2_token_file, op3_substrings, op4_line_dedup, op5_decontaminate, op6_byte_bpe, op7_warc, op8_simhash, op9_chat, op10_quality, op11_fair_mix, op12_centroids, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.SQL, "op5_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL}
+    return {"op4_line_dedup": linededup.SQL, "op5_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL, "op11_fair_mix": mixing.SQL, "op12_centroids": centroids.SQL, "op13_merkle": merkle.SQL}
