@@ -13,10 +13,13 @@ fewer of them, hashed with the node. A word of a cell's rest then has the closed
 the extra half for all unseen tokens, which is what a softmax of the words' own weights has as its optimum.
 
 What grows with the corpus: exact counts of all words, and for each pair of last words that the training texts
-continue alike twice, the word they continue it with most often (the expected word; of equally frequent ones the
-one of the smallest hash). P(token) = p [token is expected] + (1 - p) P(token | path), where p, by how often
-and how surely that pair was continued so and whether the last expectation held, is the share of training tokens, each
-held against the counts without itself. Both parts sum to one, so this is a distribution over all texts.
+continue alike twice, the code (the highest ``TELL`` bits of the hash) of what continues it most often (of equally
+frequent ones the smallest). The most frequent word of that code is the expected word, one word and no other. It is a feature of
+all softmaxes that its path passes: a weight for the outcome that leads to it, by level and by how often and how surely
+the pair was continued so and whether the last expectation held; in a cell's rest the same feature tells the expected word from
+all others, which share what it leaves by their closed form. These weights are trained with the others, each
+training token held against the counts without itself. Every factor sums to one, and so does the product over all
+words and the unseen ones: this is one distribution.
 
 Reproducible: rows go to blocks by the hash of id and text, in the order of that hash, and how many blocks and
 ranges there are follows from the bytes of all texts; so blocks, rounds (block modulo ``ROUNDS``), AdaGrad steps within a
@@ -60,6 +63,8 @@ CANDIDATES = 4096
 END, START = X.U(0x1D8E4E27C47D124F), X.U(0xEB382D69B1F1E2A5)
 _STEP = X.U(0x9E3779B97F4A7C15)
 _ONES = np.ones(WIDTH, np.float32)
+#: Share of a full step that the expectations' weights take in a batch.
+LEAN = 0.5
 #: States of the expectation: 8 of how often, 4 of how surely, 3 of the one before.
 STATES = 96
 
@@ -122,8 +127,8 @@ def before(x: np.ndarray, owner: np.ndarray, n: int, none) -> np.ndarray:
     return out
 
 
-#: Bits of a word's hash that tell continuations of one context apart.
-TELL = 12
+#: Bits of a word's hash that tell continuations of one context apart: its code.
+TELL = 16
 
 
 def context_bits(parts: int) -> int:
@@ -138,8 +143,8 @@ def context_keys(h: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarra
 
 
 def short(h: np.ndarray, bits: int) -> np.ndarray:
-    """A word's bits in the place behind a context's."""
-    return ((h >> X.U(20)) & X.U((1 << TELL) - 1)) << X.U(64 - bits - TELL)
+    """A word's code in the place behind a context's bits."""
+    return h >> X.U(64 - TELL) << X.U(64 - bits - TELL)
 
 
 # ---- blocks
@@ -226,12 +231,17 @@ def _count_words(blobs: list[bytes]) -> tuple[list[bytes], pa.Table]:
     cut = np.cumsum([0, *map(len, each[0])]).tolist()
     replies = [_planes(c[inverse[a:b]].astype(X.U)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     end, cell = np.flatnonzero(~word), np.flatnonzero(v)
+    # the most frequent word of each code, of equally frequent ones the smallest; one that was seen once is never expected
+    told = np.flatnonzero(word & (c > 1))
+    told = told[np.lexsort((known[told], -c[told], known[told] >> X.U(64 - TELL)))]
+    code = known[told] >> X.U(64 - TELL)
+    told = told[np.concatenate(([True], code[1:] != code[:-1]))] if len(told) else told
     more = {
-        "kind": np.repeat([-1, -2, 0], [len(cell), len(end), len(words)]).astype(np.int32),
-        "h": np.concatenate((cell * 0, end * 0, known[words].view(np.int64))),
-        "c": np.concatenate((n[cell].astype(np.int64), c[end], c[words])),
-        "v": np.concatenate((v[cell], seen[end], words * 0 + 1)).astype(np.int64),
-        "k": np.concatenate((cell, end * 0, k[words])).astype(np.int32),
+        "kind": np.repeat([-1, -2, 0, 1], [len(cell), len(end), len(words), len(told)]).astype(np.int32),
+        "h": np.concatenate((cell * 0, end * 0, known[words].view(np.int64), known[told].view(np.int64))),
+        "c": np.concatenate((n[cell].astype(np.int64), c[end], c[words], c[told])),
+        "v": np.concatenate((v[cell], seen[end], words * 0 + 1, told * 0 + 1)).astype(np.int64),
+        "k": np.concatenate((cell, end * 0, k[words], k[told])).astype(np.int32),
     }
     return replies, pa.table(more)
 
@@ -277,10 +287,10 @@ def _continue(blobs: list[bytes], bits: int) -> list[bytes]:
 
 
 class Words:
-    """What is known of the whole corpus: sums, and the tree's own words (at most five, sixty and fifteen hundred)."""
+    """What is known of the whole corpus: sums, the tree's own words (at most five, sixty and fifteen hundred), and a word for each code."""
 
-    def __init__(self, cells: list[tuple[int, int, int]], end: tuple[int, int], frequent: list[tuple[int, int, int]]):
-        """cells: (cell, tokens, words); end: (count, 1 if seen); frequent: (hash, count, cell), most frequent first."""
+    def __init__(self, cells: list[tuple[int, int, int]], end: tuple[int, int], frequent: list[tuple[int, int, int]], told: list[tuple[int, int, int]] = ()):
+        """cells: (cell, tokens, words); end: (count, 1 if seen); frequent: (hash, count, cell), most frequent first; told: such words, one for a code at most."""
         n, v = np.zeros((GROUPS, GROUPS)), np.zeros((GROUPS, GROUPS))
         for cell, tokens_, words in cells:
             n[divmod(cell, GROUPS)] += tokens_
@@ -317,6 +327,19 @@ class Words:
         self.bias = [log(m).reshape(-1, WIDTH) for m in mass]
         self.own = np.array(sorted(paths), X.U)
         self.paths = np.array([paths[h] for h in sorted(paths)], np.uint8)
+        self.told_word, told_cell, told_count = np.zeros(1 << TELL, X.U), np.zeros(1 << TELL, np.uint8), np.zeros(1 << TELL)
+        if told:
+            h, c, k = (np.array(x, t) for x, t in zip(zip(*told, strict=True), (X.U, np.float64, np.uint8), strict=True))
+            code = (h >> X.U(64 - TELL)).astype(np.int64)
+            self.told_word[code], told_count[code], told_cell[code] = h, c, k
+        # the end is a word of the tree, and expected where its own code is
+        self.told_word[int(END) >> (64 - TELL)] = END
+        self.told_path = self.path(self.told_word, told_cell)
+        self.told_cell = told_cell
+        in_rest = (self.told_word > 0) & (self.told_path[:, 2] == WIDTH - 1) & (nodes(self.told_path)[2] >= 0)
+        #: log of what all others of the rest have without it
+        self.told_others = np.zeros(1 << TELL)
+        self.told_others[in_rest] = np.log1p(-np.exp(self.in_rest(told_count[in_rest], told_cell[in_rest])))
 
     def path(self, known: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The outcomes on the three levels for each word (0 below its last one), a column for each level."""
@@ -375,10 +398,30 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return x - np.log(np.exp(x) @ _ONES)[:, None]
 
 
+class Expected:
+    """The expected words of some tokens' contexts, level by level: their state where the token's own path passes a softmax that the expected word's passes too (else -1), and the outcome there."""
+
+    def __init__(self, words: Words, path: np.ndarray, at: list[np.ndarray], state: np.ndarray, hit: np.ndarray, code: np.ndarray):
+        self.hit, self.code, self.toward = hit, code, words.told_path[code]
+        there = nodes(self.toward)
+        self.state = [np.where((state >= 0) & (at[level] >= 0) & (there[level] == at[level]), state, -1) for level in range(LEVELS)]
+        rest = (self.state[2] >= 0) & (path[:, 2] == WIDTH - 1) & (self.toward[:, 2] == WIDTH - 1)
+        self.state.append(np.where(rest, state, -1))
+
+    def add(self, x: np.ndarray, level: int, i: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Adds the weights to the sums x of the tokens i; which of them have an expectation here, its state and outcome."""
+        state = self.state[level][i]
+        j = np.flatnonzero(state >= 0)
+        state, toward = state[j], self.toward[i[j], level]
+        x[j, toward] = np.clip(x[j, toward] + lead[level][state], -60, 60)
+        return j, state, toward
+
+
 class Block:
     """A block with what the whole corpus says of its words and contexts, in slices of tokens."""
 
-    def __init__(self, path: str, block: int, words: Words, parts: int):
+    def __init__(self, path: str, block: int, words: Words, parts: int, expecting: bool = True):
+        self.expecting = expecting
         self.table, n, self.known, self.k, self.inverse = load(path, block)
         answers = B.answers_of(_file(path, block), "counts")
         self.bits = context_bits(parts)
@@ -395,8 +438,8 @@ class Block:
         self.classes = classes(self.path)
 
     def slices(self, own: np.ndarray) -> Iterator[tuple]:
-        """Slices of tokens: word numbers, paths, nodes, rows of the weights, state of the expectation (-1: none), whether it holds, row numbers."""
-        state, hit = self.expectations(own)
+        """Slices of tokens: word numbers, paths, nodes, rows of the weights, expectations, row numbers."""
+        state, hit, code = self.expectations(own)
         for a in range(0, len(self.inverse), SLICE):
             lead = min(a, 4)
             s = slice(a - lead, a + SLICE)
@@ -404,59 +447,82 @@ class Block:
             path = self.path[number]
             at = nodes(path)
             rows = features(self.known[number], self.classes[number], owner, at)
-            yield number[lead:], path[lead:], [x[lead:] for x in at], [x[lead:] for x in rows], state[a : a + SLICE], hit[a : a + SLICE], owner[lead:]
+            path, at, told = path[lead:], [x[lead:] for x in at], slice(a, a + SLICE)
+            yield number[lead:], path, at, [x[lead:] for x in rows], Expected(self.words, path, at, state[told], hit[told], code[told]), owner[lead:]
 
-    def expectations(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State of each token's expectation (-1: none) and whether it holds; tokens of training rows (own) are held against the counts without themselves."""
-        if not len(self.expected):
-            return np.full(len(self.inverse), -1), np.zeros(len(self.inverse), bool)
+    def expectations(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State of each token's expectation (-1: none), whether it holds, and the code; tokens of training rows (own) are held against the counts without themselves."""
+        if not len(self.expected) or not self.expecting:
+            return np.full(len(self.inverse), -1), np.zeros(len(self.inverse), bool), np.zeros(len(self.inverse), np.int64)
         h = self.known[self.inverse]
         keys, has = context_keys(h, self.owner, self.bits)
         x = self.expected >> X.U(64 - self.bits) << X.U(64 - self.bits)
         at = np.minimum(np.searchsorted(x, keys), len(x) - 1)
         has &= x[at] == keys
-        hit = has & (self.expected[at] == keys | short(h, self.bits))
-        less = own & hit
+        code = (self.expected[at] << X.U(self.bits) >> X.U(64 - TELL)).astype(np.int64)
+        # the token's own part in that count
+        less = own & has & (code == (h >> X.U(64 - TELL)).astype(np.int64))
+        word = self.words.told_word[code]
+        has &= word > 0
+        hit = has & (word == h)
         n, total = self.often[at] - less, np.maximum(self.total[at] - own, 1)
         has &= n > 0
         hit &= has
         last = before(np.where(has, 1 + hit.astype(np.int8), 0).astype(np.int8), self.owner, 1, 0)
         many = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 7)
         sure = np.minimum(4 * n // total, 3)
-        return np.where(has, (many * 4 + sure) * 3 + last, -1), hit
+        return np.where(has, (many * 4 + sure) * 3 + last, -1), hit, code
 
-    def score(self, weights: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def score(self, weights: np.ndarray, lead: np.ndarray) -> np.ndarray:
         """Natural log P of each token."""
         out = [np.empty(0)]
-        for number, path, at, rows, state, hit, _ in self.slices(np.zeros(len(self.inverse), bool)):
-            log = np.zeros(len(number))
-            for level in range(LEVELS):
-                i = np.flatnonzero(at[level] >= 0)
-                x = _sums(weights[level], self.words.bias[level][at[level][i]], rows[level][i])
-                own = x[np.arange(len(i)), path[i, level]]
-                log[i] += own - np.log(np.exp(x, out=x) @ _ONES)
-            rest = np.flatnonzero((at[2] >= 0) & (path[:, 2] == WIDTH - 1))
-            log[rest] += self.words.in_rest(self.count[number[rest]], self.k[number[rest]])
-            told = np.flatnonzero(state >= 0)
-            share = p[state[told]]
-            log[told] = np.log(share * hit[told] + (1 - share) * np.exp(log[told]))
-            out.append(log)
+        for number, path, at, rows, told, _ in self.slices(np.zeros(len(self.inverse), bool)):
+            out.append(log_chance(weights, lead, self.words, path, at, rows, told, self.count[number], self.k[number]))
         return np.concatenate(out)
 
 
+def log_chance(weights: np.ndarray, lead: np.ndarray, words: Words, path: np.ndarray, at: list[np.ndarray], rows: list[np.ndarray], told: Expected, count: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Natural log P of words, given by path, count and cell, each in its context, given by rows and told."""
+    log = np.zeros(len(path))
+    for level in range(LEVELS):
+        i = np.flatnonzero(at[level] >= 0)
+        x = _sums(weights[level], words.bias[level][at[level][i]], rows[level][i])
+        told.add(x, level, i, lead)
+        own = x[np.arange(len(i)), path[i, level]]
+        log[i] += own - np.log(np.exp(x, out=x) @ _ONES)
+    rest = np.flatnonzero((at[2] >= 0) & (path[:, 2] == WIDTH - 1))
+    log[rest] += words.in_rest(count[rest], k[rest])
+    i = np.flatnonzero(told.state[LEVELS] >= 0)
+    x = lead[LEVELS][told.state[LEVELS][i]]
+    # told from the others of the rest, or one of these by its share of what they have
+    log[i] = np.where(told.hit[i], log[i] - words.in_rest(count[i], k[i]) - np.logaddexp(0, -x), log[i] - words.told_others[told.code[i]] - np.logaddexp(0, x))
+    return log
+
+
+def first_lead() -> np.ndarray:
+    """Weights of expectations before training, by level (the last: in a cell's rest) and state: how surely, and on the tree's levels as much more as an outcome among others needs."""
+    sure = (np.arange(STATES) // 3 % 4 + 0.5) / 4
+    return np.log(sure / (1 - sure)) + np.array([2.0, 2.0, 2.0, 0.0])[:, None]
+
+
 class Trainer:
-    """A block's own weights, moved by AdaGrad with a rate for each row."""
+    """A block's own weights, moved by AdaGrad with a rate for each row; those of expectations, which all tokens share, by the curvature of each batch."""
 
-    def __init__(self, weights: np.ndarray, bias: list[np.ndarray]):
+    def __init__(self, weights: np.ndarray, lead: np.ndarray, bias: list[np.ndarray]):
         self.weights, self.bias, self.begin = weights.copy(), bias, weights
+        self.lead, self.lead_begin, self.tried = lead.copy(), lead, np.zeros(lead.shape)
         self.squares = np.full(weights.shape[:2], 1e-3, np.float32)
         self.touched = np.zeros(weights.shape[:2], np.int64)
 
-    def learn(self, level: int, rows: np.ndarray, node: np.ndarray, y: np.ndarray) -> None:
+    def learn(self, level: int, rows: np.ndarray, node: np.ndarray, y: np.ndarray, told: Expected | None = None, i: np.ndarray | None = None) -> None:
         weights, squares, wide = self.weights[level], self.squares[level], rows.shape[1]
         g = _sums(weights, self.bias[level][node], rows)
+        if told:
+            j, state, toward = told.add(g, level, i, self.lead)
         np.exp(g, out=g)
         g /= -(g @ _ONES)[:, None]
+        if told:
+            self.lean(level, state, -g[j, toward], y[j] == toward)
         g[np.arange(len(y)), y] += 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")  # 16 bits are sorted by radix
@@ -471,22 +537,30 @@ class Trainer:
         weights[at] += total
         self.touched[level, at] += np.diff(np.append(first, len(s)))
 
-    def block(self, block: Block) -> np.ndarray:
-        """Learns a block's training tokens; tries and hits of expectations by state."""
-        seen = np.zeros((2, STATES), np.int64)
+    def lean(self, level: int, state: np.ndarray, p: np.ndarray, right: np.ndarray) -> None:
+        """A step of the expectations' weights: p is what the outcome had, right whether it came."""
+        slope, curve = np.bincount(state, right - p, STATES), np.bincount(state, p * (1 - p), STATES)
+        self.lead[level] += np.clip(LEAN * slope / (curve + 1), -1, 1)
+        self.tried[level] += np.bincount(state, minlength=STATES)
+
+    def block(self, block: Block) -> None:
+        """Learns a block's training tokens."""
         own = ~block.held[block.owner]
-        for number, path, at, rows, state, hit, owner in block.slices(own):
+        for _, path, at, rows, told, owner in block.slices(own):
             mine = ~block.held[owner]
-            told = mine & (state >= 0)
-            seen[0] += np.bincount(state[told], minlength=STATES)
-            seen[1] += np.bincount(state[told & hit], minlength=STATES)
-            for a in range(0, len(number), BATCH):
+            for a in range(0, len(path), BATCH):
+                s = slice(a, a + BATCH)
                 for level in range(LEVELS):
-                    s = slice(a, a + BATCH)
                     i = a + np.flatnonzero(mine[s] & (at[level][s] >= 0))
                     if len(i):
-                        self.learn(level, rows[level][i], at[level][i], path[i, level])
-        return seen
+                        self.learn(level, rows[level][i], at[level][i], path[i, level], told, i)
+                i = a + np.flatnonzero(mine[s] & (told.state[LEVELS][s] >= 0))
+                state = told.state[LEVELS][i]
+                self.lean(LEVELS, state, 1 / (1 + np.exp(-self.lead[LEVELS][state])), told.hit[i])
+
+    def leaned(self) -> bytes:
+        """How often expectations were tried, and the changes of their weights times that."""
+        return np.stack((self.tried, (self.lead - self.lead_begin) * self.tried)).astype("<f8").tobytes()
 
     def changes(self, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """part, rows, how often each was touched, changes of their weights."""
@@ -503,13 +577,13 @@ _CHANGES = ["part", "block", "at", "touched", "change"]
 
 
 def _merge(last: bool):
-    """Sums of changes times touches of a range's rows; at last, their means. Range -1: sums of what expectations gave."""
+    """Sums of changes times touches of a range's rows; at last, their means. Range -1: sums of the expectations' tries and changes."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py() // FAN
         if part < 0:
-            columns = (b"", b"", sum(np.frombuffer(x, "<i8") for x in table.column("change").to_pylist()).tobytes())
+            columns = (b"", b"", sum(np.frombuffer(x, "<f8") for x in table.column("change").to_pylist()).tobytes())
         else:
             total, weight = np.zeros((LEVELS * ROWS, WIDTH)), np.zeros(LEVELS * ROWS)
             for at, touched, change in zip(*(table.column(c).to_pylist() for c in ("at", "touched", "change")), strict=True):
@@ -530,23 +604,22 @@ def _dealt(blocks: DataFrame, number: Column | None = None) -> DataFrame:
     return blocks.select("block").repartitionById(tasks, ((F.col("block") if number is None else number) % tasks).cast("int"))
 
 
-def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The weights after all rounds, and the chance that an expectation holds, by state."""
+def train(path: str, made: DataFrame, words: Words, parts: int, expecting: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The weights after all rounds, and those of expectations."""
     spark = made.sparkSession
-    weights = np.zeros((LEVELS, ROWS, WIDTH), np.float32)
-    seen = np.zeros((2, STATES), np.int64)
+    weights, lead = np.zeros((LEVELS, ROWS, WIDTH), np.float32), first_lead()
     schema = "part int, block long, at binary, touched binary, change binary"
     most = made.agg(F.max("block")).first()[0]
     for n in range(ROUNDS if most is not None else 0):
-        now = spark.sparkContext.broadcast((weights, words))
+        now = spark.sparkContext.broadcast((weights, lead, words))
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            start, words = now.value
+            start, lead, words = now.value
             for batch in batches:
                 for block in batch.column(0).to_pylist():
-                    task = Trainer(start, words.bias)
-                    found = task.block(Block(path, block, words, parts))
-                    rows = [(-1, b"", b"", found.astype("<i8").tobytes()), *task.changes(64)]
+                    task = Trainer(start, lead, words.bias)
+                    task.block(Block(path, block, words, parts, expecting))
+                    rows = [(-1, b"", b"", task.leaned()), *task.changes(64)]
                     ids = [pa.array([r[0] for r in rows], pa.int32()), pa.array([block // ROUNDS] * len(rows), pa.int64())]
                     yield pa.RecordBatch.from_arrays([*ids, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=_CHANGES)
 
@@ -561,11 +634,12 @@ def train(path: str, made: DataFrame, words: Words, parts: int) -> tuple[np.ndar
             found = moved.groupBy("part").applyInArrow(_merge(True), schema).select("part", "at", "change").collect()  # the weights' size at most
         for r in found:
             if r["part"] < 0:
-                seen += np.frombuffer(r["change"], "<i8").reshape(2, STATES)
+                tried, change = np.frombuffer(r["change"], "<f8").reshape(2, LEVELS + 1, STATES)
+                lead = lead + change / np.maximum(tried, 1)
             else:
                 flat[np.frombuffer(r["at"], "<u4")] += np.frombuffer(r["change"], "<f4").reshape(-1, WIDTH)
         now.unpersist()
-    return weights, (seen[1] + 0.5) / (seen[0] + 1)
+    return weights, lead
 
 
 def _make(path: str, count: int):
@@ -634,8 +708,11 @@ def _answer(parts: int):
     return run, "block long, part int, blob binary, kind int, h long, c long, v long, k int"
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trained: bool = True, expecting: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+
+    Without trained, only what counts give (and expectations as they are before training); without expecting, no expectations: for measuring what each part adds.
+    """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=doc_id, text=text)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -652,8 +729,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     answers = written(asked.groupBy("part").applyInArrow(run, schema), "word-counts")
     sums = answers.where("kind < 0").groupBy("kind", "k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()  # a hundred cells and the end
     frequent = answers.where("kind = 0").orderBy(F.col("c").desc(), "h").limit(CANDIDATES).select("h", "c", "k").collect()
+    # a word for each code, 2^TELL at most; of equally frequent ones the one whose hash is the smallest, as a signed number
+    told = answers.where("kind = 1").groupBy(F.shiftrightunsigned("h", 64 - TELL).alias("code")).agg(F.min(F.struct((-F.col("c")).alias("c"), "h", "k")).alias("w")).select("w.h", (-F.col("w.c")).alias("c"), "w.k").collect()
     end = next(((r["c"], r["v"]) for r in sums if r["kind"] == -2), (0, 0))
-    words = Words([(r["k"], r["c"], r["v"]) for r in sums if r["kind"] == -1], end, [(r["h"] % (1 << 64), r["c"], r["k"]) for r in frequent])
+    words = Words([(r["k"], r["c"], r["v"]) for r in sums if r["kind"] == -1], end, *([(r["h"] % (1 << 64), r["c"], r["k"]) for r in rows_] for rows_ in (frequent, told)))
 
     def keep(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -662,18 +741,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     made = written(answers.where("block is not null").groupBy("block").applyInArrow(keep, "block long"), "counted-blocks")
     removed(answers)
-    weights, p = train(path, made, words, parts)
-    given = spark.sparkContext.broadcast((weights, p, words))
+    weights, lead = train(path, made if trained else made.limit(0), words, parts, expecting)
+    given = spark.sparkContext.broadcast((weights, lead, words))
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, p, words = given.value
+        weights, lead, words = given.value
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                block = Block(path, number, words, parts)
+                block = Block(path, number, words, parts, expecting)
                 n = block.table.num_rows
                 c = block.count[block.inverse]
                 sums = lambda x, o=block.owner, n=n: np.bincount(o, weights=x, minlength=n)
-                columns = [pa.array(np.bincount(block.owner, minlength=n).astype(np.int64)), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, words.n)), pa.array(sums(words.base(c))), pa.array(sums(block.score(weights, p) / np.log(10)))]
+                columns = [pa.array(np.bincount(block.owner, minlength=n).astype(np.int64)), pa.array(sums(c > 0).astype(np.int64)), pa.array(np.full(n, words.n)), pa.array(sums(words.base(c))), pa.array(sums(block.score(weights, lead) / np.log(10)))]
                 yield pa.RecordBatch.from_arrays([block.table.column("doc_id").combine_chunks(), block.table.column("held_out").combine_chunks(), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -163,6 +163,26 @@ def test_maxent_beats_the_base_on_held_out_texts(spark):
     assert r[0] > r[1] + 0.25 * r[2]
 
 
+def test_maxent_both_parts_help_on_held_out_texts(spark):
+    """Features and expectations each beat the base alone, and both together beat either."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    total = lambda **more: maxent.score(docs, **more).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    both, base = total()
+    features, expectations = total(expecting=False)[0], total(trained=False)[0]
+    assert features > base + 0.1 and expectations > base + 0.1 and both > max(features, expectations) + 0.08
+
+
+def test_maxent_expectations_are_trained():
+    """Steps by the curvature find the share that holds: 80 of 100 expectations at a state."""
+    t = maxent.Trainer(np.zeros((1, 1, maxent.WIDTH), np.float32), np.zeros((4, maxent.STATES)), [])
+    state, right = np.full(100, 5), np.arange(100) < 80
+    for _ in range(30):
+        t.lean(3, state, 1 / (1 + np.exp(-t.lead[3][state])), right)
+    assert math.isclose(1 / (1 + math.exp(-t.lead[3][5])), 0.8, abs_tol=0.01) and not t.lead[3][6]
+    tried, change = np.frombuffer(t.leaned(), "<f8").reshape(2, 4, -1)
+    assert tried[3][5] == 3000 and math.isclose(change[3][5], 3000 * t.lead[3][5])
+
+
 def test_maxent_without_training_rows(spark):
     ids = [i for i in range(200) if held(i)][:5]
     got = maxent.score(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")).collect()
@@ -170,31 +190,102 @@ def test_maxent_without_training_rows(spark):
     assert all(math.isclose(r.base_score, 0.0, abs_tol=1e-12) and math.isfinite(r.score) for r in got)  # log10(0.5 / 0.5) for each
 
 
-def test_maxent_tree_sums_to_one():
-    """Over all words and, for each cell, what was never seen; with the expectation mixed in too."""
+def test_maxent_sums_to_one_with_each_kind_of_expectation():
+    """One context's probabilities over a vocabulary of 20,000 words, the end and, for each cell, what was never seen; more words than there are codes of 12 bits."""
     rng = np.random.default_rng(0)
-    count = np.sort(rng.zipf(1.3, 3000).clip(max=10**6))[::-1]
-    h, cell = np.sort(rng.integers(1, 1 << 63, 3000).astype(X.U)), rng.integers(0, 100, 3000).astype(np.uint8)
-    c = rng.permutation(count)
+    size = 20_000
+    c = rng.permutation(np.sort(rng.zipf(1.3, size).clip(max=10**6)))
+    h, cell = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)), rng.integers(0, 100, size).astype(np.uint8)
     by_count = np.lexsort((h, -c))
     sums = [(k, int(c[cell == k].sum()), int((cell == k).sum())) for k in range(100)]
-    words = maxent.Words(sums, (50, 1), [(int(h[i]), int(c[i]), int(cell[i])) for i in by_count])
-    assert (words.n, words.v) == (int(c.sum()) + 50, 3001)
-    known, k = np.append(h, [maxent.END, *[X.U(1 << 63)] * 100]), np.append(cell, [np.uint8(0), *np.arange(100, dtype=np.uint8)])
-    n = np.append(c, [50, *[0] * 100])
-    path = words.path(known, k)
-    assert len({tuple(p) for p in path[: len(h)].tolist() if p[2] != maxent.WIDTH - 1 and (p[0] <= 5 or p[1] < 6 or p[2] < 15)}) > 1000
-    weights = rng.normal(size=(maxent.LEVELS, maxent.ROWS, maxent.WIDTH)).astype(np.float32)
+    best = {}
+    for i in by_count.tolist():
+        best.setdefault(int(h[i]) >> (64 - maxent.TELL), i)
+    of = lambda ids: [(int(h[i]), int(c[i]), int(cell[i])) for i in ids]
+    words = maxent.Words(sums, (50, 1), of(by_count[: maxent.CANDIDATES]), of(best.values()))
+    assert (words.n, words.v) == (int(c.sum()) + 50, size + 1)
+    known, k = np.append(h, [maxent.END, *[X.U(0)] * 100]), np.append(cell, [np.uint8(0), *np.arange(100, dtype=np.uint8)])
+    n, path = np.append(c, [50, *[0] * 100]), words.path(known, k)
     at = maxent.nodes(path)
-    # one context for all words
+    assert len({tuple(p) for p in path[:size].tolist() if p[2] != maxent.WIDTH - 1 and (p[0] <= 5 or p[1] < 6 or p[2] < 15)}) > 1000
+    weights = rng.normal(size=(maxent.LEVELS, maxent.ROWS, maxent.WIDTH)).astype(np.float32)
+    lead = rng.normal(size=(maxent.LEVELS + 1, maxent.STATES)) * 3
     rows = [np.stack([(at[level].astype(np.int64) * 31 + i * 977 + 5) % maxent.ROWS for i in range(f)], axis=1).astype(np.uint16) for level, f in enumerate(maxent.FEATURES)]
-    log = np.zeros(len(known))
-    for level in range(maxent.LEVELS):
-        i = np.flatnonzero(at[level] >= 0)
-        log[i] += maxent.log_softmax(weights[level], words.bias[level][at[level][i]], rows[level][i])[np.arange(len(i)), path[i, level]]
-    rest = (at[2] >= 0) & (path[:, 2] == maxent.WIDTH - 1)
-    log[rest] += words.in_rest(n[rest], k[rest])
-    assert math.isclose(np.exp(log).sum(), 1, rel_tol=1e-4)
+    depth = lambda i: 0 if path[i, 0] <= 5 else 1 if path[i, 1] < 6 else 2 if path[i, 2] < 15 else 3
+    told = [next(i for i in best.values() if depth(i) == d) for d in range(4)] + [size]
+    plain = None
+    for i in (*told, None):
+        code = int(known[i]) >> (64 - maxent.TELL) if i is not None else 0
+        state = np.full(len(known), -1 if i is None else 17)
+        found = maxent.Expected(words, path, at, state, (known == known[i]) if i is not None else np.zeros(len(known), bool), np.full(len(known), code))
+        log = maxent.log_chance(weights, lead, words, path, at, rows, found, n, k)
+        assert math.isclose(np.exp(log).sum(), 1, rel_tol=1e-4)
+        if i is None:
+            plain = log
+        else:
+            high = lead.copy()
+            high[:, 17] += 4  # a surer expectation gives its word more, and takes it from others
+            more = maxent.log_chance(weights, high, words, path, at, rows, found, n, k)
+            assert more[i] > log[i] and math.isclose(np.exp(more).sum(), 1, rel_tol=1e-4)
+    assert plain is not None
+
+
+def test_maxent_before_training_restated(spark):
+    """Whole scores of a tiny table in plain Python: tree of the most frequent words, expectations as they begin, closed form of the rest."""
+    rng = random.Random(8)
+    vocabulary = ["the", "of", "and", "to", "in", "it"] + [f"{a}{b}{c}" for a in "bdg" for b in "aeiou" for c in "lnr"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice([6, 20, 51])]) for _ in range(rng.randrange(60))) + " " + " ".join(["bal dar gin"] * (i % 4))) for i in range(150)]
+    got = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), trained=False).collect()}
+    count, after = Counter(), defaultdict(Counter)
+    for i, t in rows:
+        if not held(i):
+            w = tokens(t)
+            count.update(w)
+            for j in range(2, len(w)):
+                after[w[j - 2], w[j - 1]][w[j]] += 1
+    names = [w for w in count if w is not None]
+    h, k, _ = maxent.tokens(pa.array(names))
+    code, cell = dict(zip(names, h[::2].tolist(), strict=True)), dict(zip(names, k[::2].tolist(), strict=True))
+    code[None] = int(maxent.END)
+    group = {w: divmod(cell[w], 10) for w in names}
+    path, used = {None: (0,)}, Counter()
+    for w in sorted(names, key=lambda w: (-count[w], code[w] - (code[w] >> 63 << 64))):
+        g, s = group[w]
+        for node, first, room in (((), 1, 5), ((6 + g,), 0, 6), ((6 + g, 6 + s), 0, 15)):
+            if used[node] < room:
+                path[w] = (*node, first + used[node])
+                used[node] += 1
+                break
+        else:
+            path[w] = (6 + g, 6 + s, 15, w)
+    mass = Counter()
+    for w, p in path.items():
+        for d in range(1, len(p) + 1):
+            mass[p[:d]] += count[w]
+    lead = maxent.first_lead()
+    for i, t in rows:
+        w, total, last = tokens(t), 0.0, 0
+        for j, x in enumerate(w):
+            found, state, e = after.get((w[j - 2], w[j - 1])) if j > 1 else None, None, None
+            if found and max(found.values()) > 1:
+                e = min((s for s in found if found[s] == max(found.values())), key=lambda s: code[s] >> 48)
+                n, all_ = found[e], sum(found.values())
+                state = (min(int(math.log2(n)), 7) * 4 + min(4 * n // all_, 3)) * 3 + last
+            last = 0 if state is None else 1 + (e == x)
+            p = path.get(x) or (0,)
+            for d in range(min(len(p), 3)):
+                node = p[:d]
+                logits = [math.log(mass[(*node, o)] + 0.5) for o in range(16)]
+                if state is not None and path[e][:d] == node:
+                    logits[path[e][d]] += lead[d][state]
+                total += logits[p[d]] - math.log(sum(map(math.exp, logits)))
+            if len(p) == 4:
+                rest = p[:3]
+                words = sum(q[:3] == rest for q in path.values())
+                share = lambda y: (count[y] + 0.5) / (mass[rest] + 0.5 * (words + 1))  # noqa: B023, E731
+                q = 1 / (1 + math.exp(-lead[3][state])) if state is not None and path[e][:3] == rest else None
+                total += math.log(share(x) if q is None else q if e == x else (1 - q) * share(x) / (1 - share(e)))
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4), i
 
 
 def test_maxent_step_agrees_with_a_plain_one():
@@ -203,7 +294,7 @@ def test_maxent_step_agrees_with_a_plain_one():
     weights = rng.normal(size=(maxent.LEVELS, maxent.ROWS, maxent.WIDTH)).astype(np.float32)
     bias = [np.zeros((1, maxent.WIDTH), np.float32)] * 3
     rows, y = np.array([[1, 2, 3, 4, 5], [1, 7, 7, 9, 10], [11, 2, 13, 14, 15]], np.uint16), np.array([0, 5, 9])
-    t = maxent.Trainer(weights, bias)
+    t = maxent.Trainer(weights, maxent.first_lead(), bias)
     t.learn(0, rows, np.zeros(3, np.int32), y)
     gradient, times = defaultdict(lambda: np.zeros(maxent.WIDTH)), Counter()
     for r, k in zip(rows.tolist(), y.tolist(), strict=True):
@@ -252,13 +343,14 @@ def test_maxent_expectations(spark, tmp_path):
     blocks.save(maxent._file(path, 0), pa.table({"doc_id": range(80), "held_out": [not x for x in training], "tokens": lists}))
     blocks.save(maxent._file(path, 0) + ".words", pa.table({"h": known, "k": k[at]}))
     blocks.save(maxent._file(path, 0) + ".counts", pa.table({"part": pa.array([p for p, _ in answers], pa.int32()), "blob": pa.array([b for _, b in answers], pa.binary())}))
-    block = maxent.Block(path, 0, maxent.Words([], (0, 0), []), parts)
+    told = [(int(h[word.index(w)]), 2, 0) for w in sorted(set(word) - {None})]
+    block = maxent.Block(path, 0, maxent.Words([], (0, 0), [], told), parts)
     after = defaultdict(Counter)
     for w, t in zip(words, training, strict=True):
         for i in range(2, len(w) if t else 0):
             after[w[i - 2], w[i - 1]][w[i]] += 1
     for mine in (np.zeros(len(h), bool), own):
-        state, hit = block.expectations(mine)
+        state, hit, _ = block.expectations(mine)
         n = 0
         for d, w in enumerate(words):
             last = 0
