@@ -20,6 +20,28 @@ def word_trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))))
 
 
+def word_trigram_run(text: Column) -> Column:
+    """The same in their order, with repeats."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
+
+
+def extent_similarity(grams: Column, run: Column) -> Column:
+    """Largest Jaccard similarity between a set of trigrams and those of a continuous part of a run of trigrams.
+
+    A best part begins and ends with a common trigram, or it would do better without its ends; so only such parts are tried.
+    """
+    places = F.filter(F.transform(run, lambda x, i: F.when(F.array_contains(grams, x), i)), lambda i: i.isNotNull())
+
+    def part(i: Column, j: Column) -> Column:
+        piece = F.array_distinct(F.slice(run, i + 1, j - i + 1))
+        common = F.size(F.array_intersect(piece, grams))
+        return common / (F.size(grams) + F.size(piece) - common)
+
+    tried = F.transform(places, lambda i: F.array_max(F.transform(F.filter(places, lambda j: j >= i), lambda j: part(i, j))))
+    return F.coalesce(F.array_max(tried), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)

@@ -14,8 +14,9 @@ import dataclasses
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidenceloom.functions import similarity, text
 from evidenceloom.functions.geo import geo_cell
@@ -31,7 +32,7 @@ from evidenceloom.sources.scratch import written
 
 PAST_DAYS, FUTURE_DAYS = 90, 550
 BLOCK, GROUP_BLOCK = 20, 15
-SERIES_DATES = 3
+SERIES_DATES, CLOSE_DAYS = 3, 60
 FIELDS = ["title", "description", "venue_name", "address", "url", "price_min", "price_max", "category", "organizer"]
 GLOBAL_PLATFORMS = r"(?i)eventbrite|meetup"
 
@@ -81,6 +82,15 @@ def fingerprints(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"norm": norm, "day": day, "fingerprint": F.concat_ws("|", norm, day.cast("string"), F.col("place")), "series_key": F.concat_ws("|", F.lit("series"), norm, F.col("place"))})
 
 
+def fitting_rules(claims: DataFrame) -> DataFrame:
+    """Claims without the rules that can't make their own weekday: a series' description stands beside dates that it is not about."""
+    if not isinstance(claims.schema["recurrence"].dataType, T.StructType):
+        return claims
+    number = F.coalesce(*(F.when(F.col("recurrence.weekday") == d, i) for d, i in recurrence.WEEKDAYS.items()))
+    off = F.col("recurrence.freq").isin("weekly", "monthly_by_weekday") & (number != F.weekday("day"))
+    return claims.withColumn("recurrence", F.when(~F.coalesce(off, F.lit(False)), F.col("recurrence")))
+
+
 def series(claims: DataFrame) -> DataFrame:
     """Series keys: with a rule, or with three local dates or more under one title and place."""
     s = claims.groupBy("series_key", "norm", "place").agg(F.count_distinct("day").alias("n_days"), F.max(F.col("recurrence").isNotNull() | F.col("rrule_raw").isNotNull()).alias("ruled"))
@@ -88,13 +98,18 @@ def series(claims: DataFrame) -> DataFrame:
 
 
 def absorb_twins(claims: DataFrame, owners: DataFrame) -> DataFrame:
-    """Claims with group0: their series if there is one, else their fingerprint. One without a place joins the only series of its title, if they share a date."""
-    one = owners.where("place != ''").groupBy("norm").agg(F.count("*").alias("n"), F.min("series_key").alias("twin")).where("n = 1").drop("n")
-    dates = claims.select(F.col("series_key").alias("twin"), "day").distinct().withColumn("shared", F.lit(True))
+    """Claims with group0: their series if there is one, else their fingerprint. A whole group of which no claim has a venue joins the only series with one under its title, if they share a date or have the same rule."""
     own = owners.select("series_key", F.lit(True).alias("is_series"))
-    c = claims.join(own, "series_key", "left").join(one, "norm", "left").join(dates, ["twin", "day"], "left")
-    absorbed = (F.col("place") == "") & F.col("shared") & F.col("twin").isNotNull()
-    return c.withColumn("group0", F.when(absorbed, F.col("twin")).when(F.col("is_series"), F.col("series_key")).otherwise(F.col("fingerprint"))).drop("is_series", "twin", "shared")
+    c = claims.join(own, "series_key", "left").withColumn("group0", F.when(F.col("is_series"), F.col("series_key")).otherwise(F.col("fingerprint")))
+    ruled = isinstance(claims.schema["recurrence"].dataType, T.StructType)
+    rule = F.when(F.col("recurrence").isNotNull(), F.concat_ws("|", "recurrence.freq", F.coalesce("recurrence.weekday", F.lit("-")), F.coalesce(F.col("recurrence.minutes").cast("string"), F.lit("-")))) if ruled else F.lit(None).cast("string")
+    groups = c.groupBy("group0", "norm").agg(F.max(F.col("venue").isNotNull()).alias("placed"), F.max(F.coalesce("is_series", F.lit(False))).alias("whole"), F.min(F.when(rule.isNotNull(), F.struct(F.col("claim_id"), rule.alias("rule")))).alias("r")).select("group0", "norm", "placed", "whole", "r.rule")
+    one = groups.where("placed and whole").groupBy("norm").agg(F.count("*").alias("n"), F.min("group0").alias("twin"), F.min("rule").alias("twin_rule")).where("n = 1")
+    twins = groups.where("not placed").join(one, "norm")
+    dates = c.select("group0", "day").distinct()
+    shared = twins.join(dates, "group0").join(dates.withColumnRenamed("group0", "twin"), ["twin", "day"]).select("group0", "twin")
+    absorbed = shared.unionByName(twins.where("rule = twin_rule").select("group0", "twin")).distinct()
+    return c.join(absorbed, "group0", "left").withColumn("group0", F.coalesce("twin", "group0")).drop("is_series", "twin")
 
 
 def claim_links(claims: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,27 +138,41 @@ def claim_links(claims: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, Data
 
 
 def group_links(claims: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same between whole groups that share a word of their title: alike titles, compatible places, dates within 60 days for short runs; one profile merges freely."""
-    profile = claims.groupBy("group1").agg(F.min("title").alias("title"), F.min("norm").alias("norm"), F.collect_set("venue").alias("venues"), F.min("day").alias("first"), F.max("day").alias("last"), F.count_distinct("day").alias("n_days"), F.array_sort(F.collect_set(F.col("day").cast("string"))).alias("days"))
-    profile = profile.withColumn("w", text.title_words(F.col("title"))).withColumn("keys", F.filter("w", lambda x: F.length(x) >= 4))
+    """The same between whole groups that share a word of their title: alike titles, compatible places, for two short runs dates of which the closest are at most 60 days apart; one profile (title and venues) merges freely.
+
+    A group is spoken for by its most trusted claim. Verdicts are of profiles, so that they outlast the groups' keys. A short run has two dates at most, which are its first and its last.
+    """
+    rep = F.max(F.struct("trust", "claim_id", "title", "norm"))
+    profile = claims.groupBy("group1").agg(rep.alias("r"), F.sort_array(F.collect_set("venue")).alias("venues"), F.min("day").alias("first"), F.max("day").alias("last"), F.count_distinct("day").alias("n_days"))
+    profile = profile.select("group1", "r.norm", text.title_words(F.col("r.title")).alias("w"), "venues", "first", "last", "n_days", F.concat(F.col("r.norm"), F.lit("|"), F.array_join("venues", "|")).alias("profile"))
+    profile = profile.withColumn("keys", F.array_distinct(F.filter("w", lambda x: (F.length(x) >= 4) & ~x.rlike("^[0-9]+$"))))
     pairs = candidate_pairs(profile, "group1", "keys", GROUP_BLOCK)
     side = lambda p: profile.select(*(F.col(x).alias(f"{p}_{x}") for x in profile.columns))
     s = pairs.join(side("a"), F.col("a") == F.col("a_group1")).join(side("b"), F.col("b") == F.col("b_group1"))
     c = F.col
-    contained = similarity.containment(c("a_w"), c("b_w"))
-    alike = similarity.jaccard(similarity.trigrams(c("a_norm")), similarity.trigrams(c("b_norm")))
+    contained = similarity.containment(c("a_keys"), c("b_keys"))
+    alike = similarity.title_similarity(similarity.trigrams(c("a_norm")), c("a_w"), similarity.trigrams(c("b_norm")), c("b_w"))
     apart = (F.size("a_venues") > 0) & (F.size("b_venues") > 0) & ~F.arrays_overlap("a_venues", "b_venues")
-    gap = F.greatest(F.lit(0), F.datediff("b_first", "a_last"), F.datediff("a_first", "b_last"))
-    close = (F.greatest("a_n_days", "b_n_days") >= SERIES_DATES) | (gap <= 60)
+    gap = F.least(*(F.abs(F.datediff(c(f"a_{x}"), c(f"b_{y}"))) for x in ("first", "last") for y in ("first", "last")))
+    close = (F.greatest("a_n_days", "b_n_days") >= SERIES_DATES) | (gap <= CLOSE_DAYS)
     candidate = ((contained >= 0.8) | (alike >= 0.55)) & (~apart | (contained == 1)) & close
-    same_profile = (c("a_norm") == c("b_norm")) & (F.sort_array("a_venues") == F.sort_array("b_venues")) & (c("a_days") == c("b_days"))
-    found = s.where(candidate).select("a", "b", same_profile.alias("free"), verdict_key(c("a_group1"), c("b_group1")).alias("key")).join(verdicts.select("key", "same"), "key", "left")
+    key = F.md5(F.concat(F.lit("groups|"), F.least("a_profile", "b_profile"), F.lit("||"), F.greatest("a_profile", "b_profile")))
+    found = s.where(candidate).select("a", "b", (c("a_profile") == c("b_profile")).alias("free"), key.alias("key")).join(verdicts.select("key", "same"), "key", "left")
     return found.where(F.col("free") | F.col("same")).select("a", "b"), found.where(~F.col("free") & F.col("same").isNull()).select("key", "a", "b")
 
 
-def _labelled(claims: DataFrame, column: str, links: DataFrame, new: str) -> DataFrame:
-    found = components(links).withColumnsRenamed({"node": column, "label": "_l"})
-    return claims.join(found, column, "left").withColumn(new, F.coalesce("_l", column)).drop("_l")
+def _labels(links: DataFrame) -> DataFrame | None:
+    """node and label of what links join; None where there are none."""
+    found = written(links, "group-links")
+    if found.isEmpty():
+        return None
+    return components(found)
+
+
+def _labelled(claims: DataFrame, column: str, labels: DataFrame | None, new: str) -> DataFrame:
+    if labels is None:
+        return claims.withColumn(new, F.col(column))
+    return claims.join(labels.withColumnsRenamed({"node": column, "label": "_l"}), column, "left").withColumn(new, F.coalesce("_l", column)).drop("_l")
 
 
 def shared_prints(claims: DataFrame, group: str) -> DataFrame:
@@ -153,13 +182,68 @@ def shared_prints(claims: DataFrame, group: str) -> DataFrame:
 
 
 def identify(groups: DataFrame, identity: DataFrame) -> DataFrame:
-    """fingerprint, event_id, first_seen: the oldest event that owned one of a group's fingerprints keeps its id; a second group that claims it, and a new group, get one from their smallest fingerprint."""
-    owned = groups.join(identity, "fingerprint", "left").groupBy("group").agg(F.min(F.when(F.col("event_id").isNotNull(), F.struct("first_seen", "event_id"))).alias("o"), F.min("fingerprint").alias("least"))
-    fresh = F.md5(F.concat(F.lit("event\n"), F.col("least")))
-    rank = F.row_number().over(Window.partitionBy("o.event_id").orderBy("least"))
-    chosen = owned.withColumn("n", rank).select("group", F.when(F.col("o").isNotNull() & (F.col("n") == 1), F.col("o.event_id")).otherwise(fresh).alias("event_id"))
-    seen = identity.select("fingerprint", F.col("first_seen").alias("was"))
-    return groups.select("group", "fingerprint", "extracted_at").join(chosen, "group").join(seen, "fingerprint", "left").groupBy("fingerprint", "event_id").agg(F.min(F.coalesce("was", "extracted_at")).alias("first_seen"))
+    """The identity table after this version: fingerprint, event_id, first_seen of all prints, those of old versions too.
+
+    groups: group, fingerprint (of claims, and the keys of series and groups, each in one group), extracted_at. An event is as old as the first
+    sighting of any of its prints, whether a claim has it today or not. Groups take their turn by the age of their
+    oldest event. The first group that holds a print of an event has it (merge: of several events it keeps the oldest, and all prints of the others
+    go over to it), unless an earlier group has any of its events: then it split off, and gets an id of its own, as does a group of
+    new prints only. Prints that no claim has today follow the group that has their event. So each id is of one group at most.
+
+    All choices are minimum aggregations, and all joins have keys that are never null.
+    """
+    prints = groups.groupBy("group", "fingerprint").agg(F.min("extracted_at").alias("seen"))
+    whole = prints.groupBy("group").agg(F.min("fingerprint").alias("least"), F.min("seen").alias("seen"))
+    ages = identity.groupBy("event_id").agg(F.min("first_seen").alias("age"))
+    own = prints.join(identity.select("fingerprint", "event_id"), "fingerprint").select("group", "event_id").distinct().join(ages, "event_id")
+    turn = own.groupBy("group").agg(F.min(F.struct("age", "event_id")).alias("oldest")).join(whole.select("group", "least"), "group").select("group", "least", F.col("oldest.event_id").alias("oldest"), F.struct("oldest.age", "oldest.event_id", "least", "group").alias("turn"))
+    own = own.join(turn, "group")
+    first = own.groupBy("event_id").agg(F.min("turn").alias("first"))
+    kept = own.join(first, "event_id").groupBy("group").agg(F.every(F.col("first.group") == F.col("group")).alias("kept"), F.min("oldest").alias("oldest"))
+    fresh = F.when(F.col("oldest").isNull(), F.md5(F.concat(F.lit("event\n"), "least"))).otherwise(F.md5(F.concat(F.lit("split\n"), "oldest", F.lit("\n"), "least")))
+    ids = whole.join(kept, "group", "left").select("group", "seen", F.when(F.col("kept"), F.col("oldest")).otherwise(fresh).alias("new_id"))
+    moved = first.select("event_id", F.col("first.group").alias("group")).join(ids.select("group", F.col("new_id").alias("moved_id")), "group").select("event_id", "moved_id")
+    now = prints.select("group", "fingerprint").join(ids, "group").select("fingerprint", "new_id", "seen")
+    before = identity.select("fingerprint", "event_id", F.col("first_seen").alias("was")).join(moved, "event_id", "left")
+    return before.join(now, "fingerprint", "full").select("fingerprint", F.coalesce("new_id", "moved_id", "event_id").alias("event_id"), F.coalesce("was", "seen").alias("first_seen"))
+
+
+def lineage(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What became of events between two identity tables: event_id, fate (kept, merged, split, new), into: the ids that its prints have now, in order."""
+    now = after.select("fingerprint", F.col("event_id").alias("now"))
+    moves = before.select("fingerprint", "event_id").join(now, "fingerprint").select("event_id", "now").distinct()
+    fates = moves.groupBy("event_id").agg(F.sort_array(F.collect_set("now")).alias("into"))
+    fate = F.when(F.size("into") > 1, "split").when(F.get("into", F.lit(0)) == F.col("event_id"), "kept").otherwise("merged")
+    fresh = after.select("event_id").distinct().join(before.select("event_id").distinct(), "event_id", "left_anti").join(moves.select(F.col("now").alias("event_id")).distinct(), "event_id", "left_anti")
+    return fates.select("event_id", fate.alias("fate"), "into").unionByName(fresh.select("event_id", F.lit("new").alias("fate"), F.array("event_id").alias("into")))
+
+
+def prints(claims: DataFrame) -> DataFrame:
+    """group, fingerprint, extracted_at: what claims are known by, and the keys of the series and groups that they are in, so that a series lasts when its old dates have left the window."""
+    of = lambda key: claims.select("group", F.col(key).alias("fingerprint"), "extracted_at")
+    return of("fingerprint").unionByName(of("group0"))
+
+
+def observed_dates(claims: DataFrame) -> DataFrame:
+    """event_id, starts_at, ends_at, timed of what claims have seen, without the ends that can't be.
+
+    A start without a time whose end is too far off may be a range's first day; where an event has two or more of these, they are the days of
+    looking and go. In a series an end over twelve hours after a timed start that passes another start of the event is the end of the
+    run, not of the evening. Other starts are looked up by day, so nothing gathers an event's rows.
+    """
+    c = F.col
+    end = recurrence.sane_end(c("starts_at"), c("ends_at"), F.array("category"))
+    rows = claims.select("event_id", "starts_at", end.alias("end"), has_time(c("starts_at")).alias("timed"), (c("ends_at") > c("starts_at")).alias("runs"), c("group0").startswith("series|").alias("series"))
+    edge = ~c("timed") & F.coalesce("runs", F.lit(False)) & c("end").isNull()
+    marks = rows.groupBy("event_id").agg(F.min(F.when(edge, c("starts_at"))).alias("low"), F.max(F.when(edge, c("starts_at"))).alias("high"), F.max("series").alias("series"))
+    kept = rows.withColumn("edge", edge).drop("series").join(marks, "event_id").where(~(c("edge") & F.coalesce(c("low") < c("high"), F.lit(False))))
+    far = c("series") & c("timed") & (F.unix_seconds(c("end").cast("timestamp")) - F.unix_seconds(c("starts_at").cast("timestamp")) > 43_200)
+    long = kept.where(F.coalesce(far, F.lit(False))).select("event_id", "starts_at", "end").distinct()
+    starts = rows.groupBy("event_id", F.to_date("starts_at").alias("at")).agg(F.collect_set("starts_at").alias("starts"))
+    days = long.withColumn("at", F.explode(F.sequence(F.to_date("starts_at"), F.to_date("end"))))
+    crossed = days.join(starts, ["event_id", "at"]).where(F.exists("starts", lambda x: (x > c("starts_at")) & (x < c("end")))).select("event_id", "starts_at", "end").distinct().withColumn("crossed", F.lit(True))
+    out = kept.join(crossed, ["event_id", "starts_at", "end"], "left")
+    return out.select("event_id", "starts_at", F.when(c("crossed").isNull(), c("end")).alias("ends_at"), "timed")
 
 
 def raw_occurrences(claims: DataFrame, now: Column) -> DataFrame:
@@ -185,7 +269,6 @@ def coverage_edge(claims: DataFrame) -> DataFrame:
 
 def occurrences(claims: DataFrame, holidays: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column) -> DataFrame:
     """event_id, occurrence_id, starts_at, ends_at, projected, time_unknown: dates of verified rules; else of calendars' own rules; else observed dates folded, with projections of series that were judged to recur."""
-    ends = recurrence.sane_end(F.col("starts_at"), F.col("ends_at"), F.array("category"))
     rules = evidence.newest(claims.where("recurrence is not null"), ["event_id"], [F.col("extracted_at").desc(), F.col("claim_id")])
     rules = rules.select("event_id", "day", "recurrence.*").withColumn("valid_from", F.coalesce("valid_from", "day"))
     rules = rules.join(rule_verdicts.where("verified").select("event_id"), "event_id", "left_semi").withColumns({"from": F.to_date(now), "until": F.date_add(F.to_date(now), 7 * recurrence.HORIZON_WEEKS)})
@@ -195,7 +278,7 @@ def occurrences(claims: DataFrame, holidays: DataFrame, rule_verdicts: DataFrame
     by_rule = rules.select("event_id")
     raw = written(raw_occurrences(claims.join(by_rule, "event_id", "left_anti"), now), "raw-occurrences")
     observed = claims.join(raw.select("event_id").distinct(), "event_id", "left_anti")
-    observed = written(recurrence.fold(observed.select("event_id", "starts_at", ends.alias("ends_at"), has_time(F.col("starts_at")).alias("timed")), ["event_id"]), "observed-occurrences")
+    observed = written(recurrence.fold(observed_dates(observed), ["event_id"]), "observed-occurrences")
     known = written(recurrence.fold(observed.unionByName(ruled), ["event_id"]).unionByName(raw).withColumn("projected", F.lit(False)), "known-occurrences")
     days = claims.where("group0 like 'series|%'").select("event_id", "day")
     usual = recurrence.modes(observed, ["event_id"])
@@ -246,6 +329,8 @@ class Canon:
     asked: DataFrame
     proposals: DataFrame
     dates: Callable[[], DataFrame]
+    asked_rules: DataFrame | None = None
+    asked_estimates: DataFrame | None = None
 
     @functools.cached_property
     def occurrences(self) -> DataFrame:
@@ -267,24 +352,35 @@ def venue_proposals(claims: DataFrame, venues: DataFrame) -> DataFrame:
     return reconcile(pairs.select(F.col("k.venue").alias("venue"), "event_id", *(c.alias(n) for n, c in sides.items()))).select("venue", "event_id", F.col("name_b").alias("name"), "proposal").distinct()
 
 
-def rebuild(claims: DataFrame, venues: DataFrame, holidays: DataFrame, identity: DataFrame, verdicts: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column) -> Canon:
-    """The whole canon. Grouped claims are a written table, so that the products don't recompute the grouping."""
+def rebuild(
+    claims: DataFrame, venues: DataFrame, holidays: DataFrame, identity: DataFrame, verdicts: DataFrame, rule_verdicts: DataFrame, series_verdicts: DataFrame, now: Column, read_rules: DataFrame | None = None, estimates: DataFrame | None = None
+) -> Canon:
+    """The whole canon. read_rules: what was read out of descriptions (content_key, recurrence); estimates: the cache of apply_enrichment.
+
+    Between groupings only the groups' labels are made, and claims are written when loaded, when they have their series and when they have their event.
+    """
     claims = claims.withColumns({n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in claims.columns})
     # read twice: for the venues' names and for the claims themselves
     c = written(load(claims, now), "claims-loaded")
-    c = written(fingerprints(place(c, venues)), "claims")
+    asked_rules = None
+    if read_rules is not None:
+        c, asked_rules = text_rules(c, read_rules)
+    c = written(fitting_rules(fingerprints(place(c, venues))), "claims-placed")
     c = written(absorb_twins(c, series(c)), "claims-series")
     links, asked = claim_links(c, verdicts)
-    c = _labelled(c, "group0", links, "group1")
-    c = written(_labelled(c, "group1", shared_prints(c, "group1"), "group1_").drop("group1").withColumnRenamed("group1_", "group1"), "claims-grouped")
-    more, asked_groups = group_links(c, verdicts)
-    c = written(_labelled(c, "group1", more, "group"), "claims-merged")
-    ids = written(identify(c, identity), "identity")
-    owner = ids.select("fingerprint", "event_id")
-    c = written(c.join(owner, "fingerprint"), "claims-identified")
+    first = _labelled(c, "group0", _labels(links), "group1")
+    shared = _labels(shared_prints(first, "group1"))
+    second = _labelled(first.withColumnRenamed("group1", "group1_"), "group1_", shared, "group1").drop("group1_")
+    more, asked_groups = group_links(second, verdicts)
+    third = _labelled(second, "group1", _labels(more), "group")
+    ids = written(identify(prints(third), identity), "identity")
+    c = written(third.join(ids.select("fingerprint", "event_id"), "fingerprint"), "claims-identified")
     status = evidence.merge_status(c.select("event_id", "day", "trust", "extracted_at", "claim_id", "status"), ["event_id", "day"])
+    found, asked_estimates = events(c), None
+    if estimates is not None:
+        found, asked_estimates = apply_enrichment(found, estimates)
     every = asked.select("key", "a", "b").unionByName(asked_groups)
-    return Canon(events(c), status, tags(c), ids, every, venue_proposals(c, venues), lambda: occurrences(c, holidays, rule_verdicts, series_verdicts, now))
+    return Canon(found, status, tags(c), ids, every, venue_proposals(c, venues), lambda: occurrences(c, holidays, rule_verdicts, series_verdicts, now), asked_rules, asked_estimates)
 
 
 def newly_negative(status: DataFrame, before: DataFrame) -> DataFrame:

@@ -150,6 +150,38 @@ def ready(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where((F.col("status") == "pending") & (F.col("run_after") <= now)).orderBy("run_after", "job_id")
 
 
+def claimed(jobs: DataFrame, worker: str, now: Column, limit: int = 1) -> DataFrame:
+    """The job table after a worker took the first ready jobs: running, with one more attempt."""
+    mine = ready(jobs, now).limit(limit).select("job_id", F.lit(True).alias("_mine"))
+    took = jobs.join(mine, "job_id", "left")
+    new = {"status": F.lit("running"), "worker": F.lit(worker), "started_at": now, "attempts": F.col("attempts") + 1}
+    return took.withColumns({n: F.when(F.col("_mine"), c.cast(jobs.schema[n].dataType)).otherwise(F.col(n)) for n, c in new.items()}).select(*jobs.columns)
+
+
+def claim_jobs(table, worker: str, now: Column, limit: int = 1) -> DataFrame:
+    """Takes jobs from a versioned job table, of which other workers take some at the same time: each job is one worker's, as each version follows the one that it was made from."""
+    base: dict = {}
+
+    def take(jobs: DataFrame) -> DataFrame:
+        base["before"] = jobs
+        return claimed(jobs, worker, now, limit)
+
+    after = table.read(table.update(take))
+    was = base["before"].where("status = 'running'").select("job_id", F.col("attempts").alias("_n"))
+    return after.where((F.col("status") == "running") & (F.col("worker") == worker)).join(was, "job_id", "left").where("_n is null or _n < attempts").drop("_n")
+
+
+def reported(reports: DataFrame, jobs: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What readers say is wrong: feedback rows (of occurrences that there are, others are dropped), and a check of each event that was reported and has none waiting, which goes to the front.
+
+    reports: report_id, occurrence_id, reason, said_at. jobs: kind, event_id, status. occurrences: occurrence_id, event_id.
+    """
+    feedback = reports.join(occurrences.select("occurrence_id", "event_id"), "occurrence_id")
+    waiting = jobs.where((F.col("kind") == "qa") & F.col("status").isin("pending", "running")).select("event_id").distinct()
+    checks = feedback.groupBy("event_id").agg(F.min("said_at").alias("run_after"), F.count("*").alias("n_reports")).join(waiting, "event_id", "left_anti")
+    return feedback.select("report_id", "occurrence_id", "event_id", "reason", "said_at"), checks.select(F.lit("qa").alias("kind"), "event_id", "run_after", "n_reports")
+
+
 def enqueue_once(wanted: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
     """Wanted jobs of which none is pending, each once."""
     return wanted.dropDuplicates(keys).join(pending.select(*keys), keys, "left_anti")

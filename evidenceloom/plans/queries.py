@@ -780,4 +780,4 @@ def newly_cancelled(spark, sf):
 
 
 # the other modules' queries register themselves
-from evidenceloom.plans import queries_canon, queries_control, queries_sources  # noqa: E402, F401
+from evidenceloom.plans import queries_canon, queries_control, queries_sources, queries_state  # noqa: E402, F401

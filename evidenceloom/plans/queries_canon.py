@@ -9,24 +9,36 @@ from evidenceloom.operators import recurrence, venues
 from evidenceloom.plans import canon
 from evidenceloom.plans.registry import VIENNA, query, r6, s
 from evidenceloom.sources import adapters as A
+from evidenceloom.sources.scratch import written
 
 # ---- venues
 
 
-def _grams(x: str) -> str:
+def _run(x: str) -> str:
     words = f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+    return f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
 
 
-@query(f"""WITH v AS (SELECT min(p_partkey) AS id, p_name || ' hall' AS v, {_grams("p_name || ' hall'")} AS vg, list_filter(string_split(p_name || ' hall', ' '), lambda w: length(w) >= 4) AS long FROM part GROUP BY p_name),
-n AS (SELECT DISTINCT 'The ' || p_name || ' Hall, ' || p_brand AS name FROM part), g AS (SELECT name, {_grams("name")} AS ng FROM n),
-x AS (SELECT name, id, greatest(len(list_intersect(ng, vg)) / len(list_distinct(list_concat(ng, vg)))::DOUBLE, CASE WHEN len(long) >= 2 THEN len(list_intersect(ng, vg)) / least(len(ng), len(vg))::DOUBLE ELSE 0 END) AS score FROM g, v),
-b AS (SELECT name, id FROM x WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, id) = 1) SELECT name, id AS venue_id, CASE WHEN id IS NULL THEN 'new' ELSE 'fuzzy' END AS how FROM n LEFT JOIN b USING (name)""")
+#: Every continuous part of the second name's run of trigrams against the first one's set.
+_EXTENT = "(SELECT max(c / (len({0}) + d - c)::DOUBLE) FROM (SELECT len(list_intersect(list_distinct({1}[i:j]), {0})) AS c, len(list_distinct({1}[i:j])) AS d FROM range(1, len({1}) + 1) a(i), range(1, len({1}) + 1) b(j) WHERE i <= j))"
+
+
+@query(f"""WITH v AS (SELECT min(p_partkey) AS id, CASE WHEN min(p_partkey) % 3 = 0 THEN split_part(p_name, ' ', 2) || ' hall' ELSE p_name || ' hall' END AS v, 'house ' || min(p_partkey) AS alias FROM part GROUP BY p_name),
+n AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'HOUSE  ' || p_partkey ELSE 'The ' || p_name || ' Hall, ' || p_brand END AS raw FROM part), m AS (SELECT DISTINCT regexp_replace(raw, ' +', ' ', 'g') AS name FROM n),
+exact AS (SELECT name, min(id) AS id FROM m JOIN v ON lower(name) IN (alias, lower(v)) GROUP BY 1),
+g AS (SELECT name, {_run("name")} AS nr, list_distinct(nr) AS ng FROM m WHERE name NOT IN (SELECT name FROM exact)), h AS (SELECT id, v, {_run("v")} AS vr, list_distinct(vr) AS vg FROM v),
+x AS (SELECT *, len(list_intersect(ng, vg)) AS common FROM g, h WHERE common >= 0.55 * least(len(ng), len(vg))),
+y AS (SELECT name, v, id, common / (len(ng) + len(vg) - common)::DOUBLE AS whole, greatest({_EXTENT.format("vg", "nr")}, {_EXTENT.format("ng", "vr")}) AS part FROM x),
+best AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY name ORDER BY greatest(whole, part) DESC, id) = 1),
+ok AS (SELECT name, id, list_filter(regexp_split_to_array(lower(CASE WHEN length(name) <= length(v) THEN name ELSE v END), '[^a-z0-9]+'), lambda w: length(w) >= 4) AS long FROM best WHERE whole >= 0.55 OR (part >= 0.55 AND (len(long) >= 2 OR (len(long) = 1 AND length(long[1]) >= 6))))
+SELECT name, coalesce(exact.id, ok.id) AS venue_id, CASE WHEN exact.id IS NOT NULL THEN 'exact' WHEN ok.id IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS how FROM m LEFT JOIN exact USING (name) LEFT JOIN ok USING (name)""")
 def venue_resolution(spark, sf):
-    parts = A.table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    """Names by their aliases, by similarity of the whole, or of the best continuous part of one to the other."""
+    part, k, name = A.table(spark, sf, "part"), F.col("k"), F.col("p_name")
     none = F.lit(None).cast("double")
-    known = parts.select(F.col("k").alias("venue_id"), F.concat("p_name", F.lit(" hall")).alias("name"), F.array(F.concat(F.lit("house "), "k")).alias("aliases"), none.alias("lat"), none.alias("lon"))
-    names = A.table(spark, sf, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" Hall, "), "p_brand").alias("name"), none.alias("lat"), none.alias("lon"))
+    called = F.when(k % 3 == 0, F.concat(F.get(F.split("p_name", " "), F.lit(1)), F.lit(" hall"))).otherwise(F.concat("p_name", F.lit(" hall")))
+    known = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(k.alias("venue_id"), called.alias("name"), F.array(F.concat(F.lit("house "), k)).alias("aliases"), none.alias("lat"), none.alias("lon"))
+    names = part.select(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("HOUSE  "), "p_partkey")).otherwise(F.concat(F.lit("The "), name, F.lit(" Hall, "), "p_brand")).alias("name"), none.alias("lat"), none.alias("lon"))
     return venues.resolve(names, known)
 
 
@@ -125,21 +137,49 @@ def clean_titles(spark, sf):
 
 # ---- grouping, stage by stage
 
-_TWIN = """c AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS claim_id, 't' || l_partkey % 300 AS norm, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE 'p' || (l_partkey % 600) // 300 END AS place, DATE '2026-01-01' + (l_orderkey % 40)::INT AS day FROM lineitem),
-k AS (SELECT *, 'series|' || norm || '|' || place AS series_key, norm || '|' || day || '|' || place AS fingerprint FROM c), s AS (SELECT series_key, norm, place FROM k GROUP BY ALL HAVING count(DISTINCT day) >= 3),
-one AS (SELECT norm, min(series_key) AS twin FROM s WHERE place <> '' GROUP BY 1 HAVING count(*) = 1), d AS (SELECT DISTINCT series_key, day FROM k)"""
+_TWIN = """c AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS claim_id, 't' || l_partkey AS norm, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'cell' ELSE 'p' || CASE WHEN l_partkey % 3 = 0 THEN l_linenumber % 2 ELSE 0 END END AS place, l_linenumber % 4 >= 2 AS placed,
+  DATE '2026-01-01' + (l_orderkey % 400)::INT AS day, CASE WHEN l_partkey % 5 = 0 AND l_linenumber IN (3, 4, 6) THEN CASE WHEN l_linenumber = 4 AND l_partkey % 10 = 5 THEN 'TU' ELSE 'MO' END END AS rule FROM lineitem),
+k AS (SELECT *, 'series|' || norm || '|' || place AS series_key, norm || '|' || day || '|' || place AS fingerprint FROM c), s AS (SELECT series_key FROM k GROUP BY ALL HAVING count(DISTINCT day) >= 3 OR bool_or(rule IS NOT NULL)),
+w AS (SELECT k.*, s.series_key IS NOT NULL AS whole FROM k LEFT JOIN s USING (series_key)), g AS (SELECT *, CASE WHEN whole THEN series_key ELSE fingerprint END AS grp FROM w),
+u AS (SELECT grp, norm, bool_or(placed) AS placed, bool_or(whole) AS whole, min(CASE WHEN rule IS NOT NULL THEN struct_pack(c := claim_id, r := rule) END).r AS rule FROM g GROUP BY ALL),
+one AS (SELECT norm, min(grp) AS twin, min(rule) AS twin_rule FROM u WHERE placed AND whole GROUP BY 1 HAVING count(*) = 1),
+t AS (SELECT u.grp, twin FROM u JOIN one USING (norm) WHERE NOT placed AND (rule = twin_rule OR EXISTS (SELECT 1 FROM g a JOIN g b USING (day) WHERE a.grp = u.grp AND b.grp = one.twin)))"""
 
 
-@query(f"""WITH {_TWIN} SELECT claim_id, CASE WHEN place = '' AND EXISTS (SELECT 1 FROM one JOIN d ON d.series_key = one.twin WHERE one.norm = k.norm AND d.day = k.day) THEN (SELECT twin FROM one WHERE one.norm = k.norm) WHEN series_key IN (SELECT series_key FROM s) THEN series_key ELSE fingerprint END AS group0 FROM k""")
+@query(f"""WITH {_TWIN} SELECT claim_id, coalesce(twin, grp) AS group0 FROM g LEFT JOIN t USING (grp)""")
 def canon_twins(spark, sf):
-    """Claims without a place join the only series of their title if they share a date."""
-    li, p = A.table(spark, sf, "lineitem"), F.col("l_partkey")
-    c = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("claim_id"), F.concat(F.lit("t"), p % 300).alias("norm"), F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.concat(F.lit("p"), F.floor(p % 600 / 300))).alias("place"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("l_orderkey") % 40).cast("int")).alias("day"))
-    none = F.lit(None).cast("string")
-    c = c.select("*", F.concat_ws("|", F.lit("series"), "norm", "place").alias("series_key"), F.concat_ws("|", "norm", F.col("day").cast("string"), "place").alias("fingerprint"), none.alias("recurrence"), none.alias("rrule_raw"))
+    """Whole groups without a venue join the only series with one under their title, if they share a date or have its rule."""
+    c = _twin_claims(spark, sf)
     return canon.absorb_twins(c, canon.series(c)).select("claim_id", "group0")
 
 
+_RULE = "struct<freq: string, weekday: string, week_of_month: int, interval: int, valid_from: date, valid_until: date, except_holidays: array<string>, minutes: int, duration_minutes: int>"
+
+
+def _rule(weekday, freq="weekly"):
+    none = F.lit(None)
+    fields = {"freq": F.lit(freq), "weekday": weekday, "week_of_month": none, "interval": F.lit(1), "valid_from": none, "valid_until": none, "except_holidays": F.array(), "minutes": F.lit(600), "duration_minutes": none}
+    return F.when(weekday.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items()))).cast(_RULE)
+
+
+def _twin_claims(spark, sf):
+    li, p, n = A.table(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_linenumber")
+    place = F.when(n % 4 == 0, "").when(n % 4 == 1, "cell").otherwise(F.concat(F.lit("p"), F.when(p % 3 == 0, n % 2).otherwise(0)))
+    weekday = F.when((p % 5 == 0) & n.isin(3, 4, 6), F.when((n == 4) & (p % 10 == 5), "TU").otherwise("MO"))
+    c = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("claim_id"), F.concat(F.lit("t"), p).alias("norm"), place.alias("place"), F.when(n % 4 >= 2, place).alias("venue"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("l_orderkey") % 400).cast("int")).alias("day"), _rule(weekday).alias("recurrence"))
+    return c.select("*", F.concat_ws("|", F.lit("series"), "norm", "place").alias("series_key"), F.concat_ws("|", "norm", F.col("day").cast("string"), "place").alias("fingerprint"), F.lit(None).cast("string").alias("rrule_raw"))
+
+
+@query(f"""WITH {_TWIN}, fit AS (SELECT claim_id, series_key, fingerprint, day, CASE WHEN rule = ['MO', 'TU', 'WE', 'TH', 'FR', 'SA', 'SU'][isodow(day)] THEN rule END AS rule FROM k),
+own AS (SELECT series_key FROM fit GROUP BY 1 HAVING count(DISTINCT day) >= 3 OR bool_or(rule IS NOT NULL))
+SELECT claim_id, rule AS weekday, series_key IN (SELECT series_key FROM own) AS in_series FROM fit""")
+def canon_rule_fit(spark, sf):
+    """Rules that can't make their claim's own weekday make no series of it."""
+    c = canon.fitting_rules(_twin_claims(spark, sf))
+    own = canon.series(c).select("series_key", F.lit(True).alias("in_series"))
+    return c.join(own, "series_key", "left").select("claim_id", F.col("recurrence.weekday").alias("weekday"), F.coalesce("in_series", F.lit(False)).alias("in_series"))
+
+
 @query("""WITH c AS (SELECT 'g' || l_orderkey AS grp, 'f' || l_partkey AS fp FROM lineitem), m AS (SELECT fp, min(grp) AS b FROM c GROUP BY 1) SELECT DISTINCT grp AS a, b FROM c JOIN m USING (fp) WHERE grp <> b""")
 def canon_shared_prints(spark, sf):
     li = A.table(spark, sf, "lineitem").select(F.concat(F.lit("g"), "l_orderkey").alias("grp"), F.concat(F.lit("f"), "l_partkey").alias("fingerprint"))
@@ -177,15 +217,18 @@ def _answered(find, c):
     return links.select("a", "b", F.lit("merged").alias("outcome")).unionByName(asked.select("a", "b", F.lit("asked").alias("outcome")))
 
 
-@query(f"""WITH {_TITLES}, f AS (SELECT *, 'g' || doc_id AS grp, CASE WHEN doc_id % 3 <> 0 THEN ['v' || doc_id % 3] ELSE [] END AS venues, DATE '2026-01-01' + (doc_id % 90)::INT AS first, doc_id % 4 AS extra FROM tri),
-x AS (SELECT DISTINCT grp, unnest(list_filter(w, lambda z: length(z) >= 4)) AS k FROM f), b AS (SELECT * FROM x WHERE k IN (SELECT k FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 15)), p AS (SELECT DISTINCT l.grp AS a, r.grp AS b FROM b l JOIN b r ON l.k = r.k AND l.grp < r.grp),
-z AS (SELECT a, b, {_ALIKE}, len(l.venues) > 0 AND len(r.venues) > 0 AND l.venues <> r.venues AS apart, greatest(0, date_diff('day', l.first + l.extra::INT, r.first), date_diff('day', r.first + r.extra::INT, l.first)) AS gap, greatest(l.extra, r.extra) >= 2 AS long, l.norm = r.norm AND l.venues = r.venues AND l.first = r.first AND l.extra = r.extra AS same FROM p JOIN f l ON l.grp = a JOIN f r ON r.grp = b)
-SELECT a, b, CASE WHEN same THEN 'merged' WHEN md5(a || chr(10) || b) LIKE '0%' THEN 'merged' WHEN md5(a || chr(10) || b) LIKE '1%' THEN 'apart' ELSE 'asked' END AS outcome FROM z WHERE (c >= 0.8 OR j >= 0.55) AND (NOT apart OR c = 1) AND (long OR gap <= 60) AND outcome <> 'apart'""")
+@query(f"""WITH {_TITLES}, f AS (SELECT *, 'g' || doc_id AS grp, CASE WHEN doc_id % 3 <> 0 THEN ['v' || doc_id % 3] ELSE [] END AS venues, DATE '2026-01-01' + (doc_id % 90 * 2)::INT AS lo, DATE '2026-01-01' + (doc_id % 90 * 2 + [0, 120, 2, 3][doc_id % 4 + 1])::INT AS hi, doc_id % 4 + 1 AS n_days,
+  list_filter(dw, lambda z: length(z) >= 4 AND NOT regexp_matches(z, '^[0-9]+$')) AS keys FROM tri), o AS (SELECT *, norm || '|' || array_to_string(venues, '|') AS profile FROM f),
+x AS (SELECT grp, unnest(keys) AS k FROM o), b AS (SELECT * FROM x WHERE k IN (SELECT k FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 15)), p AS (SELECT DISTINCT l.grp AS a, r.grp AS b FROM b l JOIN b r ON l.k = r.k AND l.grp < r.grp),
+z AS (SELECT a, b, {_ALIKE}, len(list_intersect(l.keys, r.keys)) / least(len(l.keys), len(r.keys))::DOUBLE AS held, len(l.venues) > 0 AND len(r.venues) > 0 AND l.venues <> r.venues AS apart, least(abs(l.lo - r.lo), abs(l.lo - r.hi), abs(l.hi - r.lo), abs(l.hi - r.hi)) AS gap, greatest(l.n_days, r.n_days) >= 3 AS long,
+  l.profile = r.profile AS same, md5('groups|' || least(l.profile, r.profile) || '||' || greatest(l.profile, r.profile)) AS key FROM p JOIN o l ON l.grp = a JOIN o r ON r.grp = b)
+SELECT a, b, CASE WHEN same THEN 'merged' WHEN key LIKE '0%' THEN 'merged' WHEN key LIKE '1%' THEN 'apart' ELSE 'asked' END AS outcome FROM z WHERE (held >= 0.8 OR greatest(j, c * CASE WHEN short = 1 THEN 0.60 ELSE 0.72 END) >= 0.55) AND (NOT apart OR held = 1) AND (long OR gap <= 60) AND outcome <> 'apart'""")
 def canon_group_links(spark, sf):
-    """Whole groups that may be one event: alike titles, places and dates that fit; equal profiles merge, the rest by verdicts."""
+    """Whole groups that may be one event: alike titles, places that fit, and for short runs closest dates that do (some runs straddle others); equal profiles merge, the rest by verdicts."""
     k, t = F.col("doc_id"), A.titles(spark, sf)
-    first = F.date_add(F.lit("2026-01-01").cast("date"), (k % 90).cast("int"))
-    c = t.select(F.concat(F.lit("g"), k).alias("group1"), "title", text.normalize_title(F.col("title")).alias("norm"), F.when(k % 3 != 0, F.concat(F.lit("v"), k % 3)).alias("venue"), F.explode(F.sequence(first, F.date_add(first, (k % 4).cast("int")))).alias("day"))
+    first = F.date_add(F.lit("2026-01-01").cast("date"), (k % 90 * 2).cast("int"))
+    days = F.when(k % 4 == 0, F.array(first)).when(k % 4 == 1, F.array(first, F.date_add(first, 120))).otherwise(F.sequence(first, F.date_add(first, (k % 4).cast("int"))))
+    c = t.select(F.concat(F.lit("g"), k).alias("group1"), k.cast("string").alias("claim_id"), F.lit(0.5).alias("trust"), "title", text.normalize_title(F.col("title")).alias("norm"), F.when(k % 3 != 0, F.concat(F.lit("v"), k % 3)).alias("venue"), F.explode(days).alias("day"))
     return _answered(canon.group_links, c)
 
 
@@ -234,20 +277,66 @@ def canon_load(spark, sf):
 def canon_series(spark, sf):
     """Claims by their series (three dates under one title and place), or their own fingerprint."""
     claims, venues_ = _claims(spark, sf)
-    c = canon.fingerprints(canon.place(canon.load(claims, _now()), venues_))
+    c = written(canon.fingerprints(canon.place(written(canon.load(claims, _now()), "claims-loaded"), venues_)), "claims-placed")
     return canon.absorb_twins(c, canon.series(c)).select("claim_id", "group0")
 
 
-@query(f"""WITH f AS (SELECT 'g' || l_partkey AS grp, 'f' || l_partkey || '-' || l_linenumber AS fp, min(l_shipdate) AS seen_at FROM lineitem GROUP BY 1, 2), i AS (SELECT 'f' || l_partkey || '-' || l_linenumber AS fp, 'e' || l_partkey // 2 AS ev, min(l_shipdate) - INTERVAL 10 DAY AS seen FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 3 = 0 GROUP BY 1, 2),
-o AS (SELECT grp, min(fp) AS least, min(CASE WHEN ev IS NOT NULL THEN struct_pack(seen := seen, ev := ev) END) AS o FROM f LEFT JOIN i USING (fp) GROUP BY 1), c AS (SELECT grp, CASE WHEN o IS NOT NULL AND row_number() OVER (PARTITION BY o.ev ORDER BY least) = 1 THEN o.ev ELSE md5('event' || chr(10) || least) END AS event_id FROM o)
-SELECT fp AS fingerprint, event_id, coalesce(min(seen), min(seen_at))::VARCHAR AS first_seen FROM f JOIN c USING (grp) LEFT JOIN i USING (fp) GROUP BY 1, 2""")
+#: Two versions of the canon. Before: prints of parts 3 to a event (splits), third lines 9 to an event (merges), series whose old dates have gone, prints that no claim has any more.
+_BEFORE = """p AS (SELECT 'g' || l_partkey AS grp, 'f' || l_partkey || '-' || l_linenumber AS fp, l_shipdate AS seen FROM lineitem UNION ALL SELECT 'g' || l_partkey, 'series|' || l_partkey, l_shipdate FROM lineitem WHERE l_partkey % 4 = 0),
+i AS (SELECT 'f' || l_partkey || '-' || l_linenumber AS fp, 'e' || l_partkey // 6 AS ev, min(l_shipdate) - INTERVAL 10 DAY AS was FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 3 = 0 GROUP BY 1, 2
+  UNION ALL SELECT 'f' || l_partkey || '-3', 'm' || l_partkey // 9, min(l_shipdate) FROM lineitem WHERE l_linenumber = 3 AND l_partkey % 3 = 0 GROUP BY 1, 2
+  UNION ALL SELECT 'old' || p_partkey, 'e' || p_partkey // 6, TIMESTAMP '1991-01-01' + to_days((p_partkey % 300)::INT) FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT 'series|' || p_partkey, 's' || p_partkey, TIMESTAMP '1990-01-01' FROM part WHERE p_partkey % 4 = 0)"""
+_AFTER = f"""{_BEFORE}, q AS (SELECT grp, fp, min(seen) AS seen FROM p GROUP BY 1, 2), w AS (SELECT grp, min(fp) AS least, min(seen) AS seen FROM q GROUP BY 1), age AS (SELECT ev, min(was) AS age FROM i GROUP BY 1),
+own AS (SELECT DISTINCT grp, ev, age, least FROM q JOIN i USING (fp) JOIN age USING (ev) JOIN w USING (grp)), turn AS (SELECT grp, least, arg_min(ev, (age, ev)) AS oldest, row_number() OVER (ORDER BY min((age, ev)), least) AS turn FROM own GROUP BY 1, 2),
+took AS (SELECT ev, arg_min(grp, turn) AS first FROM own JOIN turn USING (grp) GROUP BY 1), kept AS (SELECT grp, bool_and(first = grp) AS kept FROM own JOIN took USING (ev) GROUP BY 1),
+ids AS (SELECT w.grp, w.seen, CASE WHEN kept THEN oldest WHEN oldest IS NULL THEN md5('event' || chr(10) || w.least) ELSE md5('split' || chr(10) || oldest || chr(10) || w.least) END AS id FROM w LEFT JOIN turn USING (grp) LEFT JOIN kept USING (grp)),
+after AS (SELECT coalesce(i.fp, q.fp) AS fp, coalesce(ids.id, moved.id, i.ev) AS ev, coalesce(i.was, ids.seen) AS was FROM i FULL JOIN q USING (fp) LEFT JOIN ids ON q.grp = ids.grp LEFT JOIN took ON took.ev = i.ev LEFT JOIN ids moved ON moved.grp = took.first)"""
+
+
+def _versions(spark, sf):
+    li, p = A.table(spark, sf, "lineitem"), A.table(spark, sf, "part")
+    k, n, part = F.col("l_partkey"), F.col("l_linenumber"), F.col("p_partkey")
+    fp, series_ = F.concat(F.lit("f"), k, F.lit("-"), n), F.concat(F.lit("series|"), k)
+    group = F.concat(F.lit("g"), k).alias("group")
+    groups = li.select(group, fp.alias("fingerprint"), F.col("l_shipdate").alias("extracted_at")).unionByName(li.where(k % 4 == 0).select(group, series_.alias("fingerprint"), F.col("l_shipdate").alias("extracted_at")))
+    first = F.min("l_shipdate")
+    of = lambda rows, ev, seen: rows.groupBy(fp.alias("fingerprint"), ev.alias("event_id")).agg(seen.alias("first_seen"))
+    known = of(li.where((n <= 2) & (k % 3 == 0)), F.concat(F.lit("e"), F.floor(k / 6)), first - F.expr("INTERVAL 10 DAYS")).unionByName(of(li.where((n == 3) & (k % 3 == 0)), F.concat(F.lit("m"), F.floor(k / 9)), first))
+    gone = p.where(part % 5 == 0).select(F.concat(F.lit("old"), part).alias("fingerprint"), F.concat(F.lit("e"), F.floor(part / 6)).alias("event_id"), F.timestamp_add("DAY", (part % 300).cast("int"), F.lit("1991-01-01").cast("timestamp_ntz")).alias("first_seen"))
+    old = p.where(part % 4 == 0).select(F.concat(F.lit("series|"), part).alias("fingerprint"), F.concat(F.lit("s"), part).alias("event_id"), F.lit("1990-01-01").cast("timestamp_ntz").alias("first_seen"))
+    return groups, known.unionByName(gone).unionByName(old)
+
+
+@query(f"WITH {_AFTER} SELECT fp AS fingerprint, ev AS event_id, was::VARCHAR AS first_seen FROM after")
 def canon_identity(spark, sf):
-    """Event ids of groups of fingerprints: the oldest event that owned one keeps its id, two groups never share one."""
-    li = A.table(spark, sf, "lineitem")
-    fp = F.concat(F.lit("f"), "l_partkey", F.lit("-"), "l_linenumber")
-    groups = li.select(F.concat(F.lit("g"), "l_partkey").alias("group"), fp.alias("fingerprint"), F.col("l_shipdate").alias("extracted_at"))
-    known = li.where("l_linenumber <= 2 and l_partkey % 3 = 0").groupBy(fp.alias("fingerprint"), F.concat(F.lit("e"), F.floor(F.col("l_partkey") / 2)).alias("event_id")).agg((F.min("l_shipdate") - F.expr("INTERVAL 10 DAYS")).alias("first_seen"))
-    return canon.identify(groups, known).select("fingerprint", "event_id", s("first_seen"))
+    """The identity table of the next version: merges, splits, series known by their key alone, and old prints that follow their event."""
+    return canon.identify(*_versions(spark, sf)).select("fingerprint", "event_id", s("first_seen"))
+
+
+@query(f"""WITH {_AFTER}, moves AS (SELECT DISTINCT i.ev, after.ev AS now FROM i JOIN after USING (fp)), fates AS (SELECT ev, list(now ORDER BY now) AS now FROM moves GROUP BY 1)
+SELECT ev AS event_id, CASE WHEN len(now) > 1 THEN 'split' WHEN now[1] = ev THEN 'kept' ELSE 'merged' END AS fate, array_to_string(now, ',') AS into FROM fates
+UNION ALL SELECT DISTINCT ev, 'new', ev FROM after WHERE ev NOT IN (SELECT ev FROM i) AND ev NOT IN (SELECT now FROM moves)""")
+def canon_lineage(spark, sf):
+    """What became of each event between the two versions."""
+    groups, before = _versions(spark, sf)
+    found = canon.lineage(before, canon.identify(groups, before))
+    return found.select("event_id", "fate", F.array_join("into", ",").alias("into"))
+
+
+_SCHEDULE = f"""c AS (SELECT 'v' || l_partkey AS event_id, ((l_shipdate + to_minutes(CASE WHEN q % 4 = 0 THEN 0 ELSE 1200 END)) AT TIME ZONE 'Europe/Vienna') AT TIME ZONE 'UTC' AS st, q % 4 <> 0 AS timed, CASE q % 5 WHEN 1 THEN 2 WHEN 2 THEN 13 WHEN 3 THEN 72 WHEN 4 THEN 720 END AS hours, l_partkey % 6 = 0 AS art, l_partkey % 2 = 0 AS series FROM (SELECT *, l_quantity::INT AS q FROM lineitem)),
+e AS (SELECT *, st + to_hours(hours::INT) AS en, hours IS NOT NULL AND (hours <= 240 OR (art AND hours <= 8880)) AS sane FROM c), m AS (SELECT event_id, min(st) AS low, max(st) AS high FROM e WHERE NOT timed AND hours IS NOT NULL AND NOT sane GROUP BY 1)"""
+
+
+@query(f"""WITH {_SCHEDULE} SELECT event_id, st::VARCHAR AS starts_at, CASE WHEN sane AND NOT (series AND timed AND hours > 12 AND EXISTS (SELECT 1 FROM e x WHERE x.event_id = e.event_id AND x.st > e.st AND x.st < e.en)) THEN en END::VARCHAR AS ends_at, timed
+FROM e LEFT JOIN m USING (event_id) WHERE NOT (NOT timed AND hours IS NOT NULL AND NOT sane AND low < high)""")
+def schedule_ends(spark, sf):
+    """Observed dates without the first days of ranges that contradict each other, and without ends that pass a sibling's start."""
+    q, k = F.col("l_quantity").cast("int"), F.col("l_partkey")
+    at = recurrence.local_start(F.col("l_shipdate").cast("date"), F.when(q % 4 == 0, 0).otherwise(1200))
+    hours = F.when(q % 5 == 1, 2).when(q % 5 == 2, 13).when(q % 5 == 3, 72).when(q % 5 == 4, 720)
+    rows = A.table(spark, sf, "lineitem").select(F.concat(F.lit("v"), k).alias("event_id"), at.alias("starts_at"), F.timestamp_add("HOUR", hours, at).alias("ends_at"), F.when(k % 6 == 0, "art").otherwise("music").alias("category"), F.when(k % 2 == 0, "series|x").otherwise("x").alias("group0"))
+    return canon.observed_dates(rows).select("event_id", s("starts_at"), s("ends_at"), "timed")
 
 
 @query(f"""WITH {A.CLAIM_SQL}, d AS (SELECT event_id, claim_id, starts_at::DATE AS day FROM claim), f AS (SELECT event_id, min(day) AS first, arg_min(claim_id, (day, claim_id)) AS claim FROM d GROUP BY 1), r AS (SELECT *, isodow(first) AS wd FROM f WHERE split_part(event_id, '|', 1)::BIGINT % 2 = 0),
@@ -314,7 +403,7 @@ def _claims(spark, sf):
         "claim_id", "source_id", "source_name", "trust", "extracted_at", F.concat(F.lit("Fest "), "title").alias("title"), F.col("starts_at").cast("timestamp").alias("starts_at"), none("timestamp").alias("ends_at"),
         F.concat(F.lit("Saal "), F.col("source_id") % 40).alias("venue_name"), none("string").alias("address"), none("double").alias("lat"), none("double").alias("lon"), none("string").alias("organizer"), F.concat(F.lit("https://s.at/"), "event_id").alias("url"),
         none("string").alias("description"), F.lit("music").alias("category"), (F.col("price") / 1000).alias("price_min"), none("double").alias("price_max"), "status", "confidence",
-        none("struct<freq: string, weekday: string, week_of_month: int, interval: int, valid_from: date, valid_until: date, except_holidays: array<string>, minutes: int, duration_minutes: int>").alias("recurrence"),
+        none(_RULE).alias("recurrence"),
     )
     no_venues = spark.createDataFrame([], "venue_id long, name string, aliases array<string>, lat double, lon double")
     optional = {n: none(kind).alias(n) for n, kind in canon.OPTIONAL.items()}

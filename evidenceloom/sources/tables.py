@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import random
+import time
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,36 +26,103 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column],
     return newest(both, keys, [F.col("_new").desc() if update else F.col("_new"), *order]).drop("_new")
 
 
+class Conflict(Exception):
+    """Someone else made the version that this one was to follow."""
+
+
+def create_once(spark: SparkSession, uri: str, content: bytes) -> bool:
+    """Makes a file unless it is there; of several who try at once, one makes it. Local disks decide by exclusive creation, HDFS and the like by creation without overwriting."""
+    scheme, _, rest = uri.partition("://")
+    if not rest or scheme == "file":
+        path = rest or uri
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(content)
+        try:
+            os.link(part, path)  # whole or not at all
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(part)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = system.create(path, False)
+    except Exception as e:  # noqa: BLE001
+        if system.exists(path):
+            return False
+        raise e
+    out.write(bytearray(content))
+    out.close()
+    return True
+
+
 class Versioned:
-    """A table that readers see whole: each version is a folder; a pointer file names the current one and is replaced last.
+    """A table that readers see whole: each version is a folder, and numbered pointer files say which count.
 
-    The pointer is reached through pyarrow's file systems and replaced by a rename, which local disks and HDFS do at once.
+    A version counts when the pointer of the next number was made, which only one writer can do. One who finds it made
+    has read an older version than the newest: update() reads again and tries again, swap() with an expected number gives up. So no
+    version is lost, and a reader of any number sees the same rows for ever.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.system, self.root = fs.FileSystem.from_uri(self.path)
 
+    def exists(self, uri: str) -> bool:
+        return self.system.get_file_info(fs.FileSystem.from_uri(uri)[1]).type == fs.FileType.File
+
+    def number(self) -> int:
+        """Of the newest version; 0: none yet."""
+        found = self.system.get_file_info(fs.FileSelector(f"{self.root}/versions", allow_not_found=True))
+        return max((int(f.base_name) for f in found if f.base_name.isdigit()), default=0)
+
+    def folder(self, number: int) -> str:
+        with self.system.open_input_stream(f"{self.root}/versions/{number:012d}") as f:
+            return f.read().decode()
+
     def current(self) -> str | None:
-        try:
-            with self.system.open_input_stream(f"{self.root}/CURRENT") as f:
-                return f.read().decode()
-        except FileNotFoundError:
-            return None
+        n = self.number()
+        return self.folder(n) if n else None
 
-    def swap(self, df: DataFrame) -> str:
+    def swap(self, df: DataFrame, after: int | None = None) -> int:
+        """Writes a version and makes it the newest; its number. after: the version that it must follow."""
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        with self.system.open_output_stream(f"{self.root}/CURRENT.{name}") as f:
-            f.write(name.encode())
-        self.system.move(f"{self.root}/CURRENT.{name}", f"{self.root}/CURRENT")
-        return name
-
-    def read(self) -> DataFrame:
-        name = self.current()
-        if not name:
+        while True:
+            number = (self.number() if after is None else after) + 1
+            if create_once(self.spark, f"{self.path}/versions/{number:012d}", name.encode()):
+                return number
+            if after is not None:
+                self.system.delete_dir(f"{self.root}/{name}")
+                raise Conflict(f"{self.path} already has version {number}")
+
+    def update(self, change: Callable[[DataFrame | None], DataFrame], tries: int = 20) -> int:
+        """Makes the next version from the newest, again if another writer was first."""
+        for n in range(tries):
+            base = self.number()
+            try:
+                return self.swap(change(self.read(base) if base else None), base)
+            except Conflict:
+                time.sleep(random.random() * min(2**n, 50) / 100)
+        raise Conflict(f"{self.path}: other writers were first {tries} times")
+
+    def read(self, number: int | None = None) -> DataFrame:
+        number = number or self.number()
+        if not number:
             raise FileNotFoundError(f"{self.path} has no version yet")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{self.folder(number)}")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes the rows of all but the newest versions; their numbers stay taken. Folders that are no version stay: their writers may be at work."""
+        for n in range(self.number() - keep, 0, -1):
+            old = f"{self.root}/{self.folder(n)}"
+            if self.system.get_file_info(old).type == fs.FileType.NotFound:
+                break  # what is older went before
+            self.system.delete_dir(old)
 
 
 def csv_file(df: DataFrame, path: str) -> None:

@@ -350,7 +350,7 @@ def test_upsert_and_swap(spark, tmp_path):
     assert {(r.k, r.v) for r in keep.collect()} == {(1, "a"), (2, "d")}
     assert {(r.k, r.v) for r in tables.upsert(t((1, "a", 1)), t((1, "b", 1)), ["k"], [F.col("n")]).collect()} == {(1, "b")}
     v = tables.Versioned(spark, f"file://{tmp_path}/canon")
-    assert v.current() is None
+    assert v.current() is None and v.number() == 0
     v.swap(t((1, "a", 1)))
     v.swap(t((2, "b", 1)))
     assert [r.k for r in v.read().collect()] == [2]

@@ -3,14 +3,13 @@
 import datetime as dt
 import json
 import random
-import zlib
 
 import pytest
 from dateutil.rrule import rrulestr
 from pyspark.sql import functions as F
 
 from evidenceloom.operators import recurrence
-from evidenceloom.sources import landing
+from evidenceloom.sources import cascade, landing, recipes
 
 
 def docs(spark, *bodies):
@@ -23,32 +22,38 @@ def read(reader, spark, *bodies, **more):
 
 # ---- JSON
 
-HUB = {
-    "CalendarEvents": [
-        {"Name": "Workshop - say it", "StartDate": "2026-07-05T17:00:00", "EndDate": "2026-07-05T19:00:00", "Location": "Haus 3, Linz", "LongDescription": "x", "ShortDescription": "<p>Talk &amp; <b>listen</b></p>", "HostFullName": "Hub Team", "ChepeastPrice": 49.0, "Price": None, "TicketUrl": "https://t.at/1", "Latitude": 48.3, "Longitude": 14},
-        {"Name": "Second", "StartDate": "2026-07-06", "Date": "2026-01-01", "Categories": [{"Name": "Legal"}, {"Name": "Community"}]},
+HARBOUR = {
+    "Berths": [{"Name": "North quay", "Metres": 120}, {"Name": "South quay", "Metres": 80}],
+    "Sailings": [
+        {"EventName": "Night sail round the light", "DateFrom": "2031-09-03T20:15:00", "DateTo": "2031-09-03T23:45:00", "Room": "Pier 9", "Teaser": "<div>Warm coat &lt;needed&gt; <i>after dark</i></div>", "Body": "unused", "Host": "Harbour Office", "PriceFrom": 31, "MinPrice": 9, "SignupUrl": "https://tickets.example/9", "Latitude": -12.5, "Longitude": 130.875},
+        {"Summary": "Open lock day", "DtStart": "4 Sep 2031", "From": "2031-01-01", "Crew": [{"Name": "Ana"}, {"Name": "Bo"}]},
     ],
-    "Categories": [{"Name": "Legal", "Id": 1}, {"Name": "Community", "Id": 2}],
 }
 
 
-def test_json_of_a_hub(spark):
-    first, second = read(landing.json_api, spark, json.dumps(HUB))
-    assert first == {"title": "Workshop - say it", "starts_at": "2026-07-05T17:00:00", "ends_at": "2026-07-05T19:00:00", "venue_name": "Haus 3, Linz", "description": "Talk & listen", "organizer": "Hub Team", "price_min": 49.0, "booking_url": "https://t.at/1", "lat": 48.3, "lon": 14.0}
-    assert second == {"title": "Second", "starts_at": "2026-07-06"}
+def test_json_of_a_harbour(spark):
+    """Names in any case, the first name with a value, tags out of texts, lists beside the events that are none."""
+    first, second = read(landing.json_api, spark, json.dumps(HARBOUR))
+    assert first == {"title": "Night sail round the light", "starts_at": "2031-09-03T20:15:00", "ends_at": "2031-09-03T23:45:00", "venue_name": "Pier 9", "description": "Warm coat <needed> after dark", "organizer": "Harbour Office", "price_min": 31.0, "booking_url": "https://tickets.example/9", "lat": -12.5, "lon": 130.875}
+    assert second == {"title": "Open lock day", "starts_at": "2031-01-01"}
+
+
+def dated(n, of):
+    """A list of so many records of which so many have a day."""
+    return [{"summary": f"entry {i}", **({"begin": f"2032-02-{i + 1:02}"} if i < n else {})} for i in range(of)]
 
 
 @pytest.mark.parametrize(
     ("body", "titles"),
     [
-        ({"data": {"results": [{"title": "Sommerfest", "start_date": "2030-07-01"}, {"title": "Flohmarkt", "start_date": "2030-07-02"}]}}, ["Sommerfest", "Flohmarkt"]),
-        ({"events": [{"name": "Kursreihe", "start": "2030-03-01T10:00", "dates": [{"name": "Kursreihe", "start": "2030-03-08T10:00"}]}]}, ["Kursreihe"]),
-        ({"items": [{"name": "No", "start": "1415748758"}, {"name": "Also no", "start": 20300101}]}, []),
-        ([{"name": "A", "start": "2030-03-01"}, {"name": "B"}, {"name": "C"}], []),
-        ([{"name": "A", "start": "2030-03-01"}, {"name": "B", "begin": "1.4.2030"}, {"name": "C"}], ["A", "B"]),
-        ([{"name": "A", "start": "2030-03-01"}, "text"], []),
-        ([[{"name": "A", "start": "2030-03-01"}]], []),
-        ({"a": [{"title": 7, "name": "N", "from": "2030-03-01", "start": 5}]}, ["N"]),
+        ({"deep": {"er": {"est": dated(3, 3)}}}, ["entry 0", "entry 1", "entry 2"]),
+        ({"x": dated(3, 5)}, ["entry 0", "entry 1", "entry 2"]),
+        ({"x": dated(2, 4)}, []),
+        ({"x": [r | {"parts": dated(2, 2)} for r in dated(1, 1)]}, ["entry 0"]),
+        ({"x": [{"summary": "a number", "begin": 20320201}, {"summary": "digits", "begin": "9876543210"}]}, []),
+        ({"x": [*dated(2, 2), "a word"]}, []),
+        ({"x": [dated(2, 2)]}, []),
+        ({"x": [{"title": ["no text"], "summary": "said so", "start": True, "to": "2032-03-01", "from": "2032-02-29"}]}, ["said so"]),
     ],
 )
 def test_json_lists(spark, body, titles):
@@ -161,31 +166,63 @@ def test_portal(spark):
     assert c == {"title": "Bühnenfest", "category": "theatre", "tags": ["Bühne"], "starts_at": "2026-07-07T10:00:00+02:00"}
 
 
-# ---- PDF
-
-
-def pdf(content, packed=True):
-    data = zlib.compress(content) if packed else content
-    return b"%PDF-1.4\n1 0 obj\n<< /Length " + str(len(data)).encode() + (b" /Filter /FlateDecode" if packed else b"") + b" >>\nstream\n" + data + b"\nendstream\nendobj\n%%EOF"
-
-
-def test_pdf_text():
-    page = rb"BT /F1 12 Tf 72 720 Td (Sommerkonzert im) Tj T* [(Pfarr) -20 (saal \(neu\))] TJ 0 -14 Td (am 07.08.2030) ' <c4> Tj ET"
-    for packed in (True, False):
-        assert landing.pdf_text(pdf(page, packed)) == "Sommerkonzert im Pfarrsaal (neu) am 07.08.2030 Ä"
-    assert landing.pdf_text(b"%PDF-1.4 garbage") == landing.pdf_text(b"<html>") == landing.pdf_text(None) == landing.pdf_text(pdf(page)[:40]) == ""
-
-
 # ---- cascade, recipes, claims
 
 
 def test_cascade(spark):
-    js = '{"meta":1,"CalendarEvents":[{"Name":"A","StartDate":"2026-07-05"},{"Name":"B","StartDate":"2026-07-06","Url":"https://x.at/b"},{"Name":"no date"}]}'
-    got = landing.read(docs(spark, js, ICS, ld({"@type": "Event", "name": "Gig", "startDate": "2026-07-05"}), FEED, PORTAL, "<p>nothing</p>", "{broken"), "2026-07-05 12:00:00").collect()
-    assert sorted((r.doc_id, r.title, r.method, r.confidence) for r in got) == sorted([
+    """Each document once, by the first reader that finds something; text for a model only where none does."""
+    js = '{"meta":1,"Sailings":[{"Name":"A","StartDate":"2031-07-05"},{"Name":"B","StartDate":"2031-07-06","Url":"https://x.at/b"},{"Name":"no date"}]}'
+    long = "<html><script>x</script><p>" + "Nothing that a reader knows, but a long page. " * 4 + "</p></html>"
+    both = ld({"@type": "Event", "name": "Inner", "startDate": "2026-07-05"})
+    rows = docs(spark, js, ICS, ld({"@type": "Event", "name": "Gig", "startDate": "2026-07-05"}), FEED, PORTAL, "<p>nothing</p>", "{broken", long, None, "{" + long, both)
+    rows = rows.withColumn("text", F.when(F.col("doc_id") == 8, F.lit("Words of a scanned leaflet, landed beside it. " * 4)))
+    got = cascade.records(rows, "2026-07-05 12:00:00")
+    assert sorted((r.doc_id, r.title, r.method, r.confidence) for r in got.where("tier < 5").collect()) == sorted([
         (0, "A", "json_api", 0.85), (0, "B", "json_api", 0.85), (1, "Long title, yes", "ics", 0.95), (1, "Days", "ics", 0.95), (2, "Gig", "jsonld", 0.95), (3, "Märkte", "rss", 0.9), (3, "Two", "rss", 0.9),
-        (4, "Fest & Musik", "portal_xml", 0.95), (4, "Fest & Musik", "portal_xml", 0.95), (4, "Bühnenfest", "portal_xml", 0.95),
+        (4, "Fest & Musik", "portal_xml", 0.95), (4, "Fest & Musik", "portal_xml", 0.95), (4, "Bühnenfest", "portal_xml", 0.95), (10, "Inner", "jsonld", 0.95),
     ])
+    said = {r.doc_id: r.said for r in got.where("tier = 5").collect()}
+    assert said.keys() == {7, 8, 9} and said[7].startswith("Nothing that") and said[8].startswith("Words of a scanned")
+    assert got._jdf.queryExecution().toString().count("LogicalRDD") <= 4  # one scan, whatever the number of readers
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 5, 8, 40])
+def test_walk_is_that_of_a_queue(spark, cap):
+    """Entries, then their next pages, each page once, up to the cap; cycles, missing pages and links into other listings."""
+    rng = random.Random(cap)
+    urls = [f"u{i}" for i in range(60)]
+    following = {u: rng.choice([*urls, None, "lost"]) for u in urls}
+    for i in range(40, 59):
+        following[f"u{i}"] = f"u{i + 1}"  # a long chain
+    bodies = {u: f"body {i}" for i, u in enumerate(urls) if i != 17}
+    entries = {r: rng.sample(urls, n) for r, n in ((1, 1), (2, 3), (3, 9))} | {4: ["u40"], 5: ["lost"]}
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    visited, report = recipes.walk(
+        table([(r, p, u) for r, us in entries.items() for p, u in enumerate(us)], "recipe_id int, place int, url string"), table([(u, v) for u, v in following.items() if v], "url string, next_url string"),
+        table([(u, i, b) for i, (u, b) in enumerate(bodies.items())], "url string, doc_id long, body string"), table([(r, cap) for r in entries], "recipe_id int, page_cap int"),
+    )
+    want, ends = set(), {}
+    for r, us in entries.items():
+        queue, seen, n = list(us), set(), 0
+        while queue and n < cap:
+            u = queue.pop(0)
+            if u in seen or u not in bodies:
+                continue
+            seen.add(u)
+            n += 1
+            want.add((r, n, u))
+            queue += [following[u]] if following[u] else []
+        if n:
+            ends[r] = "cap" if any(u not in seen and u in bodies for u in queue) else "exhausted"
+    assert {(x.recipe_id, x.number, x.url) for x in visited.collect()} == want
+    assert {x.recipe_id: x.stop for x in report.collect()} == ends
+
+
+def test_links_that_lead_nowhere(spark):
+    pages = spark.createDataFrame([(0, "a", "same"), (1, "b", "same"), (2, "c", "same"), (3, "x", "one"), (4, "y", "two")], "doc_id long, url string, body string")
+    entries = spark.createDataFrame([(1, 0, "a"), (2, 0, "x")], "recipe_id int, place int, url string")
+    _, report = recipes.walk(entries, spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "url string, next_url string"), pages, spark.createDataFrame([(1, 9), (2, 9)], "recipe_id int, page_cap int"))
+    assert {r.recipe_id: (r.n_pages, r.stop) for r in report.collect()} == {1: (3, "noop"), 2: (2, "exhausted")}
 
 
 def test_pages_of_a_recipe(spark):

@@ -1,10 +1,17 @@
 """Streams against their batch results."""
 
+import datetime as dt
+import random
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from evidenceloom.operators import evidence
+from evidenceloom.plans import control
+from evidenceloom.sources import changelog, tables
 from evidenceloom.streaming import claims as S
+from evidenceloom.streaming import state
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +75,121 @@ def test_late_claims_change_what_they_touch(spark, tmp_path):
     assert [r.event_id for r in S.changes(spark, out, "event_id", after=1).collect()] == ["e3"]
     S.compact(spark, out, "event_id", f"file://{tmp_path}/latest")
     assert {(r.event_id, r.n_sources) for r in spark.read.parquet(f"file://{tmp_path}/latest").collect()} == {("e1", 2), ("e2", 1), ("e3", 1)}
+
+
+# ---- fused claims as state
+
+CLAIM = "event_id string, source_id string, claim_id string, trust double, confidence double, extracted_at timestamp, status string"
+
+
+def some_claims(n):
+    rng = random.Random(n)
+    at = lambda: dt.datetime(2026, 3, 1) + dt.timedelta(minutes=rng.randrange(5000))
+    return [(f"e{rng.choice([0, 0, 0, *range(12)])}", f"s{rng.randrange(6)}", f"c{i}", rng.choice([0.4, 0.6, 0.8]), rng.choice([0.3, 0.9, 1.0]), at(), rng.choice(["scheduled", "scheduled", None, "cancelled", "moved"])) for i in range(n)]
+
+
+def test_state_equals_batch_whatever_the_order(spark, tmp_path):
+    """Ten batches of claims out of order, with repeats and late ones, give what all of them at once give."""
+    rows = some_claims(400)
+    random.Random(1).shuffle(rows)
+    path = f"file://{tmp_path}/in"
+    for i in range(10):
+        spark.createDataFrame(rows[40 * i : 40 * i + 40] + rows[max(0, 40 * i - 5) : 40 * i], CLAIM).coalesce(1).write.mode("append").parquet(path)
+    stream = S.source(spark, path, spark.read.parquet(path).schema, 1)
+    query = state.keep(state.fused(stream), f"file://{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    got = {r.event_id: (round(r.confidence, 9), r.n_sources, r.status) for r in S.latest(spark, f"file://{tmp_path}/out", "event_id").collect()}
+    all_ = spark.createDataFrame(rows, CLAIM)
+    confidence = {r.event_id: (round(r.confidence, 9), r.n_sources) for r in S.confidence(all_).collect()}
+    status = {r.event_id: r.status for r in evidence.merge_status(all_, ["event_id"]).collect()}
+    assert got == {k: (*confidence[k], status[k]) for k in confidence}
+    # a batch reads the rows that it brings, not those before it
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [40] + [45] * 9
+    # a restart goes on from the state
+    spark.createDataFrame([("e0", "new", "x", 0.9, 0.9, dt.datetime(2026, 3, 1), None)], CLAIM).coalesce(1).write.mode("append").parquet(path)
+    state.keep(state.fused(S.source(spark, path, spark.read.parquet(path).schema, 1)), f"file://{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert S.latest(spark, f"file://{tmp_path}/out", "event_id").where("event_id = 'e0'").first()["n_sources"] == got["e0"][1] + 1
+
+
+def test_events_that_nobody_speaks_of_go(spark, tmp_path):
+    path, day = f"file://{tmp_path}/in", dt.datetime(2026, 3, 1)
+    for i, (event, days) in enumerate([("old", 0), ("old", 5), ("other", 40), ("other", 80), ("other", 81)]):
+        spark.createDataFrame([(event, "s1", f"c{i}", 0.8, 0.5, day + dt.timedelta(days=days), None)], CLAIM).coalesce(1).write.mode("append").parquet(path)
+        stream = S.source(spark, path, spark.read.parquet(path).schema, 1)
+        state.keep(state.fused(stream, retain=dt.timedelta(days=30), late="1 day"), f"file://{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    rows = spark.read.parquet(f"file://{tmp_path}/out").where("gone").select("event_id", "n_sources").collect()
+    assert [tuple(r) for r in rows] == [("old", 1), ("other", 1)] or [tuple(r) for r in rows] == [("old", 1)]
+
+
+# ---- versions and changes
+
+
+def people(spark, *rows):
+    return spark.createDataFrame(list(rows), "k int, name string, tags array<string>")
+
+
+def test_changes_tell_the_newest_version(spark, tmp_path):
+    table, log = tables.Versioned(spark, f"file://{tmp_path}/t"), f"file://{tmp_path}/log"
+    versions = [people(spark, (1, "a", ["x"]), (2, None, []), (None, "n", None)), people(spark, (1, "a", ["x"]), (2, "", []), (3, "c", None)), people(spark, (3, "c", ["y"]), (None, "n", None)), people(spark, (3, "c", ["y"]), (None, "n", None))]
+    for v in versions:
+        changelog.publish(table, table.swap(v), log, ["k"])
+    found = changelog.changes(spark, log, versions[0].schema)
+    said = sorted(((r.version, r.op, r.k) for r in found.collect()), key=repr)
+    assert said == sorted([(1, "insert", 1), (1, "insert", 2), (1, "insert", None), (2, "update", 2), (2, "insert", 3), (2, "delete", None), (3, "delete", 1), (3, "delete", 2), (3, "update", 3), (3, "insert", None)], key=repr)
+    key = lambda df: sorted(map(repr, df.select("k", "name", "tags").collect()))
+    assert key(changelog.replay(found, ["k"])) == key(versions[-1])
+    for n in range(1, 5):
+        assert key(changelog.replay(found.where(F.col("version") <= n), ["k"])) == key(versions[n - 1])
+    assert {r.version for r in changelog.changes(spark, log, versions[0].schema, after=2).collect()} == {3}
+    # a stream that follows the log sees each change once, also over restarts
+    for _ in range(2):
+        changelog.follow(spark, log, versions[0].schema, 1).writeStream.format("parquet").option("path", f"{tmp_path}/copy").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    copy = spark.read.parquet(f"{tmp_path}/copy")
+    assert copy.count() == found.count() and key(changelog.replay(copy, ["k"])) == key(versions[-1])
+    before = [r.version for r in found.collect()]
+    changelog.publish(table, 2, log, ["k"])  # again: nothing changes
+    assert sorted(r.version for r in changelog.changes(spark, log, versions[0].schema).collect()) == sorted(before)
+
+
+def test_writers_at_once_lose_no_version(spark, tmp_path):
+    """Each of several threads adds its rows to what is there; all of them are there in the end."""
+    table = tables.Versioned(spark, f"file://{tmp_path}/t")
+    table.swap(people(spark, (0, "start", None)))
+    failed = []
+
+    def add(worker):
+        try:
+            for i in range(3):
+                table.update(lambda now, i=i: now.unionByName(people(spark, (10 * worker + i, "w", None))), tries=50)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    workers = [threading.Thread(target=add, args=(w,)) for w in (1, 2, 3)]
+    [w.start() for w in workers]
+    [w.join() for w in workers]
+    assert not failed and table.number() == 10
+    assert sorted(r.k for r in table.read().collect()) == [0, 10, 11, 12, 20, 21, 22, 30, 31, 32]
+    with pytest.raises(tables.Conflict):
+        table.swap(people(spark, (99, "late", None)), after=4)
+    assert {r.k for r in table.read(1).collect()} == {0}
+    table.vacuum(keep=2)
+    assert len(list((tmp_path / "t").glob("v-*"))) == 2 and table.read().count() == 10
+
+
+def test_each_job_is_one_workers(spark, tmp_path):
+    at = dt.datetime(2026, 3, 1)
+    jobs = spark.createDataFrame([(i, "pending" if i != 3 else "failed", at + dt.timedelta(minutes=i), None, None, 0) for i in range(9)], "job_id int, status string, run_after timestamp, worker string, started_at timestamp, attempts int")
+    table = tables.Versioned(spark, f"file://{tmp_path}/jobs")
+    table.swap(jobs)
+    got = {}
+
+    def work(name):
+        got[name] = [[r.job_id for r in control.claim_jobs(table, name, F.lit(at + dt.timedelta(hours=1)), 2).collect()] for _ in range(2)]
+
+    workers = [threading.Thread(target=work, args=(n,)) for n in ("a", "b")]
+    [w.start() for w in workers]
+    [w.join() for w in workers]
+    took = [j for lists in got.values() for x in lists for j in x]
+    assert len(took) == len(set(took)) == 8 and 3 not in took
+    assert {(r.status, r.attempts) for r in table.read().where("job_id != 3").collect()} == {("running", 1)}
+    assert control.claim_jobs(table, "c", F.lit(at + dt.timedelta(hours=1)), 2).count() == 0
