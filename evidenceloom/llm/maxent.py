@@ -335,8 +335,8 @@ class Words:
         # the end is a word of the tree, and expected where its own code is
         self.told_word[int(END) >> (64 - TELL)] = END
         self.told_path = self.path(self.told_word, told_cell)
-        self.told_cell = told_cell
-        in_rest = (self.told_word > 0) & (self.told_path[:, 2] == WIDTH - 1) & (nodes(self.told_path)[2] >= 0)
+        self.told_nodes = nodes(self.told_path)
+        in_rest = (self.told_word > 0) & (self.told_path[:, 2] == WIDTH - 1) & (self.told_nodes[2] >= 0)
         #: log of what all others of the rest have without it
         self.told_others = np.zeros(1 << TELL)
         self.told_others[in_rest] = np.log1p(-np.exp(self.in_rest(told_count[in_rest], told_cell[in_rest])))
@@ -386,9 +386,9 @@ def features(h: np.ndarray, c: np.ndarray, owner: np.ndarray, at: list[np.ndarra
 
 def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Each context's weights by outcome, held between -60 and 60 so that none of their exponentials is lost."""
-    x = weights.take(rows[:, 0], axis=0)
+    x = weights.take(rows[:, 0], axis=0, mode="clip")  # all rows are there: this only spares their check
     for i in range(1, rows.shape[1]):
-        x += weights.take(rows[:, i], axis=0)
+        x += weights.take(rows[:, i], axis=0, mode="clip")
     x += bias
     return np.clip(x, -60, 60, out=x)
 
@@ -402,11 +402,21 @@ class Expected:
     """The expected words of some tokens' contexts, level by level: their state where the token's own path passes a softmax that the expected word's passes too (else -1), and the outcome there."""
 
     def __init__(self, words: Words, path: np.ndarray, at: list[np.ndarray], state: np.ndarray, hit: np.ndarray, code: np.ndarray):
-        self.hit, self.code, self.toward = hit, code, words.told_path[code]
-        there = nodes(self.toward)
-        self.state = [np.where((state >= 0) & (at[level] >= 0) & (there[level] == at[level]), state, -1) for level in range(LEVELS)]
-        rest = (self.state[2] >= 0) & (path[:, 2] == WIDTH - 1) & (self.toward[:, 2] == WIDTH - 1)
-        self.state.append(np.where(rest, state, -1))
+        self.hit, self.code = hit, code
+        i = np.flatnonzero(state >= 0)
+        state, code = state[i].astype(np.int8), code[i]
+        self.toward = np.zeros(path.shape, np.uint8)
+        self.toward[i] = words.told_path[code]
+        self.state = []
+        for level in range(LEVELS + 1):
+            if level < LEVELS:
+                mine = at[level][i]
+                ok = (mine >= 0) & (words.told_nodes[level][code] == mine)
+            else:
+                ok = ok & (path[i, 2] == WIDTH - 1) & (self.toward[i, 2] == WIDTH - 1)
+            held = np.full(len(path), -1, np.int8)
+            held[i[ok]] = state[ok]
+            self.state.append(held)
 
     def add(self, x: np.ndarray, level: int, i: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Adds the weights to the sums x of the tokens i; which of them have an expectation here, its state and outcome."""
@@ -458,20 +468,23 @@ class Block:
         keys, has = context_keys(h, self.owner, self.bits)
         x = self.expected >> X.U(64 - self.bits) << X.U(64 - self.bits)
         at = np.minimum(np.searchsorted(x, keys), len(x) - 1)
-        has &= x[at] == keys
+        i = np.flatnonzero(has & (x[at] == keys))
+        at, h, own = at[i], h[i], own[i]
         code = (self.expected[at] << X.U(self.bits) >> X.U(64 - TELL)).astype(np.int64)
         # the token's own part in that count
-        less = own & has & (code == (h >> X.U(64 - TELL)).astype(np.int64))
+        less = own & (code == (h >> X.U(64 - TELL)).astype(np.int64))
         word = self.words.told_word[code]
-        has &= word > 0
-        hit = has & (word == h)
         n, total = self.often[at] - less, np.maximum(self.total[at] - own, 1)
-        has &= n > 0
-        hit &= has
-        last = before(np.where(has, 1 + hit.astype(np.int8), 0).astype(np.int8), self.owner, 1, 0)
-        many = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 7)
+        ok = (word > 0) & (n > 0)
+        i, n, total, code, right = i[ok], n[ok], total[ok], code[ok], word[ok] == h[ok]
+        held, hit, codes = np.full(len(self.inverse), -1), np.zeros(len(self.inverse), bool), np.zeros(len(self.inverse), np.int64)
+        now = np.zeros(len(self.inverse), np.int8)
+        now[i] = 1 + right
+        last = before(now, self.owner, 1, 0)[i]
+        many = np.minimum(np.log2(n).astype(np.int64), 7)
         sure = np.minimum(4 * n // total, 3)
-        return np.where(has, (many * 4 + sure) * 3 + last, -1), hit, code
+        held[i], hit[i], codes[i] = (many * 4 + sure) * 3 + last, right, code
+        return held, hit, codes
 
     def score(self, weights: np.ndarray, lead: np.ndarray) -> np.ndarray:
         """Natural log P of each token."""
@@ -488,7 +501,7 @@ def log_chance(weights: np.ndarray, lead: np.ndarray, words: Words, path: np.nda
         i = np.flatnonzero(at[level] >= 0)
         x = _sums(weights[level], words.bias[level][at[level][i]], rows[level][i])
         told.add(x, level, i, lead)
-        own = x[np.arange(len(i)), path[i, level]]
+        own = x.ravel().take(np.arange(0, x.size, WIDTH) + path[i, level])
         log[i] += own - np.log(np.exp(x, out=x) @ _ONES)
     rest = np.flatnonzero((at[2] >= 0) & (path[:, 2] == WIDTH - 1))
     log[rest] += words.in_rest(count[rest], k[rest])
@@ -520,10 +533,10 @@ class Trainer:
         if told:
             j, state, toward = told.add(g, level, i, self.lead)
         np.exp(g, out=g)
-        g /= -(g @ _ONES)[:, None]
+        g *= (-1 / (g @ _ONES))[:, None]
         if told:
             self.lean(level, state, -g[j, toward], y[j] == toward)
-        g[np.arange(len(y)), y] += 1
+        g.ravel()[np.arange(0, g.size, WIDTH) + y] += 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")  # 16 bits are sorted by radix
         s = flat[order]
@@ -534,7 +547,8 @@ class Trainer:
         q = squares[at] + np.einsum("ij,ij->i", total, total) / WIDTH
         squares[at] = q
         total *= (RATE / np.sqrt(q))[:, None]
-        weights[at] += total
+        total += weights.take(at, axis=0, mode="clip")
+        weights[at] = total
         self.touched[level, at] += np.diff(np.append(first, len(s)))
 
     def lean(self, level: int, state: np.ndarray, p: np.ndarray, right: np.ndarray) -> None:
