@@ -33,7 +33,7 @@ from .shared import written
 REPEATS = 3
 SEED = 11
 #: Rows of a source's range in the shuffle, and words of the mix in a span of virtual time.
-RANGE_ROWS, SPAN_WORDS = 20_000, 1_000_000
+RANGE_ROWS, SPAN_WORDS = 20_000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words between two spaces: what is left of a text when each word is one letter and the rest is gone.
 _BLANKS = " \t\n\x0b\x0c\r"
