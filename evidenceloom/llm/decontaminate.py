@@ -2,8 +2,9 @@
 
 Texts and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is
 ``width`` consecutive words of an item; an item with fewer words, but not none, is one window. The
-windows' 64-bit hashes and words are broadcast if they are ``BROADCAST_WINDOWS`` at most, which is checked. A
-larger benchmark is taken in groups of so many, a pass over the documents for each (a large item is split between windows): the words
+windows' 64-bit hashes and words are broadcast if they are ``BROADCAST_WINDOWS`` and ``BROADCAST_BYTES`` at most, which is checked; a word
+of over ``LONG`` bytes (a text without blanks, in scripts that have none) stands there by its sha256, so no item is larger than its
+number of words says. A larger benchmark is taken in groups of so much, a pass over the documents for each (a large item is split between windows): the words
 hit so far go on in a written table and the group's broadcast is given up before the next.
 Each hash that is found is verified against the words themselves, so equal hashes of different windows
 do not count.
@@ -15,6 +16,7 @@ nothing; further columns of documents pass through (names that clash get a leadi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from .shared import written
 WIDTH = 10
 #: Windows of a benchmark that are broadcast at once: 16 bytes each and the words that they begin with.
 BROADCAST_WINDOWS = 200_000
+#: Bytes of words that are broadcast at once, but for a last item's; and of a word that stands there as it is.
+BROADCAST_BYTES, LONG = 32 << 20, 64
 
 
 class Windows:
@@ -38,19 +42,16 @@ class Windows:
     Items' words are kept once, as bytes with a zero byte behind each, so a window costs 16 bytes beside them.
     """
 
-    def __init__(self, rows: list[tuple[str, bytes]], width: int = WIDTH):
-        """rows: item and its lower-cased words, a zero byte behind each."""
-        self.items = [item for item, _ in rows]
-        self.words = [words for _, words in rows]
+    def __init__(self, rows: list[tuple[str, bytes, np.ndarray]], width: int = WIDTH):
+        """rows: item, its lower-cased words as they are kept, a zero byte behind each, and the words' hashes."""
+        self.items = [row[0] for row in rows]
+        self.words = [row[1] for row in rows]
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         self.ends: list[np.ndarray] = []
-        for n, words in enumerate(self.words):
-            raw = np.frombuffer(words, np.uint8)
-            ends = np.flatnonzero(raw == 0).astype(np.int32)
-            starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
-            self.ends.append(ends)
-            size = min(width, len(ends))
-            hashes, at = X.window_hashes(X.span_hashes(X.prefix_sums(raw), starts, ends.astype(np.int64)), np.zeros(len(ends), np.int64), size)
+        for n, (_, words, own) in enumerate(rows):
+            self.ends.append(np.flatnonzero(np.frombuffer(words, np.uint8) == 0).astype(np.int32))
+            size = min(width, len(own))
+            hashes, at = X.window_hashes(own, np.zeros(len(own), np.int64), size)
             found.setdefault(size, []).append((hashes, np.full(len(at), n, np.int32), at.astype(np.int32)))
         self.by_width = {}
         for size, parts in found.items():
@@ -73,7 +74,7 @@ class Windows:
             some = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == h)
             for j, a, z in zip(some.tolist(), first[some].tolist(), np.searchsorted(known, h[some], side="right").tolist(), strict=True):
                 i = int(at[j])
-                own = b"\0".join(low[starts[x] : ends[x]].tobytes() for x in range(i, i + width))
+                own = b"\0".join(_kept(low[starts[x] : ends[x]].tobytes()) for x in range(i, i + width))
                 for k in range(a, z):
                     if own == self._window(int(items[k]), int(places[k]), width):
                         hit[i : i + width] = True
@@ -81,30 +82,37 @@ class Windows:
         return hit, pairs
 
 
-def _words(text: str) -> bytes:
+def _kept(word: bytes) -> bytes:
+    """A word, or for a long one its sha256 behind a byte that no word has."""
+    return word if len(word) <= LONG else b"\1" + hashlib.sha256(word).hexdigest().encode()
+
+
+def _words(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words as they are kept, and their hashes."""
     buf, offs = X.flat(pa.array([text]))
     low = X.LOWER[buf]
     starts, ends, _ = X.spans(low, offs, X.ALNUM)
     raw = low.tobytes()
-    return b"".join(raw[a:b] + b"\0" for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return [_kept(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], X.span_hashes(X.prefix_sums(low), starts, ends)
 
 
-def _groups(benchmark: DataFrame, width: int, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items' words in groups of at most limit windows, in the order of their ids; an item of more is split, windows that cross a cut are on both sides' account."""
-    group, size = [], 0
+def _groups(benchmark: DataFrame, width: int, limit: int, most_bytes: int) -> Iterator[list[tuple[str, bytes, np.ndarray]]]:
+    """The items' words in groups of at most limit windows and about so many bytes, in the order of their ids; an item of more is split, windows that cross a cut are on both sides' account."""
+    group, size, held = [], 0, 0
     for r in benchmark.toLocalIterator():
-        words = _words(r["text"])
-        ends = np.flatnonzero(np.frombuffer(words, np.uint8) == 0)
+        words, hashes = _words(r["text"])
         a = 0
-        while a < len(ends):
-            if size >= limit:
+        while a < len(words):
+            if size >= limit or held >= most_bytes:
                 yield group
-                group, size = [], 0
-            n = min(limit - size, max(1, len(ends) - a - width + 1))  # windows that begin from here
-            z = min(len(ends), a + n + width - 1)
-            group.append((r["item_id"], words[int(ends[a - 1]) + 1 if a else 0 : int(ends[z - 1]) + 1]))
-            size += n
-            a = a + n if z < len(ends) else len(ends)
+                group, size, held = [], 0, 0
+            room = max(1, (most_bytes - held) // (LONG + 2))  # words of any kind that have room
+            n = min(limit - size, room, max(1, len(words) - a - width + 1))  # windows that begin from here
+            z = min(len(words), a + n + width - 1)
+            own = b"".join(w + b"\0" for w in words[a:z])
+            group.append((r["item_id"], own, hashes[a:z]))
+            size, held = size + n, held + len(own)
+            a = a + n if z < len(words) else len(words)
     if group:
         yield group
 
@@ -117,12 +125,13 @@ def scan(
     item_text: str = "text",
     width: int = WIDTH,
     limit: int = BROADCAST_WINDOWS,
+    most_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids as strings, sorted) and kept_text (words hit, and what stands between two of them, cut out)."""
     spark = docs.sparkSession
     rows = pick(benchmark, item_id=item_id, text=item_text).where("text is not null").select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text")
     words, found = free(docs, "hit_words"), free(docs, "hit_items")
-    groups = _groups(rows, width, limit)
+    groups = _groups(rows, width, limit, most_bytes)
     group, now = next(groups, []), docs
     while (after := next(groups, None)) is not None:
         sent = spark.sparkContext.broadcast(Windows(group, width))

@@ -74,6 +74,20 @@ def test_decontaminate(spark, docs, texts):
     assert plain["Plain words in a row, and more of them."] == "Plain  more of them."
 
 
+def test_decontaminate_words_of_any_length(spark):
+    """Scripts without blanks make words of any length: they are kept by their digests, and groups end at their bytes too."""
+    long, other = "字" * 5000, "字" * 4999 + "子"
+    items = [(1, long), (2, f"{long} und {other}"), (3, "x" * 64), (4, "x" * 65), (5, " ".join([other] * 12)), (6, "short one")]
+    rows = [(1, f"vor {long} nach"), (2, other), (3, f"{long} UND {other}"), (4, "x" * 64 + " " + "x" * 65), (5, " ".join([other] * 13)), (6, "字" * 4998), (7, "a short one b")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(i, *cases.contamination(t, items)[:3]) for i, t in rows])
+    assert sum(r[2] > 0 for r in want) == 5
+    kept = [len(w) for _, t in items for w in decontaminate._words(t)[0]]
+    assert max(kept) == 65
+    for most in (decontaminate.BROADCAST_BYTES, 300, 1):
+        assert by_row(decontaminate.scan(docs, bench, most_bytes=most).withColumn("n", F.size("items")), "doc_id", "n_words", "n_hit", "n") == want
+
+
 def test_bpe(docs, texts):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
