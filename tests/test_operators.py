@@ -1,6 +1,7 @@
 """Meaning of the operators on small tables."""
 
 import datetime as dt
+import hashlib
 import re
 import unicodedata
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from evidenceloom.functions import geo, similarity, stemming, text, timeutil
 from evidenceloom.operators import blocking, components, evidence, recurrence, tagmatch, venues
 from evidenceloom.plans import canon, control, present, search
-from evidenceloom.sources import landing, tables
+from evidenceloom.sources import landing, ledger, tables
 
 NOW = dt.datetime(2026, 7, 5, 12, 0)
 
@@ -415,11 +416,16 @@ def claim(n, source, title, starts, venue="Posthof", status=None, **more):
     return (f"c{n}", source, f"source {source}", 0.8, NOW - dt.timedelta(hours=n), title, starts, None, venue, r["address"], None, None, r["organizer"], r["url"], None, r["category"], r["price"], None, status, 0.95, None)
 
 
-def build(spark, rows_, series=()):
+def build(spark, rows_, series=(), identity=None, read_rules=None, estimates=None):
+    rule = CLAIM[CLAIM.index("struct<") :]
+    if read_rules is not None:
+        read_rules = spark.createDataFrame(read_rules, f"content_key string, recurrence {rule}")
+    if estimates is not None:
+        estimates = spark.createDataFrame(estimates, "content_key string, price_basis string, price_evidence string, price_conf double, age_conf double, age_lo int, age_hi_excl int, cached boolean")
     empty = lambda s: spark.createDataFrame([], s)
     return canon.rebuild(
-        spark.createDataFrame(rows_, CLAIM), empty("venue_id long, name string, aliases array<string>, lat double, lon double"), empty("kind string, starts_on date, ends_on date"), empty("fingerprint string, event_id string, first_seen timestamp"),
-        empty("key string, same boolean"), empty("event_id string, verified boolean"), spark.createDataFrame(list(series), "event_id string, verdict string"), F.lit(NOW),
+        spark.createDataFrame(rows_, CLAIM), empty("venue_id long, name string, aliases array<string>, lat double, lon double"), empty("kind string, starts_on date, ends_on date"), identity or empty("fingerprint string, event_id string, first_seen timestamp"),
+        empty("key string, same boolean"), empty("event_id string, verified boolean"), spark.createDataFrame(list(series), "event_id string, verdict string"), F.lit(NOW), read_rules, estimates,
     )
 
 
@@ -449,3 +455,142 @@ def test_series_are_projected_only_when_judged(spark):
 def test_a_twin_without_place_joins_the_series(spark):
     log = [claim(i, 1, "Zumba", NOW + dt.timedelta(days=7 * i)) for i in range(3)] + [claim(7, 2, "Zumba", NOW + dt.timedelta(days=7), venue=None)]
     assert build(spark, log).events.count() == 1
+
+
+def by_turns(groups, known):
+    """Identity group by group in their turn: event of each group, and of each print in the end. groups: {group: prints}; known: {print: (event, first_seen)}."""
+    age = {}
+    for e, seen in known.values():
+        age[e] = min(age.get(e, seen), seen)
+    owns = {g: {known[p][0] for p in prints if p in known} for g, prints in groups.items()}
+    oldest = {g: min(es, key=lambda e: (age[e], e)) for g, es in owns.items() if es}
+    turn = sorted(oldest, key=lambda g: (age[oldest[g]], oldest[g], min(groups[g]), g))
+    now, taken, event = {p: e for p, (e, _) in known.items()}, set(), {}
+    for g in turn:
+        owners = sorted({now[p] for p in groups[g] if p in now}, key=lambda e: (age.get(e, NOW), e))
+        first = owners[0]
+        if first in taken or any(e in taken for e in owners):
+            event[g] = ("split", oldest[g], min(groups[g]))
+            for e in owners:
+                if e not in taken:  # what it holds alone goes with it
+                    now = {p: event[g] if x == e else x for p, x in now.items()}
+        else:
+            event[g] = first
+            now = {p: first if x in owners else x for p, x in now.items()}
+        taken.add(event[g])
+        age.setdefault(event[g], NOW)
+        now |= dict.fromkeys(groups[g], event[g])
+    for g in groups.keys() - oldest.keys():
+        event[g] = ("event", min(groups[g]))
+        now |= dict.fromkeys(groups[g], event[g])
+    return event, now
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_identity_takes_turns(spark, seed):
+    """Many small snapshots side by side, each with merges, splits, prints that are gone and new ones, against the sequential procedure."""
+    rng = random.Random(seed)
+    groups, known = {}, {}
+    for world in range(60):
+        prints = [f"w{world}p{i}" for i in range(9)]
+        for p in prints:
+            g = rng.choice([None, 0, 0, 1, 2])
+            if g is not None:
+                groups.setdefault(f"w{world}g{g}", set()).add(p)
+            if rng.random() < 0.7:
+                known[p] = (f"w{world}e{rng.choice([0, 0, 1, 2])}", NOW - dt.timedelta(days=rng.randrange(40)))
+    event, now = by_turns(groups, known)
+    got = canon.identify(
+        spark.createDataFrame([(g, p, NOW) for g, ps in groups.items() for p in ps], "group string, fingerprint string, extracted_at timestamp"),
+        spark.createDataFrame([(p, e, s) for p, (e, s) in known.items()], "fingerprint string, event_id string, first_seen timestamp"),
+    ).collect()
+    md5 = lambda *x: hashlib.md5("\n".join(x).encode()).hexdigest()
+    want = {p: e if isinstance(e, str) else md5(*e) for p, e in now.items()}
+    assert {r.fingerprint: r.event_id for r in got} == want
+    assert {r.fingerprint: r.first_seen for r in got} == {p: known[p][1] if p in known else NOW for p in now}
+    ids = {g: {want[p] for p in ps} for g, ps in groups.items()}
+    assert all(len(x) == 1 for x in ids.values()) and len({min(x) for x in ids.values()}) == len(groups)
+    assert {md5(*e) if not isinstance(e, str) else e for e in event.values()} == {min(x) for x in ids.values()}
+
+
+def test_a_series_keeps_its_event_when_its_old_dates_are_gone(spark):
+    first = [claim(i, 1, "Zumba", NOW + dt.timedelta(days=7 * i - 60)) for i in range(3)]
+    later = [claim(10 + i, 1, "Zumba", NOW + dt.timedelta(days=7 * i)) for i in range(3)]
+    c = build(spark, first)
+    event = c.events.first()["event_id"]
+    again = build(spark, later, identity=c.identity)
+    assert [r.event_id for r in again.events.collect()] == [event]
+    assert {r.fate for r in canon.lineage(c.identity, again.identity).collect()} == {"kept"}
+
+
+RULE = dict(freq="weekly", weekday="MO", week_of_month=None, interval=1, valid_from=None, valid_until=None, except_holidays=[], minutes=1140, duration_minutes=None)
+
+
+def test_rules_make_series_only_of_dates_that_they_can_make(spark):
+    monday = NOW + dt.timedelta(days=(7 - NOW.weekday()) % 7 + 7)
+    on, off = claim(1, 1, "Chor", monday)[:-1] + (RULE,), claim(2, 1, "Chor", monday + dt.timedelta(days=2))[:-1] + (RULE,)
+    assert build(spark, [on]).identity.where("fingerprint like 'series|%'").count() == 1
+    assert build(spark, [off]).identity.where("fingerprint like 'series|%'").count() == 0
+
+
+def test_rules_out_of_descriptions_join_the_rebuild(spark):
+    monday = NOW + dt.timedelta(days=(7 - NOW.weekday()) % 7 + 7)
+    row = list(claim(1, 1, "Chor", monday))
+    row[14] = "Jeden Montag im Saal"
+    open_ = build(spark, [tuple(row)], read_rules=[])
+    asked = open_.asked_rules.collect()
+    assert len(asked) == 1 and not open_.identity.where("fingerprint like 'series|%'").count()
+    known = build(spark, [tuple(row)], read_rules=[(asked[0].content_key, RULE)])
+    assert not known.asked_rules.count() and known.identity.where("fingerprint like 'series|%'").count() == 1
+
+
+def test_twins_move_whole(spark):
+    """A venue-less series of four days that shares one of them with the only series of its title joins it with all four."""
+    day = lambda i: NOW + dt.timedelta(days=i)
+    with_venue = [claim(i, 1, "Yoga", day(i)) for i in (1, 8, 15)]
+    without = [claim(20 + i, 2, "Yoga", day(i), venue=None) for i in (15, 23, 24, 25)]
+    assert build(spark, with_venue + without).events.count() == 1
+    apart = [claim(20 + i, 2, "Yoga", day(i), venue=None) for i in (22, 23, 24, 25)]
+    assert build(spark, with_venue + apart).events.count() == 2
+
+
+def test_estimates_join_the_rebuild(spark):
+    c = build(spark, [claim(1, 1, "Jazz im Hof", NOW + dt.timedelta(days=3))], estimates=[])
+    asked = c.asked_estimates.collect()
+    assert len(asked) == 1 and c.events.first()["age_lo"] is None
+    known = build(spark, [claim(1, 1, "Jazz im Hof", NOW + dt.timedelta(days=3))], estimates=[(asked[0].content_key, "estimated", None, 0.9, 0.95, 6, 99, True)])
+    assert (known.events.first()["age_lo"], known.events.first()["age_conf"], known.events.first()["price_conf"]) == (6, 0.8, 0.35) and not known.asked_estimates.count()
+
+
+def test_ledger_refuses_what_was_edited(spark, tmp_path):
+    table, book = tables.Versioned(spark, f"file://{tmp_path}/t"), tables.Versioned(spark, f"file://{tmp_path}/l")
+    table.swap(spark.createDataFrame([(1,)], "k int"))
+    changes = [ledger.Change("one", "SELECT k, k + 1 AS n FROM {table}"), ledger.Change("two", "SELECT *, 'x' AS s FROM {table}")]
+    assert ledger.migrate(spark, table, book, changes[:1]) == ["one"]
+    assert ledger.migrate(spark, table, book, changes) == ["two"] and ledger.migrate(spark, table, book, changes) == []
+    assert [tuple(r) for r in table.read().collect()] == [(1, 2, "x")] and table.number() == 3
+    for wrong in ([ledger.Change("one", "SELECT k FROM {table}"), changes[1]], changes[::-1], changes[:1]):
+        with pytest.raises(ledger.Edited):
+            ledger.migrate(spark, table, book, wrong)
+    assert table.number() == 3
+
+
+def extent(a, b):
+    """The best continuous part of b's trigrams against the set of a's, tried one by one."""
+    run = lambda t: [f"  {w} "[i : i + 3] for w in re.findall(r"\w+", t.lower()) for i in range(len(w) + 1)]
+    a, b = set(run(a)), run(b)
+    return max((len(a & set(b[i : j + 1])) / len(a | set(b[i : j + 1])) for i in range(len(b)) for j in range(i, len(b))), default=0.0)
+
+
+def test_extent_similarity(spark):
+    pairs = [("Posthof", "Posthof Linz, Großer Saal"), ("word", "two words"), ("Haus am See", "See Haus"), ("", "x"), ("abc", "xyz"), ("aba aba", "ababa aba abab"), ("Stadt", "Die Stadtwerkstadt")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", similarity.extent_similarity(similarity.word_trigrams(F.col("a")), similarity.word_trigram_run(F.col("b"))).alias("s")).collect()
+    assert {(r.a, r.b): round(r.s, 9) for r in got} == {(a, b): round(extent(a, b), 9) for a, b in pairs}
+
+
+def test_reports(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    feedback, checks = control.reported(t([(1, "o1", "gone", NOW), (2, "o1", "gone", NOW), (3, "o2", "x", NOW), (4, "lost", "x", NOW)], "report_id int, occurrence_id string, reason string, said_at timestamp"), t([("qa", 2, "running"), ("qa", 1, "done")], "kind string, event_id int, status string"), t([("o1", 1), ("o2", 2)], "occurrence_id string, event_id int"))
+    assert {r.report_id for r in feedback.collect()} == {1, 2, 3}
+    assert [(r.event_id, r.n_reports) for r in checks.collect()] == [(1, 2)]
