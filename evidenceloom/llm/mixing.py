@@ -112,7 +112,10 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     span = max(SPAN_WORDS / (total.weights or 1), time / 100_000)
     # what is far beyond the level is one span, which is looked at only if the budget reaches so far
     copies = copies.withColumn("span", F.floor(F.least(F.col("finish"), F.lit(2 * time)) / F.lit(span)).cast("long"))
-    spans = before(copies.groupBy("span").agg(F.sum("size").alias("sum")), [], "span", "sum", "before").where(F.col("before") <= F.lit(budget))
+    spans = written(before(copies.groupBy("span").agg(F.sum("size").alias("sum")), [], "span", "sum", "before").where(F.col("before") <= F.lit(budget)), "mix-spans")
+    # what is beyond the budget for certain is not sorted
+    reach = spans.agg(F.max("span")).first()[0]
+    copies = copies.where(F.col("span") <= F.lit(-1 if reach is None else reach))
     upto = F.expr("sum(size) over (partition by span order by finish, rank rows between unbounded preceding and current row)")
     placed = copies.join(spans.select("span", "before"), "span").withColumn("upto", F.col("before") + upto)
     cut = placed.where(F.col("upto") <= F.lit(budget)).agg(F.max(F.struct("finish", "rank")).alias("cut")).first().cut
