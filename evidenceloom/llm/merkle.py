@@ -1,13 +1,13 @@
 """Merkle manifest of a dataset, by Pregel-style supersteps over RDDs.
 
 Each row is a leaf: the digest of its fields. The leaves of one language, by id, form a tree of FAN children a node, and the
-languages' subroots, in order, another such tree, whose root stands for the dataset. A vertex is a subtree of LEVELS levels (RUN leaves
+languages' subroots, in order, another such tree, whose root stands for the dataset. A vertex is a subtree of LEVELS levels (512 leaves
 at most). In each superstep upward vertices that have all their children hash them and send their top digest to their parent, which is complete when
 its children are, until every tree has one vertex; then the reverse supersteps send each vertex the sibling path of its
 top digest, which it continues to each child, down to the leaves. There a leaf's digest is folded with its siblings
 and held against the root.
 
-A superstep shuffles one digest for each vertex, so 1/RUN of the step before; the leaves themselves are
+A superstep shuffles one digest for each vertex, so 1/512 of the step before; the leaves themselves are
 shuffled once. Places of leaves come from a range sort with the ranges' sizes added up, so a language of a third or
 more of all rows is many ranges and many vertices. The driver sees the number of supersteps and one root. Nothing is kept on one
 executor only: leaves are a written table, and lost vertices are made again from it.
@@ -33,7 +33,6 @@ from .ranks import before, numbered, parts_for, ranked
 from .shared import written
 
 FAN, LEVELS = 8, 3
-RUN = FAN**LEVELS
 #: Leaves of a task.
 TASK_LEAVES = 100_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -50,10 +49,10 @@ def leaf(columns: Iterable[Column]) -> Column:
     return F.sha2(F.concat(*said), 256)
 
 
-def _levels(nodes: list[str], whole: int) -> list[list[str]]:
+def _levels(nodes: list[str], whole: int, levels: int) -> list[list[str]]:
     """A vertex's nodes level by level, its top one alone in the last. whole: nodes of the tree on the vertex's lowest level."""
     out = [nodes]
-    while whole > 1 and len(out) <= LEVELS:
+    while whole > 1 and len(out) <= levels:
         below = out[-1]
         out.append([H(below[i : i + FAN]) for i in range(0, len(below), FAN)])
         whole = -(-whole // FAN)
@@ -77,59 +76,55 @@ def fold(digest: str, path: Iterable[Level]) -> str:
     return digest
 
 
-def _vertices(nodes: RDD, parts: int) -> RDD:
-    """(tree, vertex), (nodes of its level in the tree, its (place, digest, ...) in order), from (tree, place, nodes of the level, digest, ...). RUN to a vertex."""
-    sent = nodes.map(lambda r: ((r[0], r[1] // RUN), (r[1] % RUN, r[2], *r[3:])))
+def _vertices(nodes: RDD, parts: int, levels: int) -> RDD:
+    """(tree, vertex), its (place, nodes of its level in the tree, digest, ...) in order, from (tree, place, nodes of the level, digest, ...). FAN^levels to a vertex."""
+    run = FAN**levels
+    sent = nodes.map(lambda r: ((r[0], r[1] // run), (r[1] % run, r[2], *r[3:])))
     return sent.groupByKey(parts).mapValues(lambda found: sorted(found, key=lambda x: x[0]))
 
 
-def _top(vertex: tuple) -> tuple:
+def _top(vertex: tuple, levels: int) -> tuple:
     """What a complete vertex tells: (tree, its place, nodes of that level, its top digest)."""
     (tree, place), found = vertex
     whole = found[0][1]
-    return tree, place, -(-whole // RUN), _levels([x[2] for x in found], whole)[-1][0]
+    return tree, place, -(-whole // FAN**levels), _levels([x[2] for x in found], whole, levels)[-1][0]
 
 
-def _down(vertex: tuple) -> Iterator[tuple]:
+def _down(key: tuple, found: list[tuple], path: list[Level], levels: int) -> Iterator[tuple]:
     """A vertex's path, continued to each of its children."""
-    key, (found, path) = vertex
-    levels = _levels([x[2] for x in found], found[0][1])
-    for x, own in zip(found, _paths(levels), strict=True):
-        yield (key[0], key[1] * RUN + x[0]), own + path
+    for x, own in zip(found, _paths(_levels([x[2] for x in found], found[0][1], levels)), strict=True):
+        yield (key[0], key[1] * FAN**levels + x[0]), own + path
 
 
-def grown(nodes: RDD, most: int, parts: int) -> tuple[list[RDD], RDD]:
+def grown(nodes: RDD, most: int, parts: int, levels: int) -> tuple[list[RDD], RDD]:
     """The vertices of each superstep upward, and (tree, root digest). most: leaves of the largest tree."""
-    steps, roots = [], None
+    steps, roots, run = [], None, FAN**levels
     while True:
-        vertices = _vertices(nodes, max(1, parts))
-        tops = vertices.map(_top)
+        vertices = _vertices(nodes, max(1, parts), levels)
+        tops = vertices.map(lambda v: _top(v, levels))
         done = tops.filter(lambda r: r[2] == 1).map(lambda r: (r[0], r[3]))
         roots = done if roots is None else roots.union(done)
         steps.append(vertices)
-        if most <= RUN:
+        if most <= run:
             return steps, roots
-        nodes, most, parts = tops.filter(lambda r: r[2] > 1), -(-most // RUN), -(-parts // RUN)
+        nodes, most, parts = tops.filter(lambda r: r[2] > 1), -(-most // run), -(-parts // run)
 
 
-def paths(steps: list[RDD], above: RDD, parts: int) -> RDD:
+def paths(steps: list[RDD], above: RDD, parts: int, levels: int) -> RDD:
     """((tree, vertex), path from the vertex's top) of the first step's vertices; above: (tree, path from the tree's root)."""
     come = above.map(lambda r: ((r[0], 0), r[1]))
     for vertices in reversed(steps[1:]):
         # a tree that has its root below has no vertex here: what it was sent waits for the step it belongs to
         met = vertices.cogroup(come, max(1, parts))
-        come = met.flatMap(_passed)
+        come = met.flatMap(lambda r: _passed(r[0], *map(list, r[1]), levels))
     return come
 
 
-def _passed(r: tuple) -> Iterator[tuple]:
-    key, (own, sent) = r
-    sent = list(sent)
-    for found in own:
-        yield from _down((key, (found, sent[0])))
-        return
-    for path in sent:
-        yield key, path
+def _passed(key: tuple, own: list, sent: list, levels: int) -> Iterator[tuple]:
+    if own:
+        yield from _down(key, own[0], sent[0], levels)
+    else:
+        yield from ((key, path) for path in sent)
 
 
 def _leaves(docs: DataFrame, names: dict[str, str]) -> tuple[DataFrame, int, int]:
@@ -155,8 +150,8 @@ def _leaves(docs: DataFrame, names: dict[str, str]) -> tuple[DataFrame, int, int
     return written(out, "leaves"), n, most
 
 
-def verify(docs: DataFrame, **names: str) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified. names: docs' columns, where they are called otherwise than FIELDS."""
+def verify(docs: DataFrame, levels: int = LEVELS, **names: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified. levels: of the tree that a vertex holds; names: docs' columns, where they are called otherwise than FIELDS."""
     spark = docs.sparkSession
     leaves, n, most = _leaves(docs, names)
     kind = docs.schema[names.get("doc_id", "doc_id")].dataType.simpleString()
@@ -165,24 +160,23 @@ def verify(docs: DataFrame, **names: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     parts = parts_for(n, TASK_LEAVES, spark)
     nodes = leaves.select("tree", "place", "whole", "leaf", "doc_id", "tampered").rdd.map(tuple)
-    steps, subroots = grown(nodes, most, parts)
+    steps, subroots = grown(nodes, most, parts, levels)
     langs = leaves.agg(F.max("tree")).first()[0] + 1
-    top, ended = grown(subroots.map(lambda r: (0, r[0], langs, r[1])), langs, -(-parts // RUN))
+    few = -(-parts // FAN**levels)
+    top, ended = grown(subroots.map(lambda r: (0, r[0], langs, r[1])), langs, few, levels)
     root = ended.first()[1]
     # down the tree of languages, then down each language's own
-    sent = paths(top, spark.sparkContext.parallelize([(0, [])], 1), -(-parts // RUN))
-    above = top[0].join(sent).flatMap(_down).map(lambda r: (r[0][1], r[1])).join(subroots).mapValues(lambda v: (v[0], v[1]))
+    sent = paths(top, spark.sparkContext.parallelize([(0, [])], 1), few, levels)
+    above = top[0].join(sent).flatMap(lambda v: _down(v[0], *v[1], levels)).map(lambda r: (r[0][1], r[1])).join(subroots)
     subroot = above.map(lambda r: (r[0], [("subroot", r[1][1]), *r[1][0]]))
-    return spark.createDataFrame(steps[0].join(paths(steps, subroot, parts), parts).flatMap(lambda v: _proved(v, root)), schema, verifySchema=False)
+    return spark.createDataFrame(steps[0].join(paths(steps, subroot, parts, levels), parts).flatMap(lambda v: _proved(*v[1], root, levels)), schema, verifySchema=False)
 
 
-def _proved(vertex: tuple, root: str) -> Iterator[tuple]:
-    _, (found, path) = vertex
+def _proved(found: list[tuple], path: list, root: str, levels: int) -> Iterator[tuple]:
     at = next(i for i, x in enumerate(path) if x[0] == "subroot")
     subroot, path = path[at][1], path[:at] + path[at + 1 :]
     tail = "".join(d for _, others in path for d in others)
-    levels = _levels([x[2] for x in found], found[0][1])
-    for (_, _, digest, doc_id, tampered), own in zip(found, _paths(levels), strict=True):
+    for (_, _, digest, doc_id, tampered), own in zip(found, _paths(_levels([x[2] for x in found], found[0][1], levels)), strict=True):
         folded = fold(fold(tampered or digest, own), path)
         yield doc_id, digest, subroot, root, H([*(d for _, others in own for d in others), tail]), folded, folded == root
 

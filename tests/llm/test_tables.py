@@ -259,8 +259,8 @@ def manifest(rows):
     return out
 
 
-def proved(df):
-    return sorted(map(tuple, merkle.verify(df).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=repr)
+def proved(df, **more):
+    return sorted(map(tuple, merkle.verify(df, **more).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=repr)
 
 
 def test_manifest_of_odd_rows(odd):
@@ -268,16 +268,14 @@ def test_manifest_of_odd_rows(odd):
     assert proved(odd) == sorted(manifest(rows), key=repr)
 
 
-@pytest.mark.parametrize("levels", [1, 2])
+@pytest.mark.parametrize("levels", [1, 3])
 @pytest.mark.parametrize("counts", [(1,), (8,), (9, 1), (64, 65, 3), (513, 7, 8, 1, 1, 1, 1, 1, 1), (700,) + (1,) * 70])
-def test_manifest_of_trees_of_all_heights(spark, monkeypatch, levels, counts):
+def test_manifest_of_trees_of_all_heights(spark, levels, counts):
     """Full and ragged runs, trees that end in different supersteps, more languages than a run."""
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    monkeypatch.setattr(merkle, "RUN", 8**levels)
     rows = [(1000 * k + i, "s", f"l{k:02}", 1, f"T{i}") for k, n in enumerate(counts) for i in range(n)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(3)
-    assert proved(df) == sorted(manifest(rows), key=repr)
+    assert proved(df, levels=levels) == sorted(manifest(rows), key=repr)
 
 
 def test_manifest_of_none(spark):
