@@ -9,6 +9,7 @@ from evidenceloom.functions.timeutil import local_day, local_trunc
 from evidenceloom.operators.evidence import uniqueness
 from evidenceloom.plans.present import deep_url
 from evidenceloom.sources.scratch import written
+from evidenceloom.sources.tables import Versioned
 
 BLOCKED = r"(?i)(403|429|captcha|forbidden|blocked|access denied)"
 
@@ -158,17 +159,11 @@ def claimed(jobs: DataFrame, worker: str, now: Column, limit: int = 1) -> DataFr
     return took.withColumns({n: F.when(F.col("_mine"), c.cast(jobs.schema[n].dataType)).otherwise(F.col(n)) for n, c in new.items()}).select(*jobs.columns)
 
 
-def claim_jobs(table, worker: str, now: Column, limit: int = 1) -> DataFrame:
+def claim_jobs(table: Versioned, worker: str, now: Column, limit: int = 1) -> DataFrame:
     """Takes jobs from a versioned job table, of which other workers take some at the same time: each job is one worker's, as each version follows the one that it was made from."""
-    base: dict = {}
-
-    def take(jobs: DataFrame) -> DataFrame:
-        base["before"] = jobs
-        return claimed(jobs, worker, now, limit)
-
-    after = table.read(table.update(take))
-    was = base["before"].where("status = 'running'").select("job_id", F.col("attempts").alias("_n"))
-    return after.where((F.col("status") == "running") & (F.col("worker") == worker)).join(was, "job_id", "left").where("_n is null or _n < attempts").drop("_n")
+    number = table.update(lambda jobs: claimed(jobs, worker, now, limit))
+    before = table.read(number - 1).select("job_id", F.col("attempts").alias("_n"))
+    return table.read(number).where(F.col("worker") == worker).join(before, "job_id").where("attempts > _n").drop("_n")
 
 
 def reported(reports: DataFrame, jobs: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ _EXTENT = "(SELECT max(c / (len({0}) + d - c)::DOUBLE) FROM (SELECT len(list_int
 
 
 @query(f"""WITH v AS (SELECT min(p_partkey) AS id, CASE WHEN min(p_partkey) % 3 = 0 THEN split_part(p_name, ' ', 2) || ' hall' ELSE p_name || ' hall' END AS v, 'house ' || min(p_partkey) AS alias FROM part GROUP BY p_name),
-n AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'HOUSE  ' || p_partkey ELSE 'The ' || p_name || ' Hall, ' || p_brand END AS raw FROM part), m AS (SELECT DISTINCT regexp_replace(raw, ' +', ' ', 'g') AS name FROM n),
+n AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'HOUSE  ' || p_partkey ELSE 'The ' || p_name || ' Hall' || CASE WHEN p_partkey % 40 = 1 THEN ', ' || p_brand ELSE '' END END AS raw FROM part), m AS (SELECT DISTINCT regexp_replace(raw, ' +', ' ', 'g') AS name FROM n),
 exact AS (SELECT name, min(id) AS id FROM m JOIN v ON lower(name) IN (alias, lower(v)) GROUP BY 1),
 g AS (SELECT name, {_run("name")} AS nr, list_distinct(nr) AS ng FROM m WHERE name NOT IN (SELECT name FROM exact)), h AS (SELECT id, v, {_run("v")} AS vr, list_distinct(vr) AS vg FROM v),
 x AS (SELECT *, len(list_intersect(ng, vg)) AS common FROM g, h WHERE common >= 0.55 * least(len(ng), len(vg))),
@@ -38,7 +38,7 @@ def venue_resolution(spark, sf):
     none = F.lit(None).cast("double")
     called = F.when(k % 3 == 0, F.concat(F.get(F.split("p_name", " "), F.lit(1)), F.lit(" hall"))).otherwise(F.concat("p_name", F.lit(" hall")))
     known = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(k.alias("venue_id"), called.alias("name"), F.array(F.concat(F.lit("house "), k)).alias("aliases"), none.alias("lat"), none.alias("lon"))
-    names = part.select(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("HOUSE  "), "p_partkey")).otherwise(F.concat(F.lit("The "), name, F.lit(" Hall, "), "p_brand")).alias("name"), none.alias("lat"), none.alias("lon"))
+    names = part.select(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("HOUSE  "), "p_partkey")).otherwise(F.concat(F.lit("The "), name, F.lit(" Hall"), F.when(F.col("p_partkey") % 40 == 1, F.concat(F.lit(", "), "p_brand")).otherwise(""))).alias("name"), none.alias("lat"), none.alias("lon"))
     return venues.resolve(names, known)
 
 
@@ -213,7 +213,7 @@ def _answered(find, c):
     """Links and open questions once some of those that came up were answered: keys that begin with 0 mean the same, with 1 not."""
     none = c.sparkSession.createDataFrame([], "key string, same boolean")
     digit = F.substring("key", 1, 1)
-    links, asked = find(c, find(c, none)[1].where(digit.isin("0", "1")).select("key", (digit == "0").alias("same")))
+    links, asked = find(c, find(c, none)[1].where(digit.isin("0", "1")).select("key", (digit == "0").alias("same")).distinct())
     return links.select("a", "b", F.lit("merged").alias("outcome")).unionByName(asked.select("a", "b", F.lit("asked").alias("outcome")))
 
 
