@@ -460,6 +460,19 @@ def test_chat_finds_roles(spark):
     assert [r.n_lines for r in got if r.conv_id == 2] == [1]
 
 
+def test_chat_with_clashing_columns_and_a_very_long_text(spark):
+    """Further columns are ignored whatever they are called; a text of many thousand lines is decoded like any other."""
+    long = "\n".join(f"{'User' if i % 2 == 0 else 'Assistant'}: line {i}" for i in range(12_000))
+    rows = [(1, 0, long), (2, 0, "User: hi\nBot: hello"), (2, 0, "User: hi\nBot: hello"), (3, 1, None)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    clash = plain.withColumns({"role": F.lit("system"), "rendered": F.lit(1), "line": F.lit("x"), "n_lines": F.lit("y"), "part": F.lit(7), "matrix": F.lit(None).cast("string"), "TEXT_": F.lit("z")})
+    key = lambda df: sorted(map(repr, df.select("conv_id", "turn", "line", "role", "rendered", "n_lines").collect()))
+    got = key(chat.parse(clash))
+    assert got == key(chat.parse(plain))
+    first = [r for r in chat.parse(plain).where("conv_id = 1").orderBy("line").collect()]
+    assert len(first) == 12_000 and [r.role for r in first[:4]] == ["user", "assistant", "user", "assistant"] and first[-1].rendered == "<|assistant|>\nline 11999<|end|>"
+
+
 def test_chat_on_labelled_turns(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     found = chat.parse(turns.drop("role"), chat.Model.from_counts(chat.count_labelled(turns)))
