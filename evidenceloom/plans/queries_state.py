@@ -61,8 +61,8 @@ def streaming_state(spark, sf):
     from evidenceloom.streaming import state
 
     base = scratch(spark, "state")
-    A.claims(spark, sf).select("event_id", "source_id", "claim_id", "trust", "confidence", F.col("extracted_at").cast("timestamp").alias("extracted_at"), "status").repartition(4, "claim_id").write.parquet(f"{base}/in")
-    stream = S.source(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 1)
+    A.claims(spark, sf).select("event_id", "source_id", "claim_id", "trust", "confidence", F.col("extracted_at").cast("timestamp").alias("extracted_at"), "status").repartition(32, "claim_id").write.parquet(f"{base}/in")
+    stream = S.source(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 8)
     state.keep(state.fused(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return S.latest(spark, f"{base}/out", "event_id").select("event_id", r6("confidence").alias("confidence"), "n_sources", "status")
 

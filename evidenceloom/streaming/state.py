@@ -1,12 +1,12 @@
-"""Fused claims as keyed state: a batch costs what it brings and the state of the keys that it touches, however long the log is.
+"""Fused claims as keyed state: a batch costs what it brings and the state of the buckets of keys that it touches, however long the log is.
 
-State by event: each source's largest value, with the running sum of log(1 - value) that noisy-OR asks for; the last
-trusted negative status; and for each trust the last time that something else was said with it, which is all that
-decides whether the negative one was taken back. All of these are maxima, so claims may come in any order, late or twice, and
-the state after all batches is that of one batch. Rows are combined before the shuffle, by event, source and
-trust within each Arrow batch, so an event with very many claims sends few.
+State by event: each source's largest value; the last trusted negative status; and for each trust the last time that something
+else was said with it, which is all that decides whether the negative one was taken back. All of these are maxima, so claims may
+come in any order, late or twice, and the state after all batches is that of one batch. Each Arrow batch of claims becomes one such state
+for each of its events before the shuffle, so an event with very many claims sends few. Events are kept together by buckets of a
+hash, as each call for a group costs milliseconds: events one by one took most of the time in calls. The number of buckets belongs to the checkpoint.
 
-With ``retain`` an event that was not heard of for so long (in event time) goes: its timer gives out a last row, marked as gone, and clears
+With ``retain`` an event that was not heard of for so long (in event time) goes: its bucket's timer gives out a last row, marked as gone, and clears
 its state.
 """
 
@@ -14,98 +14,124 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 NEGATIVE = ("cancelled", "moved", "postponed")
 LEAST_TRUST, MOST = 0.5, 0.999999
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FUSED = "event_id string, confidence double, n_sources long, status string, gone boolean"
-_COMBINED = "event_id string, source_id string, trust double, negative boolean, v double, at timestamp, claim_id string, status string"
+_COMBINED = "event_id string, at timestamp, said binary"
+_NEVER = -(1 << 62)  # the time of what has none
 
 
-def combined(claims: DataFrame) -> DataFrame:
-    """A row for each event, source, trust and kind of status within a batch: the largest value and the last status. Without state."""
+class _State:
+    """What is known of an event: values by source, last times of other statuses by trust, the last trusted negative status (time, claim, status, trust), when it was heard of. Times in microseconds."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f.assign(v=(f["trust"] * f["confidence"]).clip(upper=MOST), negative=f["status"].isin(NEGATIVE), at=f["extracted_at"])
-            key = ["event_id", "source_id", "trust", "negative"]
-            largest = f.groupby(key, dropna=False)["v"].max().reset_index()
-            last = f.sort_values(["at", "claim_id"]).drop_duplicates(key, keep="last")[[*key, "at", "claim_id", "status"]]
-            yield largest.merge(last, on=key)[["event_id", "source_id", "trust", "negative", "v", "at", "claim_id", "status"]]
-
-    c = claims.selectExpr("cast(event_id as string) event_id", "cast(source_id as string) source_id", "cast(trust as double) trust", "cast(confidence as double) confidence", "cast(extracted_at as timestamp) extracted_at", "cast(claim_id as string) claim_id", "cast(status as string) status")
-    return c.mapInPandas(run, _COMBINED)
-
-
-class _Fold(StatefulProcessor):
-    def __init__(self, retain_ms: int | None):
-        self.retain_ms = retain_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.values = handle.getMapState("values", "source_id string", "v double")
-        # one value for all that is small, as each access goes to the store
-        self.known = handle.getValueState("known", "total double, n long, at timestamp, claim_id string, status string, trust double, trusts array<double>, times array<timestamp>, heard timestamp")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        total, n, *negative, trusts, times, heard = self.known.get() or (0.0, 0, None, None, None, None, [], [], None)
-        negative[0], heard, times = negative[0] and _plain(negative[0]), heard and _plain(heard), [_plain(x) for x in times]
-        values: dict[str, float] = {}
-        spoken = dict(zip(trusts, times, strict=True))
-        for r in rows:
-            at = _plain(r.at)
-            values[r.source_id] = max(r.v, values.get(r.source_id, 0.0))
-            heard = at if heard is None else max(heard, at)
-            if not r.negative:
-                spoken[r.trust] = max(at, spoken.get(r.trust, at))
-            elif r.trust > LEAST_TRUST and (negative[0] is None or (at, r.claim_id) > (negative[0], negative[1])):
-                negative = [at, r.claim_id, r.status, r.trust]
-        for source, v in values.items():
-            old = self.values.getValue((source,))
-            if old is None or v > old[0]:
-                total += math.log1p(-v) - (math.log1p(-old[0]) if old else 0.0)
-                n += old is None
-                self.values.updateValue((source,), (v,))
-        if self.retain_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(heard.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) + self.retain_ms)
-        known = (total, n, *negative, list(spoken), list(spoken.values()), heard)
-        self.known.update(known)
-        yield _said(key, known, False)
+    __slots__ = ("heard", "negative", "spoken", "values")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield _said(key, self.known.get(), True)
-        self.values.clear()
-        self.known.clear()
+    def __init__(self, parts: tuple | None = None):
+        self.values, self.spoken, self.negative, self.heard = parts or ({}, {}, None, _NEVER)
 
-    def close(self) -> None:
-        pass
+    def parts(self) -> tuple:
+        return self.values, self.spoken, self.negative, self.heard
 
+    def value(self, source: str | None, v: float) -> None:
+        if v > self.values.get(source, -math.inf):
+            self.values[source] = v
 
-def _plain(x) -> dt.datetime:
-    x = x.to_pydatetime() if isinstance(x, pd.Timestamp) else x
-    return x.replace(tzinfo=None)
+    def other(self, trust: float, at: int) -> None:
+        if trust == trust and at > self.spoken.get(trust, _NEVER):  # an unknown trust clears nothing
+            self.spoken[trust] = at
 
+    def trusted(self, negative: tuple) -> None:
+        if self.negative is None or negative[:2] > self.negative[:2]:
+            self.negative = negative
 
-def _said(key, known: tuple, gone: bool) -> Row:
-    total, n, at, _, bad, trust, trusts, times, _ = known
-    cleared = at is None or any(t >= trust and _plain(a) > _plain(at) for t, a in zip(trusts, times, strict=True))
-    return Row(event_id=key[0], confidence=1 - math.exp(total), n_sources=n, status="scheduled" if cleared else bad, gone=gone)
+    def add(self, parts: tuple) -> None:
+        values, spoken, negative, heard = parts
+        for source, v in values.items():
+            self.value(source, v)
+        for trust, at in spoken.items():
+            self.other(trust, at)
+        if negative:
+            self.trusted(negative)
+        self.heard = max(self.heard, heard)
+
+    def row(self, event_id: str | None, gone: bool) -> tuple:
+        status = "scheduled"
+        if self.negative:
+            at, _, bad, trust = self.negative
+            status = "scheduled" if any(t >= trust and a > at for t, a in self.spoken.items()) else bad
+        confidence = 1 - math.exp(math.fsum(math.log1p(-v) for v in self.values.values()))
+        return event_id, confidence, len(self.values), status, gone
 
 
-def fused(stream: DataFrame, retain: dt.timedelta | None = None, late: str = "7 days") -> DataFrame:
+def combined(claims: DataFrame) -> DataFrame:
+    """A row for each event within a batch: the state that its claims there give, and the newest of their times. Without state."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found: dict[str | None, _State] = {}
+            newest: dict[str | None, int] = {}
+            columns = (f[c].tolist() for c in ("event_id", "source_id", "trust", "v", "us", "claim_id", "status", "negative"))
+            for i, (event, source, trust, v, us, claim, status, negative) in enumerate(zip(*columns, strict=True)):
+                state = found.get(event)
+                if state is None:
+                    state = found[event] = _State()
+                state.value(source, v)
+                if not negative:
+                    state.other(trust, us)
+                elif trust > LEAST_TRUST:
+                    state.trusted((us, claim, status, trust))
+                if us >= state.heard:
+                    state.heard, newest[event] = us, i
+            at = f["at"].iloc[[newest[e] for e in found]].to_numpy()
+            yield pd.DataFrame({"event_id": list(found), "at": at, "said": [pickle.dumps(x.parts(), protocol=4) for x in found.values()]})
+
+    c = claims.selectExpr("cast(event_id as string) event_id", "cast(source_id as string) source_id", "cast(trust as double) trust", "cast(confidence as double) confidence", "cast(extracted_at as timestamp) at", "coalesce(cast(claim_id as string), '') claim_id", "cast(status as string) status")
+    negative = F.coalesce(F.col("status").isin(*NEGATIVE), F.lit(False))
+    rows = c.select("event_id", "source_id", "trust", F.least(F.col("trust") * F.col("confidence"), F.lit(MOST)).alias("v"), "at", F.coalesce(F.unix_micros("at"), F.lit(_NEVER)).alias("us"), "claim_id", "status", negative.alias("negative"))
+    return rows.mapInPandas(run, _COMBINED)
+
+
+def fused(stream: DataFrame, retain: dt.timedelta | None = None, late: str = "7 days", buckets: int = 4096) -> DataFrame:
     """Each batch's touched events as they are after it. Columns of the stream: event_id, source_id, claim_id, trust, confidence, extracted_at, status."""
-    if retain is None:
-        return combined(stream).groupBy("event_id").transformWithState(_Fold(None), FUSED, "Update", "None")
-    rows = combined(stream).withWatermark("at", late)
-    return rows.groupBy("event_id").transformWithState(_Fold(int(retain.total_seconds() * 1000)), FUSED, "Update", "EventTime")
+    retain_ms = None if retain is None else int(retain.total_seconds() * 1000)
+    columns = [x.split()[0] for x in FUSED.split(", ")]
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known: dict[str | None, tuple] = pickle.loads(state.get[0]) if state.exists else {}
+        touched: dict[str | None, _State] = {}
+        for f in () if state.hasTimedOut else frames:
+            for event, said in zip(f["event_id"].tolist(), f["said"].tolist(), strict=True):
+                x = touched.get(event)
+                if x is None:
+                    x = touched[event] = _State(known.get(event))
+                x.add(pickle.loads(said))
+        known |= {event: x.parts() for event, x in touched.items()}
+        rows = [x.row(event, False) for event, x in touched.items()]
+        if retain_ms is not None:
+            last = state.getCurrentWatermarkMs() - retain_ms
+            gone = [event for event, parts in known.items() if parts[3] // 1000 <= last]
+            rows += [_State(known.pop(event)).row(event, True) for event in gone]
+        if known:
+            state.update((pickle.dumps(known, protocol=4),))
+        elif state.exists:
+            state.remove()
+        if known and retain_ms is not None:
+            state.setTimeoutTimestamp(min(parts[3] for parts in known.values()) // 1000 + retain_ms)
+        yield pd.DataFrame(rows, columns=columns)
+
+    rows = combined(stream).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int"))
+    rows = rows.drop("at") if retain is None else rows.withWatermark("at", late)
+    timeout = GroupStateTimeout.NoTimeout if retain is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("bucket").applyInPandasWithState(fold, FUSED, "known binary", "update", timeout)
 
 
 def keep(updates: DataFrame, out_path: str, checkpoint: str):
