@@ -18,11 +18,12 @@ def noisy_or(claims: DataFrame, key: list[str], source: str, value: Column) -> D
     return per_source.groupBy(*key).agg((1 - F.exp(F.sum(F.log1p(-F.col("v"))))).alias("confidence"), F.count("*").alias("n_sources"))
 
 
-def merge_fields(fields: DataFrame, key: list[str], field: str = "field", value: str = "value", weight: str = "weight", claim: str = "claim_id", prefer_long: tuple[str, ...] = ("title", "url")) -> DataFrame:
-    """The best claim's value for each field: largest weight, then the longer text for some fields, then the larger claim id; with its claim as provenance."""
+def merge_fields(fields: DataFrame, key: list[str], field: str = "field", value: str = "value", weight: str = "weight", claim: str = "claim_id", prefer_long: tuple[str, ...] = ("title", "url"), unknown: tuple[str, ...] = ()) -> DataFrame:
+    """The best claim's value for each field: largest weight, then the longer text for some fields, then the larger claim id; with its claim as provenance. Claims without a value say nothing, but for the fields ``unknown``, where none is the best claim's word too."""
     length = F.when(F.col(field).isin(*prefer_long), F.length(value)).otherwise(0)
     best = F.max_by(F.struct(value, claim, weight), F.struct(F.col(weight), length, F.col(claim)))
-    return fields.where(F.col(value).isNotNull()).groupBy(*key, field).agg(best.alias("b")).select(*key, field, f"b.{value}", f"b.{claim}", f"b.{weight}")
+    said = F.col(value).isNotNull() | F.col(field).isin(*unknown) if unknown else F.col(value).isNotNull()
+    return fields.where(said).groupBy(*key, field).agg(best.alias("b")).select(*key, field, f"b.{value}", f"b.{claim}", f"b.{weight}")
 
 
 def merge_status(claims: DataFrame, key: list[str], trust: str = "trust", at: str = "extracted_at", claim: str = "claim_id", status: str = "status", negative: tuple[str, ...] = ("cancelled", "moved", "postponed"), least_trust: float = 0.5) -> DataFrame:

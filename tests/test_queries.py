@@ -39,6 +39,19 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["argmax_field_merge", "canon_events"])
+def test_query_equals_sql_where_values_are_unknown(spark, tmp_path, name):
+    """Parts without names, items without prices and discounts, suppliers without a balance."""
+    con = duckdb.connect()
+    odd = {"part": "p_partkey % 7 = 0 THEN NULL ELSE p_name END AS p_name", "lineitem": "l_orderkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_discount END AS l_discount", "supplier": "s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal", "orders": "FALSE THEN NULL ELSE o_orderdate END AS o_orderdate"}
+    for table, column in odd.items():
+        con.execute(f"COPY (SELECT * REPLACE (CASE WHEN {column}) FROM '{SF}/{table}.parquet') TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = sorted((tuple(map(plain, r)) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall()), key=repr)
+    assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
