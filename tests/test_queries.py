@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 from evidenceloom.plans.queries import QUERIES, SQL
+from evidenceloom.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +53,16 @@ def test_query_equals_sql_where_values_are_unknown(spark, tmp_path, name):
     assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == want
 
 
+def test_trust_is_rounded_as_in_sql(spark, tmp_path):
+    """Balances whose trust is near a half of its last place, on either side."""
+    con = duckdb.connect()
+    balances = [6378.25, 240.25, 3958.25, 7604.75, 7621.25, 100.0, -999.99]
+    con.execute(f"COPY (SELECT 's' AS s_name, i AS s_suppkey, b AS s_acctbal FROM (SELECT unnest({balances})::DOUBLE AS b, unnest(range({len(balances)})) AS i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    want = con.execute(f"WITH {adapters.SOURCE_SQL} SELECT source_id, trust FROM source ORDER BY 1").fetchall()
+    assert [(r.source_id, r.trust) for r in adapters.sources(spark, str(tmp_path)).orderBy("source_id").collect()] == want
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
