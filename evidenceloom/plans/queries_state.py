@@ -128,7 +128,7 @@ def selector_records(spark, sf):
         F.lit('<ul><li class="row big"><h3>'), F.when(k % 5 == 0, " ").otherwise(F.col("p_name")), F.lit('</h3><a class="more" href="/e/'), k, F.lit('">on</a><span data-price="'), F.col("p_retailprice"), F.lit('">!</span>'),
         F.when(k % 2 == 0, F.concat(F.lit("<i id='at'>"), "p_brand", F.lit("</i>"))).otherwise(""), F.lit('</li><li class="row"><h3>'), "p_type", F.lit("</h3></li><li><h3>no row</h3></li></ul>"),
     )
-    docs = A.table(spark, sf, "part").select(k.alias("doc_id"), body.alias("body"), F.lit("https://x.at/list").alias("url"))
+    docs = A.dealt(spark, sf, "part", "p_partkey").select(k.alias("doc_id"), body.alias("body"), F.lit("https://x.at/list").alias("url"))
     found = landing.with_selectors(docs, "li.row", {"title": "h3", "url": "a.more @href", "price_min": "span[data-price] @data-price", "venue_name": "#at"})
     return found.select("doc_id", "title", "url", "price_min", "venue_name")
 
@@ -152,7 +152,7 @@ def cascade_records(spark, sf):
         .when(k % 6 == 4, F.concat(F.lit("<html><p>"), t, F.repeat(F.lit("\n and  <b>what</b> else there is"), 6), F.lit("</p></html>")))
         .otherwise("<html><p>nothing</p></html>")
     )
-    docs = A.table(spark, sf, "part").select(k.alias("doc_id"), body.alias("body"), F.lit("https://x.at/list").alias("url"))
+    docs = A.dealt(spark, sf, "part", "p_partkey").select(k.alias("doc_id"), body.alias("body"), F.lit("https://x.at/list").alias("url"))
     return cascade.records(docs, "2026-05-02 12:00:00").select("doc_id", "method", "tier", "title", "starts_at", "confidence", "said")
 
 

@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table's rows dealt over all tasks by their key: where Python reads each row, a small file is long work, and Spark makes one task of it."""
+    return table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # as DuckDB rounds: Spark rounds the decimal that a number is shown as, which differs for halves
     trust = F.round((0.35 + 0.6 * (F.col("s_acctbal") + 1000) / 11000) * 10000) / 10000
