@@ -66,7 +66,7 @@ SELECT rule_id, day::VARCHAR AS day FROM n WHERE day >= DATE '2026-04-01' AND (f
 def rrule_expand(spark, sf):
     """Rules of iCalendar: lists of days with and without numbers, days of the month from either end, months, counts, ends, positions."""
     k = F.col("p_partkey")
-    rules = A.table(spark, sf, "part").select(k.alias("rule_id"), F.element_at(F.array(*map(F.lit, _FORMS)), (k % 7 + 1).cast("int")).alias("rule"), F.date_add(F.lit("2026-01-01").cast("date"), (k % 200).cast("int")).alias("first"), F.lit("2026-04-01").cast("date").alias("low"), F.lit("2027-03-31").cast("date").alias("high"))
+    rules = A.dealt(spark, sf, "part", "p_partkey").select(k.alias("rule_id"), F.element_at(F.array(*map(F.lit, _FORMS)), (k % 7 + 1).cast("int")).alias("rule"), F.date_add(F.lit("2026-01-01").cast("date"), (k % 200).cast("int")).alias("first"), F.lit("2026-04-01").cast("date").alias("low"), F.lit("2027-03-31").cast("date").alias("high"))
     return recurrence.rrule_dates(rules, "rule_id", "rule", "first", "low", "high").select("rule_id", s("day"))
 
 
