@@ -33,7 +33,7 @@ def json_records(spark, sf):
     two = F.to_json(F.struct(F.concat("p_name", F.lit(" again")).alias("eventName"), F.concat(day(7), F.lit(" 19:00")).alias("from"), F.lit(None).cast("string").alias("url")))
     three = F.to_json(F.struct(F.col("p_brand").alias("summary"), F.when(k % 3 == 0, F.date_format(F.date_add(d, 8), "dd.MM.yyyy")).otherwise("1415748758").alias("begin")))
     body = F.concat(F.lit('{"meta":{"n":3},"data":{"results":['), F.concat_ws(",", one, two, three), F.lit(']},"Categories":'), F.to_json(noise), F.lit("}"))
-    found = landing.json_api(_documents(A.table(spark, sf, "part"), "p_partkey", body))
+    found = landing.json_api(_documents(A.dealt(spark, sf, "part", "p_partkey"), "p_partkey", body))
     return found.select("doc_id", "title", "starts_at", "ends_at", "description", "url", "price_min", "lat", "confidence")
 
 
@@ -49,7 +49,7 @@ def jsonld_records(spark, sf):
     main = F.struct(kind.alias("@type"), F.col("p_name").alias("name"), d.cast("string").alias("startDate"), F.concat(F.lit("/e/"), k).alias("url"), place.alias("location"), offer.alias("offers"), F.struct(F.col("p_type").alias("name")).alias("organizer"))
     inner = F.when(k % 2 == 0, F.struct(F.array(F.lit("Thing"), F.lit("CourseInstance")).alias("@type"), F.concat("p_name", F.lit(" course")).alias("name"), F.date_add(d, 1).cast("string").alias("startDate"), F.lit("Saal").alias("location")))
     body = F.concat(F.lit('<html><head><script type="text/javascript">x</script><script type="application/ld+json">'), F.to_json(F.struct(F.array(main).alias("@graph"), inner.alias("about"))), F.lit("</script></head></html>"))
-    found = landing.jsonld(_documents(A.table(spark, sf, "part"), "p_partkey", body))
+    found = landing.jsonld(_documents(A.dealt(spark, sf, "part", "p_partkey"), "p_partkey", body))
     return found.select("doc_id", "title", "starts_at", "venue_name", "address", "url", "organizer", "price_min", "price_max", "lat", "confidence")
 
 
@@ -62,7 +62,7 @@ def calendar_records(spark, sf):
     stamp = F.date_format(t, "yyyyMMdd'T'HHmmss")
     start = F.when(k % 4 == 0, F.concat(F.lit("DTSTART:"), stamp, F.lit("Z"))).when(k % 4 == 1, F.concat(F.lit("DTSTART;TZID=America/New_York:"), stamp)).when(k % 4 == 2, F.concat(F.lit("DTSTART:"), stamp)).otherwise(F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(t, "yyyyMMdd")))
     lines = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.concat(F.lit("SUMMARY:"), "event_type", F.lit("\\,\r\n  open")), start, F.when(k % 2 == 0, F.lit("RRULE:FREQ=WEEKLY;BYDAY=MO")), F.concat(F.lit("LOCATION:Hall "), "user_id"), F.lit("BEGIN:VALARM"), F.lit("SUMMARY:alarm"), F.lit("END:VALARM"), F.lit("END:VEVENT"), F.lit("BEGIN:VEVENT"), F.lit("SUMMARY:no date"), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
-    found = landing.ics(_documents(A.table(spark, sf, "events"), "event_id", lines))
+    found = landing.ics(_documents(A.dealt(spark, sf, "events", "event_id"), "event_id", lines))
     return found.select("doc_id", "title", timeutil.parse_time(F.col("starts_at")).cast("string").alias("starts_at"), "rrule_raw", "venue_name")
 
 
@@ -78,7 +78,7 @@ def portal_records(spark, sf):
         F.lit("<?xml version='1.0' encoding='ISO-8859-1'?><events><event"), F.when(k % 2 == 0, F.lit(" freeofcharge='1'")).otherwise(""), F.lit("><title>"), "p_name", F.lit("  &amp;amp;amp; more</title><description>&lt;p&gt;A &amp;amp;quot;quoted&amp;amp;quot; "), "p_type", F.lit("&lt;/p&gt;</description><tags><tag>"), first,
         F.lit("</tag><tag>Wandern</tag></tags><link><url>https://other.at</url></link>"), F.when(k % 3 == 0, F.concat(F.lit("<link><url>https://www.linztermine.at/event/"), k, F.lit("</url></link>"))).otherwise(""), F.lit("<date dFrom='"), at, F.lit("'/><date dFrom='broken'/></event></events>"),
     )
-    found = landing.portal_xml(_documents(A.table(spark, sf, "part"), "p_partkey", body), "2026-05-02 12:00:00")
+    found = landing.portal_xml(_documents(A.dealt(spark, sf, "part", "p_partkey"), "p_partkey", body), "2026-05-02 12:00:00")
     return found.select("doc_id", "title", "description", "category", "price_max", timeutil.parse_time(F.col("starts_at")).cast("string").alias("starts_at"), "url", F.size("tags").alias("n_tags"))
 
 
@@ -88,7 +88,7 @@ def feed_records(spark, sf):
     k = F.col("p_partkey")
     date = F.when(k % 3 == 0, F.concat(F.lit("<ev:startdate>"), _day().cast("string"), F.lit("</ev:startdate><ev:location>"), "p_brand", F.lit("</ev:location>"))).when(k % 3 == 1, F.concat(F.lit("<xcal:dtstart>"), _day().cast("string"), F.lit("</xcal:dtstart><xcal:location>"), "p_brand", F.lit("</xcal:location>"))).otherwise("<startDate>2026-01-01</startDate>")
     body = F.concat(F.lit('<rss xmlns:ev="http://purl.org/rss/1.0/modules/event/" xmlns:xcal="urn:ietf:params:xml:ns:xcal"><channel><item><title>'), "p_name", F.lit("</title><link>https://x.at/"), k, F.lit("</link><pubDate>Mon, 06 Jul 2026 10:00:00 GMT</pubDate>"), date, F.lit("</item></channel></rss>"))
-    return landing.rss(_documents(A.table(spark, sf, "part"), "p_partkey", body)).select("doc_id", "title", "starts_at", "url", "venue_name")
+    return landing.rss(_documents(A.dealt(spark, sf, "part", "p_partkey"), "p_partkey", body)).select("doc_id", "title", "starts_at", "url", "venue_name")
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS f, date_trunc('day', o_orderdate) + to_minutes((180 + o_orderkey % 1200)::INT) AS t FROM orders),
@@ -219,7 +219,7 @@ def records_to_claims(spark, sf):
     """From pages to claims: read, cleaned, with instants, without what is past, with the fingerprint under which the source's place is known."""
     k = F.col("p_partkey")
     record = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("  "), "p_name").alias("title"), F.concat(_day().cast("string"), F.lit("T19:00")).alias("start"))).alias("items")))
-    pages = _documents(A.table(spark, sf, "part"), "p_partkey", record).withColumns({"source_id": F.col("doc_id") % 3 + 7, "fetched_at": F.lit("2026-03-01").cast("timestamp")})
+    pages = _documents(A.dealt(spark, sf, "part", "p_partkey"), "p_partkey", record).withColumns({"source_id": F.col("doc_id") % 3 + 7, "fetched_at": F.lit("2026-03-01").cast("timestamp")})
     sources = A.sources(spark, sf).where("source_id between 7 and 9").select("source_id", "source_name", "trust", F.lit(48.3).alias("lat"), (14.2 + F.col("source_id") / 100).alias("lon"))
     found = landing.claims(landing.json_api(pages), pages, sources, F.lit("2026-03-02 00:00:00").cast("timestamp"))
     return found.select("doc_id", "title", s("starts_at"), "confidence", "fingerprint")

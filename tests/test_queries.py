@@ -78,7 +78,7 @@ def test_streaming_equals_batch(spark):
     assert {tuple(r) for r in QUERIES["streaming_equivalence"](spark, SF).collect()} == batch
 
 
-@pytest.mark.parametrize("name", ["selector_records", "cascade_records", "rrule_expand"])
+@pytest.mark.parametrize("name", ["selector_records", "cascade_records", "rrule_expand", "jsonld_records", "portal_records"])
 def test_small_tables_are_dealt_before_pages_are_read(spark, name):
     """A table of a few megabytes is one split: reading its pages was the work of one task."""
     assert "RepartitionByExpression [p_partkey" in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
