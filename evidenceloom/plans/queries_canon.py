@@ -269,7 +269,8 @@ loaded AS (SELECT *, norm || '|' || day || '|name:' || lower(venue) AS fingerpri
 def canon_load(spark, sf):
     """Newest claims within the window, cleaned, each under its fingerprint."""
     claims, venues_ = _claims(spark, sf)
-    found = canon.fingerprints(canon.place(canon.load(claims, _now()), venues_))
+    # read twice, as in rebuild()
+    found = canon.fingerprints(canon.place(written(canon.load(claims, _now()), "claims-loaded"), venues_))
     return found.select("claim_id", "fingerprint", r6("price_min").alias("price_min"))
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from evidenceloom.plans import canon, queries_canon
 from evidenceloom.plans.queries import QUERIES, SQL
 from evidenceloom.sources import adapters
 
@@ -82,3 +83,9 @@ def test_streaming_equals_batch(spark):
 def test_small_tables_are_dealt_before_pages_are_read(spark, name):
     """A table of a few megabytes is one split: reading its pages was the work of one task."""
     assert "RepartitionByExpression [p_partkey" in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_outside_the_window_go_before_they_are_joined(spark):
+    """The window is a condition on the line items, not on the newest claims."""
+    plan = canon.load(queries_canon._claims(spark, SF)[0], queries_canon._now())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Join") < plan.index("-90")
