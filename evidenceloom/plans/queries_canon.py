@@ -150,7 +150,7 @@ t AS (SELECT u.grp, twin FROM u JOIN one USING (norm) WHERE NOT placed AND (rule
 def canon_twins(spark, sf):
     """Whole groups without a venue join the only series with one under their title, if they share a date or have its rule."""
     c = _twin_claims(spark, sf)
-    return canon.absorb_twins(c, canon.series(c)).select("claim_id", "group0")
+    return canon.absorb_twins(c).select("claim_id", "group0")
 
 
 _RULE = "struct<freq: string, weekday: string, week_of_month: int, interval: int, valid_from: date, valid_until: date, except_holidays: array<string>, minutes: int, duration_minutes: int>"
@@ -279,7 +279,7 @@ def canon_series(spark, sf):
     """Claims by their series (three dates under one title and place), or their own fingerprint."""
     claims, venues_ = _claims(spark, sf)
     c = written(canon.fingerprints(canon.place(written(canon.load(claims, _now()), "claims-loaded"), venues_)), "claims-placed")
-    return canon.absorb_twins(c, canon.series(c)).select("claim_id", "group0")
+    return canon.absorb_twins(c).select("claim_id", "group0")
 
 
 #: Two versions of the canon. Before: prints of parts 3 to a event (splits), third lines 9 to an event (merges), series whose old dates have gone, prints that no claim has any more.

@@ -89,3 +89,8 @@ def test_claims_outside_the_window_go_before_they_are_joined(spark):
     """The window is a condition on the line items, not on the newest claims."""
     plan = canon.load(queries_canon._claims(spark, SF)[0], queries_canon._now())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Join") < plan.index("-90")
+
+
+def test_twins_are_found_without_reading_claims_again_and_again(spark):
+    """Claims are in the last step's plan for the join with their groups and for their rules on both sides, not for each comparison of groups."""
+    assert QUERIES["canon_twins"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") <= 3
