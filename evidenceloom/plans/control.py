@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidenceloom.functions.timeutil import local_day, local_trunc
 from evidenceloom.operators.evidence import uniqueness
 from evidenceloom.plans.present import deep_url
-from evidenceloom.sources.scratch import written
+from evidenceloom.sources.scratch import small, written
 from evidenceloom.sources.tables import Versioned
 
 BLOCKED = r"(?i)(403|429|captcha|forbidden|blocked|access denied)"
@@ -201,11 +201,17 @@ def hydration(events: DataFrame, tried: DataFrame, now: Column, signal: str, day
     return open_.orderBy(both.desc(), F.col("title").rlike(signal).desc(), "starts_at", "event_id").limit(limit)
 
 
-def newest_link(claims: DataFrame) -> DataFrame:
-    """A claim for each event and source, those with a web link first, then the newest; and when the source was last seen anywhere."""
-    one = Window.partitionBy("event_id", "source_id").orderBy(F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)).desc(), F.col("extracted_at").desc(), "claim_id")
-    seen = claims.groupBy("source_id").agg(F.max("extracted_at").alias("source_seen"))
-    return claims.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").join(seen, "source_id")
+def newest_link(claims: DataFrame, dealt: tuple[str, ...] = ()) -> DataFrame:
+    """A claim for each event and source, those with a web link first, then the newest; and when the source was last seen anywhere.
+
+    dealt: columns that follow from the event and by which claims lie together already; then claims are not dealt again.
+    What is kept is written with the pair's last sighting, so sources are summed up over pairs and no claim is joined twice.
+    """
+    pair = Window.partitionBy(*dealt, "event_id", "source_id")
+    one = pair.orderBy(F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)).desc(), F.col("extracted_at").desc(), "claim_id")
+    kept = written(claims.withColumns({"_n": F.row_number().over(one), "_seen": F.max("extracted_at").over(pair)}).where("_n = 1").drop("_n", *dealt), "newest-links")
+    seen = written(kept.groupBy("source_id").agg(F.max("_seen").alias("source_seen")), "sources-seen")
+    return kept.drop("_seen").join(small(seen), "source_id")
 
 
 def retries(sources: DataFrame, jobs: DataFrame, now: Column, days: int = 7, most: int = 4, per_tick: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Settings under which steps are written: shuffles go with their step, and batches for Python workers are bounded in bytes, however long texts are.
@@ -62,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Tables of so many rows at most are sent to all tasks instead of dealing all claims by their key: some 40 MB of sources.
+SMALL_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table to be broadcast if its rows are few; of a larger one the planner deals both sides."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes tables that written() made, once nothing reads them any more; what can't be reached from here stays."""
     for table in tables:

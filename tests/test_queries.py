@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from evidenceloom.plans import canon, queries_canon
+from evidenceloom.plans import canon, control, queries_canon
 from evidenceloom.plans.queries import QUERIES, SQL
 from evidenceloom.sources import adapters
 
@@ -94,3 +94,21 @@ def test_claims_outside_the_window_go_before_they_are_joined(spark):
 def test_twins_are_found_without_reading_claims_again_and_again(spark):
     """Claims are in the last step's plan for the join with their groups and for their rules on both sides, not for each comparison of groups."""
     assert QUERIES["canon_twins"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") <= 3
+
+
+@pytest.mark.parametrize("name", ["event_source_detail", "price_source_link"])
+def test_claims_are_dealt_by_orders_and_parts_only(spark, name, monkeypatch):
+    """Line items are shuffled to meet their orders and their parts; sources are few, and an event's rows lie together by its part."""
+    plans = []
+    monkeypatch.setattr(control, "written", lambda df, _: plans.append(df) or df)
+    found = QUERIES[name](spark, SF)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        first = (plans or [found])[0]
+        plan = first.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning(") == 4 and plan.count("BroadcastExchange") == 1
