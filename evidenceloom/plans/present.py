@@ -44,13 +44,9 @@ def start_estimate(time_unknown: Column, estimate: Column) -> Column:
     return F.when(F.coalesce(time_unknown, F.lit(False)), estimate)
 
 
-def price_source(events: DataFrame, claims: DataFrame) -> DataFrame:
-    """event_id and the page that says the price: the address in the claim behind it, else its source's.
-
-    events: event_id, price_claim. claims: claim_id, url, source_url.
-    """
-    pages = claims.select(F.col("claim_id").alias("price_claim"), F.coalesce("url", "source_url").alias("price_source_url"))
-    return events.select("event_id", "price_claim").join(pages, "price_claim", "left").select("event_id", "price_source_url")
+def price_page(url: Column, source_url: Column) -> Column:
+    """The page that says a price: the address in the claim behind it, else its source's."""
+    return F.coalesce(url, source_url)
 
 
 def safe_estimates(estimates: Column) -> Column:
