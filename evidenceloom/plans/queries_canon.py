@@ -306,7 +306,7 @@ def _versions(spark, sf):
     known = of(li.where((n <= 2) & (k % 3 == 0)), F.concat(F.lit("e"), F.floor(k / 6)), first - F.expr("INTERVAL 10 DAYS")).unionByName(of(li.where((n == 3) & (k % 3 == 0)), F.concat(F.lit("m"), F.floor(k / 9)), first))
     gone = p.where(part % 5 == 0).select(F.concat(F.lit("old"), part).alias("fingerprint"), F.concat(F.lit("e"), F.floor(part / 6)).alias("event_id"), F.timestamp_add("DAY", (part % 300).cast("int"), F.lit("1991-01-01").cast("timestamp_ntz")).alias("first_seen"))
     old = p.where(part % 4 == 0).select(F.concat(F.lit("series|"), part).alias("fingerprint"), F.concat(F.lit("s"), part).alias("event_id"), F.lit("1990-01-01").cast("timestamp_ntz").alias("first_seen"))
-    return groups, known.unionByName(gone).unionByName(old)
+    return groups, written(known.unionByName(gone).unionByName(old), "identity-before")
 
 
 @query(f"WITH {_AFTER} SELECT fp AS fingerprint, ev AS event_id, was::VARCHAR AS first_seen FROM after")
@@ -321,7 +321,7 @@ UNION ALL SELECT DISTINCT ev, 'new', ev FROM after WHERE ev NOT IN (SELECT ev FR
 def canon_lineage(spark, sf):
     """What became of each event between the two versions."""
     groups, before = _versions(spark, sf)
-    found = canon.lineage(before, canon.identify(groups, before))
+    found = canon.lineage(before, written(canon.identify(groups, before), "identity"))
     return found.select("event_id", "fate", F.array_join("into", ",").alias("into"))
 
 

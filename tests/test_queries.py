@@ -112,3 +112,14 @@ def test_claims_are_dealt_by_orders_and_parts_only(spark, name, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert plan.count("Exchange hashpartitioning(") == 4 and plan.count("BroadcastExchange") == 1
+
+
+def test_schedule_ends_look_at_the_next_start_only(spark):
+    """No row for each day of a long end."""
+    assert "Generate" not in QUERIES["schedule_ends"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["canon_identity", "canon_lineage"])
+def test_versions_are_read_from_written_prints(spark, name):
+    """Line items are summed up to prints once, not for each join of the prints."""
+    assert "Relation [l_orderkey" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
