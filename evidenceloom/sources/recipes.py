@@ -1,17 +1,60 @@
 """A recipe run over landed pages as one plan: from its urls along the links to next pages, to records and a verdict.
 
-The place of a page in its listing is found by pointer doubling: after k rounds every page knows where 2^k links lead, and every listing
-its first 2^k pages; so a walk of n pages takes log2(n) rounds of equi-joins, and a listing that links back to itself ends with
+While listings are few and short, a step sends the pages where they stand to the links, which stay where they are. Else the place of a page in
+its listing is found by pointer doubling: after k rounds every page knows where 2^k links lead, and every listing
+its first 2^k pages; so a walk of n pages takes log2(n) rounds of equi-joins, each of which deals all links twice. A listing that links back to itself ends with
 the page cap like any other.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidenceloom.sources import landing
-from evidenceloom.sources.scratch import removed, written
+from evidenceloom.sources.scratch import SMALL_ROWS, removed, small, written
+
+#: Walks of so many pages at most go step by step if their listings are few; each step reads the links once.
+STEPS = 64
+
+
+def _landed(entries: DataFrame, there: DataFrame) -> DataFrame:
+    """Entries that were fetched; few entries go to the pages, not all pages to the entries."""
+    found = there.select("url").join(small(entries.select("url").distinct()), "url", "left_semi").distinct()
+    return entries.join(found, "url")
+
+
+def _stepped(known: DataFrame, jump: DataFrame, most: int) -> DataFrame:
+    """Entries and, by depth, the pages that follow them, each step one broadcast of where the listings stand."""
+    steps = [known]
+    for depth in range(1, most + 1):
+        at = F.broadcast(steps[-1].where(F.col("page_cap") >= depth))
+        last = written(jump.join(at, jump["at"] == at["url"]).select("recipe_id", "place", F.col("to").alias("url"), F.lit(depth).alias("depth"), "page_cap"), "recipe-walk")
+        if last.isEmpty():
+            removed(last)
+            break
+        steps.append(last)
+    whole = written(functools.reduce(DataFrame.unionByName, steps), "recipe-walk")
+    removed(*steps)
+    return whole
+
+
+def _doubled(known: DataFrame, jump: DataFrame, most: int) -> DataFrame:
+    """The same by pointer doubling."""
+    step = 1
+    while step < most + 1:
+        further = known.join(jump, known["url"] == jump["at"]).select("recipe_id", "place", F.col("to").alias("url"), (F.col("depth") + step).alias("depth"), "page_cap")
+        longer = written(known.unionByName(further.where(F.col("depth") <= F.col("page_cap"))), "recipe-walk")
+        removed(known)
+        known, step = longer, 2 * step
+        if step < most + 1:
+            twice = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to")
+            doubled = written(twice, "recipe-links")
+            removed(jump)
+            jump = doubled
+    return known
 
 
 def walk(entries: DataFrame, links: DataFrame, pages: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,17 +69,11 @@ def walk(entries: DataFrame, links: DataFrame, pages: DataFrame, caps: DataFrame
     """
     there = pages.select("url", "doc_id", F.xxhash64("body").alias("body_hash"))
     jump = links.join(there.select(F.col("url").alias("next_url")), "next_url", "left_semi").groupBy(F.col("url").alias("at")).agg(F.min("next_url").alias("to"))
-    known = entries.join(there.select("url"), "url", "left_semi").join(caps, "recipe_id").select("recipe_id", "place", "url", F.lit(0).alias("depth"), "page_cap")
+    known = _landed(entries, there).join(caps, "recipe_id").select("recipe_id", "place", "url", F.lit(0).alias("depth"), "page_cap")
     most = caps.agg(F.max("page_cap")).first()[0] or 0
-    known, jump, step = written(known, "recipe-walk"), written(jump, "recipe-links"), 1
-    while step < most + 1:
-        further = known.join(jump, known["url"] == jump["at"]).select("recipe_id", "place", F.col("to").alias("url"), (F.col("depth") + step).alias("depth"), "page_cap")
-        # one page beyond the cap tells whether anything was left
-        longer = written(known.unionByName(further.where(F.col("depth") <= F.col("page_cap"))), "recipe-walk")
-        twice = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to")
-        doubled = written(twice, "recipe-links")
-        removed(known, jump)
-        known, jump, step = longer, doubled, 2 * step
+    known, jump = written(known, "recipe-walk"), written(jump, "recipe-links")
+    # one page beyond the cap tells whether anything was left; a listing stands at one page at a time, so no step has more rows than there are entries
+    known = (_stepped if most <= STEPS and known.count() <= SMALL_ROWS else _doubled)(known, jump, most)
     # a page's first visit counts; what comes after a later one was visited after the first one too
     order = F.struct("depth", "place")
     visits = known.groupBy("recipe_id", "url").agg(F.min(order).alias("v"), F.count("*").alias("times"), F.max("page_cap").alias("page_cap"))
@@ -59,9 +96,10 @@ def run(recipes: DataFrame, pages: DataFrame, selector: str, records: DataFrame,
     cascade.records(); only those of visited pages count.
     """
     entries = landing.page_urls(recipes).select("recipe_id", "place", "url")
-    following = landing.next_pages(pages, selector).join(pages.select("doc_id", "url"), "doc_id").select("url", "next_url")
+    following = landing.next_pages(pages, selector).select("url", "next_url")
     visited, report = walk(entries, following, pages, recipes.select("recipe_id", "page_cap"))
-    own = visited.select("recipe_id", "doc_id").join(landing.with_page_url(records, pages, F.lit(False)), "doc_id")
+    # records meet the few visited pages, and these bring their addresses along
+    own = visited.select("recipe_id", "doc_id").join(landing.with_page_url(records, visited.select("doc_id", "url").distinct(), F.lit(False)), "doc_id")
     kept = written(landing.unique_records(own), "recipe-records")
     verdict = landing.validated(kept, least)
     none = {"n_items": F.lit(0), "ok": F.lit(False)}

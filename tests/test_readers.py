@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidenceloom.operators import recurrence
 from evidenceloom.sources import cascade, landing, recipes
+from evidenceloom.sources.scratch import written
 
 
 def docs(spark, *bodies):
@@ -225,6 +226,22 @@ def test_links_that_lead_nowhere(spark):
     assert {r.recipe_id: (r.n_pages, r.stop) for r in report.collect()} == {1: (3, "noop"), 2: (2, "exhausted")}
 
 
+def test_walk_of_few_listings_deals_links_once(spark, monkeypatch):
+    """Links are written once, however long the walk; each step writes no more rows than there are listings. Doubling gives the same walk."""
+    pages = spark.range(400).select(F.concat(F.lit("u"), "id").alias("url"), F.col("id").alias("doc_id"), F.concat(F.lit("body "), "id").alias("body"))
+    links = spark.range(399).select(F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("u"), F.col("id") + 1).alias("next_url"))
+    entries = spark.createDataFrame([(1, 0, "u0"), (1, 1, "u100"), (2, 0, "u395"), (3, 0, "lost")], "recipe_id int, place int, url string")
+    caps = spark.createDataFrame([(1, 20), (2, 9), (3, 5)], "recipe_id int, page_cap int")
+    made = []
+    monkeypatch.setattr(recipes, "written", lambda df, name: (made.append((name, df.count())), written(df, name))[1])
+    walks = lambda: [{tuple(r) for r in x.collect()} for x in recipes.walk(entries, links, pages, caps)]
+    by_steps = walks()
+    assert [n for name, n in made if name == "recipe-links"] == [399]
+    assert {r[5] for r in by_steps[0] if r[0] == 1} == set(range(1, 21)) and {(r[0], r[1], r[4]) for r in by_steps[1]} == {(1, 20, "cap"), (2, 5, "exhausted")}
+    monkeypatch.setattr(recipes, "STEPS", 0)
+    assert walks() == by_steps
+
+
 def test_pages_of_a_recipe(spark):
     page = '<a class="next" href="?p=2">on</a><a class="next" href="?p=9">x</a>'
     own = '<a class="next" href="/list">here</a>'
