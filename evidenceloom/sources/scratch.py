@@ -63,13 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: Tables of so many rows at most are sent to all tasks instead of dealing all claims by their key: some 40 MB of sources.
+#: Tables of so many rows at most are sent to all tasks instead of dealing all claims by their key: some 40 MB of sources, 60 MB of keys of claims.
 SMALL_ROWS = 500_000
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A table to be broadcast if its rows are few; of a larger one the planner deals both sides."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+def small(table: DataFrame, otherwise: str | None = None) -> DataFrame:
+    """A table to be broadcast if its rows are few; of a larger one the planner deals both sides, by the hint given."""
+    if table.count() <= SMALL_ROWS:
+        return F.broadcast(table)
+    return table.hint(otherwise) if otherwise else table
 
 
 def removed(*tables: DataFrame) -> None:

@@ -5,11 +5,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from evidenceloom.plans import canon, control, queries_canon
 from evidenceloom.plans.queries import QUERIES, SQL
-from evidenceloom.sources import adapters
+from evidenceloom.sources import adapters, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,6 +97,27 @@ def test_twins_are_found_without_reading_claims_again_and_again(spark):
     assert QUERIES["canon_twins"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") <= 3
 
 
+def test_claims_stay_where_they_are_for_names_series_and_shared_prints(spark, monkeypatch):
+    """What claims meet there is written and small, so it goes to them; where it is not, they are dealt, to the same result."""
+    keep, plans = queries_canon.written, []
+    monkeypatch.setattr(queries_canon, "written", lambda df, name: (plans.append(df) if name == "claims-placed" else None, keep(df, name))[1])
+    found = QUERIES["canon_series"](spark, SF)
+    plans += [found, canon.shared_prints(keep(found.select("group0", F.col("claim_id").alias("fingerprint")), "claims"), "group0")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shown = [df.select("*")._jdf.queryExecution().executedPlan().toString() for df in plans]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the links themselves are made distinct
+    assert [p.count("Exchange hashpartitioning(") for p in shown] == [0, 0, 1] and all(p.count("BroadcastExchange") == 1 for p in shown)
+    rows = set(found.collect())
+    monkeypatch.setattr(scratch, "SMALL_ROWS", -1)
+    assert set(QUERIES["canon_series"](spark, SF).collect()) == rows
+
+
 @pytest.mark.parametrize("name", ["event_source_detail", "price_source_link"])
 def test_claims_are_dealt_by_orders_and_parts_only(spark, name, monkeypatch):
     """Line items are shuffled to meet their orders and their parts; sources are few, and an event's rows lie together by its part."""
