@@ -74,15 +74,16 @@ def sane_end(starts: Column, ends: Column, categories: Column) -> Column:
     return F.when((span >= 0) & (span <= days), ends)
 
 
-def fold(candidates: DataFrame, key: list[str]) -> DataFrame:
+def fold(candidates: DataFrame, key: list[str], bare_keys: DataFrame | None = None) -> DataFrame:
     """One occurrence for each instant with a known time (the shortest known end), and one for a date without time if its local day has no other.
 
-    Columns: starts_at, ends_at, timed. Both choices are minimum aggregations.
+    Columns: starts_at, ends_at, timed. Both choices are minimum aggregations. bare_keys: the keys that have a date without time, if they are known; the days of others are not looked at.
     """
     length = F.unix_micros(F.col("ends_at").cast("timestamp")) - F.unix_micros(F.col("starts_at").cast("timestamp"))
     shortest = F.min(F.when(F.col("ends_at").isNotNull(), F.struct(length.alias("l"), F.col("ends_at").alias("e"))))
     timed = candidates.where("timed").groupBy(*key, "starts_at").agg(shortest.alias("s")).select(*key, "starts_at", F.col("s.e").alias("ends_at"), F.lit(True).alias("timed"))
-    busy = timed.select(*key, local_day(F.col("starts_at")).alias("day")).distinct()
+    beside = timed if bare_keys is None else timed.join(bare_keys, key, "left_semi")
+    busy = beside.select(*key, local_day(F.col("starts_at")).alias("day")).distinct()
     bare = candidates.where("not timed").withColumn("day", local_day(F.col("starts_at"))).join(busy, [*key, "day"], "left_anti")
     first = bare.groupBy(*key, "day").agg(F.min(F.struct("starts_at", F.struct(F.col("ends_at").isNull().alias("n"), F.col("ends_at").alias("e")).alias("e"))).alias("s"))
     return timed.unionByName(first.select(*key, F.col("s.starts_at").alias("starts_at"), F.col("s.e.e").alias("ends_at"), F.lit(False).alias("timed")))

@@ -67,9 +67,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SMALL_ROWS = 500_000
 
 
+def few(table: DataFrame) -> bool:
+    return table.count() <= SMALL_ROWS
+
+
 def small(table: DataFrame, otherwise: str | None = None) -> DataFrame:
     """A table to be broadcast if its rows are few; of a larger one the planner deals both sides, by the hint given."""
-    if table.count() <= SMALL_ROWS:
+    if few(table):
         return F.broadcast(table)
     return table.hint(otherwise) if otherwise else table
 

@@ -118,6 +118,37 @@ def test_claims_stay_where_they_are_for_names_series_and_shared_prints(spark, mo
     assert set(QUERIES["canon_series"](spark, SF).collect()) == rows
 
 
+def test_claims_stay_where_they_are_though_fingerprints_are_many(spark, monkeypatch):
+    """Series keys and absorbed groups go to the claims while these are few, however many fingerprints there are."""
+    rows = set(QUERIES["canon_series"](spark, SF).collect())
+    assert len({r.group0 for r in rows}) > 500 > len({r.group0 for r in rows if r.group0.startswith("series|")}) > 10
+    monkeypatch.setattr(scratch, "SMALL_ROWS", 500)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    found = QUERIES["canon_series"](spark, SF)
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shown = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "Exchange hashpartitioning(" not in shown
+    assert set(found.collect()) == rows
+
+
+def test_only_ends_in_question_are_dealt(spark, monkeypatch):
+    """Claims whose end is settled by themselves meet no instants of their event."""
+    kept = []
+    monkeypatch.setattr(canon, "written", lambda df, name: (kept.append(name), scratch.written(df, name))[1])
+    at = [(f"e{i}", f"1996-06-{d:02} 18:00:00", f"1996-06-{d:02} 20:00:00") for i in range(3) for d in (1, 8)] + [("e0", "1996-06-01 19:00:00", "1996-06-09 20:00:00"), ("e1", "1996-06-08 19:00:00", "1996-06-09 20:00:00")]
+    claims = spark.createDataFrame(at, "event_id string, s string, e string").select("event_id", F.col("s").cast("timestamp").alias("starts_at"), F.col("e").cast("timestamp").alias("ends_at"), F.lit("music").alias("category"), F.lit("series|x").alias("group0"))
+    found = canon.observed_dates(claims)
+    assert kept == ["asking-events"]
+    # one end passes the next start of its event and goes, the other long one does not
+    assert sorted((r.event_id, r.ends_at is None) for r in found.collect() if r.starts_at.hour == 19) == [("e0", True), ("e1", False)]
+    assert found.count() == 8 and found.where("ends_at is null").count() == 1
+
+
 @pytest.mark.parametrize("name", ["event_source_detail", "price_source_link"])
 def test_claims_are_dealt_by_orders_and_parts_only(spark, name, monkeypatch):
     """Line items are shuffled to meet their orders and their parts; sources are few, and an event's rows lie together by its part."""
