@@ -12,10 +12,20 @@ def newest(claims: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return claims.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def held(value: Column) -> Column:
+    """A source's largest value, up to 0.999999; of rows or of what parts of them gave."""
+    return F.max(F.least(value, F.lit(0.999999)))
+
+
+def any_of(v: Column) -> Column:
+    """1 - product of (1 - v) over rows."""
+    return 1 - F.exp(F.sum(F.log1p(-v)))
+
+
 def noisy_or(claims: DataFrame, key: list[str], source: str, value: Column) -> DataFrame:
     """1 - product of (1 - v) over sources, v a source's largest value; two aggregations with partial sums, values up to 0.999999."""
-    per_source = claims.groupBy(*key, source).agg(F.max(F.least(value, F.lit(0.999999))).alias("v"))
-    return per_source.groupBy(*key).agg((1 - F.exp(F.sum(F.log1p(-F.col("v"))))).alias("confidence"), F.count("*").alias("n_sources"))
+    per_source = claims.groupBy(*key, source).agg(held(value).alias("v"))
+    return per_source.groupBy(*key).agg(any_of(F.col("v")).alias("confidence"), F.count("*").alias("n_sources"))
 
 
 def merge_fields(fields: DataFrame, key: list[str], field: str = "field", value: str = "value", weight: str = "weight", claim: str = "claim_id", prefer_long: tuple[str, ...] = ("title", "url"), unknown: tuple[str, ...] = ()) -> DataFrame:

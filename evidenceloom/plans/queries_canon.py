@@ -243,15 +243,15 @@ SELECT event_id, title, url, round(price_min, 6) AS price_min, price_claim, CASE
 WHERE NOT (venue IS NULL AND only_global AND event_id LIKE '%9')""")
 def canon_events(spark, sf):
     """Merged fields with the claim behind the price, confidence, known categories only; padding of global platforms without a place goes, unless its page is Austrian."""
-    c, k = A.claims(spark, sf), F.split("event_id", r"\|")[0].cast("bigint")
+    c, k = A.claims(spark, sf, by_part=True), F.col("part_no")
     none = lambda kind: F.lit(None).cast(kind)
     host = F.when(F.col("event_id").endswith("9") & (k % 4 == 0) & (k % 5 == 0), "com").otherwise("at")
     url = F.when(F.col("quantity") > 30, F.concat(F.lit("https://x."), host, F.lit("/"), "source_id")).otherwise(F.concat(F.lit("https://x."), host, F.lit("/")))
     rows = c.select(
-        "event_id", "claim_id", "source_id", F.when(k % 5 == 0, "a meetup").otherwise(F.col("source_name")).alias("source_name"), "trust", "confidence", "extracted_at", "title", none("string").alias("description"), none("string").alias("venue_name"), none("string").alias("address"), url.alias("url"),
+        "part_no", "event_id", "claim_id", "source_id", F.when(k % 5 == 0, "a meetup").otherwise(F.col("source_name")).alias("source_name"), "trust", "confidence", "extracted_at", "title", none("string").alias("description"), none("string").alias("venue_name"), none("string").alias("address"), url.alias("url"),
         F.when(F.col("price") / 1000 < 70, F.col("price") / 1000).alias("price_min"), none("double").alias("price_max"), F.when(F.col("source_id") % 2 == 0, "music").when(F.col("source_id") % 3 == 0, "fun").alias("category"), none("string").alias("organizer"), none("double").alias("lat"), none("double").alias("lon"), F.when(k % 4 != 0, "v1").alias("venue"),
     )
-    e = canon.events(rows)
+    e = canon.events(rows, lie_by="part_no")
     return e.select("event_id", "title", F.replace("url", F.lit("x.com"), F.lit("x.at")).alias("url"), r6("price_min").alias("price_min"), F.col("field_provenance")["price_min"]["claim_id"].alias("price_claim"), "category", r6("confidence").alias("confidence"), "n_sources")
 
 

@@ -55,6 +55,26 @@ def test_query_equals_sql_where_values_are_unknown(spark, tmp_path, name):
     assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == want
 
 
+def test_events_are_summed_up_where_their_claims_lie(spark):
+    """Line items are read once and dealt by orders and by parts only: no row for each field, no deal of claims by event."""
+    plan = QUERIES["canon_events"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_partkey#") and plan.count("lineitem.parquet") == 1 and "Generate" not in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(" in x and "event_id" in x]
+
+
+def test_events_are_the_same_however_their_claims_lie(spark):
+    """By part and source, and apart by event and by source; unknown values, sources, trusts and places, equal weights, claims that repeat."""
+    k, text_ = F.col("id"), lambda n, c: F.when(F.col("id") % n != 0, c)
+    rows = spark.range(4000).select(
+        (k % 90).alias("part_no"), F.concat_ws("|", k % 90, k % 2).alias("event_id"), (k % 1999).cast("string").alias("claim_id"), text_(7, k % 6).alias("source_id"), text_(3, F.lit("a meetup")).alias("source_name"), text_(11, (k % 4) / 4).alias("trust"), text_(13, (k % 3) / 2).alias("confidence"), F.timestamp_seconds(k % 1999).alias("extracted_at"),
+        *(text_(n, F.concat(F.lit(f), (k % 1999) % (n + 3))).alias(f) for n, f in enumerate(("title", "description", "venue_name", "address", "category", "organizer"), 2)), text_(5, F.concat(F.lit("https://x.at/"), (k % 1999) % 5)).alias("url"),
+        text_(4, (k % 1999) / 8).alias("price_min"), F.lit(None).cast("double").alias("price_max"), text_(9, (k % 1999) / 100).alias("lat"), text_(9, (k % 1999) / 90).alias("lon"), text_(2, F.lit("v")).alias("venue"),
+    )
+    plain_ = lambda df: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    apart, where_they_lie = canon.events(rows), canon.events(rows.repartition("part_no"), lie_by="part_no")
+    assert apart.dtypes == where_they_lie.dtypes and plain_(apart) == plain_(where_they_lie)
+
+
 def test_trust_is_rounded_as_in_sql(spark, tmp_path):
     """Balances whose trust is near a half of its last place, on either side."""
     con = duckdb.connect()
