@@ -243,7 +243,7 @@ SELECT event_id, title, url, round(price_min, 6) AS price_min, price_claim, CASE
 WHERE NOT (venue IS NULL AND only_global AND event_id LIKE '%9')""")
 def canon_events(spark, sf):
     """Merged fields with the claim behind the price, confidence, known categories only; padding of global platforms without a place goes, unless its page is Austrian."""
-    c, k = A.claims(spark, sf, by_part=True), F.col("part_no")
+    c, k = A.claims(spark, sf, deal="part"), F.col("part_no")
     none = lambda kind: F.lit(None).cast(kind)
     host = F.when(F.col("event_id").endswith("9") & (k % 4 == 0) & (k % 5 == 0), "com").otherwise("at")
     url = F.when(F.col("quantity") > 30, F.concat(F.lit("https://x."), host, F.lit("/"), "source_id")).otherwise(F.concat(F.lit("https://x."), host, F.lit("/")))

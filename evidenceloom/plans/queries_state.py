@@ -10,7 +10,7 @@ from evidenceloom.plans import control, search
 from evidenceloom.plans.registry import query, r6, s
 from evidenceloom.sources import adapters as A
 from evidenceloom.sources import cascade, changelog, landing, ledger, recipes, tables
-from evidenceloom.sources.scratch import scratch
+from evidenceloom.sources.scratch import lean, removed, scratch
 
 # ---- versions and their changes
 
@@ -61,9 +61,16 @@ def streaming_state(spark, sf):
     from evidenceloom.streaming import state
 
     base = scratch(spark, "state")
-    A.claims(spark, sf).select("event_id", "source_id", "claim_id", "trust", "confidence", F.col("extracted_at").cast("timestamp").alias("extracted_at"), "status").repartition(32, "claim_id").write.parquet(f"{base}/in")
-    stream = S.source(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 8)
+    # dealt by orders, as their join needs it anyway: the parts of an order differ, so an event's claims come in several batches
+    tasks = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = A.claims(spark, sf, deal="order", tasks=tasks).select("event_id", "source_id", "claim_id", "trust", "confidence", F.col("extracted_at").cast("timestamp").alias("extracted_at"), "status")
+    with lean(spark):
+        rows.write.option("compression", "zstd").parquet(f"{base}/in")
+    landed = spark.read.parquet(f"{base}/in")
+    stream = S.source(spark, f"{base}/in", landed.schema, -(-len(landed.inputFiles()) // 4))
     state.keep(state.fused(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    landed.scratch_path = f"{base}/in"
+    removed(landed)
     return S.latest(spark, f"{base}/out", "event_id").select("event_id", r6("confidence").alias("confidence"), "n_sources", "status")
 
 

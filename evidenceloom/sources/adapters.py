@@ -23,17 +23,20 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source_name"), trust.alias("trust"))
 
 
-def claims(spark: SparkSession, sf_dir: str, by_part: bool = False) -> DataFrame:
-    """One claim for each line item; the event is a part's year, part_no its part. Sources are broadcast while they are few; the last deal is by parts, so what works by part_no needs no other. by_part: it is made even where the planner sends the parts to all tasks.
+def claims(spark: SparkSession, sf_dir: str, deal: str | None = None, tasks: int | None = None) -> DataFrame:
+    """One claim for each line item; the event is a part's year, part_no its part. Sources are broadcast while they are few; the last deal is by parts, so what works by part_no needs no other.
 
-    Texts are made after the joins: their numbers are shorter.
+    deal: "part" or "order", by which claims are dealt last, even where the planner sends that table to all tasks; over so many tasks, if given. Texts are made after the joins: their numbers are shorter.
     """
     whole = lambda c: F.round(c).cast("bigint")
     orders, part, source = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "part").select("p_partkey", "p_name"), sources(spark, sf_dir)
     numbers = {"_year": F.year("l_shipdate"), **{f"_{x}": whole(F.col(f"l_{x}") * 100) for x in ("extendedprice", "discount", "tax")}}
-    item = table(spark, sf_dir, "lineitem").withColumns(numbers).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    item = item.repartition("l_partkey") if by_part else item
-    item = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(small(source), F.col("l_suppkey") == F.col("source_id"))
+    item, joined = table(spark, sf_dir, "lineitem").withColumns(numbers), {"order": orders, "part": part}
+    for name in ("part", "order") if deal == "order" else ("order", "part"):
+        if name == deal:
+            item = item.repartition(*([tasks] if tasks else []), f"l_{name}key")
+        item = item.join(joined[name], F.col(f"l_{name}key") == F.col(f"{name[0]}_{name}key"))
+    item = item.join(small(source), F.col("l_suppkey") == F.col("source_id"))
     claim_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", whole(F.col("l_quantity")), "_extendedprice", "_discount", "_tax")
     return item.select(
         "source_id",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,10 +61,9 @@ def compact(spark: SparkSession, out_path: str, key: str, to: str) -> None:
 
 
 def latest(spark: SparkSession, out_path: str, key: str) -> DataFrame:
-    """Each key's newest version."""
-    rows = spark.read.option("basePath", out_path).parquet(out_path).drop("batch")
-    best = rows.groupBy(key).agg(F.max("version").alias("version"))
-    return rows.join(best, [key, "version"]).drop("version")
+    """Each key's newest version; rows are dealt once, and older ones that a task can tell go before."""
+    rows = spark.read.option("basePath", out_path).parquet(out_path).drop("batch").where(F.col(key).isNotNull())
+    return rows.withColumn("_n", F.rank().over(Window.partitionBy(key).orderBy(F.col("version").desc()))).where("_n = 1").drop("version", "_n")
 
 
 def confidence(claims: DataFrame) -> DataFrame:

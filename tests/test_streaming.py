@@ -1,6 +1,7 @@
 """Streams against their batch results."""
 
 import datetime as dt
+import math
 import random
 import threading
 import time
@@ -127,6 +128,38 @@ def test_state_asks_once_for_a_bucket_and_not_for_each_event(spark, tmp_path):
     assert plain(S.latest(spark, f"file://{tmp_path}/out", "event_id")) == plain(want)
 
 
+def test_state_is_packed_and_keeps_what_can_decide(spark, tmp_path):
+    """A message and the state of a bucket of events take few bytes, whatever is unknown in them comes back, and times that decide nothing are not kept."""
+    odd = {None: ({None: 0.1 + 0.2, "s|,\n\"1": 0.0}, {0.7: -5, 0.3: 1 << 60}, (state._NEVER, "", "moved", math.inf), state._NEVER), "e": ({}, {}, None, 7), "": ({"s": -0.5}, {math.inf: 3}, (3, "c", "moved", 0.8), 1)}
+    assert state._unpacked(state._packed(odd)) == odd
+    x = state._State(({}, {0.9: 50, 0.8: 70, 0.7: 60, 0.6: 10, 0.5: 90}, (50, "c", "moved", 0.7), 90))
+    assert x.parts()[1] == {0.8: 70, 0.5: 90}
+    k = F.col("id")
+    rows = spark.range(60000).select(F.concat_ws("|", k * 7 % 15000, k % 2 + 1995).alias("event_id"), (k % 1000).cast("string").alias("source_id"), F.concat_ws("-", k * 100, k % 15000, k * 31 % 9973).alias("claim_id"), (k % 1000 / 1000).alias("trust"), (k % 11 / 11).alias("confidence"), F.timestamp_seconds(k % 2500 * 86400).alias("extracted_at"), F.when(k % 4 == 0, "moved").otherwise("scheduled").alias("status"))
+    said = state.combined(rows.coalesce(1), 64, False).select(F.count("*"), F.sum(F.length("said"))).first()
+    assert said[0] == 64 and said[1] < 60000 * 40
+
+
+def test_a_status_without_a_time_holds(spark, tmp_path):
+    """Nothing is known to be later than it."""
+    rows = spark.createDataFrame([("e", "s1", "c1", 0.8, 0.5, None, "moved"), ("e", "s2", "c2", 0.9, 0.5, dt.datetime(2026, 3, 1), "scheduled")], CLAIM)
+    rows.write.parquet(f"file://{tmp_path}/in")
+    state.keep(state.fused(S.source(spark, f"file://{tmp_path}/in", rows.schema), buckets=4), f"file://{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert evidence.merge_status(rows, ["event_id"]).first()["status"] == "moved"
+    assert [r.status for r in S.latest(spark, f"file://{tmp_path}/out", "event_id").collect()] == ["moved"]
+
+
+def test_an_events_claims_come_in_four_batches(spark, monkeypatch):
+    """The files of the log are dealt by order, not by text or by event, and most events of several claims come again."""
+    from evidenceloom.plans.queries import QUERIES
+
+    kept, keep = [], state.keep
+    monkeypatch.setattr(state, "keep", lambda updates, out, checkpoint: kept.append(out) or keep(updates, out, checkpoint))
+    n = QUERIES["streaming_state"](spark, SF).count()
+    versions = spark.read.parquet(kept[0])
+    assert versions.select("version").distinct().count() == 4 and versions.count() > 1.5 * n
+
+
 def test_events_that_nobody_speaks_of_go(spark, tmp_path):
     path, day = f"file://{tmp_path}/in", dt.datetime(2026, 3, 1)
     for i, (event, days) in enumerate([("old", 0), ("old", 5), ("other", 40), ("other", 80), ("other", 81)]):
